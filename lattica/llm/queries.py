@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_extraction, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash_dedup, substring_dedup
+from . import chat_format, html_extraction, mixing, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash_dedup, substring_dedup, topk_search
 
-MODULES = [quality_rules, sentencepiece_codec, substring_dedup, pii, quality_classifier, html_extraction, simhash_dedup]
+MODULES = [quality_rules, chat_format, sentencepiece_codec, topk_search, substring_dedup, mixing, pii, quality_classifier, html_extraction, simhash_dedup]
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 A window is `window` consecutive words of one document; every window that also starts earlier is removed. All steps see whole texts:
 
-1. Documents of the same words are one class, known by a 128-bit hash. All but a class's first lose every word if they hold a window.
+1. Documents of the same text are one class, known by a 128-bit hash. All but a class's first lose every word if they hold a window.
 2. Each window picks a phrase: of its runs of `phrase` words, one whose hash is least. Equal windows pick equal phrases. Spark groups the
    picked phrases by their text; those of two classes, or found twice in one text, are confirmed. Of a confirmed phrase the shards of
    documents that hold it are kept, as a set that tasks build before the shuffle.
@@ -19,6 +19,7 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +43,11 @@ _START_BITS = 28
 class _Runs:
     """The words of some texts with the hash of the phrase that begins at each, and the least one of each window."""
 
-    def __init__(self, texts: list[bytes], window: int, phrase: int):
-        self.words, self.begins = _words.split(texts)
+    def __init__(self, texts: list[bytes] | list[list[bytes]], window: int, phrase: int):
+        if texts and isinstance(texts[0], list):
+            self.words, self.begins = list(itertools.chain.from_iterable(texts)), np.cumsum([0, *map(len, texts)])
+        else:
+            self.words, self.begins = _words.split(texts)
         self.distinct, self.ids = _words.numbered(self.words)
         self.word_hash = _words.hashes(self.distinct)
         p = _words.rolled(self.word_hash[self.ids], phrase)
@@ -62,41 +67,19 @@ def _order_key(doc_id):
     return F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1))
 
 
-def _class_hash(words: list[bytes]) -> tuple[int, int]:
-    digest = xxhash.xxh3_128_intdigest(b" ".join(words))
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return signed(digest >> 64), signed(digest & ((1 << 64) - 1))
-
-
-def documents(texts: DataFrame) -> DataFrame:
-    """id, deal, size in bytes, n_words, and h1, h2: a hash of the words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _words.slices(batches):
-            words = [t.split() for t in texts]
-            h = [_class_hash(w) for w in words]
-            columns = [list(map(len, texts)), list(map(len, words)), [x[0] for x in h], [x[1] for x in h]]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("deal"), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "deal", "size", "n_words", "h1", "h2"])
-
-    return texts.select("id", "deal", "text").mapInArrow(run, "id long, deal long, size long, n_words long, h1 long, h2 long")
-
-
 def confirmed_phrases(docs: DataFrame, shards: int, window: int, phrase: int) -> DataFrame:
-    """shard, phrase: the confirmed phrases that occur in each shard. docs: shard, text."""
+    """shard, phrase: the confirmed phrases that occur in each shard. docs: shard, h1, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _words.slices(batches):
             runs = _Runs(texts, window, phrase)
             w, at = runs.words, runs.picked(window, phrase)
             owner = np.repeat(np.arange(len(texts)), np.diff(runs.begins))[at]
-            spans = runs.begins.tolist()
-            h1 = [_class_hash(w[a:b])[0] if b - a >= window else 0 for a, b in zip(spans, spans[1:], strict=False)]
-            seen: dict[tuple[bytes, int], bool] = {}
-            for k, doc in zip(at.tolist(), owner.tolist(), strict=True):
-                x = (b" ".join(w[k : k + phrase]), doc)
-                seen[x] = x in seen
-            doc = [x[1] for x in seen]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], pa.binary()), part.column("shard").take(pa.array(doc, pa.int64())), pa.array([h1[k] for k in doc], pa.int64()), pa.array(list(seen.values()), pa.bool_())], names=["phrase", "shard", "h1", "twice"])
+            twice: dict[tuple[bytes, int], bool] = {}
+            for x in zip([b" ".join(w[k : k + phrase]) for k in at.tolist()], owner.tolist(), strict=True):
+                twice[x] = x in twice
+            doc = pa.array([x[1] for x in twice], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in twice], pa.binary()), part.column("shard").take(doc), part.column("h1").take(doc), pa.array(twice.values(), pa.bool_())], names=["phrase", "shard", "h1", "twice"])
 
     found = docs.mapInArrow(run, "phrase binary, shard int, h1 long, twice boolean")
     grouped = found.groupBy("phrase").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("twice").alias("twice"), F.collect_set("shard").alias("in"))
@@ -115,13 +98,13 @@ def automaton(phrases: list[bytes]) -> ahocorasick.Automaton:
     return made
 
 
-def located_windows(texts: list[bytes], machine: ahocorasick.Automaton, window: int, phrase: int) -> list[np.ndarray]:
-    """Of each text, the starts of the windows that pick a phrase of the automaton. Texts stream in slices."""
+def located_windows(texts: list[list[bytes]], machine: ahocorasick.Automaton, window: int, phrase: int) -> list[np.ndarray]:
+    """Of each text, the starts of the windows that pick a phrase of the automaton. texts: their words; they stream in slices."""
     out: list[np.ndarray] = []
     at = 0
     while at < len(texts):
         to, size = at + 1, len(texts[at])
-        while to < len(texts) and size + len(texts[to]) <= _words.SLICE_BYTES:
+        while to < len(texts) and size + len(texts[to]) <= _words.SLICE_BYTES // 8:
             size += len(texts[to])
             to += 1
         runs = _Runs(texts[at:to], window, phrase)
@@ -145,20 +128,19 @@ _DONE = "null_id boolean, id long, h1 long, n_words long, n_removed long, kept b
 
 def located(docs: DataFrame, side: DataFrame, window: int, phrase: int) -> DataFrame:
     """_DONE, a row for each row of docs: text and starts where windows were located, else what is kept.
-    docs: null_id, id, text, shard; side: shard, and either a phrase or the id and h1 of rows that are not their class's first."""
+    docs: null_id, id, h1, text, shard; side: shard, and either a phrase or the id and h1 of rows that are not their class's first."""
 
     def of_shard(key: tuple, rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         no_phrase = side["phrase"].isna()
         later = set(zip(side["id"][no_phrase], side["h1"][no_phrase], strict=True))
         texts = [t or b"" for t in rows["text"]]
         words = [t.split() for t in texts]
-        h1 = [_class_hash(w)[0] for w in words]
-        first = [k for k, x in enumerate(zip(rows["id"], h1, strict=True)) if x not in later]
+        first = [k for k, x in enumerate(zip(rows["id"], rows["h1"], strict=True)) if x not in later]
         phrases, found = side["phrase"].dropna().tolist(), {}
         if phrases:
-            found = dict(zip(first, located_windows([texts[k] for k in first], automaton(phrases), window, phrase), strict=True))
+            found = dict(zip(first, located_windows([words[k] for k in first], automaton(phrases), window, phrase), strict=True))
         first, out = set(first), []
-        for k, (no_id, i, h, text, w) in enumerate(zip(rows["null_id"], rows["id"], h1, texts, words, strict=True)):
+        for k, (no_id, i, h, text, w) in enumerate(zip(rows["null_id"], rows["id"], rows["h1"], texts, words, strict=True)):
             if k not in first and len(w) >= window:
                 out.append((no_id, i, h, len(w), len(w), b"", None, None))
             elif len(found.get(k, ())):
@@ -180,16 +162,12 @@ def first_windows(found: DataFrame, window: int) -> DataFrame:
             starts = part.column("starts")
             owner = np.repeat(np.arange(len(texts)), starts.value_lengths().to_numpy())
             own = starts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            a, b = (_words.rolled(_words.hashes(distinct, seed)[ids], window)[begins[owner] + own].view(np.int64) for seed in (0, 1))
+            digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint64).reshape(-1, 2)
+            a, b = (_words.rolled(digest[:, k][ids], window)[begins[owner] + own].view(np.int64) for k in (0, 1))
             # the document's hash orders rows that share an id; its upper bits and the start share a long
             lo = (part.column("h1").to_numpy().view(np.uint64)[owner] >> np.uint64(_START_BITS + 1) << np.uint64(_START_BITS)).view(np.int64) | own
             row_id = part.column("id").to_numpy()[owner]
-            # the first of equal windows of this slice
-            order = np.lexsort((lo, row_id, b, a))
-            a, b, row_id, lo = (x[order] for x in (a, b, row_id, lo))
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (a, b, row_id, lo)], names=["a", "b", "id", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, row_id, lo)], names=["a", "b", "id", "lo"])
 
     windows = found.select("id", "h1", "text", "starts").mapInArrow(run, "a long, b long, id long, lo long")
     first = windows.groupBy("a", "b").agg(F.min(F.struct("id", "lo")).alias("at"))
@@ -203,12 +181,18 @@ def _kept(found: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _words.slices(batches):
             n_removed, kept = [], []
-            for text, starts, firsts in zip(texts, part.column("starts").to_pylist(), part.column("firsts").to_pylist(), strict=True):
+            lists = [(x.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False))])) for x in (part.column("starts"), part.column("firsts"))]
+            for k, text in enumerate(texts):
                 words = text.split()
-                gone = np.setdiff1d(np.array(starts, np.int64), np.array(firsts or [], np.int64))
-                stays = ~_words.covered(gone, len(words), window)
-                n_removed.append(int((~stays).sum()))
-                kept.append(b" ".join([words[k] for k in np.flatnonzero(stays)]))
+                starts, firsts = (flat[at[k] : at[k + 1]] for flat, at in lists)
+                begins = np.zeros(len(words) + window, np.int64)
+                begins[starts] = 1
+                begins[firsts] = 0
+                total = np.cumsum(begins)
+                # a word stays if none of the windows that reach it goes
+                stays = total[: len(words)] == np.concatenate([np.zeros(window, np.int64), total])[: len(words)]
+                n_removed.append(int(len(words) - stays.sum()))
+                kept.append(b" ".join(itertools.compress(words, stays.tolist())))
             yield pa.RecordBatch.from_arrays([part.column("null_id"), part.column("id"), part.column("n_words"), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=["null_id", "id", "n_words", "n_removed", "kept"])
 
     return found.select("null_id", "id", "n_words", "text", "starts", "firsts").mapInArrow(run, "null_id boolean, id long, n_words long, n_removed long, kept binary")
@@ -217,15 +201,15 @@ def _kept(found: DataFrame, window: int) -> DataFrame:
 def deduplicated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space). docs: doc_id, text."""
     texts = docs.select(docs["doc_id"].isNull().alias("null_id"), _order_key(docs["doc_id"]).alias("id"), F.coalesce(docs["text"].cast("binary"), F.lit(b"")).alias("text"))
-    texts = texts.withColumn("deal", F.xxhash64("id", "text"))
-    known = save(documents(texts), "words")
-    shards = max(16, math.ceil((known.agg(F.sum("size")).first()[0] or 0) / shard_bytes))
+    texts = texts.withColumn("h1", F.xxhash64("text")).withColumn("deal", F.xxhash64("id", "h1"))
+    shards = max(16, math.ceil((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / shard_bytes))
     shard = F.pmod("deal", F.lit(shards)).cast("int").alias("shard")
-    phrases = save(confirmed_phrases(texts.select(shard, "text"), shards, window, phrase), "phrases")
+    phrases = save(confirmed_phrases(texts.select(shard, "h1", "text"), shards, window, phrase), "phrases")
+    known = save(texts.select("id", "deal", "h1", F.xxhash64(F.lit(1), "text").alias("h2")), "classes")
     first = known.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id != last_id")
-    later = known.where(F.col("n_words") >= window).join(first, ["h1", "h2"]).where("id != first_id").select(shard, "id", "h1").distinct()
+    later = known.join(first, ["h1", "h2"]).where("id != first_id").select(shard, "id", "h1").distinct()
     side = phrases.select("shard", "phrase", F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("h1")).unionByName(later.withColumn("phrase", F.lit(None).cast("binary")))
-    done = save(located(texts.select("null_id", "id", "text", shard), side, window, phrase), "located")
+    done = save(located(texts.select("null_id", "id", "h1", "text", shard), side, window, phrase), "located")
     found = done.where("text is not null")
     firsts = first_windows(found, window)
     found = found.withColumn("doc", F.shiftrightunsigned("h1", _START_BITS + 1)).join(firsts, ["id", "doc"], "left")
