@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.operators.graph import components
+
 from . import _words
-from ._shared import cut, save, table
+from ._shared import save, table
 
 SHINGLE, SEED, RADIUS, BLOCK = 4, 42, 4, 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -132,28 +134,6 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     return out.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the same root for all nodes that edges (u, v) connect. Each round hooks every node to the neighbour that is least in a
-    pseudo-random order of that round, follows the hooks twice, and contracts; about a constant share of the nodes goes in each."""
-    edges = cut(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v").distinct())
-    member = cut(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("root", F.col("node")))
-    turn = 0
-    while edges.limit(1).count():
-        both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).toDF("a", "b")
-        order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
-        hook = both.groupBy("a").agg(F.min(order("b")).alias("least")).select("a", F.least("least", order("a"))["id"].alias("to"))
-        hook = cut(hook)
-        for _ in range(2):
-            onward = hook.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            hook = hook.join(onward, "to", "left").select("a", F.coalesce("next", "to").alias("to"))
-        hook = cut(hook)
-        member = cut(member.join(hook, F.col("root") == F.col("a"), "left").select("node", F.coalesce("to", "root").alias("root")))
-        edges = edges.join(hook.toDF("u", "ru"), "u").join(hook.toDF("v", "rv"), "v").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).where("u != v").distinct()
-        edges = cut(edges)
-        turn += 1
-    return member
-
-
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id that links reach."""
     prints = save(fingerprints(docs, width), "fingerprints")
