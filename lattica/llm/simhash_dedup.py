@@ -140,8 +140,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
     distinct = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     root = components(links(distinct.select("fp"), radius, block))
     # what no link touches is its own component
-    with_root = distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
+    with_root = save(distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    # a table of its own, so that a hot component's rows can be split in the join
+    least = save(with_root.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     classes = save(with_root.join(least, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
