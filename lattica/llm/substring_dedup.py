@@ -4,10 +4,12 @@ A window is `window` consecutive words of one document; every window that also s
 
 1. Documents of the same text are one class, known by a 128-bit hash. All but a class's first lose every word if they hold a window.
 2. Each window picks a phrase: of its runs of `phrase` words, one whose hash is least. Equal windows pick equal phrases. Spark groups the
-   picked phrases by their text; those of two classes, or found twice in one text, are confirmed. Of a confirmed phrase the shards of
-   documents that hold it are kept, as a set that tasks build before the shuffle.
-3. Documents are dealt to shards of about `shard_bytes`. A shard meets the confirmed phrases that occur in it, compiles them to an
-   Aho-Corasick automaton over word numbers, and streams its documents through it. A window is located if the phrase that it picks is.
+   picked phrases by a 64-bit hash; those of two classes, or found twice in one text, are confirmed (a hash that two phrases share confirms
+   both, which costs work but no result). Of a confirmed phrase the shards of documents that hold it are kept, as a set that tasks build
+   before the shuffle.
+3. Documents are dealt to shards of about `shard_bytes`. A shard meets the hashes of the confirmed phrases that occur in it, compiles those
+   phrases, words as letters, to an Aho-Corasick automaton and streams its documents through it. A window is located if the phrase that it
+   picks is.
    Every document streams once and every automaton is bounded by its shard, so the work is linear in the corpus.
 4. Located windows are grouped by a 128-bit hash; the first of each group stays, the words of the others go. Only documents with
    located windows take part.
@@ -68,59 +70,73 @@ def _order_key(doc_id):
 
 
 def confirmed_phrases(docs: DataFrame, shards: int, window: int, phrase: int) -> DataFrame:
-    """shard, phrase: the confirmed phrases that occur in each shard. docs: shard, h1, text."""
+    """shard, phrase: the hashes of the confirmed phrases that occur in each shard. docs: shard, h1, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _words.slices(batches):
             runs = _Runs(texts, window, phrase)
-            w, at = runs.words, runs.picked(window, phrase)
-            owner = np.repeat(np.arange(len(texts)), np.diff(runs.begins))[at]
-            twice: dict[tuple[bytes, int], bool] = {}
-            for x in zip([b" ".join(w[k : k + phrase]) for k in at.tolist()], owner.tolist(), strict=True):
-                twice[x] = x in twice
-            doc = pa.array([x[1] for x in twice], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in twice], pa.binary()), part.column("shard").take(doc), part.column("h1").take(doc), pa.array(twice.values(), pa.bool_())], names=["phrase", "shard", "h1", "twice"])
-
-    found = docs.mapInArrow(run, "phrase binary, shard int, h1 long, twice boolean")
-    grouped = found.groupBy("phrase").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("twice").alias("twice"), F.collect_set("shard").alias("in"))
-    return grouped.where("lo != hi or twice").select(F.explode("in").alias("shard"), "phrase")
-
-
-def _numbers(hashed: np.ndarray) -> np.ndarray:
-    return ((hashed >> np.uint64(33)) + np.uint64(1)).astype(np.int64)  # 0 parts texts
-
-
-def automaton(phrases: list[bytes]) -> ahocorasick.Automaton:
-    made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for text in phrases:
-        made.add_word(tuple(_numbers(_words.hashes(text.split())).tolist()))
-    made.make_automaton()
-    return made
-
-
-def located_windows(texts: list[list[bytes]], machine: ahocorasick.Automaton, window: int, phrase: int) -> list[np.ndarray]:
-    """Of each text, the starts of the windows that pick a phrase of the automaton. texts: their words; they stream in slices."""
-    out: list[np.ndarray] = []
-    at = 0
-    while at < len(texts):
-        to, size = at + 1, len(texts[at])
-        while to < len(texts) and size + len(texts[to]) <= _words.SLICE_BYTES // 8:
-            size += len(texts[to])
-            to += 1
-        runs = _Runs(texts[at:to], window, phrase)
-        n, k = len(runs.ids), to - at
-        # texts follow each other, each closed by a 0 that no phrase holds
-        owner = np.repeat(np.arange(k), np.diff(runs.begins))
-        stream = np.zeros(n + k, np.int64)
-        stream[np.arange(n) + owner] = _numbers(runs.word_hash)[runs.ids]
-        hit = np.zeros(n + k, bool)
-        hit[np.fromiter((end for end, _ in machine.iter(tuple(stream.tolist()))), np.int64) - (phrase - 1)] = True
-        near = _words.sliding(np.where(hit[np.arange(n) + owner], runs.p, _NONE), window - phrase + 1)
-        starts = np.flatnonzero(runs.window_at & (near == runs.least))
-        cuts = np.searchsorted(starts, runs.begins)
-        out += [starts[a:b] - begin for a, b, begin in zip(cuts[:-1], cuts[1:], runs.begins[:-1], strict=True)]
-        at = to
-    return out
+            at = runs.picked(window, phrase)
+            owner, p = np.repeat(np.arange(len(texts)), np.diff(runs.begins))[at], runs.p[at]
+            order = np.lexsort((p, owner))
+            owner, p = owner[order], p[order]
+            again = np.zeros(len(p), bool)
+            again[1:] = (p[1:] == p[:-1]) & (owner[1:] == owner[:-1])
+            h1 = part.column("h1").to_numpy()[owner]
+            # found twice in one text counts like found in another: the second row has the complement of the text's hash
+            h1 = np.where(again, ~h1, h1)
+            yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), part.column("shard").take(pa.array(owner)), pa.array(h1)], names=["phrase", "shard", "h1"])
+
+    found = docs.mapInArrow(run, "phrase long, shard int, h1 long")
+    grouped = found.groupBy("phrase").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.collect_set("shard").alias("in"))
+    return grouped.where("lo != hi").select(F.explode("in").alias("shard"), "phrase")
+
+
+class Phrases:
+    """An Aho-Corasick automaton over phrases (rows of word numbers). A word is two letters of disjoint alphabets, so that matches begin at
+    words and nodes have few children (their number's square root), which the automaton searches one by one."""
+
+    def __init__(self, phrases: np.ndarray, vocabulary: int):
+        used = np.unique(phrases)
+        self.code = np.zeros(vocabulary, np.int64)  # 0: any other word
+        self.code[used] = np.arange(1, len(used) + 1)
+        self.base = math.isqrt(len(used)) + 1
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        whole, width = self.letters(self.code[phrases].ravel()), 2 * phrases.shape[1]
+        for k in range(0, len(whole), width):
+            self.machine.add_word(whole[k : k + width])
+        self.machine.make_automaton()
+
+    def letters(self, codes: np.ndarray) -> str:
+        return (np.stack(np.divmod(codes, self.base), 1) + [1, 1 + self.base]).astype("<u4").tobytes().decode("utf-32-le")
+
+    def last_words(self, codes: np.ndarray) -> np.ndarray:
+        """Where in the codes a phrase ends."""
+        return np.fromiter((end for end, _ in self.machine.iter(self.letters(codes))), np.int64) // 2
+
+
+def located_windows(texts: list[list[bytes]], confirmed: np.ndarray, window: int, phrase: int) -> list[np.ndarray]:
+    """Of each text, the starts of the windows that pick a confirmed phrase. texts: their words; confirmed: hashes of phrases."""
+    runs = _Runs(texts, window, phrase)
+    n, k = len(runs.ids), len(texts)
+    at = runs.picked(window, phrase)
+    at = at[np.isin(runs.p[at], confirmed)]
+    if not len(at):  # only copies of texts in other shards hold them
+        return [np.zeros(0, np.int64)] * k
+    # all texts of a confirmed hash, so that phrases that share one are located both
+    every = runs.ids[at[:, None] + np.arange(phrase)]
+    _, first, which = np.unique(runs.p[at], return_index=True, return_inverse=True)
+    other = (every != every[first][which]).any(1)
+    phrases = np.concatenate([every[first], np.unique(every[other], axis=0)])
+    machine = Phrases(phrases, len(runs.distinct))
+    # texts follow each other, each closed by a word that no phrase holds
+    owner = np.repeat(np.arange(k), np.diff(runs.begins))
+    stream, hit = np.zeros(n + k, np.int64), np.zeros(n + k, bool)
+    stream[np.arange(n) + owner] = machine.code[runs.ids]
+    hit[machine.last_words(stream) - (phrase - 1)] = True
+    near = _words.sliding(np.where(hit[np.arange(n) + owner], runs.p, _NONE), window - phrase + 1)
+    starts = np.flatnonzero(runs.window_at & (near == runs.least))
+    cuts = np.searchsorted(starts, runs.begins)
+    return [starts[a:b] - begin for a, b, begin in zip(cuts[:-1], cuts[1:], runs.begins[:-1], strict=True)]
 
 
 _DONE = "null_id boolean, id long, h1 long, n_words long, n_removed long, kept binary, text binary, starts array<int>"
@@ -128,17 +144,17 @@ _DONE = "null_id boolean, id long, h1 long, n_words long, n_removed long, kept b
 
 def located(docs: DataFrame, side: DataFrame, window: int, phrase: int) -> DataFrame:
     """_DONE, a row for each row of docs: text and starts where windows were located, else what is kept.
-    docs: null_id, id, h1, text, shard; side: shard, and either a phrase or the id and h1 of rows that are not their class's first."""
+    docs: null_id, id, h1, text, shard; side: shard, and either a phrase's hash (is_phrase) or the id and h1 of rows that are not their class's first."""
 
     def of_shard(key: tuple, rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        no_phrase = side["phrase"].isna()
+        no_phrase = ~side["is_phrase"]
         later = set(zip(side["id"][no_phrase], side["h1"][no_phrase], strict=True))
         texts = [t or b"" for t in rows["text"]]
         words = [t.split() for t in texts]
         first = [k for k, x in enumerate(zip(rows["id"], rows["h1"], strict=True)) if x not in later]
-        phrases, found = side["phrase"].dropna().tolist(), {}
-        if phrases:
-            found = dict(zip(first, located_windows([words[k] for k in first], automaton(phrases), window, phrase), strict=True))
+        phrases, found = side["phrase"][side["is_phrase"]].to_numpy(np.int64).view(np.uint64), {}
+        if len(phrases) and first:
+            found = dict(zip(first, located_windows([words[k] for k in first], phrases, window, phrase), strict=True))
         first, out = set(first), []
         for k, (no_id, i, h, text, w) in enumerate(zip(rows["null_id"], rows["id"], rows["h1"], texts, words, strict=True)):
             if k not in first and len(w) >= window:
@@ -208,7 +224,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, sh
     known = save(texts.select("id", "deal", "h1", F.xxhash64(F.lit(1), "text").alias("h2")), "classes")
     first = known.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id != last_id")
     later = known.join(first, ["h1", "h2"]).where("id != first_id").select(shard, "id", "h1").distinct()
-    side = phrases.select("shard", "phrase", F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("h1")).unionByName(later.withColumn("phrase", F.lit(None).cast("binary")))
+    zero = F.lit(0).cast("long")
+    side = phrases.select("shard", "phrase", F.lit(True).alias("is_phrase"), zero.alias("id"), zero.alias("h1")).unionByName(later.withColumn("phrase", zero).withColumn("is_phrase", F.lit(False)))
     done = save(located(texts.select("null_id", "id", "h1", "text", shard), side, window, phrase), "located")
     found = done.where("text is not null")
     firsts = first_windows(found, window)

@@ -114,6 +114,13 @@ def test_substring_dedup_equals_brute_force(docs, rows, shard_bytes):
     assert _as_set(substring_dedup.deduplicated(docs, shard_bytes=shard_bytes)) == _removed(rows)
 
 
+def test_located_windows_without_confirmed_phrases():
+    texts = [[b"w%d" % (k % 7) for k in range(40)], [], [b"x"] * 3]
+    assert [len(x) for x in substring_dedup.located_windows(texts, np.zeros(1, np.uint64), 20, 6)] == [0, 0, 0]
+    runs = substring_dedup._Runs(texts, 20, 6)
+    assert substring_dedup.located_windows(texts, np.unique(runs.p), 20, 6)[0].tolist() == list(range(21))
+
+
 def test_pii_base_and_learnt(spark, docs, rows):
     got = pii.identifiers(docs).select("doc_id", pii.listed("base").alias("base")).collect()
     want = collections.Counter()
