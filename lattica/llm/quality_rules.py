@@ -145,6 +145,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     grid = [F.expr(f"percentile(round(x{i}, 2), array(0.25, 0.5, 0.75)) as g{i}") for i in range(P)]
     centre, scale = [f"c{i}" for i in range(P)], [f"w{i}" for i in range(P)]
     marginal = rows.groupBy("key").agg(*grid).selectExpr("key", *(f"g{i}[1] as c{i}" for i in range(P)), *(f"greatest((g{i}[2] - g{i}[0]) / 1.349, {DIMENSIONS[i][1]}) as w{i}" for i in range(P)))
+    marginal = save(marginal, "centres")  # a row per group: joined by broadcast while its size allows, so that a hot group's rows stay where they are
     units = rows.join(marginal, "key").selectExpr("key", *centre, *scale, *(f"(x{i} - c{i}) / w{i} as u{i}" for i in range(P)))
     units = units.withColumn("norm", F.expr(" + ".join(f"u{i} * u{i}" for i in range(P)) + " + 1e-9"))
     signs = units.groupBy("key", *centre, *scale).agg(*[F.expr(f"avg(u{i} * u{j} / norm) as q{i}_{j}") for i, j in TRI])
