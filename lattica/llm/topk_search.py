@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from ._shared import save, table
 
 K, EVERY, SCALE = 20, 20, 64
-SHARD, BLOCK, LEAF = 4096, 2048, 48
+SHARD, BLOCK, LEAF = 4096, 2048, 128
+NET = 256  # possible centres whose distances are computed at once
 
 
 class CoverTree:
@@ -51,14 +52,15 @@ class CoverTree:
         return len(self.begin) - 1
 
     def _build(self, x: np.ndarray, rows: np.ndarray, leaf: int) -> int:
-        top, todo = None, [(rows, -1)]
+        top, todo, square = None, [(rows, -1)], (x * x).sum(1)
         while todo:
             rows, above = todo.pop()
             if above <= -2:  # all below this node are placed
                 self.end[-above - 2] = self._next
                 continue
-            distance = np.sqrt(((x[rows] - x[rows[0]]) ** 2).sum(1))
-            radius = float(distance.max())
+            # whole numbers, so squared distances by products are exact
+            distance2 = square[rows] + square[rows[0]] - 2 * (x[rows] @ x[rows[0]])
+            radius = math.sqrt(max(0.0, distance2.max()))
             node = self._node(x[rows[0]], radius)
             if above >= 0:
                 self.children[above].append(node)
@@ -69,16 +71,18 @@ class CoverTree:
                 self.end[node] = self._next
                 continue
             reach = 2.0 ** (math.ceil(math.log2(radius)) - 1)
-            near = distance <= reach
+            near = distance2 <= reach * reach
             groups, small = [rows[near]], []
-            rows, nearest = rows[~near], distance[~near]
-            while len(rows):
-                k = int(np.argmax(nearest))
-                own = np.sqrt(((x[rows] - x[rows[k]]) ** 2).sum(1))
-                near = own <= reach
-                member = np.concatenate([[rows[k]], rows[near & (np.arange(len(rows)) != k)]])
-                (groups if len(member) > leaf // 4 else small).append(member)
-                rows, nearest = rows[~near], np.minimum(nearest, own)[~near]
+            rows = rows[~near]
+            own, left = x[rows], np.ones(len(rows), bool)
+            for at in range(0, len(rows), NET):
+                block = at + np.flatnonzero(left[at : at + NET])
+                within = square[rows[block]][:, None] + square[rows] - 2 * (own[block] @ own.T) <= reach * reach
+                for k, near in zip(block.tolist(), within, strict=True):
+                    if left[k]:  # farther than that from all centres so far: the next one, and the first of its members
+                        member = np.flatnonzero(near & left)
+                        left[member] = False
+                        (groups if len(member) > leaf // 4 else small).append(rows[member])
             bucket: list[np.ndarray] = []
             for member in small:
                 bucket.append(member)
@@ -108,15 +112,17 @@ def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids:
             columns = slice(p.begin[b], p.end[b])
             score = q.x[rows] @ p.x[columns].T
             score[own[rows][:, None] == ids[columns]] = -np.inf
-            some = np.flatnonzero((score >= best[rows, -1][:, None]).any(1))
-            if not len(some):
+            # what reaches a query's kth score so far is sorted in with its k best
+            row, column = np.nonzero((score >= best[rows, -1][:, None]) & (score > -np.inf))
+            if not len(row):
                 continue
-            at = some + q.begin[a]
-            score, name = np.concatenate([best[at], score[some]], 1), np.concatenate([who[at], np.broadcast_to(ids[columns], (len(some), columns.stop - columns.start))], 1)
-            order = np.argsort(name, axis=1, kind="stable")
-            score, name = np.take_along_axis(score, order, 1), np.take_along_axis(name, order, 1)
-            order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            best[at], who[at] = np.take_along_axis(score, order, 1), np.take_along_axis(name, order, 1)
+            some, row = np.unique(row, return_inverse=True)
+            at, n = some + q.begin[a], np.bincount(row) + k
+            row = np.concatenate([np.repeat(np.arange(len(some)), k), row])
+            value = np.concatenate([best[at].ravel(), score[some[row[len(some) * k :]], column]])
+            name = np.concatenate([who[at].ravel(), ids[columns][column]])
+            pick = np.lexsort((name, -value, row))[(np.cumsum(n) - n)[:, None] + np.arange(k)]
+            best[at], who[at] = value[pick], name[pick]
             continue
         # the wider node is split; the most promising pair is visited first
         if q.children[a] and (not p.children[b] or q.radius[a] > p.radius[b]):
