@@ -35,11 +35,11 @@ def token_join(spark: SparkSession, d: str) -> DataFrame:
     return joins.token_join(table(spark, d, "nation"), table(spark, d, "region"), "n_nationkey", "r_regionkey", "n_name", "r_name")
 
 
-@query("keyed_diff", "SELECT coalesce(a.k, b.k) AS o_custkey, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' WHEN a.s = b.s THEN 'matched' ELSE 'differing' END AS status FROM (SELECT o_custkey AS k, min(o_orderstatus) AS s FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, min(o_orderstatus) AS s FROM orders WHERE o_orderkey % 3 <> 1 GROUP BY 1) b ON a.k = b.k")
+@query("keyed_diff", "SELECT coalesce(a.k, b.k) AS id, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' WHEN a.n = b.n THEN 'matched' ELSE 'differing' END AS status FROM (SELECT c_custkey AS k, min(c_nationkey) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_suppkey AS k, min(s_nationkey) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
 def keyed_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Two versions of a table are needed; the orders without one residue each stand for them."""
-    orders = table(spark, d, "orders")
-    return joins.keyed_diff(orders.where("o_orderkey % 3 <> 0"), orders.where("o_orderkey % 3 <> 1"), ["o_custkey"], ["o_orderstatus"])
+    """Customers and suppliers stand for two versions of a table."""
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
+    return joins.keyed_diff(customers, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation")), ["id"], ["nation"])
 
 
 @query("multiset_match", "SELECT s AS status, least(a.n, b.n) AS matched FROM (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1) a JOIN (SELECT l_linestatus AS s, count(*) AS n FROM lineitem GROUP BY 1) b USING (s)")
