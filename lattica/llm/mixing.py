@@ -1,14 +1,19 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are counted in tokens (words) and summed to cells of source, language and topic. The cells' weights are raked: in turn, each of the three
-marginals is scaled to its target, for `rounds` rounds or until all are within `tolerance`. A document's weight is its cell's factor; its
-probability is that factor over the largest, times `rate`, at most 1, and it is sampled if a hash of its id and text falls below that.
+marginals is scaled to its target, for `rounds` rounds or until all are within `tolerance`. A document's weight is its tokens times its cell's
+factor. The sample's expected size is `share` of all tokens, however skewed the table is: cells' expected tokens start as c * n * factor,
+at most n, with the c that gives that size. What cells with probability 1 leave short is raked again over the others. A value that has
+fewer tokens than its target asks for is taken whole, and the other values of its marginal share the rest by their targets. A last c brings
+the sum back to the size. A document's probability is its cell's expected tokens over n; it is sampled if a hash of its id and text falls below
+that. `reached` lists targets and the shares that the sample is expected to have.
 Targets are shares of tokens; where none are given, a marginal is tempered: shares to the power `temper`, made to add up to 1.
 
 The topic of a text is its form, by plain rules: tabular, legal, contact, long, medium or short.
 
 Defined cases: a null text is empty and has no tokens, so weight 0 of its own, and the probability of its cell; null sources and languages are
-values of their own; a cell without tokens keeps factor 1; targets for values that do not occur are left out and the others scaled up;
+values of their own; a cell without tokens keeps factor 1 and has probability `share`; cells of target 0 have probability 0, and where
+the others hold less than `share`, they are taken whole; targets for values that do not occur are left out and the others scaled up;
 repeated rows get the same decision; an empty table gives an empty result; other columns are only carried if asked for.
 """
 
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._shared import cut, save, table
 
-ROUNDS, TOLERANCE, TEMPER, RATE = 24, 1e-6, 0.7, 1.0
+ROUNDS, TOLERANCE, TEMPER, SHARE = 24, 1e-6, 0.7, 0.5
 MARGINALS = ["source", "lang", "topic"]
 #: Rounds that make up one Spark job, and the number of cells up to which they run as one task.
 ROUNDS_A_JOB, SMALL_CELLS = 6, 100_000
@@ -49,7 +54,7 @@ def targets(cells: DataFrame, marginal: str, given: dict[str, float] | None, tem
 
 
 def raked(cells: DataFrame, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """source, lang, topic, n, factor. cells: source, lang, topic and n, their tokens."""
+    """source, lang, topic, n, factor and the targets. cells: source, lang, topic and n, their tokens."""
     for m in MARGINALS:
         goal = targets(cells, m, (given or {}).get(m), temper).withColumnRenamed(m, "__value")
         cells = cells.join(goal, cells[m].eqNullSafe(goal["__value"]), "left").drop("__value").withColumn(f"{m}_target", F.coalesce(f"{m}_target", F.lit(0.0)))
@@ -68,20 +73,69 @@ def raked(cells: DataFrame, given: dict[str, dict[str, float]] | None = None, te
         if apart <= tolerance:
             break
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return cells.select(*MARGINALS, "n", F.when(F.col("n") > 0, F.col("w") * total / F.col("n")).otherwise(1.0).alias("factor"))
+    return cells.select(*MARGINALS, "n", F.when(F.col("n") > 0, F.col("w") * total / F.col("n")).otherwise(1.0).alias("factor"), *[f"{m}_target" for m in MARGINALS])
+
+
+def scale(parts: DataFrame, most: str, size: str, total: float) -> float:
+    """The c with sum(min(most, c * size)) = total, by Newton's method from below; where total is more than can be had, a c that takes all."""
+    c, full = 0.0, -1
+    while True:
+        taken = F.col(size) * c >= F.col(most)
+        n, sure, free = parts.agg(F.count_if(taken), F.sum(F.when(taken, F.col(most))), F.sum(F.when(~taken, F.col(size)))).first()
+        if n <= full or not free:
+            return c
+        c, full = (total - (sure or 0)) / free, n
+
+
+def calibrated(cells: DataFrame, share: float = SHARE, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells, which are those of raked(), with probability: the sum of n * probability is `share` of the sum of n."""
+    cells = save(cells.withColumn("w", F.when(F.col("n") > 0, F.col("n") * F.col("factor")).otherwise(0.0)), "raked")
+    count, total, able = cells.agg(F.count("*"), F.sum("n"), F.sum(F.when(F.col("w") > 0, F.col("n")))).first()
+    if not able:
+        return cells.drop("w").withColumn("probability", F.when(F.col("n") > 0, 0.0).otherwise(share))
+    size = min(share * total, float(able))
+    start = scale(cells, "n", "w", size)
+    if count <= SMALL_CELLS:
+        cells = cells.coalesce(1)
+    for m in MARGINALS:
+        even = scale(cells.groupBy(m, f"{m}_target").agg(F.sum("n").alias("n")), "n", f"{m}_target", size)
+        cells = cells.withColumn(f"{m}_size", F.least(F.sum("n").over(Window.partitionBy(m)), even * F.col(f"{m}_target")))
+    cells = cut(cells.withColumn("w", F.least("n", start * F.col("w"))))
+    for _ in range(0, rounds, ROUNDS_A_JOB):
+        for m in MARGINALS * min(ROUNDS_A_JOB, rounds):
+            now = F.sum("w").over(Window.partitionBy(m))
+            full = F.sum(F.when(F.col("w") >= F.col("n"), F.col("n")).otherwise(0)).over(Window.partitionBy(m))
+            goal = F.col(f"{m}_size")
+            # what is short is made up by cells that are not full yet
+            step = F.when((goal > now) & (now > full), (goal - full) / (now - full)).when((goal < now), goal / now).otherwise(1.0)
+            cells = cells.withColumn("w", F.least("n", F.col("w") * step))
+        cells = cut(cells)
+        apart = 0.0
+        for m in MARGINALS:
+            gap = cells.groupBy(m, f"{m}_size").agg(F.sum("w").alias("w")).agg(F.max(F.abs(F.col("w") - F.col(f"{m}_size")))).first()[0]
+            apart = max(apart, gap / size)
+        if apart <= tolerance:
+            break
+    last = scale(cells, "n", "w", size)
+    return cells.withColumn("probability", F.when(F.col("n") > 0, F.least(F.lit(1.0), last * F.col("w") / F.col("n"))).otherwise(share)).drop("w", *[f"{m}_size" for m in MARGINALS])
+
+
+def reached(cells: DataFrame) -> DataFrame:
+    """marginal, value, target, share: of each value, the target and its share of the sample's expected tokens. cells: those of calibrated()."""
+    sums = [cells.groupBy(F.lit(m).alias("marginal"), F.col(m).alias("value"), F.col(f"{m}_target").alias("target")).agg(F.sum(F.col("n") * F.col("probability")).alias("part")) for m in MARGINALS]
+    total = cells.agg(F.sum(F.col("n") * F.col("probability")).alias("whole"))
+    return sums[0].unionByName(sums[1]).unionByName(sums[2]).crossJoin(F.broadcast(total)).select("marginal", "value", "target", F.try_divide("part", "whole").alias("share"))
 
 
-def mixed(docs: DataFrame, keep: list[str] | None = None, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, rate: float = RATE, seed: int = 0) -> DataFrame:
+def mixed(docs: DataFrame, keep: list[str] | None = None, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, share: float = SHARE, seed: int = 0) -> DataFrame:
     """Columns `keep` (doc_id if not given) and topic, tokens, weight, probability, sampled. docs: doc_id, text, source, lang and `keep`."""
     keep = keep or ["doc_id"]
     draw = F.pmod(F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]), F.lit(1 << 53)) / float(1 << 53)
     rows = docs.select(*[docs[c] for c in keep], docs["source"].alias("__source"), docs["lang"].alias("__lang"), topic(docs["text"]).alias("topic"), tokens(docs["text"]).alias("tokens"), draw.alias("__draw"))
     rows = save(rows, "counted")
     cells = save(rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), "topic").agg(F.sum("tokens").alias("n")), "cells")
-    factors = raked(cells, given, temper)
-    most = F.max(F.when(F.col("n") > 0, F.col("factor"))).over(Window.partitionBy(F.lit(0)))
-    probability = F.coalesce(F.least(F.lit(1.0), F.lit(rate) * F.col("factor") / most), F.lit(rate))
-    factors = save(factors.select(F.col("source").alias("s"), F.col("lang").alias("l"), F.col("topic").alias("t"), "factor", probability.alias("probability")), "factors")
+    factors = calibrated(raked(cells, given, temper), share)
+    factors = save(factors.select(F.col("source").alias("s"), F.col("lang").alias("l"), F.col("topic").alias("t"), "factor", "probability"), "factors")
     joined = rows.join(factors, rows["__source"].eqNullSafe(factors["s"]) & rows["__lang"].eqNullSafe(factors["l"]) & (rows["topic"] == factors["t"]))
     return joined.select(*keep, "topic", "tokens", (F.col("tokens") * F.col("factor")).alias("weight"), "probability", (F.col("__draw") < F.col("probability")).alias("sampled"))
 

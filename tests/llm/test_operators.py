@@ -234,6 +234,20 @@ def test_raking_meets_targets(spark, docs):
     assert got.count() == docs.count() and got.where("probability is null or probability > 1 or sampled is null").count() == 0
 
 
+def test_a_scarce_cell_does_not_set_the_size_of_the_sample(spark):
+    rows = [(k, "word " * 100, "en", "big") for k in range(900)] + [(k, "wort " * 100, "de", "big") for k in range(900, 1500)] + [(1500, "mot mot", "fr", "small"), (1501, "", "fr", "big"), (1502, None, "none", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mixed(df).toPandas().set_index("doc_id")
+    assert abs((got["tokens"] * got["probability"]).sum() / got["tokens"].sum() - mixing.SHARE) < 1e-9
+    assert got["probability"][1500] > 0.999 and got["probability"][1502] == mixing.SHARE and 650 < got["sampled"].sum() < 850
+    assert mixing.mixed(df, share=1.0).where("sampled").count() >= 1500
+    # bounded shares: b has half of what its target asks for and is taken whole, the other sources share the rest evenly
+    cells = spark.createDataFrame([("a", "x", "t", 600), ("a", "y", "t", 400), ("b", "x", "t", 60), ("b", "y", "t", 40), ("c", "x", "t", 400), ("c", "y", "t", 600)], "source string, lang string, topic string, n long")
+    plan = mixing.calibrated(mixing.raked(cells, {"source": {"a": 0.4, "b": 0.2, "c": 0.4}, "lang": {"x": 0.5, "y": 0.5}}), share=1000 / 2100)
+    share = {(r.marginal, r.value): r.share for r in mixing.reached(plan).collect()}
+    assert all(abs(share[k] - v) < 1e-4 for k, v in {("source", "a"): 0.45, ("source", "b"): 0.1, ("source", "c"): 0.45, ("lang", "x"): 0.5}.items())
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi\nthere?"), (1, 1, None, "Assistant: well\nHuman: and?"), (None, None, "bad", None), (2, 0, None, ""), (1, 0, "user", "hi\nthere?")]
     rows += [(7, k, ["user", "assistant"][k % 2], f"line {k}") for k in range(300)]
