@@ -1,9 +1,10 @@
 """PII: base patterns by regular expression, then bootstrapped contextual extraction.
 
-Base entities are seeds. Every base entity and every other token that holds a digit or an @ is an occurrence with two lexical contexts: the
-two words before it, and one word on either side. Spark scores the graph of contexts and values in rounds: a context's confidence for a
-kind is the score of its distinct values of that kind over all its distinct values (plus one), if `min_support` of them are sure; a value's
-score is the chance that not all of its confident contexts err. Tokens at least `confident` by context and by value that could be of the kind
+Base entities are seeds. Every base entity and every other token that holds a digit or an @ is an occurrence with two lexical contexts: the two words before it, and one word on either
+side. Spark scores the graph of contexts and values in rounds: a context's confidence for a kind is the score of its distinct values of that
+kind over their number, plus its values that are of another kind or can't be of this one by their characters, plus one, if `min_support`
+are sure; values not labelled yet count neither way. A value's score is the chance that not all of its confident contexts err; what a round
+learns counts in the next one, in every context. Tokens at least `confident` by context and by value that could be of the kind
 by their characters become further spans. Base spans are never touched; further spans do not overlap them.
 
 Defined cases: a null or empty text has no spans; a null doc_id stays null; repeated rows get equal results each; an empty table
@@ -12,6 +13,7 @@ gives an empty result; digits beyond any length are read without conversion; oth
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -106,11 +108,28 @@ def fits(kind: int, value: str) -> bool:
     return [("@" in value[1:-1]), digits >= 4 and 2 <= value.count(".") + value.count(":") <= 7, digits >= 12, 7 <= digits <= 15 and sum(c.isalpha() for c in value) == 0][kind]
 
 
-def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str, str]]:
-    """(kind or -1, start, end, value, context before, context around) of base spans and of other tokens that could be identifiers."""
-    spans = list(base)
-    taken = sorted((a, b) for _, a, b in base)
-    k, end = 0, 0
+def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether no span of `taken`, which is sorted, overlaps a to b."""
+    k = bisect.bisect_left(taken, (b, -1)) - 1
+    # spans of different kinds may overlap, so that an earlier one may reach further
+    return k < 0 or taken[k][1] <= a
+
+
+def _merged(base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str, str, int]]:
+    """(kind or -1, start, end, value, context before, context around, bits of possible kinds) of base spans and of others that could be identifiers."""
+    spans = [(kind, a, b, 1 << kind) for kind, a, b in base]
+    taken = _merged(base)
+    end = 0
     for m in _MARK.finditer(text):
         if m.start() < end:
             continue
@@ -124,20 +143,23 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             a += 1
         while b > a and text[b - 1] in _EDGES:
             b -= 1
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if 6 <= b - a <= 100 and not (k < len(taken) and taken[k][0] < b) and any(fits(x, text[a:b]) for x in range(len(KINDS))):
-            spans.append((-1, a, b))
+        if 6 <= b - a <= 100 and _free(taken, a, b):
+            value = text[a:b]
+            may = sum(1 << x for x in range(len(KINDS)) if fits(x, value))
+            if may:
+                spans.append((-1, a, b, may))
     out = []
-    for kind, a, b in spans:
+    for kind, a, b, may in spans:
         one, at = _word_before(text, a)
         two, _ = _word_before(text, at)
-        out.append((kind, a, b, text[a : min(b, a + 100)].lower(), f"{two} {one} _", f"{one} _ {_word_after(text, b)}"))
+        out.append((kind, a, b, text[a : min(b, a + 100)].lower(), f"{two} {one} _", f"{one} _ {_word_after(text, b)}", may))
     return out
 
 
+#: Whether `may` holds the kind.
+POSSIBLE = "(may & shiftleft(1, kind)) != 0"
 _SPAN = "array<struct<k:int,s:int,e:int>>"
-_FOUND = "array<struct<k:int,s:int,e:int,value:string,before:string,around:string>>"
+_FOUND = "array<struct<k:int,s:int,e:int,value:string,before:string,around:string,may:int>>"
 
 
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -145,8 +167,8 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     source = docs.select(*[docs[c] for c in keep], docs["text"].alias("__text"))
     schema = T.StructType([*(source.schema[c] for c in keep), T.StructField("base", T._parse_datatype_string(_SPAN)), T.StructField("seen", T._parse_datatype_string(_FOUND))])
     span = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())]))
-    seen_type = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("value", pa.string()), ("before", pa.string()), ("around", pa.string())]))
-    names = ["k", "s", "e", "value", "before", "around"]
+    seen_type = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("value", pa.string()), ("before", pa.string()), ("around", pa.string()), ("may", pa.int32())]))
+    names = ["k", "s", "e", "value", "before", "around", "may"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _words.slices(batches, "__text"):
@@ -162,20 +184,22 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def confident_patterns(seen: DataFrame, rounds: int, min_support: int, confident: float) -> tuple[DataFrame, DataFrame]:
-    """(pattern, kind, trust) and (value, kind, score) after the last round. seen: k, value, pattern (two rows per occurrence)."""
+    """(pattern, kind, trust) and (value, kind, score) after the last round. seen: k, value, pattern, may (two rows per occurrence)."""
     seeds = seen.where("k >= 0").select("value", F.col("k").alias("kind")).distinct().withColumn("score", F.lit(1.0))
-    links = seen.select("value", "pattern").distinct()
-    # a pattern with fewer than min_support seeds can't become confident at first, and gains only through values that others share
-    near = seen.where("k >= 0").select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_support).select("pattern")
-    links = save(links.join(near, "pattern", "left_semi"), "links")
-    size = links.groupBy("pattern").agg(F.count("*").alias("size"))
+    # may: the kinds that a value is of, if it is a base entity, else those that its characters allow
+    links = save(seen.groupBy("value", "pattern").agg(F.coalesce(F.bit_or(F.when(F.col("k") >= 0, F.col("may"))), F.bit_or("may")).alias("may")), "links")
+    able = [F.count_if(F.col("may").bitwiseAND(1 << kind) != 0).alias(f"able_{kind}") for kind in range(len(KINDS))]
+    # no round can make a pattern confident that has fewer than min_support values in all
+    size = save(links.groupBy("pattern").agg(F.count("*").alias("size"), *able).where(F.col("size") >= min_support), "sizes")
+    links = save(links.join(size.select("pattern"), "pattern", "left_semi"), "links")
+    against = F.col("size") - F.element_at(F.array(*[f"able_{kind}" for kind in range(len(KINDS))]), F.col("kind") + 1)
     seeds = save(seeds, "seeds")
     score = seeds
     for _ in range(rounds):
-        trust = links.join(score, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= confident).alias("support"))
-        trust = trust.where(F.col("support") >= min_support).join(size, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("size") + 1)).alias("trust"))
+        trust = links.join(score, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("scored"), F.count_if(F.col("score") >= confident).alias("support"))
+        trust = trust.where(F.col("support") >= min_support).join(size, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("scored") + against + 1)).alias("trust"))
         trust = cut(trust.where(F.col("trust") >= confident))
-        learnt = links.join(trust, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
+        learnt = links.join(trust, "pattern").where(POSSIBLE).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
         score = cut(seeds.unionByName(learnt).groupBy("value", "kind").agg(F.max("score").alias("score")))
     return trust, score
 
@@ -188,12 +212,8 @@ def identifiers(docs: DataFrame, keep: list[str] | None = None, rounds: int = RO
     seen = seen.withColumn("pattern", F.explode(F.array("before", "around"))).drop("before", "around")
     trust, score = confident_patterns(seen, rounds, min_support, confident)
     new = seen.where("k < 0").join(trust, "pattern").join(score.where(F.col("score") >= confident), ["value", "kind"])
-    # only kinds that the token's characters allow
-    digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
-    dots = F.length(F.regexp_replace("value", "[^.:]", ""))
-    allowed = F.when(F.col("kind") == 0, F.col("value").rlike("(?s)^.+@.+$")).when(F.col("kind") == 1, (digits >= 4) & dots.between(2, 7)).when(F.col("kind") == 2, digits >= 12).otherwise(digits.between(7, 15) & ~F.col("value").rlike("[a-z]"))
-    best = Window.partitionBy("__row", "s").orderBy(F.desc("trust"), "kind")
-    new = new.where(allowed).withColumn("rank", F.row_number().over(best)).where("rank = 1")
+    best = Window.partitionBy("__row", "s", "e").orderBy(F.desc("trust"), "kind")
+    new = new.where(POSSIBLE).withColumn("rank", F.row_number().over(best)).where("rank = 1")
     new = new.groupBy("__row").agg(F.collect_list(F.struct(F.col("kind").alias("k"), "s", "e")).alias("more"))
     out = rows.drop("seen").join(new, "__row", "left")
     return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))).select(*keep, "base", "spans")

@@ -140,6 +140,20 @@ def test_pii_base_and_learnt(spark, docs, rows):
     assert found[90] == "phone:18:30"
 
 
+def _found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.spans for r in pii.identifiers(df).select("doc_id", pii.listed("spans").alias("spans")).collect()}
+
+
+def test_pii_learns_from_what_it_learnt(spark):
+    # ten calls with seeds; unseen values in the same context, half of which stand in another context without seeds; one more only there
+    new = [f"555-010-{7000 + k}" for k in range(8)]
+    texts = [f"please call us at +1 555 010 {1000 + k} today" for k in range(10)] + [f"please call us at {x} today" for x in new]
+    texts += [f"desk line reads {x} always" for x in new] + ["desk line reads 555-010-9999 always"]
+    found = _found(spark, texts)
+    assert found[len(texts) - 1] == "phone:16:28" and all(found[k] for k in range(10, len(texts)))
+
+
 def test_classifier_holds_out_and_orders(spark, docs):
     r = random.Random(2)
     good = lambda: " ".join(r.choices(["alpha", "beta", "gamma", "delta"], k=40)) + "."
