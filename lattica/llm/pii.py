@@ -1,11 +1,12 @@
 """PII: base patterns by regular expression, then bootstrapped contextual extraction.
 
-Base entities are seeds. Every base entity and every other token that holds a digit or an @ is an occurrence with two lexical contexts: the two words before it, and one word on either
+Base entities are seeds. Every base entity, every other token that holds a digit or an @, and every other maximal run of digits with blanks,
+round brackets, points and hyphens between them is an occurrence with two lexical contexts: the two words before it, and one word on either
 side. Spark scores the graph of contexts and values in rounds: a context's confidence for a kind is the score of its distinct values of that
 kind over their number, plus its values that are of another kind or can't be of this one by their characters, plus one, if `min_support`
 are sure; values not labelled yet count neither way. A value's score is the chance that not all of its confident contexts err; what a round
-learns counts in the next one, in every context. Tokens at least `confident` by context and by value that could be of the kind
-by their characters become further spans. Base spans are never touched; further spans do not overlap them.
+learns counts in the next one, in every context. Tokens and runs at least `confident` by context and by value that could be of the kind
+by their characters become further spans. Base spans are never touched; further spans do not overlap them, nor lie within one another.
 
 Defined cases: a null or empty text has no spans; a null doc_id stays null; repeated rows get equal results each; an empty table
 gives an empty result; digits beyond any length are read without conversion; other columns are only carried if asked for.
@@ -14,6 +15,7 @@ gives an empty result; digits beyond any length are read without conversion; oth
 from __future__ import annotations
 
 import bisect
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -38,6 +40,9 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _SPACE = frozenset(" \t\n\v\f\r")
 _MARK = re.compile("[0-9@]")
 _DIGITS = re.compile("[0-9]+")
+#: Maximal runs of digits with a card's or a phone's separators, and the digits that such a number can have.
+_RUN = re.compile(r"\(?[0-9](?:[ ().-]*+[0-9])*+")
+_RUN_DIGITS = range(7, 20)
 _EDGES = " \t\n\v\f\r.,;:!?\"'()[]{}<>*#$%&|"
 
 
@@ -108,6 +113,11 @@ def fits(kind: int, value: str) -> bool:
     return [("@" in value[1:-1]), digits >= 4 and 2 <= value.count(".") + value.count(":") <= 7, digits >= 12, 7 <= digits <= 15 and sum(c.isalpha() for c in value) == 0][kind]
 
 
+def _key(value: str) -> str:
+    """The value in lower case; of long ones, a hash of the whole."""
+    return value.lower() if len(value) <= 100 else hashlib.blake2b(value.lower().encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
 def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
     """Whether no span of `taken`, which is sorted, overlaps a to b."""
     k = bisect.bisect_left(taken, (b, -1)) - 1
@@ -143,16 +153,24 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             a += 1
         while b > a and text[b - 1] in _EDGES:
             b -= 1
-        if 6 <= b - a <= 100 and _free(taken, a, b):
+        if b - a >= 6 and _free(taken, a, b):
             value = text[a:b]
             may = sum(1 << x for x in range(len(KINDS)) if fits(x, value))
             if may:
                 spans.append((-1, a, b, may))
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        # a run without blanks is a token
+        if " " not in m[0] or (a and text[a - 1] not in _EDGES) or (b < len(text) and text[b] not in _EDGES):
+            continue
+        digits = sum(c.isdigit() for c in m[0])
+        if digits in _RUN_DIGITS and _free(taken, a, b):
+            spans.append((-1, a, b, (digits >= 12) << 2 | (digits <= 15) << 3))
     out = []
     for kind, a, b, may in spans:
         one, at = _word_before(text, a)
         two, _ = _word_before(text, at)
-        out.append((kind, a, b, text[a : min(b, a + 100)].lower(), f"{two} {one} _", f"{one} _ {_word_after(text, b)}", may))
+        out.append((kind, a, b, _key(text[a:b]), f"{two} {one} _", f"{one} _ {_word_after(text, b)}", may))
     return out
 
 
@@ -214,6 +232,9 @@ def identifiers(docs: DataFrame, keep: list[str] | None = None, rounds: int = RO
     new = seen.where("k < 0").join(trust, "pattern").join(score.where(F.col("score") >= confident), ["value", "kind"])
     best = Window.partitionBy("__row", "s", "e").orderBy(F.desc("trust"), "kind")
     new = new.where(POSSIBLE).withColumn("rank", F.row_number().over(best)).where("rank = 1")
+    # of spans within one another the longest stays
+    before = Window.partitionBy("__row").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
+    new = new.withColumn("reach", F.max("e").over(before)).where("reach is null or e > reach")
     new = new.groupBy("__row").agg(F.collect_list(F.struct(F.col("kind").alias("k"), "s", "e")).alias("more"))
     out = rows.drop("seen").join(new, "__row", "left")
     return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))).select(*keep, "base", "spans")

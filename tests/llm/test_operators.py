@@ -154,6 +154,13 @@ def test_pii_learns_from_what_it_learnt(spark):
     assert found[len(texts) - 1] == "phone:16:28" and all(found[k] for k in range(10, len(texts)))
 
 
+def test_pii_takes_numbers_with_blanks_and_long_values(spark):
+    texts = [f"please call us at +1 555 010 {1000 + k} today" for k in range(40)] + [f"write mail to a{k}@b.example.org please" for k in range(40)]
+    texts += ["please call us at (555) 010 7777 today", "please call us at 020 7946 0958 today", "write mail to " + "é" * 120 + "@näher please"]
+    found = _found(spark, texts)
+    assert (found[80], found[81], found[82]) == ("phone:18:32", "phone:18:31", "email:14:140")
+
+
 def test_classifier_holds_out_and_orders(spark, docs):
     r = random.Random(2)
     good = lambda: " ".join(r.choices(["alpha", "beta", "gamma", "delta"], k=40)) + "."
