@@ -4,7 +4,8 @@ Each page's containers get a score from the running text in them (a paragraph co
 best one votes with its generalised path of tags and classes (digits dropped). Spark counts votes per host, pre-aggregated before the shuffle;
 pages are then extracted again from what matches their host's winning path, from their own best container where nothing does.
 Menus, headers outside articles, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role or
-class. Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
+class; an element is never left out for its class or id that holds the page's main, all its articles or, without either, most of its text.
+Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
 
 Defined cases: a null or empty page gives the empty text; pages without a host share the host ''; ties between paths go to the higher
 score, then to the smaller path; repeated rows are extracted each; an empty table gives an empty result; other columns are not read.
@@ -38,19 +39,28 @@ DROPPED_WORDS = frozenset(
 CLOSES = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]{{0,4096}}+\"|'[^']{{0,4096}}+'|[\"'])*+(?:/>|>.*?(?:</\1\s*+[^>]*+>|\Z)|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]{{0,4096}}+\"|'[^']{{0,4096}}+'|[\"'])*+)>|<[!?][^>]*+>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+(?:/>|>.*?(?:</\1\s*+[^>]*+>|\Z)|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?][^>]*+>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
-_NAME = re.compile(r"[A-Za-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+_PARTS = re.compile(r"[^A-Za-z]+")
+#: First parts of names that tell of a page's state, as has-sidebar does.
+STATES = frozenset("has no not is with without".split())
 _NUMBER = re.compile(r"[0-9]+")
 
 
+def _named(name: str) -> bool:
+    """Whether a class or id is one of DROPPED_WORDS, or its first or last part is; not if it tells of a state."""
+    parts = [x for x in _PARTS.split(name.lower()) if x]
+    return bool(parts) and parts[0] not in STATES and (parts[0] in DROPPED_WORDS or parts[-1] in DROPPED_WORDS)
+
+
 class Page:
     """Elements that are not inline, in page order, and the pieces of text with the element that holds each."""
 
     def __init__(self, source: str):
         self.tags, self.above, self.paths, self.dropped = ["#page"], [-1], [""], [False]
+        self.named = [False]  # to be dropped for its class or id
         self.pieces: list[tuple[int, str, bool]] = []  # element, text, in a link
         stack, link, at = [0], 0, 0
         for m in _TOKEN.finditer(source):
@@ -82,6 +92,28 @@ class Page:
             self.pieces.append((stack[-1], " ", False))
         if at < len(source):
             self._text(stack[-1], source[at:], link > 0)
+        self._drop_named()
+
+    def _drop_named(self) -> None:
+        """Drop named elements with all in them, but for those that hold the page's main, all its articles or, without either, most of its text."""
+        if not any(self.named):
+            return
+        n = len(self.tags)
+        mains, articles, size = [0] * n, [0] * n, [0] * n
+        for element, text, link in self.pieces:
+            size[element] += 0 if link else len(text.strip())
+        for k in range(n - 1, -1, -1):
+            if not self.dropped[k]:
+                mains[k] += self.tags[k] == "main"
+                articles[k] += self.tags[k] == "article"
+                if k:
+                    for held in (mains, articles, size):
+                        held[self.above[k]] += held[k]
+        for k in range(1, n):
+            if self.named[k]:
+                holds = mains[k] or (articles[0] and articles[k] == articles[0]) or (not mains[0] and not articles[0] and 2 * size[k] > size[0])
+                self.dropped[k] = self.dropped[k] or not holds
+            self.dropped[k] = self.dropped[k] or self.dropped[self.above[k]]
 
     def _text(self, element: int, text: str, link: bool) -> None:
         if not self.dropped[element]:
@@ -90,11 +122,11 @@ class Page:
     def _element(self, tag: str, attributes: str, above: int) -> int:
         found: dict[str, str] = {}
         for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
-            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+            found.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
         names = found.get("class", "").split()
-        drop = self.dropped[above] or tag in DROPPED or found.get("role", "").lower() in DROPPED_ROLES or "hidden" in found
+        drop = self.dropped[above] or tag in DROPPED or found.get("role", "").lower() in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true"
         drop = drop or (tag == "header" and "article" not in self.paths[above])
-        drop = drop or (tag not in ("html", "body", "article", "main") and bool(DROPPED_WORDS & {w.lower() for x in (*names, found.get("id", "")) for w in _NAME.findall(x)}))
+        self.named.append(tag not in ("html", "body", "article", "main") and any(map(_named, (*names, found.get("id", "")))))
         self.tags.append(tag)
         self.above.append(above)
         self.dropped.append(drop)

@@ -183,6 +183,15 @@ def test_html(spark):
     assert text[5] == "only text & words unclosed link"
 
 
+@pytest.mark.parametrize("around", ['div style="overflow: hidden"', 'div aria-hidden="false"', 'div data-id="ad"', 'div class="col has-sidebar"', "div class=no-sidebar", "div class=comments-open", "div class='share-story'", 'div title="a > b ' + "x" * 5000 + '"'])
+@pytest.mark.parametrize("inner", ["div", "article"])
+def test_html_keeps_what_holds_the_main_text(around, inner):
+    said = "This is running text, long enough to count as a paragraph."
+    source = f"<body><div class='site-nav'>menu</div><{around}><{inner}><p>{said}</p><div class='comments'>nice!</div></{inner}></div><div aria-hidden=true>unseen</div><div hidden>no</div><div id=ad-1>buy</div></body>"
+    page = html_extraction.Page(source)
+    assert page.text(page.paths[[k for k, t in enumerate(page.tags) if t == "body"][0]]) == said
+
+
 def _brute_top(vectors, k):
     out = set()
     for q in {(i, tuple(v)) for i, v in vectors if i % 20 == 0}:
