@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table is broadcast if its rows, written as JSON, take no more than that. JSON is longer than Spark's rows for all but short numbers.
+BROADCAST_BYTES = 32 << 20
+SALTS = 64
+_saved: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, a single machine), a folder of our own."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a folder of our own on a single machine, an error on a cluster, whose
+    executors would each write to their own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -19,19 +29,65 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _path(spark: SparkSession, name: str) -> str:
+    _saved.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _saved[-1]
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = _path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_bucketed(df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
+    """Like save(), in buckets by a column: groups and joins by that column then read each bucket where it lies, without a shuffle."""
+    spark = df.sparkSession
+    path = _path(spark, name)
+    own = f"lattica_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, by).option("path", path).option("compression", "zstd").saveAsTable(own)
+    return spark.table(own)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this process saved. Results that were not written or collected yet can't be read after that."""
+    for t in spark.catalog.listTables(pattern="lattica_*"):
+        spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _saved:
+        path = jvm.org.apache.hadoop.fs.Path(_saved.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint(), for the small tables of iterations."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def fits(small: DataFrame) -> bool:
+    """Whether a table is small enough to be broadcast, by its measured size."""
+    return (small.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def look_up(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", fit: bool | None = None) -> DataFrame:
+    """rows with the columns of a table that has few rows for each key; a null key equals a null key. The table is broadcast if its measured
+    size allows, so that rows stay where they are; else the join is by key and salt, so that a hot key's rows are dealt to many tasks.
+    fit: the answer of fits(), where it is known."""
+    small = small.withColumnsRenamed({c: f"__of_{c}" for c in on})
+    if fits(small) if fit is None else fit:
+        small, dealt = F.broadcast(small), rows
+        equal = F.lit(True)
+    else:
+        small = small.withColumn("__of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        equal = F.col("__salt") == F.col("__of_salt")
+    for c in on:
+        equal &= F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return dealt.join(small, equal, how).drop("__salt", "__of_salt", *[f"__of_{c}" for c in on])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
