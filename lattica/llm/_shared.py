@@ -1,5 +1,5 @@
 """Tables in the folder that all executors share, and reading of the driver's tables."""
 
-from lattica.sources.shared import cut, save, shared_folder, table
+from lattica.sources.shared import cut, fits, look_up, save, save_bucketed, shared_folder, table
 
-__all__ = ["cut", "save", "shared_folder", "table"]
+__all__ = ["cut", "fits", "look_up", "save", "save_bucketed", "shared_folder", "table"]

@@ -3,9 +3,10 @@
 The vector of a text is made of ratios that are shrunk towards a usual value, so that short texts do not scatter more than long ones.
 Per group, concentration steps run from two deterministic starts over all rows of the group (nothing is sampled):
 each step sums counts, means and products by bins of the distance, takes the bins that hold the nearest `h_share` of the rows
-(whole bins, so that the cut depends on no row order), and estimates again from those sums. Rows are pre-aggregated per task, so a hot
-group costs no single task; a task then sees at most BINS rows of sums per group and start. The start with the smaller determinant wins,
-one reweighting step follows, and the distance is scaled so that its median is that of a chi-square.
+(whole bins, so that the cut depends on no row order), and estimates again from those sums. The groups' estimates are looked up by
+broadcast, by salted keys if they are too many, and rows are pre-aggregated per task, so a hot group costs no single task; a task then sees
+at most BINS rows of sums per group and start. The start with the smaller determinant wins, one reweighting step follows, and where its
+median exceeds that of a chi-square the distance is scaled down to it (never up: the floors below widen its unit already).
 
 Defined cases: a null text is empty; an empty text has no words and fails the base rules; null languages and sources are values of
 their own; a group of fewer than `min_rows` passing rows is pooled by language, then over all, and if even that is too small nothing
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import save, table
+from ._shared import fits, look_up, save, table
 from .statistics import with_statistics
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -68,9 +69,7 @@ def chi_square(p: int, share: float) -> float:
 
 def grouped(stats: DataFrame, min_rows: int) -> DataFrame:
     """lang, source and the key of the group whose estimate serves them (null: none)."""
-    n = stats.where(~base_failed()).groupBy("lang", "source").agg(F.count("*").alias("n"))
-    pairs = stats.select("lang", "source").distinct().withColumnsRenamed({"lang": "l", "source": "s"})
-    n = pairs.join(n, F.col("l").eqNullSafe(F.col("lang")) & F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("l").alias("lang"), F.col("s").alias("source"), F.coalesce("n", F.lit(0)).alias("n"))
+    n = stats.groupBy("lang", "source").agg(F.count_if(~base_failed()).alias("n"))
     small = F.when(F.col("n") < min_rows, F.col("n")).otherwise(0)
     n = n.withColumn("of_lang", F.sum(small).over(Window.partitionBy("lang")))
     pooled = (F.col("n") < min_rows) & (F.col("of_lang") < min_rows)
@@ -82,11 +81,6 @@ def grouped(stats: DataFrame, min_rows: int) -> DataFrame:
     )
 
 
-def with_key(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    keys = keys.withColumnsRenamed({"lang": "__l", "source": "__s"})
-    return rows.join(keys, rows["lang"].eqNullSafe(keys["__l"]) & rows["source"].eqNullSafe(keys["__s"]), "left").drop("__l", "__s")
-
-
 def _params(mean: np.ndarray, cov: np.ndarray) -> list[float]:
     """Mean, upper triangle of the inverse (off the diagonal twice, as the sum over i <= j needs), log determinant."""
     cov = cov + np.diag([floor**2 for _, floor in DIMENSIONS])
@@ -117,13 +111,13 @@ def _bin():
     return F.expr(f"cast(floor(ln(greatest({DISTANCE}, 1e-6)) * {BINS_PER_E}) as int)")
 
 
-def _binned(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Sums of all rows by group, start and bin of the squared distance. params: one row per group and start, so a small table."""
-    d = rows.join(params.drop("logdet"), "key").withColumn("bin", _bin())
+def _binned(rows: DataFrame, params: DataFrame, fit: bool) -> DataFrame:
+    """Sums of all rows by group, start and bin of the squared distance. params: one row per group and start."""
+    d = look_up(rows, params.drop("logdet"), ["key"], fit=fit).withColumn("bin", _bin())
     return d.groupBy("key", "start", "bin").agg(*map(F.expr, _SUMS))
 
 
-def _step(rows: DataFrame, params: DataFrame, h_share: float, reweight: bool = False) -> DataFrame:
+def _step(rows: DataFrame, params: DataFrame, h_share: float, fit: bool, reweight: bool = False) -> DataFrame:
     def of_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
         upto = pdf["n"].cumsum().to_numpy()
@@ -136,17 +130,16 @@ def _step(rows: DataFrame, params: DataFrame, h_share: float, reweight: bool = F
         sums = pdf.iloc[:last].drop(columns=["key", "start", "bin"]).sum().to_numpy(float)
         return pd.DataFrame([[*key, *_params(*_square(sums[0], sums[1 : P + 1], sums[P + 1 :]))]])
 
-    return _binned(rows, params).groupBy("key", "start").applyInPandas(of_group, f"key string, start int, {_PARAMS}")
+    return _binned(rows, params, fit).groupBy("key", "start").applyInPandas(of_group, f"key string, start int, {_PARAMS}")
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, fit: bool) -> DataFrame:
     """Medians with quartile ranges on the diagonal, and medians with the spatial-sign covariance at the same scale."""
     # rounded, so that exact percentiles keep a bounded number of distinct values
     grid = [F.expr(f"percentile(round(x{i}, 2), array(0.25, 0.5, 0.75)) as g{i}") for i in range(P)]
     centre, scale = [f"c{i}" for i in range(P)], [f"w{i}" for i in range(P)]
     marginal = rows.groupBy("key").agg(*grid).selectExpr("key", *(f"g{i}[1] as c{i}" for i in range(P)), *(f"greatest((g{i}[2] - g{i}[0]) / 1.349, {DIMENSIONS[i][1]}) as w{i}" for i in range(P)))
-    marginal = save(marginal, "centres")  # a row per group: joined by broadcast while its size allows, so that a hot group's rows stay where they are
-    units = rows.join(marginal, "key").selectExpr("key", *centre, *scale, *(f"(x{i} - c{i}) / w{i} as u{i}" for i in range(P)))
+    units = look_up(rows, save(marginal, "centres"), ["key"], fit=fit).selectExpr("key", *centre, *scale, *(f"(x{i} - c{i}) / w{i} as u{i}" for i in range(P)))
     units = units.withColumn("norm", F.expr(" + ".join(f"u{i} * u{i}" for i in range(P)) + " + 1e-9"))
     signs = units.groupBy("key", *centre, *scale).agg(*[F.expr(f"avg(u{i} * u{j} / norm) as q{i}_{j}") for i, j in TRI])
 
@@ -161,14 +154,15 @@ def _starts(rows: DataFrame) -> DataFrame:
     return signs.groupBy("key").applyInPandas(of_group, f"key string, start int, {_PARAMS}")
 
 
-def estimates(rows: DataFrame, h_share: float = H_SHARE, c_steps: int = C_STEPS) -> DataFrame:
-    """key, mean, inverse covariance, logdet and the factor that brings the median distance to a chi-square's. rows: key and x0.."""
-    params = save(_starts(rows), "mcd")
+def estimates(rows: DataFrame, fit: bool, h_share: float = H_SHARE, c_steps: int = C_STEPS) -> DataFrame:
+    """key, mean, inverse covariance, logdet and the factor that brings the median distance to a chi-square's. rows: key and x0..; fit: whether
+    tables with two rows for each key can be broadcast."""
+    params = save(_starts(rows, fit), "mcd")
     for _ in range(c_steps):
-        params = save(_step(rows, params, h_share), "mcd")
+        params = save(_step(rows, params, h_share, fit), "mcd")
     best = params.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("logdet", "start"))).where("rank = 1").drop("rank")
-    params = save(_step(rows, best, h_share, reweight=True), "mcd")
-    d = rows.join(params, "key").withColumn("bin", _bin()).groupBy("key", "bin").agg(F.count("*").alias("n"))
+    params = save(_step(rows, best, h_share, fit, reweight=True), "mcd")
+    d = look_up(rows, params, ["key"], fit=fit).withColumn("bin", _bin()).groupBy("key", "bin").agg(F.count("*").alias("n"))
     upto = d.withColumn("upto", F.sum("n").over(Window.partitionBy("key").orderBy("bin"))).withColumn("all", F.sum("n").over(Window.partitionBy("key")))
     middle = upto.where(F.col("upto") * 2 >= F.col("all")).groupBy("key").agg(F.min("bin").alias("bin"))
     # the floors widen the distance's unit already, so the factor never narrows it
@@ -180,13 +174,16 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, h_share: float
     keep = list(dict.fromkeys([*(keep or ["doc_id"]), "lang", "source"]))
     stats = save(with_statistics(docs, keep), "statistics")
     keys = save(grouped(stats, min_rows), "groups")
-    rows = save(with_key(stats.where(~base_failed()).select("lang", "source", *vector()), keys).where("key is not null").select("key", *X), "vectors")
-    params = estimates(rows, h_share, c_steps)
-    own = [c for c in keep]
-    out = with_key(stats.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), *vector()), keys)
-    out = out.join(params.drop("logdet"), "key", "left").withColumn("distance2", F.when(~F.col("base_failed"), distance() * F.col("factor")))
+    # with room for two rows of estimates for each language and source
+    fit = fits(keys.withColumn("room", F.repeat(F.lit(" "), 2 * 16 * len([*MU, *PREC]))))
+    rows = look_up(stats.where(~base_failed()).select("lang", "source", *vector()), keys, ["lang", "source"], fit=fit).where("key is not null").select("key", *X)
+    rows = save(rows, "vectors")
+    params = estimates(rows, fit, h_share, c_steps)
+    out = stats.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), *vector())
+    out = look_up(look_up(out, keys, ["lang", "source"], "left", fit), params.drop("logdet"), ["key"], "left", fit)
+    out = out.withColumn("distance2", F.when(~F.col("base_failed"), distance() * F.col("factor")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= slack * chi_square(P, 1 - tail), F.lit(True))
-    return out.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
+    return out.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
