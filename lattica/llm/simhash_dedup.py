@@ -6,7 +6,8 @@ fingerprints differ span at most `radius` dimensions, so some v is orthogonal to
 
 Only different fingerprints enter the tables (copies of any number are one). A bucket yields a spanning forest of its links, not its
 pairs. A bucket of more than `block` fingerprints is cut into blocks by a hash, and every pair of blocks is compared in a task of its
-own, so that no task holds more than two blocks and no link is lost. Components come from rounds of hooking and contraction in Spark.
+own, so that no task holds more than two blocks and no link is lost; small buckets are dealt to lots whose number follows that of
+their rows. Components come from rounds of hooking and contraction in Spark.
 
 Defined cases: a null or empty text has fingerprint 0; repeated rows are copies; a null doc_id is never a component's id (a component of
 null ids only has a null id); an empty table gives an empty result; other columns are not read.
@@ -14,6 +15,7 @@ null ids only has a null id); an empty table gives an empty result; other column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from lattica.operators.graph import components
 from . import _words
 from ._shared import save, table
 
-SHINGLE, SEED, RADIUS, BLOCK = 4, 42, 4, 4096
+SHINGLE, SEED, RADIUS, BLOCK, LOT = 4, 42, 4, 4096, 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _EACH_BYTE = np.uint64(0x0101010101010101)
 
@@ -101,25 +103,32 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
     return tuple(np.concatenate([empty, *x]) for x in ends)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, lot: int = LOT) -> DataFrame:
     """u, v: enough links between different fingerprints to connect all that are linked. distinct: fp, each once."""
-    spark = distinct.sparkSession
     rows = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("mask", "masked"))
-    sizes = rows.groupBy("mask", "masked").agg(F.count("*").alias("n")).where("n > 1")
+    # a table of its own, so that a hot bucket's rows can be split in the join
+    sizes = save(rows.groupBy("mask", "masked").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     rows = save(rows.join(sizes, ["mask", "masked"]), "buckets")
 
     def linked(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [forest(np.sort(x.to_numpy()).view(np.uint64), None, radius) for _, x in pdf.groupby(["mask", "masked"])["fp"]]
+        fp, mask, masked = (pdf[c].to_numpy() for c in ("fp", "mask", "masked"))
+        order = np.lexsort((fp.view(np.uint64), masked, mask))
+        fp, mask, masked = fp[order].view(np.uint64), mask[order], masked[order]
+        at = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (masked[1:] != masked[:-1]), [True]]))
+        two = at[:-1][np.diff(at) == 2]  # most buckets
+        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
+        parts = [(fp[near], fp[near + 1]), *(forest(fp[a:b], None, radius) for a, b in zip(at[:-1], at[1:], strict=True) if b - a > 2)]
         return linked(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
 
-    # many small buckets share a group
-    small = rows.where(F.col("n") <= block).withColumn("lot", F.pmod(F.xxhash64("mask", "masked"), F.lit(4096)))
-    out = small.groupBy("lot").applyInPandas(within, "u long, v long")
-    largest = rows.agg(F.max("n")).first()[0] or 0
-    if largest > block:
+    n_small, largest = rows.agg(F.count_if(F.col("n") <= block), F.max("n")).first()
+    lots = max(1, math.ceil(n_small / lot))
+    small = rows.where(F.col("n") <= block).withColumn("lot", F.pmod(F.xxhash64("mask", "masked"), F.lit(lots)))
+    # a number of partitions of our own: adaptive execution would see few bytes and merge the lots to one task
+    out = small.repartition(min(lots, 20_000), "lot").groupBy("lot").applyInPandas(within, "u long, v long")
+    if (largest or 0) > block:
         # every pair of a large bucket's blocks, itself included, is a group
         blocks = F.ceil(F.col("n") / block).cast("int")
         own = F.pmod(F.xxhash64("fp", F.lit(radius)), F.ceil(F.col("n") / block)).cast("int")
