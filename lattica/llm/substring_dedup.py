@@ -2,17 +2,16 @@
 
 A window is `window` consecutive words of one document; every window that also starts earlier is removed. All steps see whole texts:
 
-1. Documents of the same text are one class, known by a 128-bit hash. All but a class's first lose every word if they hold a window.
-2. Each window picks a phrase: of its runs of `phrase` words, one whose hash is least. Equal windows pick equal phrases. Spark groups the
-   picked phrases by a 64-bit hash; those of two classes, or found twice in one text, are confirmed (a hash that two phrases share confirms
-   both, which costs work but no result). Of a confirmed phrase the shards of documents that hold it are kept, as a set that tasks build
-   before the shuffle.
-3. Documents are dealt to shards of about `shard_bytes`. A shard meets the hashes of the confirmed phrases that occur in it, compiles those
-   phrases, words as letters, to an Aho-Corasick automaton and streams its documents through it. A window is located if the phrase that it
-   picks is.
-   Every document streams once and every automaton is bounded by its shard, so the work is linear in the corpus.
-4. Located windows are grouped by a 128-bit hash; the first of each group stays, the words of the others go. Only documents with
-   located windows take part.
+1. Documents are dealt to shards of about `shard_bytes` where they are read, and saved in buckets by shard, so that no later step moves a
+   text. Documents of the same words are one class, known by a 128-bit hash. All but a class's first lose every word if they hold a window.
+2. Each window picks a phrase: of its runs of `phrase` words, one whose hash is least. Equal windows pick equal phrases. Spark gathers the
+   shards that hold a picked phrase by the phrase's 64-bit hash; phrases of two classes, or found twice in one text, are confirmed (a hash
+   that two phrases share confirms both, which costs work but no result). A shard sends a phrase of `slice_bytes` of text once or twice,
+   however many of its documents hold it.
+3. A shard meets the hashes of the confirmed phrases that occur in it and streams its documents, slice by slice, through Aho-Corasick
+   automata of those phrases, words as letters. A window is located if the phrase that it picks is. Every document streams once and every
+   automaton is bounded by its slice, so the work is linear in the corpus.
+4. Located windows are grouped by a 128-bit hash; the first of each group stays. What the others cover goes, in the shard that holds it.
 
 Defined cases: a null or empty text has no words and keeps the empty text; rows with the same doc_id and words are one document, so none
 precedes the other; rows that share a doc_id but not the words are ordered by a hash of the words; a null doc_id comes after all others;
@@ -29,15 +28,15 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words
-from ._shared import save, table
+from ._shared import save, save_bucketed, table
 
-WINDOW, PHRASE, SHARD_BYTES = 20, 6, 4 << 20
+WINDOW, PHRASE, SHARD_BYTES, SLICE_BYTES = 20, 6, 16 << 20, 4 << 20
+MOST_BUCKETS = 100_000  # Spark's own limit
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _START_BITS = 28
 
@@ -69,26 +68,52 @@ def _order_key(doc_id):
     return F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1))
 
 
-def confirmed_phrases(docs: DataFrame, shards: int, window: int, phrase: int) -> DataFrame:
-    """shard, phrase: the hashes of the confirmed phrases that occur in each shard. docs: shard, h1, text."""
+def dealt(docs: DataFrame, shard_bytes: int) -> DataFrame:
+    """null_id, id, shard, row, h1, h2, n_words and text: the words joined by one space. A task's rows are cut to shards as they come."""
+    source = docs.select(docs["doc_id"].isNull().alias("null_id"), _order_key(docs["doc_id"]).alias("id"), docs["text"].cast("binary").alias("text"), F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = row = 0
         for part, texts in _words.slices(batches):
+            words = [t.split() for t in texts]
+            texts = [b" ".join(w) for w in words]
+            digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), np.int64).reshape(-1, 2)
+            upto = size + np.cumsum([0, *map(len, texts)])
+            shard = (part.column("part").to_numpy().astype(np.int64) << 32) + upto[:-1] // shard_bytes
+            own = [shard, np.arange(row, row + len(texts)), digest[:, 0], digest[:, 1], np.fromiter(map(len, words), np.int64, len(words))]
+            size, row = int(upto[-1]), row + len(texts)
+            yield pa.RecordBatch.from_arrays([part.column("null_id"), part.column("id"), *map(pa.array, own), pa.array(texts, pa.binary())], names=["null_id", "id", "shard", "row", "h1", "h2", "n_words", "text"])
+
+    return source.mapInArrow(run, "null_id boolean, id long, shard long, row long, h1 long, h2 long, n_words long, text binary")
+
+
+def confirmed_phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
+    """shard, phrase: the hashes of the confirmed phrases that occur in each shard, some repeatedly. docs: shard, h1, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _words.slices(batches, most=SLICE_BYTES):
             runs = _Runs(texts, window, phrase)
             at = runs.picked(window, phrase)
             owner, p = np.repeat(np.arange(len(texts)), np.diff(runs.begins))[at], runs.p[at]
-            order = np.lexsort((p, owner))
+            order = np.lexsort((owner, p))
             owner, p = owner[order], p[order]
             again = np.zeros(len(p), bool)
             again[1:] = (p[1:] == p[:-1]) & (owner[1:] == owner[:-1])
-            h1 = part.column("h1").to_numpy()[owner]
-            # found twice in one text counts like found in another: the second row has the complement of the text's hash
-            h1 = np.where(again, ~h1, h1)
-            yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), part.column("shard").take(pa.array(owner)), pa.array(h1)], names=["phrase", "shard", "h1"])
-
-    found = docs.mapInArrow(run, "phrase long, shard int, h1 long")
-    grouped = found.groupBy("phrase").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.collect_set("shard").alias("in"))
-    return grouped.where("lo != hi").select(F.explode("in").alias("shard"), "phrase")
+            # found twice in one text counts like found in another: as the complement of the text's hash
+            h1 = np.where(again, ~part.column("h1").to_numpy()[owner], part.column("h1").to_numpy()[owner])
+            shard = part.column("shard").to_numpy()[owner]
+            # of a phrase in a shard the least and the greatest hash tell as much as all
+            order = np.lexsort((h1, p, shard))
+            shard, p, h1 = shard[order], p[order], h1[order]
+            new = np.concatenate([[True], (p[1:] != p[:-1]) | (shard[1:] != shard[:-1])]) if len(p) else np.zeros(0, bool)
+            last = np.concatenate([new[1:], [True]]) if len(p) else new
+            first = np.flatnonzero(new)
+            takes = new | (last & (h1 != np.repeat(h1[first], np.diff([*first, len(p)]))))
+            yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)[takes]), pa.array(shard[takes]), pa.array(h1[takes])], names=["phrase", "shard", "h1"])
+
+    found = docs.mapInArrow(run, "phrase long, shard long, h1 long")
+    every = Window.partitionBy("phrase")
+    return found.withColumn("lo", F.min("h1").over(every)).withColumn("hi", F.max("h1").over(every)).where("lo != hi").select("shard", "phrase")
 
 
 class Phrases:
@@ -117,11 +142,18 @@ class Phrases:
 def located_windows(texts: list[list[bytes]], confirmed: np.ndarray, window: int, phrase: int) -> list[np.ndarray]:
     """Of each text, the starts of the windows that pick a confirmed phrase. texts: their words; confirmed: hashes of phrases."""
     runs = _Runs(texts, window, phrase)
-    n, k = len(runs.ids), len(texts)
+    starts = _located(runs, confirmed, window, phrase)
+    cuts = np.searchsorted(starts, runs.begins)
+    return [starts[a:b] - begin for a, b, begin in zip(cuts[:-1], cuts[1:], runs.begins[:-1], strict=True)]
+
+
+def _located(runs: _Runs, confirmed: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """The starts, among all words, of the windows that pick a confirmed phrase."""
+    n, k = len(runs.ids), len(runs.begins) - 1
     at = runs.picked(window, phrase)
     at = at[np.isin(runs.p[at], confirmed)]
     if not len(at):  # only copies of texts in other shards hold them
-        return [np.zeros(0, np.int64)] * k
+        return np.zeros(0, np.int64)
     # all texts of a confirmed hash, so that phrases that share one are located both
     every = runs.ids[at[:, None] + np.arange(phrase)]
     _, first, which = np.unique(runs.p[at], return_index=True, return_inverse=True)
@@ -134,103 +166,83 @@ def located_windows(texts: list[list[bytes]], confirmed: np.ndarray, window: int
     stream[np.arange(n) + owner] = machine.code[runs.ids]
     hit[machine.last_words(stream) - (phrase - 1)] = True
     near = _words.sliding(np.where(hit[np.arange(n) + owner], runs.p, _NONE), window - phrase + 1)
-    starts = np.flatnonzero(runs.window_at & (near == runs.least))
-    cuts = np.searchsorted(starts, runs.begins)
-    return [starts[a:b] - begin for a, b, begin in zip(cuts[:-1], cuts[1:], runs.begins[:-1], strict=True)]
-
-
-_DONE = "null_id boolean, id long, h1 long, n_words long, n_removed long, kept binary, text binary, starts array<int>"
+    return np.flatnonzero(runs.window_at & (near == runs.least))
 
 
 def located(docs: DataFrame, side: DataFrame, window: int, phrase: int) -> DataFrame:
-    """_DONE, a row for each row of docs: text and starts where windows were located, else what is kept.
-    docs: null_id, id, h1, text, shard; side: shard, and either a phrase's hash (is_phrase) or the id and h1 of rows that are not their class's first."""
+    """shard, row, id, doc, and of the located windows starts and two halves a and b of their hashes; a row for each of docs that has any.
+    docs: shard, row, id, h1, text; side: shard, and either a phrase's hash (is_phrase) or the row of a text that is not its class's first."""
 
     def of_shard(key: tuple, rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        no_phrase = ~side["is_phrase"]
-        later = set(zip(side["id"][no_phrase], side["h1"][no_phrase], strict=True))
-        texts = [t or b"" for t in rows["text"]]
-        words = [t.split() for t in texts]
-        first = [k for k, x in enumerate(zip(rows["id"], rows["h1"], strict=True)) if x not in later]
-        phrases, found = side["phrase"][side["is_phrase"]].to_numpy(np.int64).view(np.uint64), {}
-        if len(phrases) and first:
-            found = dict(zip(first, located_windows([words[k] for k in first], phrases, window, phrase), strict=True))
-        first, out = set(first), []
-        for k, (no_id, i, h, text, w) in enumerate(zip(rows["null_id"], rows["id"], rows["h1"], texts, words, strict=True)):
-            if k not in first and len(w) >= window:
-                out.append((no_id, i, h, len(w), len(w), b"", None, None))
-            elif len(found.get(k, ())):
-                out.append((no_id, i, h, len(w), None, None, text, found[k].astype(np.int32)))
-            else:
-                out.append((no_id, i, h, len(w), 0, b" ".join(w), None, None))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _DONE.split(", ")]).astype({"n_removed": "Int64"})
-
-    return docs.groupBy("shard").cogroup(side.groupBy("shard")).applyInPandas(of_shard, _DONE)
-
-
-def first_windows(found: DataFrame, window: int) -> DataFrame:
-    """id, doc, firsts: of each document, the starts of located windows that no equal window precedes. found: id, h1, text, starts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _words.slices(batches):
-            words, begins = _words.split(texts)
-            distinct, ids = _words.numbered(words)
-            starts = part.column("starts")
-            owner = np.repeat(np.arange(len(texts)), starts.value_lengths().to_numpy())
-            own = starts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint64).reshape(-1, 2)
-            a, b = (_words.rolled(digest[:, k][ids], window)[begins[owner] + own].view(np.int64) for k in (0, 1))
-            # the document's hash orders rows that share an id; its upper bits and the start share a long
-            lo = (part.column("h1").to_numpy().view(np.uint64)[owner] >> np.uint64(_START_BITS + 1) << np.uint64(_START_BITS)).view(np.int64) | own
-            row_id = part.column("id").to_numpy()[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, row_id, lo)], names=["a", "b", "id", "lo"])
-
-    windows = found.select("id", "h1", "text", "starts").mapInArrow(run, "a long, b long, id long, lo long")
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("id", "lo")).alias("at"))
+        out, is_phrase = [], side["is_phrase"].to_numpy(bool)
+        phrases = side["phrase"].to_numpy(np.int64)[is_phrase].view(np.uint64)
+        rows = rows[~rows["row"].isin(side["row"].to_numpy(np.int64)[~is_phrase])] if len(phrases) else rows[:0]
+        size = np.cumsum([len(t) for t in rows["text"]])
+        cuts = [0, *(np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1), len(rows)]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            part = rows.iloc[begin:end]
+            runs = _Runs([bytes(t) for t in part["text"]], window, phrase)
+            starts = _located(runs, phrases, window, phrase)
+            digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, runs.distinct)), np.uint64).reshape(-1, 2)
+            a, b = (_words.rolled(digest[:, k][runs.ids], window)[starts].view(np.int64) for k in (0, 1))
+            at = np.searchsorted(starts, runs.begins)
+            for k, (row, i, h) in enumerate(zip(part["row"], part["id"], part["h1"], strict=True)):
+                own = slice(at[k], at[k + 1])
+                if at[k] < at[k + 1]:
+                    # the upper bits of the document's hash order rows that share an id
+                    out.append((key[0], row, i, (h & (1 << 64) - 1) >> (_START_BITS + 1), (starts[own] - runs.begins[k]).astype(np.int32), a[own], b[own]))
+        return pd.DataFrame(out, columns=["shard", "row", "id", "doc", "starts", "a", "b"])
+
+    return docs.groupBy("shard").cogroup(side.groupBy("shard")).applyInPandas(of_shard, "shard long, row long, id long, doc long, starts array<int>, a array<long>, b array<long>")
+
+
+def later_windows(found: DataFrame) -> DataFrame:
+    """shard, row, starts: of each text, the starts of located windows that an equal window precedes. found: the rows of located()."""
+    each = found.select("id", "doc", F.explode(F.arrays_zip("starts", "a", "b")).alias("w")).select("id", "w.a", "w.b", F.shiftleft("doc", _START_BITS).bitwiseOR(F.col("w.starts").cast("long")).alias("lo"))
+    first = each.groupBy("a", "b").agg(F.min(F.struct("id", "lo")).alias("at"))
     start = F.col("at.lo").bitwiseAND(F.lit((1 << _START_BITS) - 1)).cast("int")
-    return first.select("at.id", F.shiftrightunsigned("at.lo", _START_BITS).alias("doc"), start.alias("start")).groupBy("id", "doc").agg(F.collect_list("start").alias("firsts"))
+    first = first.select("at.id", F.shiftrightunsigned("at.lo", _START_BITS).alias("doc"), start.alias("start")).groupBy("id", "doc").agg(F.collect_list("start").alias("firsts"))
+    later = F.when(F.col("firsts").isNull(), F.col("starts")).otherwise(F.array_except("starts", "firsts"))
+    return found.select("shard", "row", "id", "doc", "starts").join(first, ["id", "doc"], "left").select("shard", "row", later.alias("starts")).where(F.size("starts") > 0)
 
 
-def _kept(found: DataFrame, window: int) -> DataFrame:
-    """null_id, id, n_words, n_removed, kept of documents with located windows. found: with firsts."""
+def kept_words(docs: DataFrame, side: DataFrame, window: int) -> DataFrame:
+    """null_id, id, n_words, n_removed, kept. docs: those of dealt(); side: shard, row, and starts of windows to remove, or null to remove all."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _words.slices(batches):
-            n_removed, kept = [], []
-            lists = [(x.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False))])) for x in (part.column("starts"), part.column("firsts"))]
-            for k, text in enumerate(texts):
-                words = text.split()
-                starts, firsts = (flat[at[k] : at[k + 1]] for flat, at in lists)
-                begins = np.zeros(len(words) + window, np.int64)
-                begins[starts] = 1
-                begins[firsts] = 0
-                total = np.cumsum(begins)
-                # a word stays if none of the windows that reach it goes
-                stays = total[: len(words)] == np.concatenate([np.zeros(window, np.int64), total])[: len(words)]
-                n_removed.append(int(len(words) - stays.sum()))
-                kept.append(b" ".join(itertools.compress(words, stays.tolist())))
-            yield pa.RecordBatch.from_arrays([part.column("null_id"), part.column("id"), part.column("n_words"), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=["null_id", "id", "n_words", "n_removed", "kept"])
-
-    return found.select("null_id", "id", "n_words", "text", "starts", "firsts").mapInArrow(run, "null_id boolean, id long, n_words long, n_removed long, kept binary")
+    def of_shard(key: tuple, rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        goes, n_removed, kept = dict(zip(side["row"], side["starts"], strict=True)), [], []
+        for row, n, text in zip(rows["row"], rows["n_words"], rows["text"], strict=True):
+            starts = goes.get(row, ())
+            if starts is None:
+                n_removed.append(n)
+                kept.append(b"")
+            elif not len(starts):
+                n_removed.append(0)
+                kept.append(text)
+            else:
+                gone = _words.covered(np.asarray(starts, np.int64), n, window)
+                n_removed.append(int(gone.sum()))
+                kept.append(b" ".join(itertools.compress(bytes(text).split(), (~gone).tolist())))
+        return rows[["null_id", "id", "n_words"]].assign(n_removed=np.array(n_removed, np.int64), kept=kept)
+
+    return docs.select("null_id", "id", "shard", "row", "n_words", "text").groupBy("shard").cogroup(side.groupBy("shard")).applyInPandas(of_shard, "null_id boolean, id long, n_words long, n_removed long, kept binary")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space). docs: doc_id, text."""
-    texts = docs.select(docs["doc_id"].isNull().alias("null_id"), _order_key(docs["doc_id"]).alias("id"), F.coalesce(docs["text"].cast("binary"), F.lit(b"")).alias("text"))
-    texts = texts.withColumn("h1", F.xxhash64("text")).withColumn("deal", F.xxhash64("id", "h1"))
-    shards = max(16, math.ceil((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / shard_bytes))
-    shard = F.pmod("deal", F.lit(shards)).cast("int").alias("shard")
-    phrases = save(confirmed_phrases(texts.select(shard, "h1", "text"), shards, window, phrase), "phrases")
-    known = save(texts.select("id", "deal", "h1", F.xxhash64(F.lit(1), "text").alias("h2")), "classes")
-    first = known.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id != last_id")
-    later = known.join(first, ["h1", "h2"]).where("id != first_id").select(shard, "id", "h1").distinct()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # tasks leave shards that are not full, so more buckets than full shards
+    texts = save_bucketed(dealt(docs, shard_bytes), "texts", min(MOST_BUCKETS, 16 + 2 * math.ceil(size / shard_bytes)), "shard")
+    known = texts.where(F.col("n_words") >= window).select("id", "shard", "row", "h1", "h2")
+    # a table of its own, so that the rows of a hot class can be split in the join
+    first = save(known.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id != last_id"), "classes")
+    copies = save(known.join(first, ["h1", "h2"]).where("id != first_id").select("shard", "row"), "copies")
     zero = F.lit(0).cast("long")
-    side = phrases.select("shard", "phrase", F.lit(True).alias("is_phrase"), zero.alias("id"), zero.alias("h1")).unionByName(later.withColumn("phrase", zero).withColumn("is_phrase", F.lit(False)))
-    done = save(located(texts.select("null_id", "id", "h1", "text", shard), side, window, phrase), "located")
-    found = done.where("text is not null")
-    firsts = first_windows(found, window)
-    found = found.withColumn("doc", F.shiftrightunsigned("h1", _START_BITS + 1)).join(firsts, ["id", "doc"], "left")
-    out = done.where("text is null").select("null_id", "id", "n_words", "n_removed", "kept").unionByName(_kept(found, window))
+    phrases = confirmed_phrases(texts.select("shard", "h1", "text"), window, phrase).select("shard", "phrase", zero.alias("row"), F.lit(True).alias("is_phrase"))
+    side = phrases.unionByName(copies.select("shard", zero.alias("phrase"), "row", F.lit(False).alias("is_phrase")))
+    found = save(located(texts.select("shard", "row", "id", "h1", "text"), side, window, phrase), "located")
+    gone = later_windows(found).unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>")))
+    out = kept_words(texts, gone, window)
     return out.select(F.when(~F.col("null_id"), F.col("id")).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
 
 

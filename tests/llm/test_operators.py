@@ -114,6 +114,13 @@ def test_substring_dedup_equals_brute_force(docs, rows, shard_bytes):
     assert _as_set(substring_dedup.deduplicated(docs, shard_bytes=shard_bytes)) == _removed(rows)
 
 
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    words = [f"v{k}" for k in range(30)]
+    rows = [(1, " ".join(words)), (1, "\n".join(words)), (2, " x ".join(words)), (3, "\t".join(words)), (None, " ".join(words))]
+    got = {(r.doc_id, r.n_removed, r.kept_text) for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0, " ".join(words)), (2, 0, " x ".join(words)), (3, 30, ""), (None, 30, "")}
+
+
 def test_located_windows_without_confirmed_phrases():
     texts = [[b"w%d" % (k % 7) for k in range(40)], [], [b"x"] * 3]
     assert [len(x) for x in substring_dedup.located_windows(texts, np.zeros(1, np.uint64), 20, 6)] == [0, 0, 0]
