@@ -1,14 +1,16 @@
 """Chat formatting: transcripts are parsed by a hidden Markov model and rendered as canonical turns.
 
 Each line shows a speaker marker (a fixed word and a colon in front of it, or the role that came with the row on the row's first line) and
-features: whether a row begins, a question, a command-like head, length. States are system, user and assistant; Viterbi finds the most likely
-roles. A conversation may be of any length: rows are ranged by conversation and turn into parts, each part's lines become one max-plus
-matrix (what the best path from any state to any other scores), the few matrices of a conversation give the states at the parts'
-borders, and each part then walks back by itself. No task holds more than a part.
+features: whether a row begins, a question, a command-like head (its first word is one of a list of imperatives), length. States are system,
+user and assistant; Viterbi finds the most likely roles, with scores in whole millionths of a unit, so that sums are exact in any order. A
+marker is taken off a line only if the line's decoded role is the one that it names. A conversation may be of any length: rows are ranged by
+conversation and turn into parts; where a conversation reaches over parts, each part's lines become one max-plus matrix (what the best path
+from any state to any other scores), the few matrices of a conversation give the states at the parts' borders, and each part is then decoded
+by itself, all its conversations at once. No task holds more than a part.
 
 Defined cases: a null text has no lines and keeps one empty turn with the role that the model gives it; null or unknown roles are no marker; null
 conversations are one conversation; null turns come first; rows with the same turn go by role, then text; repeated rows are turns each;
-an empty table gives an empty result; other columns are not read.
+of equally likely paths one is taken; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,14 +23,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import save, table
+from ._shared import look_up, save, table
 
 ROLES = ["system", "user", "assistant"]
-PART_ROWS = 20_000
+PART_ROWS, PART_BYTES = 20_000, 16 << 20
 # Words that mark a speaker.
 SPEAKERS = {"system": 0, "instruction": 0, "instructions": 0, "user": 1, "human": 1, "customer": 1, "client": 1, "question": 1, "q": 1, "you": 1, "assistant": 2, "ai": 2, "bot": 2, "agent": 2, "model": 2, "answer": 2, "a": 2, "response": 2}
 _MARKER = re.compile(r"\s*(?:[#*>\[(<|]+\s*)?([A-Za-z]{1,12})\s*(?:[\])>|*]+)?\s*:\s*(?:\*\*\s*)?")
-_LOG = np.log
+COMMANDS = frozenset("add answer calculate change compare convert correct create define describe edit explain extract find fix generate give help implement improve list make outline paraphrase please provide rewrite show solve suggest summarise summarize tell translate write".split())
+
+
+def _LOG(p: np.ndarray) -> np.ndarray:
+    """Logarithms in whole millionths."""
+    return np.round(np.log(p) * 1e6)
+
+
 START = _LOG(np.array([0.2, 0.7, 0.1]))
 #: From a line to the next of the same row, and to the first line of the next row.
 WITHIN = _LOG(np.array([[0.96, 0.02, 0.02], [0.01, 0.96, 0.03], [0.01, 0.03, 0.96]]))
@@ -43,106 +52,145 @@ def marker(line: str) -> tuple[int, str]:
     return (role, line[m.end() :]) if role >= 0 else (-1, line)
 
 
-def emission(line: str, given: int, role: int) -> np.ndarray:
-    """Log probability of the line's features for each state."""
-    out = np.zeros(3)
-    for r, right in ((role, MARKED), (given, GIVEN)):
-        if r >= 0:
-            out += _LOG(np.where(np.arange(3) == r, right, (1 - right) / 2))
-    if line.rstrip().endswith("?"):
-        out += _LOG(np.array([0.05, 0.3, 0.1]))
-    size = math.log1p(len(line))
-    out += -0.5 * ((size - np.array([4.5, 4.2, 5.0])) / 1.8) ** 2 * 0.2
-    return out
+def _told(right: float) -> np.ndarray:
+    """A row for each role that is told, the first for none: log probability of that in each state."""
+    return np.concatenate([np.zeros((1, 3)), _LOG(np.where(np.eye(3, dtype=bool), right, (1 - right) / 2))])
+
 
+MARK, GIVE = _told(MARKED), _told(GIVEN)
+QUESTION, COMMAND = (np.stack([_LOG(1 - p), _LOG(p)]) for p in (np.array([0.05, 0.3, 0.1]), np.array([0.15, 0.2, 0.05])))
+STEP = np.stack([WITHIN, BETWEEN])
 
-def _lines(roles: list, texts: list) -> tuple[np.ndarray, np.ndarray, list[int], list[str]]:
-    """Emissions, whether a line begins a row, the row of each line, and lines without markers."""
-    scores, first, rows, plain = [], [], [], []
+
+def emissions(named: list[int], given: list[int], asks: list[bool], heads: list[bool], sizes: list[int]) -> np.ndarray:
+    """Log probability of the lines' features, a row for each line and a column for each state."""
+    size = np.log1p(np.array(sizes, float))[:, None]
+    length = np.round(-1e5 * ((size - np.array([4.5, 4.2, 5.0])) / 1.8) ** 2)
+    return MARK[np.array(named, int) + 1] + GIVE[np.array(given, int) + 1] + QUESTION[np.array(asks, int)] + COMMAND[np.array(heads, int)] + length
+
+
+def _lines(roles: list, texts: list) -> tuple[np.ndarray, np.ndarray, list[int], list[tuple[int, str, str]]]:
+    """Emissions, whether a line begins a row, the row of each line, and the lines: the role that a marker names, with and without it."""
+    named, given, asks, heads, sizes, first, rows, lines = [], [], [], [], [], [], [], []
     for k, (role, text) in enumerate(zip(roles, texts, strict=True)):
-        given = ROLES.index(role) if role in ROLES else -1
+        own = ROLES.index(role) if role in ROLES else -1
         for n, line in enumerate((text or "").split("\n")):
-            named, rest = marker(line)
-            scores.append(emission(rest, given if n == 0 else -1, named))
+            who, rest = marker(line) if ":" in line else (-1, line)
+            named.append(who)
+            given.append(own if n == 0 else -1)
+            asks.append(rest.rstrip().endswith("?"))
+            heads.append(rest.lstrip().split(" ", 1)[0].rstrip(",").lower() in COMMANDS)
+            sizes.append(len(rest))
             first.append(n == 0)
             rows.append(k)
-            plain.append(rest)
-    return np.array(scores).reshape(-1, 3), np.array(first, bool), rows, plain
+            lines.append((who, line, rest))
+    return emissions(named, given, asks, heads, sizes), np.array(first, bool), rows, lines
 
 
 def matrix(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Best score from each state before the lines to each state at the last one."""
-    out = np.where(np.eye(3, dtype=bool), 0.0, -np.inf)
-    for e, f in zip(scores, first, strict=True):
-        out = (out[:, :, None] + (BETWEEN if f else WITHIN)[None]).max(1) + e
-    return out
-
-
-def backwards(scores: np.ndarray, first: np.ndarray, before: int, last: int) -> list[int]:
-    """The best states of the lines, between the state before them (-1: the conversation begins) and the last one's (-1: any)."""
-    best, back = [], []
-    for k, (e, f) in enumerate(zip(scores, first, strict=True)):
-        step = (START[None].repeat(3, 0) if before < 0 else (BETWEEN if f else WITHIN) + np.where(np.arange(3) == before, 0, -np.inf)[:, None]) if k == 0 else best[-1][:, None] + (BETWEEN if f else WITHIN)
+    """Best score from each state before the lines to each state at the last one: a max-plus product, of neighbours by pairs."""
+    if not len(scores):
+        return np.where(np.eye(3, dtype=bool), 0.0, -np.inf)
+    out = STEP[first.astype(int)] + scores[:, None, :]
+    while len(out) > 1:
+        odd = out[len(out) - len(out) % 2 :]
+        out = np.concatenate([(out[0 : len(out) - 1 : 2, :, :, None] + out[1::2, None, :, :]).max(2), odd])
+    return out[0]
+
+
+def decoded(scores: np.ndarray, first: np.ndarray, begins: np.ndarray, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The best states of the lines of several sequences, all at once. begins: where each begins, and the end of the last; before: the state
+    before it (-1: none); last: its last state (-1: any)."""
+    order = np.argsort(-np.diff(begins), kind="stable")  # the longest first, so that those that go on are always in front
+    begin, size, before, last = begins[:-1][order], np.diff(begins)[order], before[order], last[order]
+    ahead = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")  # how many have a line t
+    back, path = np.zeros((len(scores), 3), np.int8), np.zeros(len(scores), np.int8)
+    best = np.zeros((len(size), 3))
+    for t, n in enumerate(ahead.tolist()):
+        at = begin[:n] + t
+        step = STEP[first[at].astype(int)]
+        if t:
+            reach = best[:n, :, None] + step
+            back[at] = reach.argmax(1)
+            best[:n] = reach.max(1) + scores[at]
+        else:
+            best = np.where((before < 0)[:, None], START, step[np.arange(n), before]) + scores[at]
+    state = np.where(last < 0, best.argmax(1), last) if len(size) else last
+    for t in range(len(ahead) - 1, -1, -1):
+        n = ahead[t]
+        at = begin[:n] + t
+        path[at] = state[:n]
+        state[:n] = back[at, state[:n]] if t else state[:n]
+    return path
+
+
+_CONV = ["no_conv", "conv_id"]
+
+
+def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows by conversation, turn, role and text, nulls first, as Spark ranges them."""
+    keys = zip(~pdf["no_conv"], pdf["conv_id"], ~pdf["no_turn"], pdf["turn"], pdf["role"].notna(), pdf["role"].fillna(""), pdf["text"].notna(), pdf["text"].fillna(""), range(len(pdf)), strict=True)
+    return pdf.iloc[[k[-1] for k in sorted(keys)]]
+
+
+def _forward(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A part of a conversation as matrices."""
+    pdf = _ordered(pdf)
+    scores, first, _, _ = _lines(pdf["role"].tolist(), pdf["text"].tolist())
+    return pd.DataFrame([[*key, (START + scores[0]).tolist(), matrix(scores, first).ravel().tolist(), matrix(scores[1:], first[1:]).ravel().tolist()]], columns=[*_CONV, "part", "entry", "all", "rest"])
+
+
+def _borders(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The states before and at the end of each part of a conversation."""
+    pdf = pdf.sort_values("part")
+    best, back = None, []
+    for k, row in enumerate(pdf.itertuples()):
+        step = np.array(row.entry)[:, None] + np.array(row.rest).reshape(3, 3) if k == 0 else best[:, None] + np.array(row.all).reshape(3, 3)
         back.append(step.argmax(0))
-        best.append(step.max(0) + e)
-    state = int(best[-1].argmax()) if last < 0 else last
-    out = [state]
+        best = step.max(0)
+    last = [int(best.argmax())]
     for b in back[:0:-1]:
-        out.append(int(b[out[-1]]))
-    return out[::-1]
-
-
-def parsed(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+        last.append(int(b[last[-1]]))
+    last = last[::-1]
+    return pd.DataFrame({"no_conv": key[0], "conv_id": key[1], "part": pdf["part"].to_numpy(), "before": [-1, *last[:-1]], "last": last})
+
+
+def _rendered(pdf: pd.DataFrame, border: pd.DataFrame) -> pd.DataFrame:
+    """The turns of a part's conversations. border: the states at the ends of those that reach over it."""
+    pdf = _ordered(pdf)
+    scores, first, owner, lines = _lines(pdf["role"].tolist(), pdf["text"].tolist())
+    no_conv, conv, no_turn, turn = (pdf[c].to_numpy() for c in ("no_conv", "conv_id", "no_turn", "turn"))
+    own = np.array(owner, int)
+    changes = np.flatnonzero(np.diff(no_conv[own]) | (np.diff(conv[own]) != 0)) + 1
+    begins = np.concatenate([[0], changes, [len(own)]])
+    known = {(a, b): (x, y) for a, b, x, y in zip(border["no_conv"], border["conv_id"], border["before"], border["last"], strict=True)}
+    ends = np.array([known.get((no_conv[own[k]], conv[own[k]]), (-1, -1)) for k in begins[:-1]], int)
+    path = decoded(scores, first, begins, ends[:, 0], ends[:, 1])
+    # a piece begins with a row or where the role changes
+    cuts = np.flatnonzero(np.concatenate([[True], first[1:] | (path[1:] != path[:-1])]))
+    piece = np.arange(len(cuts)) - np.maximum.accumulate(np.where(first[cuts], np.arange(len(cuts)), 0))
+    states = path.tolist()
+    plain = [rest if named == state else line for (named, line, rest), state in zip(lines, states, strict=True)]
+    text = ["\n".join(plain[a:b]).strip() for a, b in zip(cuts, [*cuts[1:], len(plain)], strict=True)]
+    at = own[cuts]
+    return pd.DataFrame({"no_conv": no_conv[at], "conv_id": conv[at], "no_turn": no_turn[at], "turn": turn[at], "piece": piece, "role": [ROLES[states[k]] for k in cuts], "text": text})
+
+
+def parsed(rows: DataFrame, part_rows: int = PART_ROWS, part_bytes: int = PART_BYTES) -> DataFrame:
     """conv_id, turn, piece, role, text, rendered: each row's lines cut where the role changes. rows: conv_id, turn, role, text."""
     source = rows.select(rows["conv_id"].cast("long").alias("conv_id"), rows["turn"].cast("long").alias("turn"), rows["role"].cast("string").alias("role"), rows["text"].cast("string").alias("text"))
-    parts = max(1, math.ceil(source.count() / part_rows))
-    order = ["conv_id", "turn", "role", "text"]
-    # null ids travel as flags, since pandas has no null among whole numbers
-    flat = source.repartitionByRange(parts, *order).select(F.col("conv_id").isNull().alias("no_conv"), F.coalesce("conv_id", F.lit(0)).alias("conv_id"), F.col("turn").isNull().alias("no_turn"), F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", "text", F.spark_partition_id().alias("part"))
+    count, size = source.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    parts = max(1, math.ceil(count / part_rows), math.ceil((size or 0) / part_bytes))
+    # null ids travel as flags, since pandas has no null among whole numbers; equal rows are told apart, so that ranges can part them
+    order = ["conv_id", "turn", "role", "text", "same"]
+    flat = source.withColumn("same", F.monotonically_increasing_id()).repartitionByRange(parts, *order)
+    flat = flat.select(F.col("conv_id").isNull().alias("no_conv"), F.coalesce("conv_id", F.lit(0)).alias("conv_id"), F.col("turn").isNull().alias("no_turn"), F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", "text", F.spark_partition_id().alias("part"))
     flat = save(flat, "parts")
-    conv = ["no_conv", "conv_id"]
-
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(["turn", "no_turn", "role", "text"], ascending=[True, False, True, True], na_position="first", kind="stable")
-
-    def forward(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf)
-        scores, first, _, _ = _lines(pdf["role"].tolist(), pdf["text"].tolist())
-        entry = (START + scores[0]).tolist()
-        rest = matrix(scores[1:], first[1:])
-        return pd.DataFrame([[*key, entry, matrix(scores, first).ravel().tolist(), rest.ravel().tolist()]], columns=[*conv, "part", "entry", "all", "rest"])
-
-    def borders(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        best, back = None, []
-        for k, row in enumerate(pdf.itertuples()):
-            step = np.array(row.entry)[:, None] + np.array(row.rest).reshape(3, 3) if k == 0 else best[:, None] + np.array(row.all).reshape(3, 3)
-            back.append(step.argmax(0))
-            best = step.max(0)
-        last = [int(best.argmax())]
-        for b in back[:0:-1]:
-            last.append(int(b[last[-1]]))
-        last = last[::-1]
-        return pd.DataFrame({"no_conv": key[0], "conv_id": key[1], "part": pdf["part"].to_numpy(), "before": [-1, *last[:-1]], "last": last})
-
-    pieces = flat.groupBy(*conv, "part").applyInPandas(forward, "no_conv boolean, conv_id long, part int, entry array<double>, all array<double>, rest array<double>")
-    states = pieces.groupBy(*conv).applyInPandas(borders, "no_conv boolean, conv_id long, part int, before int, last int")
-
-    def render(key: tuple, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf)
-        scores, first, owner, plain = _lines(pdf["role"].tolist(), pdf["text"].tolist())
-        path = backwards(scores, first, int(state["before"].iloc[0]), int(state["last"].iloc[0]))
-        turns, no_turns, out, k = pdf["turn"].tolist(), pdf["no_turn"].tolist(), [], 0
-        while k < len(path):
-            to = k + 1
-            while to < len(path) and owner[to] == owner[k] and path[to] == path[k]:
-                to += 1
-            piece = 0 if first[k] else out[-1][4] + 1
-            out.append((key[0], key[1], no_turns[owner[k]], turns[owner[k]], piece, ROLES[path[k]], "\n".join(plain[k:to]).strip()))
-            k = to
-        return pd.DataFrame(out, columns=["no_conv", "conv_id", "no_turn", "turn", "piece", "role", "text"])
-
-    done = flat.groupBy(*conv, "part").cogroup(states.groupBy(*conv, "part")).applyInPandas(render, "no_conv boolean, conv_id long, no_turn boolean, turn long, piece int, role string, text string")
+    # no more conversations reach over parts than there are parts
+    over = save(flat.groupBy(*_CONV).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select(*_CONV), "over")
+    pieces = look_up(flat, over, _CONV).groupBy(*_CONV, "part").applyInPandas(_forward, "no_conv boolean, conv_id long, part int, entry array<double>, all array<double>, rest array<double>")
+    border = pieces.groupBy(*_CONV).applyInPandas(_borders, "no_conv boolean, conv_id long, part int, before int, last int")
+    done = flat.groupBy("part").cogroup(border.groupBy("part")).applyInPandas(_rendered, "no_conv boolean, conv_id long, no_turn boolean, turn long, piece int, role string, text string")
     rendered = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n"))
     return done.select(F.when(~F.col("no_conv"), F.col("conv_id")).alias("conv_id"), F.when(~F.col("no_turn"), F.col("turn")).alias("turn"), "piece", "role", "text", rendered.alias("rendered"))
 

@@ -298,7 +298,33 @@ def test_chat(spark):
     paths = {}
     for p in np.ndindex(3, 3, 3, 3):
         paths[p] = chat_format.START[p[0]] + sum(scores[k, p[k]] for k in range(4)) + sum((chat_format.BETWEEN if first[k] else chat_format.WITHIN)[p[k - 1], p[k]] for k in range(1, 4))
-    assert tuple(chat_format.backwards(scores, first, -1, -1)) == max(paths, key=paths.get)
+    decoded = chat_format.decoded(scores, first, np.array([0, 4]), np.array([-1]), np.array([-1]))
+    assert tuple(decoded) == max(paths, key=paths.get)
+    # several at once, of different lengths and with given ends, against one by one; matrices against the best path's score
+    r = np.random.default_rng(1)
+    begins = np.array([0, 3, 4, 11, 12])
+    scores, first, before, last = np.round(r.normal(0, 1e6, (12, 3))), r.random(12) < 0.5, np.array([-1, 2, 0, -1]), np.array([1, -1, 2, 0])
+    every = chat_format.decoded(scores, first, begins, before, last)
+    for k, (a, b) in enumerate(zip(begins[:-1], begins[1:])):
+        best = {}
+        for p in np.ndindex(*[3] * (b - a)):
+            if last[k] in (-1, p[-1]):
+                step = lambda n, x: chat_format.STEP[int(first[a + n])][x, p[n]]  # noqa: B023, E731
+                best[p] = (chat_format.START[p[0]] if before[k] < 0 else step(0, before[k])) + sum(scores[a + n, p[n]] for n in range(b - a)) + sum(step(n, p[n - 1]) for n in range(1, b - a))
+        assert tuple(every[a:b]) == max(best, key=best.get)
+    whole = chat_format.matrix(scores[:7], first[:7])
+    for x, y in np.ndindex(3, 3):
+        score = lambda p: sum(scores[n, p[n]] + chat_format.STEP[int(first[n])][([x, *p])[n], p[n]] for n in range(7))  # noqa: B023, E731
+        assert whole[x, y] == max(score((*p, y)) for p in np.ndindex(*[3] * 6))
+
+
+def test_chat_keeps_what_is_no_marker_and_parts_equal_rows(spark):
+    rows = [(1, 0, "user", "My robots are\nModel: T-800\nand more, which I describe at some length here?"), (1, 1, "assistant", "Fine.")]
+    rows += [(2, 0, "user", "same words")] * 100 + [(2, None, None, "Summarize this text"), (3, 0, "user", "line\n" * 3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.parsed(df, part_rows=10).collect()
+    assert [(r.role, r.text.split("\n")[1:2]) for r in got if r.conv_id == 1] == [("user", ["Model: T-800"]), ("assistant", [])]
+    assert sum(r.conv_id == 2 for r in got) == 101
 
 
 def test_empty_tables(spark, docs):
