@@ -215,6 +215,29 @@ def test_top_k_equals_brute_force(spark):
     every = topk_search.vectors(table)
     got = {tuple(x) for x in topk_search.top_k(every.where("id % 20 = 0"), every, 20, shard=100, block=16).collect()}
     assert got == _brute_top([(i, np.floor(64 * np.array(v))) for i, v in raw], 20)
+    # components whose products leave the whole doubles, other lengths, a repeated id
+    more = [(900, [20000.25] * 8), (901, [1e200, -1e200] * 4), (902, [-3e300] * 8), (903, [1e307] * 8), (20, [0.25] * 8), (906, [1.0, 2.0]), (920, [3.0, -1.0])]
+    table = spark.createDataFrame(raw[:120] + more, "vec_id long, embedding array<double>")
+    every = topk_search.vectors(table)
+    got = {tuple(x) for x in topk_search.top_k(every.where("id % 20 = 0"), every, 20, shard=30, block=3).collect()}
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in raw[:120] + more if i != 903]
+    want = set()
+    for i, q in whole:
+        if i % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i and len(v) == len(q))[:20]
+            want |= {(i, n + 1, j, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, j) in enumerate(scored)}
+    assert got == want
+
+
+def test_top_k_prunes_what_lies_in_clusters(spark):
+    r = np.random.default_rng(6)
+    centres = r.normal(0, 1, (40, 16))
+    raw = [(k, (centres[k % 40] * 20 + r.normal(0, 0.1, 16)).tolist()) for k in range(4000)]
+    every = topk_search.vectors(spark.createDataFrame(raw, "vec_id long, embedding array<double>"))
+    scored, pairs = topk_search.pairs_scored(every.where("id % 20 = 0"), every, shard=400).first()
+    assert pairs == 200 * 4000 and scored < 0.25 * pairs
+    got = {tuple(x) for x in topk_search.top_k(every.where("id % 20 = 0"), every, shard=400).collect()}
+    assert got == _brute_top([(i, np.floor(64 * np.array(v))) for i, v in raw], 20)
 
 
 def _unigram_model(scores):
