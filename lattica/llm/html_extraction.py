@@ -3,8 +3,10 @@
 Each page's containers get a score from the running text in them (a paragraph counts for its container, half for the one above); the
 best one votes with its generalised path of tags and classes (digits dropped). Spark counts votes per host, pre-aggregated before the shuffle;
 pages are then extracted again from what matches their host's winning path, from their own best container where nothing does.
-Menus, headers outside articles, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role or
-class; an element is never left out for its class or id that holds the page's main, all its articles or, without either, most of its text.
+Menus, headers outside article elements, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag,
+role or name: a class or id each of whose words says what is left out or where it stands, as in site-nav, ad-1 or comments-list, not in
+social-history. An element is never left out for its name that holds the page's main, all its articles or, without either, most of its text.
+Winning paths are looked up by broadcast while their measured size allows, else by host and salt, so that a hot host's pages are dealt out.
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
 
 Defined cases: a null or empty page gives the empty text; pages without a host share the host ''; ties between paths go to the higher
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words
-from ._shared import save, table
+from ._shared import look_up, save, table
 
 # HTML's elements by their role.
 RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title"
@@ -44,15 +46,19 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 _PARTS = re.compile(r"[^A-Za-z]+")
-#: First parts of names that tell of a page's state, as has-sidebar does.
-STATES = frozenset("has no not is with without".split())
+#: Words that may stand beside one of DROPPED_WORDS in a name: they tell of place, order or make of an element.
+PLACES = frozenset(
+    "aside bar bars block blocks body bottom box boxes btn button buttons center col column columns container content element feed first footer form frame global group header heading icon icons inline inner item "
+    "items js last layer left link links list lists lower main message messages mobile module outer page panel post posts primary region right row section secondary site slot small sticky stories strip thread title "
+    "top unit upper wrap wrapper zone articles".split()
+)
 _NUMBER = re.compile(r"[0-9]+")
 
 
 def _named(name: str) -> bool:
-    """Whether a class or id is one of DROPPED_WORDS, or its first or last part is; not if it tells of a state."""
+    """Whether a class or id tells of what is left out: its words are DROPPED_WORDS, one at least, and PLACES."""
     parts = [x for x in _PARTS.split(name.lower()) if x]
-    return bool(parts) and parts[0] not in STATES and (parts[0] in DROPPED_WORDS or parts[-1] in DROPPED_WORDS)
+    return any(x in DROPPED_WORDS for x in parts) and all(x in DROPPED_WORDS or x in PLACES for x in parts)
 
 
 class Page:
@@ -61,6 +67,7 @@ class Page:
     def __init__(self, source: str):
         self.tags, self.above, self.paths, self.dropped = ["#page"], [-1], [""], [False]
         self.named = [False]  # to be dropped for its class or id
+        self.in_article = [False]
         self.pieces: list[tuple[int, str, bool]] = []  # element, text, in a link
         stack, link, at = [0], 0, 0
         for m in _TOKEN.finditer(source):
@@ -125,7 +132,8 @@ class Page:
             found.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
         names = found.get("class", "").split()
         drop = self.dropped[above] or tag in DROPPED or found.get("role", "").lower() in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true"
-        drop = drop or (tag == "header" and "article" not in self.paths[above])
+        drop = drop or (tag == "header" and not self.in_article[above])
+        self.in_article.append(tag == "article" or self.in_article[above])
         self.named.append(tag not in ("html", "body", "article", "main") and any(map(_named, (*names, found.get("id", "")))))
         self.tags.append(tag)
         self.above.append(above)
@@ -212,7 +220,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 out.append(text or page.text(page.best()[0]) or "")
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-    return source.join(paths, "host", "left").select("page_id", "url", "html", "path").mapInArrow(run, schema)
+    return look_up(source, paths, ["host"], "left").select("page_id", "url", "html", "path").mapInArrow(run, schema)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

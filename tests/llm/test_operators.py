@@ -199,6 +199,23 @@ def test_html_keeps_what_holds_the_main_text(around, inner):
     assert page.text(page.paths[[k for k, t in enumerate(page.tags) if t == "body"][0]]) == said
 
 
+def test_html_takes_names_and_tags_exactly():
+    said = "This is running text, long enough to count as a paragraph."
+    text = lambda source: (lambda page: page.text(page.paths[1]))(html_extraction.Page(source))
+    assert text(f"<body class=article-page><header>Site</header><article><header>Head</header><p>{said}</p><div class='social-history'>kept</div></article></body>") == f"Head {said} kept"
+    assert text(f"<body><article><p>{said}</p><div class='comments-list'>gone</div><div id=ad-1>gone</div><ul class='site-nav'><li>gone</ul></article></body>") == said
+
+
+def test_html_votes_of_a_host_win(spark):
+    # three pages of a host agree on where their text is; a fourth has a larger aside in another container
+    said = "This is running text, long enough to count, and of two clauses."
+    page = "<body><div class=story-12><p>{}</p></div><div class=other><p>{}</p></div></body>"
+    rows = [(k, f"http://h.org/{k}", page.format(said * 3, "short note here, no more")) for k in range(3)] + [(3, "http://h.org/3", page.format(said, (said + " ") * 9)), (4, "http://g.org/3", page.format(said, (said + " ") * 9))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extraction.main_text(df).collect()}
+    assert all(got[k] == said * 3 for k in range(3)) and got[3] == said and got[4] == ((said + " ") * 9).strip()
+
+
 def _brute_top(vectors, k):
     out = set()
     for q in {(i, tuple(v)) for i, v in vectors if i % 20 == 0}:
