@@ -2,7 +2,7 @@
 
 Base entities are seeds. Every base entity, every other token that holds a digit or an @, and every other maximal run of digits with blanks,
 round brackets, points and hyphens between them is an occurrence with two lexical contexts: the two words before it, and one word on either
-side. Spark scores the graph of contexts and values in rounds: a context's confidence for a kind is the score of its distinct values of that
+side; a word ends at white space or at another occurrence, which stands as #. Values and words of any length count whole. Spark scores the graph of contexts and values in rounds: a context's confidence for a kind is the score of its distinct values of that
 kind over their number, plus its values that are of another kind or can't be of this one by their characters, plus one, if `min_support`
 are sure; values not labelled yet count neither way. A value's score is the chance that not all of its confident contexts err; what a round
 learns counts in the next one, in every context. Tokens and runs at least `confident` by context and by value that could be of the kind
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words
-from ._shared import cut, save, table
+from ._shared import save, table
 
 KINDS = ["email", "ip", "card", "phone"]
 ROUNDS, MIN_SUPPORT, CONFIDENT = 3, 5, 0.8
@@ -88,23 +88,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _word_before(text: str, end: int) -> tuple[str, int]:
-    """The last word before end, at most 40 characters of it, lower-cased, digits as 9; and where it begins."""
+def _before(text: str, end: int, taken: list[tuple[int, int]]) -> tuple[str, int]:
+    """The last word before end and where it begins. taken: all occurrences, sorted, those that overlap merged."""
     while end > 0 and text[end - 1] in _SPACE:
         end -= 1
+    k = bisect.bisect_left(taken, (end, -1)) - 1
+    floor = taken[k][1] if k >= 0 else 0
+    if floor >= end > 0:
+        return "#", taken[k][0]
     begin = end
-    while begin > max(0, end - 40) and text[begin - 1] not in _SPACE:
+    while begin > floor and text[begin - 1] not in _SPACE:
         begin -= 1
-    return _DIGITS.sub("9", text[begin:end].strip(_EDGES).lower()), begin
+    return _word(text[begin:end]), begin
 
 
-def _word_after(text: str, begin: int) -> str:
+def _after(text: str, begin: int, taken: list[tuple[int, int]]) -> str:
     while begin < len(text) and text[begin] in _SPACE:
         begin += 1
+    k = bisect.bisect_left(taken, (begin, -1))
+    ceiling = taken[k][0] if k < len(taken) else len(text)
+    if ceiling == begin < len(text):
+        return "#"
     end = begin
-    while end < min(len(text), begin + 40) and text[end] not in _SPACE:
+    while end < ceiling and text[end] not in _SPACE:
         end += 1
-    return _DIGITS.sub("9", text[begin:end].strip(_EDGES).lower())
+    return _word(text[begin:end])
+
+
+def _word(text: str) -> str:
+    """A context word: without marks around it, in lower case, digits as 9."""
+    return _key(_DIGITS.sub("9", text.strip(_EDGES)))
 
 
 def fits(kind: int, value: str) -> bool:
@@ -153,7 +166,7 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             a += 1
         while b > a and text[b - 1] in _EDGES:
             b -= 1
-        if b - a >= 6 and _free(taken, a, b):
+        if b > a and _free(taken, a, b):
             value = text[a:b]
             may = sum(1 << x for x in range(len(KINDS)) if fits(x, value))
             if may:
@@ -166,11 +179,11 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         digits = sum(c.isdigit() for c in m[0])
         if digits in _RUN_DIGITS and _free(taken, a, b):
             spans.append((-1, a, b, (digits >= 12) << 2 | (digits <= 15) << 3))
-    out = []
+    out, taken = [], _merged([(0, a, b) for _, a, b, _ in spans])
     for kind, a, b, may in spans:
-        one, at = _word_before(text, a)
-        two, _ = _word_before(text, at)
-        out.append((kind, a, b, _key(text[a:b]), f"{two} {one} _", f"{one} _ {_word_after(text, b)}", may))
+        one, at = _before(text, a, taken)
+        two, _ = _before(text, at, taken)
+        out.append((kind, a, b, _key(text[a:b]), f"{two} {one} _", f"{one} _ {_after(text, b, taken)}", may))
     return out
 
 
@@ -216,9 +229,9 @@ def confident_patterns(seen: DataFrame, rounds: int, min_support: int, confident
     for _ in range(rounds):
         trust = links.join(score, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("scored"), F.count_if(F.col("score") >= confident).alias("support"))
         trust = trust.where(F.col("support") >= min_support).join(size, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("scored") + against + 1)).alias("trust"))
-        trust = cut(trust.where(F.col("trust") >= confident))
+        trust = save(trust.where(F.col("trust") >= confident), "trust")
         learnt = links.join(trust, "pattern").where(POSSIBLE).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
-        score = cut(seeds.unionByName(learnt).groupBy("value", "kind").agg(F.max("score").alias("score")))
+        score = save(seeds.unionByName(learnt).groupBy("value", "kind").agg(F.max("score").alias("score")), "scores")
     return trust, score
 
 

@@ -134,7 +134,7 @@ def test_pii_base_and_learnt(spark, docs, rows):
     for r in rows:
         t, out = r.text or "", []
         out += [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-        out += [f"ip:{m.start()}:{m.end()}" for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t[:19000]) if all(int(x) <= 255 for x in m[0].split("."))]
+        out += [f"ip:{m.start()}:{m.end()}" for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
         for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
             d = re.sub("[^0-9]", "", m[0])
             if 16 <= len(d) <= 19 and pii.luhn(d):
@@ -168,6 +168,17 @@ def test_pii_takes_numbers_with_blanks_and_long_values(spark):
     assert (found[80], found[81], found[82]) == ("phone:18:32", "phone:18:31", "email:14:140")
 
 
+def test_pii_contexts_are_whole_and_linear(spark):
+    # words that differ beyond their fortieth character are other contexts; what is short, or stands beside another occurrence, counts as well
+    far = "x" * 60
+    texts = [f"{far}a write to a{k}@b.example.org now" for k in range(20)] + [f"{far}a write to q@z now", f"see {far}b", "a"]
+    assert _found(spark, texts)[20] == f"email:{len(far) + 11}:{len(far) + 14}"
+    seen = pii.occurrences("from a@b.org,c@d.org to e@f", pii.base_spans("from a@b.org,c@d.org to e@f"))
+    assert [(x[4], x[5]) for x in seen] == [(" from _", "from _ "), ("#  _", " _ to"), ("# to _", "to _ ")]
+    long = "k@l.org;" * 20_000
+    assert len(pii.occurrences(long, pii.base_spans(long))) == 20_000
+
+
 def test_classifier_holds_out_and_orders(spark, docs):
     r = random.Random(2)
     good = lambda: " ".join(r.choices(["alpha", "beta", "gamma", "delta"], k=40)) + "."
