@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import _words
 from ._shared import save, save_bucketed, table
 
-WINDOW, PHRASE, SHARD_BYTES, SLICE_BYTES = 20, 6, 16 << 20, 4 << 20
+WINDOW, PHRASE, SHARD_BYTES, SLICE_BYTES = 20, 6, 8 << 20, 2 << 20
 MOST_BUCKETS = 100_000  # Spark's own limit
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _START_BITS = 28
