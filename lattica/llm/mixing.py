@@ -2,14 +2,15 @@
 
 Documents are counted in tokens (words) and summed to cells of source, language and topic. The cells' weights are raked: in turn, each of the three
 marginals is scaled to its target, for `rounds` rounds or until all are within `tolerance`. A document's weight is its tokens times its cell's
-factor. The sample's expected size is `share` of all tokens, however skewed the table is: cells' expected tokens start as c * n * factor,
+factor; a warning tells if they are not by then. The sample's expected size is `share` of all tokens, however skewed the table is: cells' expected tokens start as c * n * factor,
 at most n, with the c that gives that size. What cells with probability 1 leave short is raked again over the others. A value that has
 fewer tokens than its target asks for is taken whole, and the other values of its marginal share the rest by their targets. A last c brings
 the sum back to the size. A document's probability is its cell's expected tokens over n; it is sampled if a hash of its id and text falls below
 that. `reached` lists targets and the shares that the sample is expected to have.
 Targets are shares of tokens; where none are given, a marginal is tempered: shares to the power `temper`, made to add up to 1.
 
-The topic of a text is its form, by plain rules: tabular, legal, contact, long, medium or short.
+The topic is a column expression of the caller's (`topic_of`). The one that comes with the module is the text's form, by plain rules:
+tabular, legal, contact, long, medium or short.
 
 Defined cases: a null text is empty and has no tokens, so weight 0 of its own, and the probability of its cell; null sources and languages are
 values of their own; a cell without tokens keeps factor 1 and has probability `share`; cells of target 0 have probability 0, and where
@@ -19,10 +20,13 @@ repeated rows get the same decision; an empty table gives an empty result; other
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import warnings
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, save, table
+from ._shared import cut, look_up, save, table
 
 ROUNDS, TOLERANCE, TEMPER, SHARE = 24, 1e-6, 0.7, 0.5
 MARGINALS = ["source", "lang", "topic"]
@@ -50,7 +54,13 @@ def targets(cells: DataFrame, marginal: str, given: dict[str, float] | None, tem
         sums = sums.join(named, sums[marginal].eqNullSafe(named["value"])).select(marginal, "share")
     else:
         sums = sums.where("n > 0").select(marginal, F.pow("n", F.lit(temper)).alias("share"))
-    return sums.select(marginal, (F.col("share") / F.sum("share").over(Window.partitionBy(F.lit(0)))).alias(f"{marginal}_target"))
+    whole = sums.agg(F.sum("share")).first()[0] or 1.0
+    return sums.select(marginal, (F.col("share") / whole).alias(f"{marginal}_target"))
+
+
+def _end(apart: float, tolerance: float, rounds: int) -> None:
+    if apart > tolerance:
+        warnings.warn(f"raking is {apart:.3g} away from its targets after {rounds} rounds", stacklevel=3)
 
 
 def raked(cells: DataFrame, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -58,11 +68,14 @@ def raked(cells: DataFrame, given: dict[str, dict[str, float]] | None = None, te
     for m in MARGINALS:
         goal = targets(cells, m, (given or {}).get(m), temper).withColumnRenamed(m, "__value")
         cells = cells.join(goal, cells[m].eqNullSafe(goal["__value"]), "left").drop("__value").withColumn(f"{m}_target", F.coalesce(f"{m}_target", F.lit(0.0)))
-    cells = save(cells.withColumn("w", F.col("n").cast("double") / F.sum("n").over(Window.partitionBy(F.lit(0)))), "cells")
-    if cells.count() <= SMALL_CELLS:
+    cells = save(cells, "cells")
+    count, total = cells.agg(F.count("*"), F.sum("n")).first()
+    cells = cells.withColumn("w", F.try_divide(F.col("n").cast("double"), F.lit(total)))
+    if count <= SMALL_CELLS:
         cells = cells.coalesce(1)  # the windows below then need no shuffle
-    for _ in range(0, rounds, ROUNDS_A_JOB):
-        for m in MARGINALS * min(ROUNDS_A_JOB, rounds):
+    apart = 0.0
+    for done in range(0, rounds, ROUNDS_A_JOB):
+        for m in MARGINALS * min(ROUNDS_A_JOB, rounds - done):
             now = F.sum("w").over(Window.partitionBy(m))
             cells = cells.withColumn("w", F.when(now > 0, F.col("w") * F.col(f"{m}_target") / now).otherwise(0.0))
         cells = cut(cells)
@@ -72,8 +85,8 @@ def raked(cells: DataFrame, given: dict[str, dict[str, float]] | None = None, te
             apart = max(apart, gap or 0.0)
         if apart <= tolerance:
             break
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return cells.select(*MARGINALS, "n", F.when(F.col("n") > 0, F.col("w") * total / F.col("n")).otherwise(1.0).alias("factor"), *[f"{m}_target" for m in MARGINALS])
+    _end(apart, tolerance, rounds)
+    return cells.select(*MARGINALS, "n", F.when(F.col("n") > 0, F.col("w") * F.lit(total) / F.col("n")).otherwise(1.0).alias("factor"), *[f"{m}_target" for m in MARGINALS])
 
 
 def scale(parts: DataFrame, most: str, size: str, total: float) -> float:
@@ -101,8 +114,9 @@ def calibrated(cells: DataFrame, share: float = SHARE, rounds: int = ROUNDS, tol
         even = scale(cells.groupBy(m, f"{m}_target").agg(F.sum("n").alias("n")), "n", f"{m}_target", size)
         cells = cells.withColumn(f"{m}_size", F.least(F.sum("n").over(Window.partitionBy(m)), even * F.col(f"{m}_target")))
     cells = cut(cells.withColumn("w", F.least("n", start * F.col("w"))))
-    for _ in range(0, rounds, ROUNDS_A_JOB):
-        for m in MARGINALS * min(ROUNDS_A_JOB, rounds):
+    apart = 0.0
+    for done in range(0, rounds, ROUNDS_A_JOB):
+        for m in MARGINALS * min(ROUNDS_A_JOB, rounds - done):
             now = F.sum("w").over(Window.partitionBy(m))
             full = F.sum(F.when(F.col("w") >= F.col("n"), F.col("n")).otherwise(0)).over(Window.partitionBy(m))
             goal = F.col(f"{m}_size")
@@ -116,6 +130,7 @@ def calibrated(cells: DataFrame, share: float = SHARE, rounds: int = ROUNDS, tol
             apart = max(apart, gap / size)
         if apart <= tolerance:
             break
+    _end(apart, tolerance, rounds)
     last = scale(cells, "n", "w", size)
     return cells.withColumn("probability", F.when(F.col("n") > 0, F.least(F.lit(1.0), last * F.col("w") / F.col("n"))).otherwise(share)).drop("w", *[f"{m}_size" for m in MARGINALS])
 
@@ -127,16 +142,16 @@ def reached(cells: DataFrame) -> DataFrame:
     return sums[0].unionByName(sums[1]).unionByName(sums[2]).crossJoin(F.broadcast(total)).select("marginal", "value", "target", F.try_divide("part", "whole").alias("share"))
 
 
-def mixed(docs: DataFrame, keep: list[str] | None = None, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, share: float = SHARE, seed: int = 0) -> DataFrame:
+def mixed(docs: DataFrame, keep: list[str] | None = None, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, share: float = SHARE, seed: int = 0, topic_of: Callable[[Column], Column] = topic) -> DataFrame:
     """Columns `keep` (doc_id if not given) and topic, tokens, weight, probability, sampled. docs: doc_id, text, source, lang and `keep`."""
     keep = keep or ["doc_id"]
     draw = F.pmod(F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]), F.lit(1 << 53)) / float(1 << 53)
-    rows = docs.select(*[docs[c] for c in keep], docs["source"].alias("__source"), docs["lang"].alias("__lang"), topic(docs["text"]).alias("topic"), tokens(docs["text"]).alias("tokens"), draw.alias("__draw"))
+    rows = docs.select(*[docs[c] for c in keep], docs["source"].alias("__source"), docs["lang"].alias("__lang"), topic_of(docs["text"]).alias("topic"), tokens(docs["text"]).alias("tokens"), draw.alias("__draw"))
     rows = save(rows, "counted")
     cells = save(rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), "topic").agg(F.sum("tokens").alias("n")), "cells")
     factors = calibrated(raked(cells, given, temper), share)
-    factors = save(factors.select(F.col("source").alias("s"), F.col("lang").alias("l"), F.col("topic").alias("t"), "factor", "probability"), "factors")
-    joined = rows.join(factors, rows["__source"].eqNullSafe(factors["s"]) & rows["__lang"].eqNullSafe(factors["l"]) & (rows["topic"] == factors["t"]))
+    factors = save(factors.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), "topic", "factor", "probability"), "factors")
+    joined = look_up(rows, factors, ["__source", "__lang", "topic"])
     return joined.select(*keep, "topic", "tokens", (F.col("tokens") * F.col("factor")).alias("weight"), "probability", (F.col("__draw") < F.col("probability")).alias("sampled"))
 
 

@@ -2,7 +2,8 @@
 
 Every labelled training row counts; tasks sum Z'Z and Z'y, Spark adds the sums row by row, and the driver solves one system of
 `features` + 1 unknowns. Calibration pools adjacent violators over at most CAL_BINS bins of the raw score, from training rows that the
-ridge did not see. Language, source, labels and ids are no inputs.
+ridge did not see. Standardised inputs are clipped at six deviations, so that a text far from all others gets the score of the edge that it lies
+beyond. Language, source, labels and ids are no inputs.
 
 Defined cases: a null or empty text has statistics of zeros and gets a score like any other; null labels count as none; repeated label
 rows count each; a null doc_id stands for the empty text in the split; with no training labels the score is 0.5, with one class only it

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import warnings
 
 import numpy as np
 import pytest
@@ -191,6 +192,30 @@ def test_classifier_holds_out_and_orders(spark, docs):
     assert none.count() == docs.count() and none.where("score between 0 and 1").count() == docs.count()
 
 
+def test_ridge_and_pooling_equal_arrays(spark, docs):
+    r = np.random.default_rng(3)
+    stats = quality_classifier.with_statistics(docs, ["doc_id"])
+    labelled = stats.withColumn("quality", (F.pmod(F.xxhash64(*statistics.COUNTS), F.lit(2))).cast("double"))
+    rows = labelled.toPandas()
+    x = quality_classifier.inputs({c: rows[c].to_numpy() for c in statistics.COUNTS})
+    mean, scale = quality_classifier._moments(labelled)
+    assert np.allclose(mean, x.mean(0)) and np.allclose(scale, np.sqrt(np.maximum(x.var(0), 1e-4)))
+    fourier = quality_classifier.Fourier(mean, scale, 32, 0.2, 7)
+    z, y = fourier(x), rows["quality"].to_numpy()
+    assert np.allclose(quality_classifier._solve(labelled, fourier, 1e-3), np.linalg.solve(z.T @ z / len(z) + 1e-3 * np.eye(33), z.T @ y / len(z)), atol=1e-8)
+    # the kernel that the features stand for
+    wide = quality_classifier.Fourier(mean, scale, 40_000, 0.2, 7)
+    a, b = x[20:21], x[30:31]
+    gap = np.clip((a - mean) / scale, -6, 6) - np.clip((b - mean) / scale, -6, 6)
+    assert abs((wide(a)[:, :-1] @ wide(b)[:, :-1].T)[0, 0] - np.exp(-0.02 * (gap**2).sum())) < 0.03
+    # pooling: the fit at i is the largest least mean of all runs that hold i
+    for _ in range(30):
+        w, v = r.integers(1, 9, 12).astype(float), r.random(12)
+        of = lambda a, b: (w[a:b] * v[a:b]).sum() / w[a:b].sum()  # noqa: B023, E731
+        want = [max(min(of(a, b) for b in range(i + 1, 13)) for a in range(i + 1)) for i in range(12)]
+        assert np.allclose(quality_classifier.isotonic(w, v), want)
+
+
 def test_html(spark):
     page = "<html><body><nav>menu</nav><div class=ad>buy</div><article><h1>Head &amp; more</h1><p>First <b>bold</b>   text, long enough to count as a paragraph.<p>Second&nbsp;one, also long enough to count here.<script>x='</p>'</script></p><div class='comments'>nice!</div></article><footer>foot</footer></body></html>"
     rows = [(1, "http://a.org/1", page), (2, "http://a.org/2", page), (3, None, None), (4, "x", ""), (5, "http://b.org", "<p>only text & <i>words</i> unclosed <a href='>'>link"), (1, "http://a.org/1", page)]
@@ -322,6 +347,29 @@ def test_raking_meets_targets(spark, docs):
     assert got.count() == docs.count() and got.where("probability is null or probability > 1 or sampled is null").count() == 0
 
 
+def test_raking_equals_arrays(spark, docs, rows):
+    r = np.random.default_rng(8)
+    n = r.integers(0, 900, (4, 3, 3)) * (r.random((4, 3, 3)) < 0.8)
+    cells = spark.createDataFrame([(f"s{a}", None if b == 0 else f"l{b}", f"t{c}", int(n[a, b, c])) for a, b, c in np.ndindex(n.shape)], "source string, lang string, topic string, n long")
+    w = n / n.sum()
+    goals = [(n.sum(axis=tuple({0, 1, 2} - {k})) ** 0.7) for k in range(3)]
+    goals = [g / g.sum() for g in goals]
+    for rounds in (1, 8):
+        w = n / n.sum()
+        for k in [0, 1, 2] * rounds:
+            now = w.sum(axis=tuple({0, 1, 2} - {k}))
+            w = w * np.expand_dims(goals[k] / now, tuple({0, 1, 2} - {k}))
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            got = {(x.source, x.lang, x.topic): x.factor for x in mixing.raked(cells, rounds=rounds, tolerance=1e-12).collect()}
+        assert any("away from its targets" in str(x.message) for x in said)
+        for a, b, c in np.ndindex(n.shape):
+            if n[a, b, c]:
+                assert abs(got[f"s{a}", None if b == 0 else f"l{b}", f"t{c}"] - w[a, b, c] * n.sum() / n[a, b, c]) < 1e-9
+    counted = mixing.mixed(docs, topic_of=lambda t: F.when(t.isNull(), "none").otherwise("some")).select("doc_id", "topic", "tokens")
+    assert _as_set(counted) == collections.Counter((x.doc_id, "none" if x.text is None else "some", len(WORD.findall(x.text or ""))) for x in rows)
+
+
 def test_a_scarce_cell_does_not_set_the_size_of_the_sample(spark):
     rows = [(k, "word " * 100, "en", "big") for k in range(900)] + [(k, "wort " * 100, "de", "big") for k in range(900, 1500)] + [(1500, "mot mot", "fr", "small"), (1501, "", "fr", "big"), (1502, None, "none", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
