@@ -1,20 +1,110 @@
-"""Text keys for joins, as built-in expressions."""
+"""Text keys for joins and comparisons, as built-in expressions (nfkc alone is a vectorised UDF). A null gives a null unless stated."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: The characters that Python's str.strip() strips, white space by Unicode and the four information separators.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Brackets that may wrap a value.
+BRACKETS = "()[]{}<>（）【】「」"
+# full-width forms lie at a fixed distance from their ASCII characters
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "\u3000"
+_NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
 
 
 def trimmed(c: Column) -> Column:
-    return F.trim(c.cast("string"))
+    """Without white space of any kind at the ends."""
+    return F.trim(c.cast("string"), F.lit(SPACES))
+
+
+def collapsed(c: Column) -> Column:
+    """Trimmed, with each run of white space as one space."""
+    return F.regexp_replace(trimmed(c), f"[{SPACES}]+", " ")
+
+
+def narrowed(c: Column) -> Column:
+    """Full-width letters, digits, signs and spaces as ASCII."""
+    return F.translate(c.cast("string"), _WIDE, _NARROW)
+
+
+@F.pandas_udf(T.StringType())
+def nfkc(values: pd.Series) -> pd.Series:
+    """Unicode's compatibility composition."""
+    return values.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def unwrapped(c: Column) -> Column:
+    """Trimmed, without brackets at the ends."""
+    return F.trim(c.cast("string"), F.lit(SPACES + BRACKETS))
 
 
 def normalised(c: Column) -> Column:
-    """Upper case without white space and punctuation."""
-    return F.regexp_replace(F.upper(c.cast("string")), "[^A-Z0-9]", "")
+    """Narrow, upper case, letters and digits of all scripts only."""
+    return F.regexp_replace(F.upper(narrowed(c)), r"[^\p{L}\p{N}]", "")
 
 
 def word_set(c: Column) -> Column:
-    """Distinct normalised words; blanks are none."""
-    return F.array_distinct(F.filter(F.transform(F.split(c.cast("string"), "[^A-Za-z0-9]+"), F.upper), lambda w: w != ""))
+    """Distinct words, narrow and in upper case: runs of letters and digits of any script. Blanks are none."""
+    return F.array_distinct(F.filter(F.split(F.upper(narrowed(c)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
+def without(words: Column, stop: list[str]) -> Column:
+    """An array without stop words."""
+    return F.array_except(words, F.array(*map(F.lit, stop)).cast("array<string>"))
+
+
+def once_in_a_row(values: Column) -> Column:
+    """An array where equal neighbours are one; nulls are equal."""
+    return F.filter(values, lambda x, k: (k == 0) | ~x.eqNullSafe(F.get(values, k - 1)))
+
+
+def whole_number(c: Column) -> Column:
+    """A long, or null if the trimmed text is none."""
+    return trimmed(c).try_cast("long")
+
+
+def slug(c: Column) -> Column:
+    """Lower-case letters and digits of ASCII, everything between them as one hyphen."""
+    return F.trim(F.regexp_replace(F.lower(narrowed(c)), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def excerpt(c: Column, term: Column, around: int) -> Column:
+    """The first occurrence of a term in any case with `around` characters on either side, … where text is left out; null if it does not occur."""
+    at = F.position(F.lower(term), F.lower(c))
+    begin = F.greatest(F.lit(1), at - around)
+    end = F.least(F.length(c), at + F.length(term) - 1 + around)
+    cut = F.concat(F.when(begin > 1, "…").otherwise(""), F.substring(c, begin, end - begin + 1), F.when(end < F.length(c), "…").otherwise(""))
+    return F.when((at > 0) & (term != ""), cut)
+
+
+def row_id(*columns: Column) -> Column:
+    """SHA-256 of the values as JSON, so that neither nulls nor separators within values make different rows equal."""
+    return F.sha2(F.to_json(F.struct(*[c.cast("string").alias(f"c{k}") for k, c in enumerate(columns)]), {"ignoreNullFields": "false"}), 256)
+
+
+def map_checksum(values: Column) -> Column:
+    """SHA-256 of a map of strings in the order of its keys."""
+    return F.sha2(F.to_json(F.array_sort(F.map_entries(values)), {"ignoreNullFields": "false"}), 256)
+
+
+def gram_coverage(part: Column, whole: Column, n: int) -> Column:
+    """The share of the distinct runs of n words of one array that the other has as well; null if it has none."""
+
+    def grams(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda k: F.array_join(F.slice(words, k, n), " "))
+        return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    own = grams(part)
+    return F.when(F.size(own) > 0, F.size(F.array_intersect(own, grams(whole))) / F.size(own))
+
+
+def resolve(columns: list[str], name: str) -> str | None:
+    """The first column whose name equals another but for case, spaces, hyphens and underscores."""
+    plain = lambda x: "".join(c for c in x.lower() if c not in " -_")
+    return next((c for c in columns if plain(c) == plain(name)), None)

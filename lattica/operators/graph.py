@@ -1,30 +1,70 @@
-"""Connected components in Spark: edges never meet in the driver or in one task."""
+"""Graphs of edges (u, v): edges never meet in the driver or in one task.
+
+Defined cases: edges with a null end are left out; repeated edges and loops count once or not at all; an empty table gives an empty result."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.sources.shared import cut
+from lattica.sources.shared import save
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """a, b: each edge from either end."""
+    known = edges.where("u is not null and v is not null")
+    return known.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("e")).select("e.*")
+
+
+def ends(edges: DataFrame, columns: list[str]) -> DataFrame:
+    """node, side (the column it stands in) and the other columns: a row for each end of each edge."""
+    sides = F.explode(F.array(*[F.struct(F.col(c).alias("node"), F.lit(c).alias("side")) for c in columns]))
+    return edges.withColumn("__end", sides).select("__end.*", *[c for c in edges.columns if c not in columns]).where("node is not null")
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """node, degree: how many edges end there; a loop does so twice."""
+    return both_ways(edges).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, neighbour: what one edge leads to from the given nodes (node), each once."""
+    return both_ways(edges).join(nodes.select(F.col("node").alias("a")).distinct(), "a").where("a != b").select(F.col("a").alias("node"), F.col("b").alias("neighbour")).distinct()
+
+
+def hops(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
+    """node, hops: how many edges the nodes within `most` edges of the start nodes (node) are away. Each round reads the edges of the last round's
+    new nodes; a saved table of what is reached joins as a whole, so a hub's edges can be split."""
+    edges = save(both_ways(edges).where("a != b").distinct(), "edges")
+    reached = save(start.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0)), "reached")
+    new = reached
+    for k in range(1, most + 1):
+        onward = edges.join(new.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
+        new = save(onward.join(reached.select("node"), "node", "left_anti").withColumn("hops", F.lit(k)), "new")
+        if not new.limit(1).count():
+            break
+        reached = save(reached.unionByName(new), "reached")
+    return reached
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the same root for all nodes that edges (u, v) connect. Each round hooks every node to the neighbour that is least in a
-    pseudo-random order of that round, follows the hooks twice, and contracts; about a constant share of the nodes goes in each."""
-    edges = cut(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v").distinct())
-    member = cut(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("root", F.col("node")))
-    turn = 0
-    while edges.limit(1).count():
-        both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).toDF("a", "b")
+    pseudo-random order of that round, follows the hooks twice, and contracts; about a constant share of the nodes goes in each. What a round
+    joins with are saved tables, so adaptive execution can split a hub's rows; equal edges meet after each task has kept one."""
+    edges = save(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    member = save(both_ways(edges).select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")), "members")
+    contracted = []
+    while not edges.isEmpty():
+        turn = len(contracted)
         order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
-        hook = both.groupBy("a").agg(F.min(order("b")).alias("least")).select("a", F.least("least", order("a"))["id"].alias("to"))
-        hook = cut(hook)
+        hook = both_ways(edges).groupBy("a").agg(F.min(order("b")).alias("least")).select("a", F.least("least", order("a"))["id"].alias("to"))
+        hook = save(hook, "hooks")
         for _ in range(2):
-            onward = hook.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            hook = hook.join(onward, "to", "left").select("a", F.coalesce("next", "to").alias("to"))
-        hook = cut(hook)
-        member = cut(member.join(hook, F.col("root") == F.col("a"), "left").select("node", F.coalesce("to", "root").alias("root")))
+            hook = hook.join(hook.select(F.col("a").alias("to"), F.col("to").alias("next")), "to", "left").select("a", F.coalesce("next", "to").alias("to"))
+        hook = save(hook, "hooks")
+        contracted.append(hook)
         edges = edges.join(hook.toDF("u", "ru"), "u").join(hook.toDF("v", "rv"), "v").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).where("u != v").distinct()
-        edges = cut(edges)
-        turn += 1
+        edges = save(edges, "edges")
+    for hook in contracted:  # nodes follow all rounds' hooks in one job
+        member = member.join(hook, F.col("root") == F.col("a"), "left").select("node", F.coalesce("to", "root").alias("root"))
     return member

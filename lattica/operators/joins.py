@@ -1,26 +1,36 @@
-"""Joins on text keys with measured match rates, and diffs by key."""
+"""Joins on text keys with measured match rates, and diffs by key.
+
+Defined cases, unless stated: a blank or null key matches nothing; repeated rows match each; an empty side matches nothing; columns of the
+two sides that share a name are both returned, as Spark's join does. Names that begin with two underscores are taken."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import normalised, trimmed, word_set
+from lattica.sources.shared import save
 
 KEYS = {"exact": trimmed, "normalised": normalised}
 
 
 def key_join(left: DataFrame, right: DataFrame, left_on: Column, right_on: Column, kind: str = "exact", how: str = "left") -> DataFrame:
-    """Rows of left with their matches by key; a blank key matches nothing."""
+    """Rows of left with their matches by key."""
     key = KEYS[kind]
     return left.withColumn("__k", F.nullif(key(left_on), F.lit(""))).join(right.withColumn("__r", key(right_on)), F.col("__k") == F.col("__r"), how).drop("__k", "__r")
 
 
-def token_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_on: str, right_on: str) -> DataFrame:
-    """left_id, right_id of rows that share a word: an equi-join of words instead of a comparison of all sets."""
+def token_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_on: str, right_on: str, how: str = "inner") -> DataFrame:
+    """left_id, right_id of rows that share a word (right_id gets _right behind it if the names are equal): an equi-join of words instead of a
+    comparison of all sets. how: inner, or left, which adds a row with a null right_id for each id of left without a match."""
+    name = f"{right_id}_right" if right_id == left_id else right_id
     a = left.select(left_id, F.explode(word_set(F.col(left_on))).alias("__w"))
-    b = right.select(right_id, F.explode(word_set(F.col(right_on))).alias("__w"))
-    return a.join(b, "__w").select(left_id, right_id).distinct()
+    b = right.select(F.col(right_id).alias(name), F.explode(word_set(F.col(right_on))).alias("__w"))
+    pairs = a.join(b, "__w").select(left_id, name).distinct()
+    if how == "inner":
+        return pairs
+    rest = left.select(F.col(left_id).alias("__id")).distinct().join(pairs.select(left_id), F.col("__id").eqNullSafe(F.col(left_id)), "left_anti")
+    return pairs.unionByName(rest.select(F.col("__id").alias(left_id), F.lit(None).cast(right.schema[right_id].dataType).alias(name)))
 
 
 def match_survey(left: DataFrame, right: DataFrame, left_on: Column, right_on: Column, kind: str = "exact") -> DataFrame:
@@ -31,15 +41,85 @@ def match_survey(left: DataFrame, right: DataFrame, left_on: Column, right_on: C
     return a.join(b, "k", "left").agg(F.count("found").alias("num"), F.count("*").alias("den"))
 
 
+def token_survey(left: DataFrame, right: DataFrame, left_on: Column, right_on: Column) -> DataFrame:
+    """As match_survey(), where a value matches if right has one of its words."""
+    values = left.select(trimmed(left_on).alias("v")).where("v != ''").distinct()
+    pool = right.select(F.explode(word_set(right_on)).alias("w")).distinct()
+    found = values.select("v", F.explode(word_set(F.col("v"))).alias("w")).join(pool, "w", "left_semi").select("v").distinct()
+    return values.join(found.withColumn("found", F.lit(1)), "v", "left").agg(F.count("found").alias("num"), F.count("*").alias("den"))
+
+
+def with_flag(left: DataFrame, right: DataFrame, on: list[str], name: str) -> DataFrame:
+    """left and whether right has a row with the same columns `on`; no row is repeated. A null equals a null."""
+    keys = right.select(*[F.col(c).alias(f"__{c}") for c in on]).distinct().withColumn("__found", F.lit(True))
+    equal = F.lit(True)
+    for c in on:
+        equal &= left[c].eqNullSafe(F.col(f"__{c}"))
+    return left.join(keys, equal, "left").withColumn(name, F.col("__found").isNotNull()).drop("__found", *[f"__{c}" for c in on])
+
+
+def prefix_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str) -> DataFrame:
+    """Pairs of rows where one text, in lower case, begins with the other, or equals it. The sides meet on texts of the lengths that the
+    other side has, so by equality; blank texts match nothing."""
+    a, b = left.withColumn("__a", F.lower(trimmed(F.col(left_on)))), right.withColumn("__b", F.lower(trimmed(F.col(right_on))))
+    lengths = lambda df, c: sorted(r[0] for r in df.select(F.length(c)).distinct().collect() if r[0])  # noqa: E731  a text's length is a small number
+    heads = lambda c, most: F.explode(F.transform(F.filter(F.array(*map(F.lit, most)).cast("array<int>"), lambda n: n <= F.length(c)), lambda n: F.substring(c, 1, n)))
+    one = a.withColumn("__h", heads(F.col("__a"), lengths(b, "__b"))).join(b, F.col("__h") == F.col("__b"))
+    two = b.withColumn("__h", heads(F.col("__b"), lengths(a, "__a"))).join(a, (F.col("__h") == F.col("__a")) & (F.col("__a") != F.col("__b")))
+    columns = [*left.columns, *right.columns]
+    return one.select(*columns).unionByName(two.select(*columns))
+
+
+def reciprocal(rows: DataFrame, origin: str, target: str) -> DataFrame:
+    """Pairs lo < hi of which each refers to the other."""
+    pairs = rows.select(F.least(origin, target).alias("lo"), F.greatest(origin, target).alias("hi"), (F.col(origin) < F.col(target)).alias("up")).where(f"{origin} != {target}")
+    return pairs.groupBy("lo", "hi").agg(F.bool_or("up").alias("up"), F.bool_or(~F.col("up")).alias("down")).where("up and down").select("lo", "hi")
+
+
 def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """keys and status: matched, differing, missing (from new) or extra (in new). A key stands for its least row."""
-    one = lambda df, name: df.groupBy(*keys).agg(F.min(F.struct(*columns)).alias(name))
-    both = one(old, "__a").join(one(new, "__b"), keys, "full")
-    status = F.when(F.col("__b").isNull(), "missing").when(F.col("__a").isNull(), "extra").when(F.col("__a") == F.col("__b"), "matched").otherwise("differing")
-    return both.select(*keys, status.alias("status"))
+    """keys and status: matched, differing, missing (from new) or extra (in new). A key stands for its least row; further rows of a key are not
+    compared (multiset_match counts them). A null key equals a null key."""
+    one = lambda df, name: df.groupBy(*keys).agg(F.struct(F.min(F.struct(*columns)).alias("row")).alias(name))
+    a, b = one(old, "__a"), one(new, "__b").withColumnsRenamed({c: f"__{c}" for c in keys})
+    equal = F.lit(True)
+    for c in keys:
+        equal &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    both = a.join(b, equal, "full")
+    status = F.when(F.col("__b").isNull(), "missing").when(F.col("__a").isNull(), "extra").when(F.col("__a").eqNullSafe(F.col("__b")), "matched").otherwise("differing")
+    return both.select(*[F.when(F.col("__a").isNull(), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in keys], status.alias("status"))
 
 
 def multiset_match(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """keys, matched: how many equal rows the two have, each used once. Counts meet, not rows."""
     one = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
     return one(expected, "__a").join(one(found, "__b"), keys).select(*keys, F.least("__a", "__b").alias("matched"))
+
+
+def row_match(expected: DataFrame, found: DataFrame, keys: list[str], expected_id: str, found_id: str) -> DataFrame:
+    """expected_id, found_id: rows with equal keys, each used once, both sides in the order of their ids; found_id is null where none is left."""
+    numbered = lambda df, i: df.select(*keys, i, F.row_number().over(Window.partitionBy(*keys).orderBy(i)).alias("__n"))
+    return numbered(expected, expected_id).join(numbered(found, found_id), [*keys, "__n"], "left").select(expected_id, found_id)
+
+
+def column_overlap(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """column, old, new, both: the distinct non-blank values of each, and how many are in both."""
+    cells = lambda df, side: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), trimmed(F.col(c)).alias("value")) for c in columns])).alias("c")).select("c.*").where("value != ''").distinct().withColumn(side, F.lit(1))
+    both = cells(old, "__a").join(cells(new, "__b"), ["column", "value"], "full")
+    return both.groupBy("column").agg(F.count("__a").alias("old"), F.count("__b").alias("new"), F.count(F.col("__a") + F.col("__b")).alias("both"))
+
+
+def greedy_pairs(pairs: DataFrame, left: str, right: str, distance: str) -> DataFrame:
+    """The pairs that a greedy assignment takes, nearest first, each left and each right once, ties to the smaller left, then right. A pair that
+    is the first of both its ends is taken in any case, so each round takes all of those at once, until none is left."""
+    order = F.struct(distance, left, right)
+    open_, taken = save(pairs.select(left, right, distance).dropna(), "open"), []
+    while open_.limit(1).count():
+        of_left = open_.groupBy(left).agg(F.min(order).alias("__l"))
+        of_right = open_.groupBy(right).agg(F.min(order).alias("__r"))
+        now = save(of_left.select(F.col(f"__l.{left}").alias(left), F.col(f"__l.{right}").alias(right), "__l").join(of_right, right).where(F.col("__l") == F.col("__r")).select(left, right, F.col(f"__l.{distance}").alias(distance)), "taken")
+        taken.append(now)
+        open_ = save(open_.join(now.select(left), left, "left_anti").join(now.select(right), right, "left_anti").select(left, right, distance), "open")
+    out = pairs.select(left, right, distance).limit(0)
+    for t in taken:
+        out = out.unionByName(t)
+    return out

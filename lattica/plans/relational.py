@@ -8,18 +8,28 @@ from pyspark.sql import functions as F
 from lattica.operators import geometry, graph, joins, summaries
 from lattica.streaming import events as streams
 
+from lattica.sources.shared import save
+
 from .registry import query, table
 
 
-@query("match_survey", "SELECT count(DISTINCT CASE WHEN trim(c_name) IN (SELECT trim(s_name) FROM supplier) THEN trim(c_name) END) AS num, count(DISTINCT trim(c_name)) AS den FROM customer WHERE trim(c_name) <> ''")
+_NUMBER = "regexp_extract({c}, '#0*([0-9]+)$', 1)"
+
+
+def _number(c: str):
+    return F.regexp_extract(c, "#0*([0-9]+)$", 1)
+
+
+@query("match_survey", f"SELECT count(CASE WHEN v IN (SELECT {_NUMBER.format(c='s_name')} FROM supplier) THEN 1 END) AS num, count(*) AS den FROM (SELECT DISTINCT {_NUMBER.format(c='c_name')} AS v FROM customer) WHERE v <> ''")
 def match_survey(spark: SparkSession, d: str) -> DataFrame:
-    return joins.match_survey(table(spark, d, "customer"), table(spark, d, "supplier"), F.col("c_name"), F.col("s_name"))
+    """Customers' numbers that suppliers have as well."""
+    return joins.match_survey(table(spark, d, "customer"), table(spark, d, "supplier"), _number("c_name"), _number("s_name"))
 
 
-@query("match_survey_normalised", "WITH k AS (SELECT DISTINCT trim(p_type) AS v, regexp_replace(upper(trim(p_type)), '[^A-Z0-9]', '', 'g') AS k FROM part WHERE trim(p_type) <> '') SELECT count(CASE WHEN k IN (SELECT regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g') FROM part) AND k <> '' THEN 1 END) AS num, count(*) AS den FROM k")
+@query("match_survey_normalised", "WITH k AS (SELECT DISTINCT n_name AS v, regexp_replace(upper(n_name), '[^A-Z0-9]', '', 'g') AS k FROM nation) SELECT count(CASE WHEN k IN (SELECT 'NATION' || (2 * s_nationkey)::VARCHAR FROM supplier) THEN 1 END) AS num, count(*) AS den FROM k")
 def match_survey_normalised(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part")
-    return joins.match_survey(part, part, F.col("p_type"), F.col("p_brand"), "normalised")
+    """Nations against names in another spelling; every other one of them occurs."""
+    return joins.match_survey(table(spark, d, "nation"), table(spark, d, "supplier"), F.col("n_name"), F.concat(F.lit("Nation-"), 2 * F.col("s_nationkey")), "normalised")
 
 
 @query("key_join", "SELECT n_name, r_name FROM nation LEFT JOIN region ON trim(n_regionkey::VARCHAR) = trim(r_regionkey::VARCHAR)")
@@ -27,12 +37,32 @@ def key_join(spark: SparkSession, d: str) -> DataFrame:
     return joins.key_join(table(spark, d, "nation"), table(spark, d, "region"), F.col("n_regionkey"), F.col("r_regionkey")).select("n_name", "r_name")
 
 
+@query("key_join_orders", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON trim(o_custkey::VARCHAR) = trim(c_custkey::VARCHAR)")
+def key_join_orders(spark: SparkSession, d: str) -> DataFrame:
+    return joins.key_join(table(spark, d, "orders"), table(spark, d, "customer"), F.col("o_custkey"), F.col("c_custkey")).select("o_orderkey", "c_name")
+
+
 _WORDS = "SELECT {id}, unnest(list_distinct(list_filter(regexp_split_to_array(upper({c}), '[^A-Z0-9]+'), lambda w: w <> ''))) AS w FROM {t}"
+_TYPES = "(SELECT DISTINCT p_type FROM part)"
 
 
-@query("token_join", f"SELECT DISTINCT n_nationkey, r_regionkey FROM ({_WORDS.format(id='n_nationkey', c='n_name', t='nation')}) JOIN ({_WORDS.format(id='r_regionkey', c='r_name', t='region')}) USING (w)")
+@query("token_join", f"SELECT DISTINCT p_partkey, p_type FROM ({_WORDS.format(id='p_partkey', c='p_name', t='part')}) JOIN ({_WORDS.format(id='p_type', c='p_type', t=_TYPES)}) USING (w)")
 def token_join(spark: SparkSession, d: str) -> DataFrame:
-    return joins.token_join(table(spark, d, "nation"), table(spark, d, "region"), "n_nationkey", "r_regionkey", "n_name", "r_name")
+    """Parts and the types whose words their names hold."""
+    part = table(spark, d, "part")
+    return joins.token_join(part.select("p_partkey", "p_name"), part.select("p_type").distinct(), "p_partkey", "p_type", "p_name", "p_type")
+
+
+@query("token_join_left", f"SELECT p_partkey, m.p_type FROM part p LEFT JOIN (SELECT DISTINCT p_partkey AS k, p_type FROM ({_WORDS.format(id='p_partkey', c='p_name', t='part')}) JOIN ({_WORDS.format(id='p_type', c='p_type', t=_TYPES)}) USING (w)) m ON m.k = p.p_partkey")
+def token_join_left(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    return joins.token_join(part.select("p_partkey", "p_name"), part.select("p_type").distinct(), "p_partkey", "p_type", "p_name", "p_type", "left")
+
+
+@query("token_survey", f"SELECT count(CASE WHEN EXISTS (SELECT 1 FROM ({_WORDS.format(id='p_name', c='p_name', t='(SELECT DISTINCT p_name FROM part)')}) x WHERE x.p_name = v.p_name AND w IN (SELECT upper(p_type) FROM part)) THEN 1 END) AS num, count(*) AS den FROM (SELECT DISTINCT p_name FROM part) v")
+def token_survey(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    return joins.token_survey(part, part, F.col("p_name"), F.col("p_type"))
 
 
 @query("keyed_diff", "SELECT coalesce(a.k, b.k) AS id, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' WHEN a.n = b.n THEN 'matched' ELSE 'differing' END AS status FROM (SELECT c_custkey AS k, min(c_nationkey) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_suppkey AS k, min(s_nationkey) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
@@ -77,15 +107,21 @@ def semi_anti(spark: SparkSession, d: str) -> DataFrame:
     return count("left_semi", "with").unionByName(count("left_anti", "without"))
 
 
-@query("supplier_parts_components", """WITH RECURSIVE e AS (SELECT DISTINCT p_brand AS a, p_type AS b FROM part WHERE p_size <= 2), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("supplier_parts_components", """WITH RECURSIVE e AS (SELECT DISTINCT p_brand AS a, p_type AS b FROM part), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS x, a AS y FROM n UNION SELECT r.x, n.b FROM r JOIN n ON r.y = n.a) SELECT x AS name, min(y) AS component FROM r GROUP BY x""")
 def supplier_parts_components(spark: SparkSession, d: str) -> DataFrame:
-    """Brands and types that small parts connect, named by the least member."""
-    edges = table(spark, d, "part").where("p_size <= 2").select(F.col("p_brand").alias("a"), F.col("p_type").alias("b")).distinct()
+    """Brands and types that parts connect, named by the least member."""
+    return named_components(table(spark, d, "part").select(F.col("p_brand").alias("a"), F.col("p_type").alias("b")))
+
+
+def named_components(edges: DataFrame) -> DataFrame:
+    """name, component (its least name) of edges (a, b) between texts."""
+    edges = edges.distinct()
     names = edges.select("a").union(edges.select("b")).distinct().toDF("name").withColumn("key", F.xxhash64("name"))
     root = graph.components(edges.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")))
-    named = names.join(root, F.col("key") == F.col("node")).select("name", "root")
-    return named.join(named.groupBy("root").agg(F.min("name").alias("component")), "root").select("name", "component")
+    named = save(names.join(root, F.col("key") == F.col("node")).select("name", "root"), "named")
+    least = save(named.groupBy("root").agg(F.min("name").alias("component")), "least")
+    return named.join(least, "root").select("name", "component")
 
 
 _BOXES = "SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey % 10 AS page, (l_partkey * 37 % 2000)::DOUBLE AS x0, (l_orderkey * 53 % 2000)::DOUBLE AS y0, (l_partkey * 37 % 2000 + 10 + l_linenumber)::DOUBLE AS x1, (l_orderkey * 53 % 2000 + 8 + l_linenumber)::DOUBLE AS y1, l_returnflag FROM lineitem"
@@ -120,3 +156,15 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return streams.sessions(table(spark, d, "events"), "30 minutes")
+
+
+@query("events_once", "SELECT event_id, any_value(user_id) AS user_id FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_type = 'click') GROUP BY event_id")
+def events_once(spark: SparkSession, d: str) -> DataFrame:
+    """Events, of which clicks came twice, each once."""
+    events = table(spark, d, "events")
+    return streams.deduplicated(events.unionByName(events.where("event_type = 'click'"))).select("event_id", "user_id")
+
+
+@query("newest_event", "SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def newest_event(spark: SparkSession, d: str) -> DataFrame:
+    return streams.newest(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id")
