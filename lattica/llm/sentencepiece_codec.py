@@ -2,8 +2,8 @@
 
 The vocabulary comes from a model file (a parameter); its size bounds what is broadcast. Pieces are ranked in the file, and a piece's log
 score is that of Zipf's law for its rank, or the file's own score. White space is marked by U+2581, one mark is put in front of each text, and what
-no piece covers falls back to byte pieces. Pieces hold marks only in front, so a text splits into words before each mark, and each
-distinct word of a slice is segmented once: numpy walks the trie for all words and all starts together, then the best path for all words
+no piece covers falls back to byte pieces, as do marks that a text itself holds, so that they come back as marks. Pieces with marks elsewhere
+than in front, which some models have, are not used, so a text splits into words before each mark, and each distinct word of a slice is segmented once: numpy walks the trie for all words and all starts together, then the best path for all words
 position by position. Of equal paths the one whose last piece is longest wins, then the one before it, and so on.
 
 Defined cases: a null text has null ids and decodes to null; an empty text has no ids; unpaired or invalid bytes are replaced as UTF-8 decoding
@@ -36,6 +36,7 @@ UNKNOWN_PENALTY = 10.0
 #: Words whose segmentation a Python worker remembers; others are segmented again in each slice.
 KNOWN_WORDS = 400_000
 _OPEN = -1e30
+_LITERAL = ""  # stands among words for a mark of the text's own
 #: A run of marks stays with the word that follows it.
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -152,10 +153,11 @@ class Codec:
                 self.byte_ids[int(text[3:5], 16)] = k
         self.longest = max(len(pieces[k][0].encode()) for k in usable)
         self.is_byte = np.array([p[2] == BYTE for p in pieces])
-        spelt = [bytes([int(text[3:5], 16)]) if kind == BYTE else text.encode() if kind in (NORMAL, USER) else b"" for text, _, kind in pieces]
+        spelt = [bytes([int(text[3:5], 16)]) if kind == BYTE else text.replace(MARK, " ").encode() if kind in (NORMAL, USER) else b"" for text, _, kind in pieces]
         # segmentations that later slices use again
-        self.known: dict[str, int] = {}
-        self.known_ids, self.known_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known: dict[str, int] = {_LITERAL: 0}
+        self.known_ids = self.byte_ids[list(MARK.encode())]
+        self.known_at = np.array([0, len(self.known_ids)])
         self.spelling, self.spelt = np.frombuffer(b"".join(spelt), np.uint8), np.cumsum([0, *map(len, spelt)])
 
     @classmethod
@@ -256,7 +258,10 @@ class Codec:
         words, begins = [], [0]
         for t in texts:
             if t:
-                words += _WORD.findall(MARK + t.replace(" ", MARK))
+                front, *more = t.split(MARK)
+                words += _WORD.findall(MARK + front.replace(" ", MARK))
+                for part in more:
+                    words += [_LITERAL, *_WORD.findall(part.replace(" ", MARK))]
             begins.append(len(words))
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         ids, at = self.segment([w.encode() for w in new])
@@ -276,7 +281,7 @@ class Codec:
         data, at = _gathered(self.spelling, self.spelt, ids)
         data = data.tobytes()
         cuts = at[begins].tolist()
-        return [data[a:b].decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _gathered(flat: np.ndarray, begins: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
