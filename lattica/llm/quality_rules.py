@@ -33,7 +33,7 @@ TAIL, SLACK = 1e-5, 1.5
 SHRINK = 40.0
 BINS_PER_E = 16  # bins of the squared distance for each factor of e
 #: (name, floor of the standard deviation)
-DIMENSIONS = [("word_length", 0.15), ("symbols", 0.03), ("upper", 0.03), ("marks", 0.05), ("dup_lines", 0.06), ("repeats", 0.05), ("line_words", 0.35)]
+DIMENSIONS = [("word_length", 0.15), ("symbols", 0.03), ("upper", 0.03), ("marks", 0.05), ("dup_lines", 0.06), ("repeats", 0.05), ("line_words", 0.35), ("same", 0.05)]
 P = len(DIMENSIONS)
 TRI = [(i, j) for i in range(P) for j in range(i, P)]
 X, MU, PREC = [f"x{i}" for i in range(P)], [f"m{i}" for i in range(P)], [f"p{i}_{j}" for i, j in TRI]
@@ -45,7 +45,7 @@ def base_failed():
 
 def vector() -> list:
     """Columns x0.. from the counts; the ratios are shrunk towards a usual value by SHRINK words' worth."""
-    c = {name: F.col(name).cast("double") for name in ("n_words", "word_chars", "n_symbols", "n_upper", "n_lower", "n_exclaim", "n_pipes", "n_dup_lines", "n_repeat_words", "n_lines")}
+    c = {name: F.col(name).cast("double") for name in ("n_words", "word_chars", "n_symbols", "n_upper", "n_lower", "n_exclaim", "n_pipes", "n_dup_lines", "n_repeat_words", "n_lines", "n_same_words")}
     n = c["n_words"] + SHRINK
     letters = c["n_upper"] + c["n_lower"] + 5 * SHRINK
     values = [
@@ -56,6 +56,7 @@ def vector() -> list:
         c["n_dup_lines"] / (c["n_lines"] + 4),
         c["n_repeat_words"] / n,
         F.log((c["n_words"] + SHRINK) / (c["n_lines"] + SHRINK / 40)),
+        c["n_same_words"] / n,
     ]
     return [v.alias(name) for v, name in zip(values, X, strict=True)]
 

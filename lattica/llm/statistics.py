@@ -14,7 +14,7 @@ from . import _words
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
 REPEAT_WORDS = 8
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_lower", "n_digits", "n_punct", "n_exclaim", "n_pipes", "n_long_words"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_lower", "n_digits", "n_punct", "n_exclaim", "n_pipes", "n_long_words", "n_same_words"]
 _PUNCT = b".,;:!?'\"()-"
 
 
@@ -36,6 +36,8 @@ def of_texts(texts: list[bytes]) -> dict[str, np.ndarray]:
     out = {"n_words": np.diff(begins)}
     out["n_long_words"] = _words.per_text(np.fromiter((len(w) > 24 for w in distinct), bool, len(distinct))[ids], begins)
     owner = np.repeat(np.arange(len(texts)), out["n_words"])
+    # words that equal the one before them
+    out["n_same_words"] = _words.per_text(np.concatenate([[False], (ids[1:] == ids[:-1]) & (owner[1:] == owner[:-1])])[: len(ids)], begins)
     # equal runs of one text: sort (text, hash of the run) and look at neighbours
     at = np.flatnonzero(_words.full_runs(begins, REPEAT_WORDS))
     key = _words.rolled(_words.hashes(distinct)[ids], REPEAT_WORDS)[at]

@@ -1,7 +1,9 @@
 """Small tables with nulls, empty and long texts, ties, repeated rows, clashing columns; results against brute force."""
 
 import collections
+import decimal
 import hashlib
+import math
 import random
 import re
 import struct
@@ -71,6 +73,57 @@ def test_outliers_go_and_others_stay(spark):
     assert all(got[k] for k in range(200)) and not any(got[900 + k] for k in range(20))
 
 
+def _mcd(x):
+    """Squared distances by the same estimate, over rows instead of sums, all in one place."""
+    p, floor, per_e = x.shape[1], np.array([f for _, f in quality_rules.DIMENSIONS]), quality_rules.BINS_PER_E
+    rounded = np.array([[float(decimal.Decimal(repr(float(v))).quantize(decimal.Decimal("0.01"), decimal.ROUND_HALF_UP)) for v in row] for row in x])
+    low, centre, high = np.percentile(rounded, [25, 50, 75], axis=0)
+    scale = np.maximum((high - low) / 1.349, floor)
+    u = (x - centre) / scale
+    sign = (u[:, :, None] * u[:, None] / ((u * u).sum(1) + 1e-9)[:, None, None]).mean(0) * p
+    chi = lambda share: quality_rules.chi_square(p, share)
+
+    def bins(mean, cov):
+        inverse = np.linalg.inv(cov + np.diag(floor**2))
+        d2 = np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
+        return d2, np.floor(np.log(np.maximum(d2, 1e-6)) * per_e)
+
+    def within(last, b):
+        rows = x[b <= last]
+        return rows.mean(0), np.cov(rows.T, bias=True)
+
+    fits = []
+    for mean, cov in ((centre, np.diag(scale**2)), (centre, sign * np.outer(scale, scale))):
+        for _ in range(quality_rules.C_STEPS):
+            _, b = bins(mean, cov)
+            mean, cov = within(np.sort(b)[math.ceil(quality_rules.H_SHARE * len(b)) - 1], b)
+        fits.append((np.linalg.slogdet(cov + np.diag(floor**2))[1], mean, cov))
+    _, mean, cov = min(fits, key=lambda f: f[0])
+    _, b = bins(mean, cov)
+    most = np.log(chi(0.975) * np.exp((np.sort(b)[math.ceil(len(b) / 2) - 1] + 0.5) / per_e) / chi(0.5)) * per_e
+    mean, cov = within(max(b[b <= most].max(initial=-np.inf), np.sort(b)[math.ceil(quality_rules.H_SHARE * len(b)) - 1]), b)
+    d2, b = bins(mean, cov)
+    return d2 * min(1.0, chi(0.5) / np.exp((np.sort(b)[math.ceil(len(b) / 2) - 1] + 0.5) / per_e))
+
+
+def test_outliers_equal_an_estimate_over_rows(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))).capitalize() if r.random() < 0.2 else "".join(r.choices("etaoinshrdlu", k=r.randint(2, 9)))
+    rows = []
+    for k in range(300):
+        text = " ".join(word() + r.choice(["", "", "", "!", ",", "\n", "#"]) for _ in range(r.randint(25, 160)))
+        rows.append((k, text if k % 12 else " ".join(w for x in text.split() for w in [x] * 3), ["en", "de"][k % 2], "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: (x.distance2, x.kept) for x in quality_rules.quality_rules(df).collect() if not x.base_failed}
+    vectors = statistics.with_statistics(df, ["doc_id", "lang"]).where("doc_id in (%s)" % ", ".join(map(str, got))).select("doc_id", "lang", *quality_rules.vector()).toPandas()
+    cut, kept = quality_rules.SLACK * quality_rules.chi_square(quality_rules.P, 1 - quality_rules.TAIL), []
+    for _, part in vectors.groupby("lang"):
+        for i, d2 in zip(part["doc_id"], _mcd(part[quality_rules.X].to_numpy()), strict=True):
+            assert abs(got[i][0] - d2) <= 1e-6 * max(1, d2) and got[i][1] == (d2 <= cut)
+            kept.append(got[i][1])
+    assert 0 < sum(kept) < len(kept)
+
+
 def test_simhash_equals_brute_force(docs, rows):
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash_dedup.near_duplicates(docs).collect()}
     prints = [(r.doc_id, simhash_dedup.fingerprint((r.text or "").encode())) for r in rows]
@@ -329,6 +382,8 @@ def test_codec_against_the_library_and_round_trip(docs, rows):
     codec = sentencepiece_codec.Codec(pieces)
     ids, at = codec.encode(texts)
     assert codec.decode(ids, at) == texts
+    marked = ["▁", "a▁b ▁ c▁▁", "▁▁x", " ▁"]
+    assert codec.decode(*codec.encode(marked)) == marked
     worth = lambda x: round(sum(round(scores[k] * 2**20) for k in x) / 2**20, 3)
     for text, a, b in zip(texts, at[:-1], at[1:], strict=True):
         want = library.encode(text)
