@@ -1,5 +1,18 @@
 """Tables in the folder that all executors share, and reading of the driver's tables."""
 
+from pyspark.sql import DataFrame
+
 from lattica.sources.shared import cut, fits, look_up, save, save_bucketed, shared_folder, table
 
-__all__ = ["cut", "fits", "look_up", "save", "save_bucketed", "shared_folder", "table"]
+__all__ = ["cut", "fits", "look_up", "save", "save_bucketed", "shared_folder", "table", "unclashed"]
+
+
+def unclashed(docs: DataFrame, keep: list[str], added: list[str]) -> tuple[DataFrame, list[str]]:
+    """docs and the names of the columns to keep, each once; those that an operator adds columns of the same name to end in _input."""
+    names = {}
+    for c in keep:
+        if c in added:
+            names[c] = f"{c}_input"
+            while names[c] in docs.columns:
+                names[c] += "_"
+    return docs.withColumnsRenamed(names), [names.get(c, c) for c in dict.fromkeys(keep)]

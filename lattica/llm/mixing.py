@@ -15,7 +15,8 @@ tabular, legal, contact, long, medium or short.
 Defined cases: a null text is empty and has no tokens, so weight 0 of its own, and the probability of its cell; null sources and languages are
 values of their own; a cell without tokens keeps factor 1 and has probability `share`; cells of target 0 have probability 0, and where
 the others hold less than `share`, they are taken whole; targets for values that do not occur are left out and the others scaled up;
-repeated rows get the same decision; an empty table gives an empty result; other columns are only carried if asked for.
+repeated rows get the same decision; an empty table gives an empty result; other columns are only carried if asked for, those with the name of an
+added one as <name>_input.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, look_up, save, table
+from ._shared import cut, look_up, save, table, unclashed
 
 ROUNDS, TOLERANCE, TEMPER, SHARE = 24, 1e-6, 0.7, 0.5
 MARGINALS = ["source", "lang", "topic"]
@@ -144,7 +145,7 @@ def reached(cells: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, keep: list[str] | None = None, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, share: float = SHARE, seed: int = 0, topic_of: Callable[[Column], Column] = topic) -> DataFrame:
     """Columns `keep` (doc_id if not given) and topic, tokens, weight, probability, sampled. docs: doc_id, text, source, lang and `keep`."""
-    keep = keep or ["doc_id"]
+    docs, keep = unclashed(docs, keep or ["doc_id"], ["topic", "tokens", "weight", "probability", "sampled", "factor"])
     draw = F.pmod(F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]), F.lit(1 << 53)) / float(1 << 53)
     rows = docs.select(*[docs[c] for c in keep], docs["source"].alias("__source"), docs["lang"].alias("__lang"), topic_of(docs["text"]).alias("topic"), tokens(docs["text"]).alias("tokens"), draw.alias("__draw"))
     rows = save(rows, "counted")

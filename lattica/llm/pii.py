@@ -9,7 +9,8 @@ learns counts in the next one, in every context. Tokens and runs at least `confi
 by their characters become further spans. Base spans are never touched; further spans do not overlap them, nor lie within one another.
 
 Defined cases: a null or empty text has no spans; a null doc_id stays null; repeated rows get equal results each; an empty table
-gives an empty result; digits beyond any length are read without conversion; other columns are only carried if asked for.
+gives an empty result; digits beyond any length are read without conversion; other columns are only carried if asked for, those named
+like an added one as <name>_input.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words
-from ._shared import save, table
+from ._shared import save, table, unclashed
 
 KINDS = ["email", "ip", "card", "phone"]
 ROUNDS, MIN_SUPPORT, CONFIDENT = 3, 5, 0.8
@@ -237,7 +238,7 @@ def confident_patterns(seen: DataFrame, rounds: int, min_support: int, confident
 
 def identifiers(docs: DataFrame, keep: list[str] | None = None, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """Columns `keep` (doc_id if not given), base and spans: arrays of (k, s, e) by kind number, then start; spans holds base and what contexts add."""
-    keep = keep or ["doc_id"]
+    docs, keep = unclashed(docs, keep or ["doc_id"], ["base", "spans", "seen", "more"])
     rows = save(scanned(docs, keep).withColumn("__row", F.monotonically_increasing_id()), "scanned")
     seen = rows.select("__row", F.explode("seen").alias("o")).select("__row", "o.*")
     seen = seen.withColumn("pattern", F.explode(F.array("before", "around"))).drop("before", "around")

@@ -11,7 +11,7 @@ median exceeds that of a chi-square the distance is scaled down to it (never up:
 Defined cases: a null text is empty; an empty text has no words and fails the base rules; null languages and sources are values of
 their own; a group of fewer than `min_rows` passing rows is pooled by language, then over all, and if even that is too small nothing
 more is rejected; the covariance gets a floor per dimension, so ties and repeated rows cannot make it singular; repeated rows get the
-same verdict; an empty table gives an empty result; other columns are not read.
+same verdict; an empty table gives an empty result; other columns are only carried if asked for, those named like an added one as <name>_input.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import fits, look_up, save, table
-from .statistics import with_statistics
+from ._shared import fits, look_up, save, table, unclashed
+from .statistics import COUNTS, with_statistics
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 H_SHARE, C_STEPS, MIN_ROWS = 0.75, 4, 60
@@ -172,7 +172,7 @@ def estimates(rows: DataFrame, fit: bool, h_share: float = H_SHARE, c_steps: int
 
 def quality_rules(docs: DataFrame, keep: list[str] | None = None, h_share: float = H_SHARE, c_steps: int = C_STEPS, min_rows: int = MIN_ROWS, tail: float = TAIL, slack: float = SLACK) -> DataFrame:
     """Columns `keep` (doc_id if not given) and base counts, base_failed, distance2 (null: no estimate), kept. docs: text, lang, source and `keep`."""
-    keep = list(dict.fromkeys([*(keep or ["doc_id"]), "lang", "source"]))
+    docs, keep = unclashed(docs, [*(keep or ["doc_id"]), "lang", "source"], [*COUNTS, *X, *MU, *PREC, "base_failed", "distance2", "kept", "key", "factor", "logdet"])
     stats = save(with_statistics(docs, keep), "statistics")
     keys = save(grouped(stats, min_rows), "groups")
     # with room for two rows of estimates for each language and source

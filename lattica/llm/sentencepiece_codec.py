@@ -8,7 +8,7 @@ position by position. Of equal paths the one whose last piece is longest wins, t
 
 Defined cases: a null text has null ids and decodes to null; an empty text has no ids; unpaired or invalid bytes are replaced as UTF-8 decoding
 does; very long words are segmented in slices of their own like any other; repeated rows are encoded each; an empty table gives an
-empty result; other columns are only carried if asked for.
+empty result; other columns are only carried if asked for, those named like an added one as <name>_input.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words
-from ._shared import table
+from ._shared import table, unclashed
 
 MODEL = os.environ.get("LATTICA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -299,6 +299,7 @@ def _unpacked(data: bytes) -> Codec:
 def encoded(docs: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
     """Columns `keep`, ids, n_bytes (how many ids are byte pieces) and decoded. docs: text and `keep`."""
     spark = docs.sparkSession
+    docs, keep = unclashed(docs, keep, ["ids", "n_bytes", "decoded"])
     shared = spark.sparkContext.broadcast(pickle.dumps(Codec.load(spark, model)))
     source = docs.select(*[docs[c] for c in keep], docs["text"].alias("__text"))
     schema = T.StructType([*(source.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_bytes", T.LongType()), T.StructField("decoded", T.StringType())])

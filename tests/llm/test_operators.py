@@ -481,6 +481,18 @@ def test_chat_keeps_what_is_no_marker_and_parts_equal_rows(spark):
     assert sum(r.conv_id == 2 for r in got) == 101
 
 
+def test_kept_columns_that_clash(spark, docs):
+    extra = docs.withColumns({c: F.lit(7) for c in ("tokens", "spans", "base", "n_words", "x0", "key", "ids", "decoded", "probability", "seen")})
+    for got, names in (
+        (mixing.mixed(extra, ["doc_id", "topic", "tokens", "probability"]), ["topic_input", "tokens_input", "probability_input"]),
+        (pii.identifiers(extra, ["doc_id", "spans", "base", "seen"]), ["spans_input", "base_input", "seen_input"]),
+        (pii.redacted(extra, ["doc_id", "text", "tokens"]), ["tokens"]),
+        (quality_rules.quality_rules(extra, ["doc_id", "kept", "n_words", "x0", "key"]), ["kept_input", "n_words_input", "x0_input", "key_input"]),
+        (sentencepiece_codec.encoded(extra, ["doc_id", "ids", "decoded"]), ["ids_input", "decoded_input"]),
+    ):
+        assert set(names) <= set(got.columns) and len(set(got.columns)) == len(got.columns) and got.count() == docs.count(), names
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
