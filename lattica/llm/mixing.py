@@ -6,7 +6,8 @@ factor; a warning tells if they are not by then. The sample's expected size is `
 at most n, with the c that gives that size. What cells with probability 1 leave short is raked again over the others. A value that has
 fewer tokens than its target asks for is taken whole, and the other values of its marginal share the rest by their targets. A last c brings
 the sum back to the size. A document's probability is its cell's expected tokens over n; it is sampled if a hash of its id and text falls below
-that. `reached` lists targets and the shares that the sample is expected to have.
+that. `reached` lists targets and the shares that the sample is expected to have. Up to SMALL_CELLS cells are planned as arrays in one task, more
+by the same steps as Spark jobs.
 Targets are shares of tokens; where none are given, a marginal is tempered: shares to the power `temper`, made to add up to 1.
 
 The topic is a column expression of the caller's (`topic_of`). The one that comes with the module is the text's form, by plain rules:
@@ -24,14 +25,16 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import cut, look_up, save, table, unclashed
 
-ROUNDS, TOLERANCE, TEMPER, SHARE = 24, 1e-6, 0.7, 0.5
+ROUNDS, TOLERANCE, TEMPER, SHARE = 120, 1e-6, 0.7, 0.5
 MARGINALS = ["source", "lang", "topic"]
-#: Rounds that make up one Spark job, and the number of cells up to which they run as one task.
+#: Rounds between two looks at the gap, which make up one Spark job, and the number of cells up to which one task holds all.
 ROUNDS_A_JOB, SMALL_CELLS = 6, 100_000
 
 
@@ -136,6 +139,78 @@ def calibrated(cells: DataFrame, share: float = SHARE, rounds: int = ROUNDS, tol
     return cells.withColumn("probability", F.when(F.col("n") > 0, F.least(F.lit(1.0), last * F.col("w") / F.col("n"))).otherwise(share)).drop("w", *[f"{m}_size" for m in MARGINALS])
 
 
+def _arrays(cells: pd.DataFrame, given: dict[str, dict[str, float]] | None, temper: float, share: float, rounds: int, tolerance: float) -> pd.DataFrame:
+    """What raked() and calibrated() add, for all cells at once, and how far the worse of the two is from its targets."""
+    n, apart = cells["n"].to_numpy(float), 0.0
+    codes = [pd.factorize(cells[m], use_na_sentinel=False)[0] for m in MARGINALS]
+    goals = []
+    for m, code in zip(MARGINALS, codes, strict=True):
+        if given and given.get(m):
+            share_of = cells[m].map(lambda v, m=m: given[m].get(None if pd.isna(v) else v, 0.0)).to_numpy(float)
+            whole = np.zeros(code.max(initial=-1) + 1)
+            whole[code] = share_of
+        else:
+            sums = np.bincount(code, n)
+            whole = np.where(sums > 0, sums**temper, 0.0)
+        goals.append((whole / (whole.sum() or 1.0))[code])
+
+    def sweep(w: np.ndarray, aims: list[np.ndarray], full: bool, unit: float) -> tuple[np.ndarray, float]:
+        gap = 0.0
+        for done in range(rounds):
+            for code, aim in zip(codes, aims, strict=True):
+                now = np.bincount(code, w)[code]
+                if full:
+                    sure = np.bincount(code, np.where(w >= n, n, 0.0))[code]
+                    step = np.ones(len(w))
+                    more, less = (aim > now) & (now > sure), aim < now
+                    step[more], step[less] = ((aim - sure)[more] / (now - sure)[more]), (aim[less] / now[less])
+                    w = np.minimum(n, w * step)
+                else:
+                    w = np.divide(w * aim, now, out=np.zeros(len(w)), where=now > 0)
+            if (done + 1) % ROUNDS_A_JOB == 0 or done + 1 == rounds:
+                gap = max(np.abs(np.bincount(code, w)[code] - aim).max(initial=0.0) for code, aim in zip(codes, aims, strict=True)) / unit
+                if gap <= tolerance:
+                    break
+        return w, gap
+
+    def scale_of(most: np.ndarray, size: np.ndarray, total: float) -> float:
+        c, full = 0.0, -1
+        while True:
+            taken = size * c >= most
+            free = size[~taken].sum()
+            if taken.sum() <= full or not free:
+                return c
+            c, full = (total - most[taken].sum()) / free, taken.sum()
+
+    total = n.sum()
+    w, apart = sweep(n / (total or 1.0), goals, False, 1.0)
+    factor = np.divide(w * total, n, out=np.ones(len(n)), where=n > 0)
+    w = np.where(n > 0, n * factor, 0.0)
+    probability = np.where(n > 0, 0.0, share)
+    if n[w > 0].sum():
+        size = min(share * total, n[w > 0].sum())
+        w, aims = np.minimum(n, scale_of(n, w, size) * w), []
+        for code, goal in zip(codes, goals, strict=True):
+            sums, aim = np.bincount(code, n), np.zeros(code.max() + 1)
+            aim[code] = goal
+            aims.append(np.minimum(sums, scale_of(sums, aim, size) * aim)[code])
+        w, gap = sweep(w, aims, True, size)
+        apart = max(apart, gap)
+        probability = np.where(n > 0, np.minimum(1.0, np.divide(scale_of(n, w, size) * w, n, out=np.zeros(len(n)), where=n > 0)), share)
+    return cells.assign(factor=factor, **{f"{m}_target": g for m, g in zip(MARGINALS, goals, strict=True)}, probability=probability, apart=apart)
+
+
+def planned(cells: DataFrame, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, share: float = SHARE, rounds: int = ROUNDS, tolerance: float = TOLERANCE, small: int = SMALL_CELLS) -> DataFrame:
+    """cells (source, lang, topic, n) with factor, targets and probability."""
+    if cells.count() > small:
+        return calibrated(raked(cells, given, temper, rounds, tolerance), share, rounds, tolerance)
+    schema = ", ".join(["source string, lang string, topic string, n long, factor double", *(f"{m}_target double" for m in MARGINALS), "probability double, apart double"])
+    out = cells.select(*[F.col(m).cast("string") for m in MARGINALS], F.col("n").cast("long")).groupBy().applyInPandas(lambda pdf: _arrays(pdf, given, temper, share, rounds, tolerance), schema)
+    out = save(out, "planned")
+    _end(out.agg(F.max("apart")).first()[0] or 0.0, tolerance, rounds)
+    return out.drop("apart")
+
+
 def reached(cells: DataFrame) -> DataFrame:
     """marginal, value, target, share: of each value, the target and its share of the sample's expected tokens. cells: those of calibrated()."""
     sums = [cells.groupBy(F.lit(m).alias("marginal"), F.col(m).alias("value"), F.col(f"{m}_target").alias("target")).agg(F.sum(F.col("n") * F.col("probability")).alias("part")) for m in MARGINALS]
@@ -150,7 +225,7 @@ def mixed(docs: DataFrame, keep: list[str] | None = None, given: dict[str, dict[
     rows = docs.select(*[docs[c] for c in keep], docs["source"].alias("__source"), docs["lang"].alias("__lang"), topic_of(docs["text"]).alias("topic"), tokens(docs["text"]).alias("tokens"), draw.alias("__draw"))
     rows = save(rows, "counted")
     cells = save(rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), "topic").agg(F.sum("tokens").alias("n")), "cells")
-    factors = calibrated(raked(cells, given, temper), share)
+    factors = planned(cells, given, temper, share)
     factors = save(factors.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), "topic", "factor", "probability"), "factors")
     joined = look_up(rows, factors, ["__source", "__lang", "topic"])
     return joined.select(*keep, "topic", "tokens", (F.col("tokens") * F.col("factor")).alias("weight"), "probability", (F.col("__draw") < F.col("probability")).alias("sampled"))

@@ -421,6 +421,13 @@ def test_raking_equals_arrays(spark, docs, rows):
         for a, b, c in np.ndindex(n.shape):
             if n[a, b, c]:
                 assert abs(got[f"s{a}", None if b == 0 else f"l{b}", f"t{c}"] - w[a, b, c] * n.sum() / n[a, b, c]) < 1e-9
+    # arrays in one task and Spark jobs give the same plan
+    for how in ({}, {"given": {"source": {"s0": 0.5, "s1": 0.3, "no": 0.2}, "lang": {None: 0.5, "l1": 0.5}}}, {"share": 0.9}, {"share": 1.0}):
+        one, two = ({(x.source, x.lang, x.topic): x for x in mixing.planned(cells, rounds=12, tolerance=1e-9, small=small, **how).collect()} for small in (0, 1000))
+        assert one.keys() == two.keys()
+        for key, x in one.items():
+            assert all(abs(x[c] - two[key][c]) < 1e-9 for c in ("factor", "probability", "source_target", "lang_target", "topic_target")), (how, key)
+    assert mixing.planned(cells.withColumn("n", F.lit(0).cast("long"))).where("probability = 0.5 and factor = 1").count() == n.size
     counted = mixing.mixed(docs, topic_of=lambda t: F.when(t.isNull(), "none").otherwise("some")).select("doc_id", "topic", "tokens")
     assert _as_set(counted) == collections.Counter((x.doc_id, "none" if x.text is None else "some", len(WORD.findall(x.text or ""))) for x in rows)
 
