@@ -34,7 +34,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNKNOWN_PENALTY = 10.0
 #: Words whose segmentation a Python worker remembers; others are segmented again in each slice.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 100_000
 _OPEN = -1e30
 _LITERAL = ""  # stands among words for a mark of the text's own
 #: A run of marks stays with the word that follows it.
