@@ -120,6 +120,44 @@ def text_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.slug(F.substring("text", 1, 40)).alias("slug"), text.row_id(F.col("doc_id"), F.col("lang")).alias("id"))
 
 
+_CLEAN = f"regexp_replace(trim(text, '{text.SPACES}'), '[{text.SPACES}]+', ' ', 'g')"
+_AT = "strpos(lower(text), 'the')"
+
+
+@query("text_cleaning", f"""SELECT doc_id, md5({_CLEAN}) AS cleaned, CASE WHEN {_AT} > 0 THEN (CASE WHEN {_AT} > 11 THEN '…' ELSE '' END) || substring(text, greatest(1, {_AT} - 10), least(length(text), {_AT} + 12) - greatest(1, {_AT} - 10) + 1)
+|| (CASE WHEN {_AT} + 12 < length(text) THEN '…' ELSE '' END) END AS found, md5(trim(text, '{text.SPACES}{text.BRACKETS}')) AS unwrapped FROM documents""")
+def text_cleaning(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts without extra white space and brackets, and what stands around a word."""
+    return table(spark, d, "documents").select("doc_id", F.md5(text.collapsed(F.col("text")).cast("binary")).alias("cleaned"), text.excerpt(F.col("text"), F.lit("the"), 10).alias("found"), F.md5(text.unwrapped(F.col("text")).cast("binary")).alias("unwrapped"))
+
+
+@query("text_words", """SELECT p_partkey, array_to_string(list_filter(string_split(upper(p_name), ' '), lambda w: w <> 'RED'), '+') AS words, TRY_CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS brand, upper(replace(p_name, ' ', '')) AS name,
+CASE WHEN string_split(p_name, ' ')[1] = string_split(p_name, ' ')[2] THEN 1 ELSE len(string_split(p_name, ' ')) END::BIGINT AS changes FROM part""")
+def text_words(spark: SparkSession, d: str) -> DataFrame:
+    words = text.without(text.word_set(F.col("p_name")), ["RED"])
+    changes = F.size(text.once_in_a_row(F.split("p_name", " "))).cast("long")
+    return table(spark, d, "part").select("p_partkey", F.array_join(words, "+").alias("words"), text.whole_number(F.regexp_extract("p_brand", "[0-9]+", 0)).alias("brand"), text.normalised(F.col("p_name")).alias("name"), changes.alias("changes"))
+
+
+@query("gram_coverage", """WITH w AS (SELECT p_partkey, string_split(lower(p_name || ' of ' || p_type || ' size'), ' ') AS a, string_split(lower(p_name || ' of any size'), ' ') AS b FROM part), g AS (SELECT p_partkey, list_distinct(list_transform(range(1, len(a)), lambda k: a[k] || ' ' || a[k + 1])) AS x, list_distinct(list_transform(range(1, len(b)), lambda k: b[k] || ' ' || b[k + 1])) AS y FROM w)
+SELECT p_partkey, round(len(list_intersect(x, y)) / len(x), 9) AS share FROM g""")
+def gram_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The share of a label's pairs of words that another has as well."""
+    label = lambda *more: F.split(F.lower(F.concat("p_name", *[F.lit(x) if isinstance(x, str) else x for x in more])), " ")
+    share = text.gram_coverage(label(" of ", F.col("p_type"), " size"), label(" of any size"), 2)
+    return table(spark, d, "part").select("p_partkey", F.round(share, 9).alias("share"))
+
+
+@query("iso_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS at FROM orders")
+def iso_dates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+
+
+@query("sealed_maps", "SELECT p_partkey, sha256('[{~key~:~b~,~value~:~' || p_brand || '~},{~key~:~t~,~value~:~' || p_type || '~}]') AS seal FROM part".replace("~", '"'))
+def sealed_maps(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", text.map_checksum(F.create_map(F.lit("t"), "p_type", F.lit("b"), "p_brand")).alias("seal"))
+
+
 @query("distinct_list", "SELECT p_brand, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS p_type FROM part GROUP BY p_brand")
 def distinct_list(spark: SparkSession, d: str) -> DataFrame:
     return summaries.distinct_list(table(spark, d, "part"), ["p_brand"], "p_type")

@@ -63,6 +63,20 @@ def segment_crossings(spark: SparkSession, d: str) -> DataFrame:
     return geometry.crossings(b.where("l_returnflag = 'R'").withColumn("y", F.col("y0")), b.where("l_returnflag = 'A'").withColumn("x", F.col("x0")), 32.0, 1.0)
 
 
+_SEGMENTS = f"SELECT id, x AS ax, y AS ay, x + id % 7 * 90 - 270 AS bx, y + id % 5 * 120 - 240 AS ey FROM ({_POINTS})"
+
+
+@query("segment_measures", f"""WITH s AS ({_SEGMENTS}), t AS (SELECT *, bx - ax AS dx, ey - ay AS dy FROM s), c AS (SELECT *,
+greatest(0.0, CASE WHEN dx <> 0 THEN least((500 - ax) / dx, (1500 - ax) / dx) ELSE 0 END, CASE WHEN dy <> 0 THEN least((400 - ay) / dy, (1600 - ay) / dy) ELSE 0 END) AS lo,
+least(1.0, CASE WHEN dx <> 0 THEN greatest((500 - ax) / dx, (1500 - ax) / dx) ELSE 1 END, CASE WHEN dy <> 0 THEN greatest((400 - ay) / dy, (1600 - ay) / dy) ELSE 1 END) AS hi FROM t)
+SELECT id, round(sqrt(dx * dx + dy * dy), 6) AS length, CASE WHEN dx = 0 AND dy = 0 THEN 'point' WHEN dy = 0 THEN 'h' WHEN dx = 0 THEN 'v' ELSE 'other' END AS orientation, lo <= hi AND NOT (dx = 0 AND (ax < 500 OR ax > 1500)) AND NOT (dy = 0 AND (ay < 400 OR ay > 1600)) AS meets FROM c""")
+def segment_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Segments' lengths and orientations, and whether they meet a box."""
+    ends = F.col("x"), F.col("y"), F.col("x") + F.col("id") % 7 * 90 - 270, F.col("y") + F.col("id") % 5 * 120 - 240
+    box = tuple(F.lit(v) for v in (500.0, 400.0, 1500.0, 1600.0))
+    return _points(spark, d).select("id", F.round(bx.segment_length(*ends), 6).alias("length"), bx.orientation(*ends).alias("orientation"), bx.segment_meets_box(*ends, box).alias("meets"))
+
+
 @query("grid_clusters", f"SELECT round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS n FROM ({_POINTS}) GROUP BY floor(x / 30 + 0.5), floor(y / 30 + 0.5) HAVING count(*) >= 3")
 def grid_clusters(spark: SparkSession, d: str) -> DataFrame:
     return summaries.grid_clusters(_points(spark, d), 30.0, 3).select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n")
