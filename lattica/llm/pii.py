@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words
+from ._shared import fits as can_be_broadcast
 from ._shared import save, table, unclashed
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -250,7 +251,9 @@ def identifiers(docs: DataFrame, keep: list[str] | None = None, rounds: int = RO
     before = Window.partitionBy("__row").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
     new = new.withColumn("reach", F.max("e").over(before)).where("reach is null or e > reach")
     new = new.groupBy("__row").agg(F.collect_list(F.struct(F.col("kind").alias("k"), "s", "e")).alias("more"))
-    out = rows.drop("seen").join(new, "__row", "left")
+    # a row for each document that contexts add spans to
+    new = save(new, "added")
+    out = rows.drop("seen").join(F.broadcast(new) if can_be_broadcast(new) else new, "__row", "left")
     return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))).select(*keep, "base", "spans")
 
 
