@@ -520,3 +520,13 @@ def test_pipeline(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         none = corpus_pipeline.save(stage(spark, none, ""), "test")
     assert none.count() == 0
+
+
+def test_pipeline_keeps_one_of_each_group(spark, docs):
+    import corpus_pipeline
+
+    stays = {r.doc_id for r in simhash_dedup.near_duplicates(docs).collect() if r.doc_id == r.component_id}
+    kept = corpus_pipeline.near_dedup(spark, docs.select(*corpus_pipeline.DOCUMENTS), "").collect()
+    assert collections.Counter(r.doc_id for r in kept) == collections.Counter(stays)
+    whole = {tuple(r) for r in docs.select(*corpus_pipeline.DOCUMENTS).collect()}
+    assert all(tuple(r) in whole for r in kept)
