@@ -33,6 +33,17 @@ def expanded(b: Box, by: float) -> Box:
     return b[0] - by, b[1] - by, b[2] + by, b[3] + by
 
 
+def scaled(b: Box, by: float, width: float, height: float) -> Box:
+    """Coordinates times a factor, no less than 0 and no more than the width or height."""
+    most = (width, height, width, height)
+    return tuple(_null_if((c,), F.greatest(F.lit(0.0), F.least(F.lit(float(m)), c * by))) for c, m in zip(b, most, strict=True))
+
+
+def grid_key(x: Column, y: Column, size: float) -> Column:
+    """The same text for all points that round to the same multiples of size, halves up."""
+    return F.concat(F.floor(x / size + 0.5), F.lit(","), F.floor(y / size + 0.5))
+
+
 def joined(a: Box, b: Box) -> Box:
     """The least box that holds both."""
     return tuple(_null_if((p, q), (F.least if k < 2 else F.greatest)(p, q)) for k, (p, q) in enumerate(zip(a, b, strict=True)))

@@ -104,6 +104,38 @@ def gram_coverage(part: Column, whole: Column, n: int) -> Column:
     return F.when(F.size(own) > 0, F.size(F.array_intersect(own, grams(whole))) / F.size(own))
 
 
+def squeezed(c: Column) -> Column:
+    """Narrow, upper case, without white space; empty for a null."""
+    return F.coalesce(F.regexp_replace(F.upper(narrowed(c)), f"[{SPACES}]+", ""), F.lit(""))
+
+
+def first_rule(c: Column, rules: list[tuple[str, str]]) -> Column:
+    """The name of the first rule (regular expression, name) that the text holds a match for; null if there is none."""
+    out = F.lit(None).cast("string")
+    for pattern, name in reversed(rules):
+        out = F.when(c.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def lettered_number(c: Column) -> Column:
+    """A struct of the letters in front (letters), the number behind them (number) and its width in digits (width) of a text like AB012; null
+    for any other text."""
+    parts = lambda n: F.regexp_extract(c, r"^([A-Za-z]+)([0-9]{1,18})$", n)
+    return F.when(c.rlike(r"^[A-Za-z]+[0-9]{1,18}$"), F.struct(parts(1).alias("letters"), parts(2).try_cast("long").alias("number"), F.length(parts(2)).alias("width")))
+
+
+def span(first: Column, last: Column, most: int) -> Column:
+    """The texts from one like AB08 to another with the same letters, numbers as wide as the wider one; null if letters differ, the span runs
+    backwards or holds more than `most` texts."""
+    a, b = lettered_number(first), lettered_number(last)
+    size = b["number"] - a["number"]
+    width = F.greatest(a["width"], b["width"])
+    # without its condition the sequence would be built for spans of any length
+    numbers = F.sequence(a["number"], F.when(size.between(0, most - 1), b["number"]).otherwise(a["number"]))
+    texts = F.transform(numbers, lambda n: F.concat(a["letters"], F.lpad(n.cast("string"), F.greatest(width, F.length(n.cast("string"))), F.lit("0"))))
+    return F.when((a["letters"] == b["letters"]) & size.between(0, most - 1), texts)
+
+
 def resolve(columns: list[str], name: str) -> str | None:
     """The first column whose name equals another but for case, spaces, hyphens and underscores."""
     plain = lambda x: "".join(c for c in x.lower() if c not in " -_")

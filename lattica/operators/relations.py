@@ -18,6 +18,14 @@ def combined(a: DataFrame, b: DataFrame, kind: str, every: bool = False) -> Data
     return a.exceptAll(b) if every else a.subtract(b)
 
 
+def where_present(df: DataFrame, values: dict[str, object]) -> DataFrame:
+    """Rows that have the given values in those of the columns that the table has."""
+    for c, v in values.items():
+        if c in df.columns:
+            df = df.where(F.col(c) == F.lit(v))
+    return df
+
+
 def page(df: DataFrame, order: list[str | Column], offset: int, limit: int) -> DataFrame:
     """Rows offset .. offset + limit - 1 in an order, which must tell all rows apart. Spark keeps offset + limit rows of a task at most."""
     return df.orderBy(*order).offset(offset).limit(limit)

@@ -45,6 +45,12 @@ def covered(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     return df.withColumn("__new", new).groupBy(*by).agg(F.sum("__new").alias("covered"), (F.max(end) - F.min(start)).alias("span"))
 
 
+def sliding(df: DataFrame, by: list[str], order: list[str | Column], column: str, n: int, name: str) -> DataFrame:
+    """df's rows that n - 1 rows of their group follow, and the values of those n rows as an array (nulls are left out, as arrays are collected)."""
+    ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(0, n - 1)
+    return df.withColumn("__n", F.count(F.lit(1)).over(ahead)).withColumn(name, F.collect_list(column).over(ahead)).where(F.col("__n") == n).drop("__n")
+
+
 def tail_split(df: DataFrame, by: list[str], order: list[str | Column], share: float, least: int = 1) -> DataFrame:
     """df and `held`: whether a row is among the last ceil(share * n), and `least` at least, of its group's n rows."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -56,6 +56,18 @@ def ordered_list(df: DataFrame, group: list[str], order: str, column: str) -> Da
     return groups.join(listed.withColumnsRenamed(names), equal, "left").select(*group, F.coalesce(column, F.array().cast(f"array<{kind}>")).alias(column))
 
 
+def collapsed(df: DataFrame, keys: list[str], order: str, listed: str, number: str, separator: str = ",") -> DataFrame:
+    """keys and, of each group: place (its least value of `order`), the distinct values of `listed` by first occurrence, joined, and `number`: the
+    one value if all are equal, else the sum, as whole numbers; null if a value is none."""
+    whole = F.col(number).try_cast("long")
+    groups = df.groupBy(*keys).agg(F.min(order).alias("place"), F.when(F.min(number).eqNullSafe(F.max(number)), F.min(whole)).when(F.count(whole) == F.count("*"), F.sum(whole)).alias(number))
+    lists = ordered_list(df, keys, order, listed).withColumn(listed, F.array_join(listed, separator)).withColumnsRenamed({c: f"__{c}" for c in keys})
+    equal = F.lit(True)
+    for c in keys:
+        equal &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return groups.join(lists, equal).select(*keys, "place", listed, number)
+
+
 def flag_counts(df: DataFrame, flags: str, most: int, sample: str) -> DataFrame:
     """flag, n, samples of an array column: how many rows have a flag, and the `most` least values of `sample` among them. Spark keeps `most`
     rows of a flag in each task before the shuffle."""

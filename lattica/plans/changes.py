@@ -148,6 +148,49 @@ def gram_coverage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.round(share, 9).alias("share"))
 
 
+@query("label_parts", """SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 'ring' WHEN p_name LIKE '%red%' THEN 'red' WHEN regexp_matches(p_name, '^b') THEN 'b' END AS kind, upper(replace(p_name, ' ', '')) AS squeezed, 'P' AS letters, p_size::BIGINT AS number, 4 AS width,
+(SELECT string_agg('P' || lpad(k::VARCHAR, 4, '0'), '+' ORDER BY k) FROM range(p_size, p_size + p_size % 4 + 1) r(k)) AS span FROM part""")
+def label_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds by ordered rules; labels made of letters and a number, and spans of them."""
+    label = lambda n: F.concat(F.lit("P"), F.lpad(n.cast("string"), 4, "0"))
+    parts = text.lettered_number(label(F.col("p_size")))
+    spans = text.span(label(F.col("p_size")), label(F.col("p_size") + F.col("p_size") % 4), 100)
+    kind = text.first_rule(F.col("p_name"), [("ring", "ring"), ("red", "red"), ("^b", "b")])
+    return table(spark, d, "part").select("p_partkey", kind.alias("kind"), text.squeezed(F.col("p_name")).alias("squeezed"), parts["letters"].alias("letters"), parts["number"].alias("number"), parts["width"].alias("width"), F.array_join(spans, "+").alias("span"))
+
+
+@query("collapsed_rows", """SELECT l_orderkey, min(l_linenumber) AS place, (SELECT string_agg(f, ',' ORDER BY k, f) FROM (SELECT i.l_returnflag AS f, min(i.l_linenumber) AS k FROM lineitem i WHERE i.l_orderkey = o.l_orderkey GROUP BY 1)) AS l_returnflag,
+CASE WHEN min(l_suppkey) = max(l_suppkey) THEN min(l_suppkey) ELSE sum(l_suppkey) END::BIGINT AS l_suppkey FROM lineitem o GROUP BY l_orderkey""")
+def collapsed_rows(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.collapsed(table(spark, d, "lineitem"), ["l_orderkey"], "l_linenumber", "l_returnflag", "l_suppkey")
+
+
+@query("nation_rollup", """SELECT n_name, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders, max(o_orderdate) AS last, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, nullif(count(*) FILTER (o_orderstatus IS NOT NULL), 0) AS known
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name""")
+def nation_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of two levels below a nation, the newest date, counts by status, and a denominator that is null where nothing is known."""
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.max("o_orderdate").alias("last"), F.count_if(F.col("o_orderstatus") == "F").alias("F"), F.count_if(F.col("o_orderstatus") == "O").alias("O"), F.count("o_orderstatus").alias("known"))
+    customers = table(spark, d, "customer").where("c_acctbal > 9000").join(orders, "c_custkey", "left")
+    of = customers.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"), F.sum("n").alias("orders"), F.max("last").alias("last"), F.sum("F").alias("F"), F.sum("O").alias("O"), F.sum("known").alias("known"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return table(spark, d, "nation").join(of, "n_nationkey", "left").select("n_name", zero("customers"), zero("orders"), "last", zero("F"), zero("O"), F.nullif(F.col("known"), F.lit(0)).alias("known"))
+
+
+@query("present_columns", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def present_columns(spark: SparkSession, d: str) -> DataFrame:
+    """A filter on a column that the table has, and one on a column that it has not."""
+    return relations.where_present(table(spark, d, "orders"), {"o_orderstatus": "F", "project": 7}).select("o_orderkey")
+
+
+@query("double_classes", "SELECT class, kind, count(*) AS n FROM (SELECT p_type AS class, 'type' AS kind FROM part UNION ALL SELECT p_type || '_large', 'type' FROM part WHERE p_size > 25 UNION ALL SELECT p_brand, 'brand' FROM part) GROUP BY 1, 2")
+def double_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of classes where a row has one or more: its type, that of large ones again, its brand."""
+    each = lambda c, kind: F.struct(c.alias("class"), F.lit(kind).alias("kind"))
+    large = F.when(F.col("p_size") > 25, F.concat("p_type", F.lit("_large")))
+    rows = table(spark, d, "part").select(F.explode(F.array(each(F.col("p_type"), "type"), each(large, "type"), each(F.col("p_brand"), "brand"))).alias("c"))
+    return rows.where("c.class is not null").groupBy("c.class", "c.kind").agg(F.count("*").alias("n"))
+
+
 @query("iso_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS at FROM orders")
 def iso_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))

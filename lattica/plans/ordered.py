@@ -57,6 +57,20 @@ def tail_split(spark: SparkSession, d: str) -> DataFrame:
     return series.tail_split(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 0.25, 2).select("o_orderkey", "held")
 
 
+@query("sliding_runs", "SELECT o_orderkey, array_to_string(run, '') AS run FROM (SELECT o_orderkey, list(o_orderstatus) OVER w AS run, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) WHERE n = 3")
+def sliding_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Each three statuses in a row of a customer's orders."""
+    found = series.sliding(table(spark, d, "orders"), ["o_custkey"], ["o_orderkey"], "o_orderstatus", 3, "run")
+    return found.select("o_orderkey", F.array_join("run", "").alias("run"))
+
+
+@query("newest_per_key", "SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INTEGER AS rank FROM events WHERE event_type IN ('click', 'view')) WHERE rank <= 20")
+def newest_per_key(spark: SparkSession, d: str) -> DataFrame:
+    """The newest twenty events of two kinds of each user."""
+    some = table(spark, d, "events").where(F.col("event_type").isin("click", "view")).select("user_id", "event_id", "ts")
+    return summaries.top_per_group(some, ["user_id"], [F.desc("ts"), F.desc("event_id")], 20).drop("ts")
+
+
 @query("page_of_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
 def page_of_rows(spark: SparkSession, d: str) -> DataFrame:
     return relations.page(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 100, 50)

@@ -77,6 +77,13 @@ def segment_measures(spark: SparkSession, d: str) -> DataFrame:
     return _points(spark, d).select("id", F.round(bx.segment_length(*ends), 6).alias("length"), bx.orientation(*ends).alias("orientation"), bx.segment_meets_box(*ends, box).alias("meets"))
 
 
+@query("scaled_boxes", f"SELECT id, round(least(900.0, greatest(0.0, x0 * 0.48)), 6) AS x0, round(least(800.0, greatest(0.0, y1 * 0.48)), 6) AS y1, floor(x0 / 3 + 0.5)::BIGINT::VARCHAR || ',' || floor(y0 / 3 + 0.5)::BIGINT::VARCHAR AS node FROM ({_BOXES})")
+def scaled_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes in another resolution, within a page, and the keys of the grid nodes that their corners round to."""
+    own = bx.scaled(bx.box(), 0.48, 900.0, 800.0)
+    return boxes(spark, d).select("id", F.round(own[0], 6).alias("x0"), F.round(own[3], 6).alias("y1"), bx.grid_key(F.col("x0"), F.col("y0"), 3.0).alias("node"))
+
+
 @query("grid_clusters", f"SELECT round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS n FROM ({_POINTS}) GROUP BY floor(x / 30 + 0.5), floor(y / 30 + 0.5) HAVING count(*) >= 3")
 def grid_clusters(spark: SparkSession, d: str) -> DataFrame:
     return summaries.grid_clusters(_points(spark, d), 30.0, 3).select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n")

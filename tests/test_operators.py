@@ -51,6 +51,21 @@ def test_text_keys(spark):
     assert text.resolve(["Wire Label", "b"], "wire_label") == "Wire Label" and text.resolve(["b"], "a") is None
 
 
+def test_labels_spans_and_rules(spark):
+    pick = lambda c: spark.range(1).select(c).first()[0]
+    s = lambda v: F.lit(v).cast("string")
+    assert [pick(text.span(s(a), s(b), 5)) for a, b in (("A8", "A10"), ("A08", "A10"), ("A9", "A9"), ("A9", "B10"), ("A9", "A8"), ("A1", "A99"), ("A1", None), ("", "A1"))] == [["A08", "A09", "A10"], ["A08", "A09", "A10"], ["A9"], None, None, None, None, None]
+    assert tuple(pick(text.lettered_number(s("XY007")))) == ("XY", 7, 3) and pick(text.lettered_number(s("7X"))) is None and pick(text.lettered_number(s("A" + "9" * 40))) is None
+    assert [pick(text.first_rule(s(v), [("a", "one"), ("b$", "two")])) for v in ("ab", "b", "c", None)] == ["one", "two", None, None]
+    assert [pick(text.squeezed(s(v))) for v in (" a　ｂ\n", None)] == ["AB", ""]
+    box = tuple(F.lit(v) for v in (-1.0, 2.0, 30.0, None))
+    assert [pick(c) for c in bx.scaled(box, 2.0, 50, 60)] == [0.0, 4.0, 50.0, None] and pick(bx.grid_key(F.lit(1.5), F.lit(-1.5), 3.0)) == "1,0"
+    rows = spark.createDataFrame([("k", 1, "b", "2"), ("k", 2, "a", "3"), ("k", 3, "b", "3"), (None, 4, None, "x"), ("j", 5, "c", "7"), ("j", 6, "c", "7")], "g string, at int, v string, n string")
+    assert _rows(summaries.collapsed(rows, ["g"], "at", "v", "n")) == collections.Counter([("k", 1, "b,a", 8), (None, 4, "", None), ("j", 5, "c", 7)])
+    assert _rows(series.sliding(rows, ["g"], ["at"], "at", 2, "w").select("at", F.array_join("w", "-"))) == collections.Counter([(1, "1-2"), (2, "2-3"), (5, "5-6")])
+    assert relations.where_present(rows, {"g": "j", "none": 1}).count() == 2
+
+
 def _random_boxes(n, seed, size=30):
     r = random.Random(seed)
     out = []
