@@ -136,7 +136,7 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
 @query("box_overlaps", f"WITH b AS ({_BOXES}) SELECT a.page, a.id AS a_id, c.id AS b_id, (least(a.x1, c.x1) - greatest(a.x0, c.x0)) * (least(a.y1, c.y1) - greatest(a.y0, c.y0)) AS area FROM b a JOIN b c ON a.page = c.page AND a.x0 < c.x1 AND c.x0 < a.x1 AND a.y0 < c.y1 AND c.y0 < a.y1 WHERE a.l_returnflag = 'R' AND c.l_returnflag = 'A'")
 def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
     b = boxes(spark, d)
-    return geometry.overlaps(b.where("l_returnflag = 'R'"), b.where("l_returnflag = 'A'"), 64.0)
+    return geometry.overlaps(b.where("l_returnflag = 'R'"), b.where("l_returnflag = 'A'"), 32.0)
 
 
 @query("nearest_boxes", f"""WITH b AS ({_BOXES}), g AS (SELECT a.page, a.id AS a_id, c.id AS b_id, greatest(0.0, a.x0 - c.x1, c.x0 - a.x1) AS dx, greatest(0.0, a.y0 - c.y1, c.y0 - a.y1) AS dy
