@@ -341,6 +341,20 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
     assert os.path.isdir(folder)
 
 
+def test_saved_tables_and_buckets_can_be_cleared(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_saved", [])
+    rows = spark.range(100).select("id", (F.col("id") % 7).alias("k"))
+    one, two = shared.save(rows, "plain"), shared.save_bucketed(rows, "buckets", 4, "k")
+    assert _rows(one) == _rows(two) == _rows(rows)
+    # groups by the bucket's column need no shuffle
+    plan = two.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    folders = [p.removeprefix("file:") for p in shared._saved]
+    assert len(folders) == 2 and all(map(os.path.isdir, folders))
+    shared.clear(spark)
+    assert not any(map(os.path.exists, folders)) and not shared._saved
+
+
 def test_the_rest_imports_without_the_corpus_operators(tmp_path):
     for name in ("lattica", "__spark_entry__.py", "bench.py", "corpus_pipeline.py"):
         source = os.path.join(ROOT, name)
