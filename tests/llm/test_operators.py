@@ -124,6 +124,13 @@ def test_outliers_equal_an_estimate_over_rows(spark):
     assert 0 < sum(kept) < len(kept)
 
 
+def test_outliers_by_salted_keys(spark, docs, monkeypatch):
+    of = lambda: collections.Counter((r.doc_id, r.kept, None if r.distance2 is None else round(r.distance2, 6)) for r in quality_rules.quality_rules(docs, min_rows=5).collect())
+    by_broadcast = of()
+    monkeypatch.setattr(quality_rules, "fits", lambda small: False)
+    assert of() == by_broadcast
+
+
 def test_simhash_equals_brute_force(docs, rows):
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash_dedup.near_duplicates(docs).collect()}
     prints = [(r.doc_id, simhash_dedup.fingerprint((r.text or "").encode())) for r in rows]
