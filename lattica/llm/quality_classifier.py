@@ -26,6 +26,7 @@ from .statistics import COUNTS, with_statistics
 
 FEATURES, GAMMA, RIDGE, SEED = 256, 0.2, 1e-3, 7
 CAL_BINS, THRESHOLD = 2000, 0.3
+MOST_TASKS = 1024  # that sum products; each leaves a row for each feature
 
 
 def bucket(column):
@@ -90,8 +91,8 @@ def _solve(rows: DataFrame, fourier: Fourier, ridge: float) -> np.ndarray:
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"k": [key[0]], "sums": [np.sum([np.frombuffer(x) for x in pdf["sums"]], 0).tobytes()]})
 
-    # labelled statistics are some hundred bytes a row: fewer, larger tasks leave fewer sums to add
-    got = rows.coalesce(64).mapInArrow(products, "k long, sums binary").groupBy("k").applyInPandas(add, "k long, sums binary").toPandas().sort_values("k")
+    # labelled statistics are some hundred bytes a row: a bounded number of tasks leaves fewer sums to add
+    got = rows.coalesce(MOST_TASKS).mapInArrow(products, "k long, sums binary").groupBy("k").applyInPandas(add, "k long, sums binary").toPandas().sort_values("k")
     total = np.stack([np.frombuffer(x) for x in got["sums"]])
     n = total[0, -1]
     return np.linalg.solve(total[:, :d] / n + ridge * np.eye(d), total[:, d] / n)
