@@ -70,6 +70,16 @@ def prefix_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str)
     return one.select(*columns).unionByName(two.select(*columns))
 
 
+def first_match(left: DataFrame, right: DataFrame, left_id: str, keys: Column, right_key: str, order: list[str | Column]) -> DataFrame:
+    """left_id and the columns of the first row of right, in an order, whose normalised key is among a row's keys (an array of texts), each key as
+    normalised; nulls where there is none. Repeated ids of left count as one."""
+    wanted = left.select(F.col(left_id).alias("__id"), F.explode(keys).alias("__key")).select("__id", F.nullif(normalised(F.col("__key")), F.lit("")).alias("__key")).distinct()
+    # the first row of a key is all that can be first for any row that has it
+    one = right.withColumn("__key", normalised(F.col(right_key))).withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(*order))).where("__n = 1").drop("__n")
+    found = wanted.join(one, "__key").withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy(*order))).where("__n = 1").drop("__n", "__key")
+    return left.select(left_id).distinct().join(found, F.col(left_id).eqNullSafe(F.col("__id")), "left").drop("__id")
+
+
 def reciprocal(rows: DataFrame, origin: str, target: str) -> DataFrame:
     """Pairs lo < hi of which each refers to the other."""
     pairs = rows.select(F.least(origin, target).alias("lo"), F.greatest(origin, target).alias("hi"), (F.col(origin) < F.col(target)).alias("up")).where(f"{origin} != {target}")

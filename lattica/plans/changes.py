@@ -191,6 +191,34 @@ def double_classes(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("c.class is not null").groupBy("c.class", "c.kind").agg(F.count("*").alias("n"))
 
 
+@query("first_match", """WITH k AS (SELECT DISTINCT c_custkey, upper(w) AS w FROM (SELECT c_custkey, unnest(['small ' || (c_nationkey % 7)::VARCHAR, 'Brand-' || c_nationkey::VARCHAR]) AS w FROM customer)), n AS (SELECT c_custkey, regexp_replace(w, '[^A-Z0-9]', '', 'g') AS w FROM k),
+m AS (SELECT c_custkey, p_partkey, p_brand, row_number() OVER (PARTITION BY c_custkey ORDER BY p_partkey) AS i FROM n JOIN part ON regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g') = w) SELECT c.c_custkey, m.p_partkey, m.p_brand FROM customer c LEFT JOIN m ON m.c_custkey = c.c_custkey AND m.i = 1""")
+def first_match(spark: SparkSession, d: str) -> DataFrame:
+    """The first part of a brand that one of a customer's labels names, in another spelling."""
+    labels = F.array(F.concat(F.lit("small "), (F.col("c_nationkey") % 7).cast("string")), F.concat(F.lit("Brand-"), F.col("c_nationkey").cast("string")))
+    return joins.first_match(table(spark, d, "customer"), table(spark, d, "part").select("p_partkey", "p_brand"), "c_custkey", labels, "p_brand", ["p_partkey"])
+
+
+@query("owner_lookup", "SELECT l_orderkey, l_linenumber, l_partkey, s_name AS owner, s_name IS NULL AS open FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0")
+def owner_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Lines and their supplier if it is solvent; those without one are open."""
+    owners = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("owner"))
+    return table(spark, d, "lineitem").join(owners, "l_suppkey", "left").select("l_orderkey", "l_linenumber", "l_partkey", "owner", F.col("owner").isNull().alias("open"))
+
+
+@query("grouped_ids", "SELECT o_custkey, o_orderstatus, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS ids, count(*) AS n FROM orders GROUP BY 1, 2")
+def grouped_ids(spark: SparkSession, d: str) -> DataFrame:
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",")
+    return table(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(ids.alias("ids"), F.count("*").alias("n"))
+
+
+@query("filtered_newest", "SELECT event_id, user_id FROM events WHERE event_type = 'click' AND user_id % 3 = 1 AND ts >= TIMESTAMP '2024-01-02' ORDER BY ts DESC, event_id DESC LIMIT 100")
+def filtered_newest(spark: SparkSession, d: str) -> DataFrame:
+    """The newest hundred events that several conditions hold for."""
+    some = table(spark, d, "events").where("event_type = 'click' and user_id % 3 = 1 and ts >= timestamp'2024-01-02'")
+    return relations.page(some, [F.desc("ts"), F.desc("event_id")], 0, 100).select("event_id", "user_id")
+
+
 @query("iso_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS at FROM orders")
 def iso_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))

@@ -77,6 +77,20 @@ def segment_measures(spark: SparkSession, d: str) -> DataFrame:
     return _points(spark, d).select("id", F.round(bx.segment_length(*ends), 6).alias("length"), bx.orientation(*ends).alias("orientation"), bx.segment_meets_box(*ends, box).alias("meets"))
 
 
+@query("region_lookup", f"SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY id * 7919 % 1000 DESC, id)::INTEGER AS rank FROM ({_BOXES}) WHERE x0 <= 700 AND x1 >= 500 AND y0 <= 900 AND y1 >= 600")
+def region_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The boxes of a region by falling score."""
+    region = tuple(F.lit(v) for v in (500.0, 600.0, 700.0, 900.0))
+    score = F.col("id") * 7919 % 1000
+    found = boxes(spark, d).where(bx.touches(bx.box(), region)).withColumn("score", score)
+    return summaries.top_per_group(found, ["page"], [F.desc("score"), F.col("id")], 1 << 30).select("page", "id", "rank")
+
+
+@query("reading_order", f"SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY y0, x0, id)::INTEGER AS rank FROM ({_BOXES})")
+def reading_order(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.top_per_group(boxes(spark, d), ["page"], [F.col("y0"), F.col("x0"), F.col("id")], 1 << 30).select("page", "id", "rank")
+
+
 @query("scaled_boxes", f"SELECT id, round(least(900.0, greatest(0.0, x0 * 0.48)), 6) AS x0, round(least(800.0, greatest(0.0, y1 * 0.48)), 6) AS y1, floor(x0 / 3 + 0.5)::BIGINT::VARCHAR || ',' || floor(y0 / 3 + 0.5)::BIGINT::VARCHAR AS node FROM ({_BOXES})")
 def scaled_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes in another resolution, within a page, and the keys of the grid nodes that their corners round to."""

@@ -190,6 +190,9 @@ def test_joins_with_nulls_and_clashes(spark):
     names = spark.createDataFrame([("Ab",), ("abc",), ("",), (None,), ("b",)], "a string")
     other = spark.createDataFrame([("ABC d",), ("ab",), ("x",)], "b string")
     assert _rows(joins.prefix_join(names, other, "a", "b")) == collections.Counter([("Ab", "ABC d"), ("Ab", "ab"), ("abc", "ABC d"), ("abc", "ab")])
+    asked = spark.createDataFrame([(1, ["a-1", "B 2"]), (2, None), (3, [None, ""]), (1, ["x"]), (None, ["b2"])], "id int, keys array<string>")
+    bank = spark.createDataFrame([("A1", 5, "p"), ("b2", 4, "q"), ("B-2", 6, "r"), (None, 1, "s"), ("", 1, "t")], "name string, at int, what string")
+    assert _rows(joins.first_match(asked, bank, "id", F.col("keys"), "name", ["at"]).select("id", "what")) == collections.Counter([(1, "q"), (2, None), (3, None), (None, "q")])
     links = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 1), (4, 4), (None, 1)], "u int, v int")
     assert _rows(joins.reciprocal(links, "u", "v")) == collections.Counter([(1, 2)])
     expected, found = spark.createDataFrame([("k", 1), ("k", 2), ("k", 3), (None, 4)], "k string, e int"), spark.createDataFrame([("k", 10), ("k", 20), (None, 30)], "k string, f int")
