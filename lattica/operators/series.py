@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.sources.shared import save
+
 
 def _upto(by: list[str], order: list[str | Column], last: int = 0):
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
@@ -51,6 +53,26 @@ def sliding(df: DataFrame, by: list[str], order: list[str | Column], column: str
     return df.withColumn("__n", F.count(F.lit(1)).over(ahead)).withColumn(name, F.collect_list(column).over(ahead)).where(F.col("__n") == n).drop("__n")
 
 
+def bands(df: DataFrame, by: list[str], value: str, width: float, name: str = "band") -> DataFrame:
+    """df and the first value of each row's band: in the order of their values, rows belong to a band up to less than `width` behind its first one,
+    and the next row begins another. A band's begin depends on the one before; the chain of begins is found by pointers that double their
+    reach in each round, so a group is no single task's work. A null value is in no band. Column names that begin with two underscores are taken."""
+    keyed = df.withColumn("__g", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")).withColumn("__v", F.col(value).cast("double"))
+    onward = f"min(__v) over (partition by __g order by __v range between cast({float(width)!r} as double) following and unbounded following)"
+    points = save(keyed.select("__g", "__v").where("__v is not null").distinct().select("__g", "__v", F.expr(onward).alias("__to")), "points")
+    begins, jump = save(points.groupBy("__g").agg(F.min("__v").alias("__v")), "begins"), points
+    known, found = 0, begins.count()
+    while found > known:
+        reached = begins.join(jump.where("__to is not null"), ["__g", "__v"]).select("__g", F.col("__to").alias("__v"))
+        begins = save(begins.unionByName(reached).distinct(), "begins")
+        known, found = found, begins.count()
+        further = jump.select("__g", F.col("__v").alias("__to"), F.col("__to").alias("__next"))
+        jump = save(jump.join(further, ["__g", "__to"]).select("__g", "__v", F.col("__next").alias("__to")), "jumps")
+    marked = points.join(begins.withColumn("__begin", F.col("__v")), ["__g", "__v"], "left")
+    marked = marked.select("__g", "__v", F.last("__begin", ignorenulls=True).over(_upto(["__g"], ["__v"])).alias(name))
+    return keyed.join(marked, ["__g", "__v"], "left").select(*df.columns, name)
+
+
 def tail_split(df: DataFrame, by: list[str], order: list[str | Column], share: float, least: int = 1) -> DataFrame:
     """df and `held`: whether a row is among the last ceil(share * n), and `least` at least, of its group's n rows."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

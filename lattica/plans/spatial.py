@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import boxes as bx
-from lattica.operators import geometry, joins, summaries
+from lattica.operators import geometry, joins, series, summaries
 
 from .registry import query, table
 from .relational import _BOXES, boxes
@@ -91,6 +91,13 @@ def reading_order(spark: SparkSession, d: str) -> DataFrame:
     return summaries.top_per_group(boxes(spark, d), ["page"], [F.col("y0"), F.col("x0"), F.col("id")], 1 << 30).select("page", "id", "rank")
 
 
+@query("line_bands", f"""WITH RECURSIVE b AS (SELECT DISTINCT page, y0 FROM ({_BOXES})), a AS (SELECT page, min(y0) AS y FROM b GROUP BY page UNION SELECT a.page, (SELECT min(y0) FROM b WHERE b.page = a.page AND b.y0 >= a.y + 12) FROM a WHERE a.y IS NOT NULL)
+SELECT page, id, (SELECT max(y) FROM a WHERE a.page = x.page AND a.y <= x.y0) AS band FROM ({_BOXES}) x""")
+def line_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes by lines of text: a line takes what begins less than 12 below its first box."""
+    return series.bands(boxes(spark, d), ["page"], "y0", 12.0).select("page", "id", "band")
+
+
 @query("scaled_boxes", f"SELECT id, round(least(900.0, greatest(0.0, x0 * 0.48)), 6) AS x0, round(least(800.0, greatest(0.0, y1 * 0.48)), 6) AS y1, floor(x0 / 3 + 0.5)::BIGINT::VARCHAR || ',' || floor(y0 / 3 + 0.5)::BIGINT::VARCHAR AS node FROM ({_BOXES})")
 def scaled_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes in another resolution, within a page, and the keys of the grid nodes that their corners round to."""

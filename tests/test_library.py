@@ -215,6 +215,18 @@ def test_series_with_nulls_ties_and_odd_intervals(spark):
         assert f(df.limit(0)).count() == 0
 
 
+def test_bands_equal_the_loop(spark):
+    r = random.Random(12)
+    rows = [(["a", "b", None][k % 3], r.choice([None, *[x / 2 for x in range(300)]])) for k in range(400)] + [("c", 5.0), ("d", None)]
+    want, begin = collections.Counter(), {}
+    for g, v in sorted((x for x in rows if x[1] is not None), key=lambda x: (str(x[0]), x[1])):
+        begin[g] = v if g not in begin or v >= begin[g] + 2.5 else begin[g]
+        want[g, v, begin[g]] += 1
+    got = series.bands(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", 2.5)
+    assert _rows(got) == want + collections.Counter((g, None, None) for g, v in rows if v is None)
+    assert series.bands(got.drop("band").limit(0), ["g"], "v", 2.5).count() == 0
+
+
 def test_relations(spark, tmp_path):
     a = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "k int, v string")
     b = spark.createDataFrame([("a", 1), (None, None)], "v string, k int")
