@@ -98,6 +98,16 @@ def line_bands(spark: SparkSession, d: str) -> DataFrame:
     return series.bands(boxes(spark, d), ["page"], "y0", 12.0).select("page", "id", "band")
 
 
+@query("rectangles", f"""WITH b AS (SELECT * FROM ({_BOXES}) WHERE l_returnflag = 'R'), h AS (SELECT id * 2 AS id, page, x0, x1, y0 AS y FROM b UNION ALL SELECT id * 2 + 1, page, x0, x1, y1 FROM b), v AS (SELECT id * 2 AS id, page, x0 AS x, y0, y1 FROM b UNION ALL SELECT id * 2 + 1, page, x1, y0, y1 FROM b)
+SELECT DISTINCT t.page, t.id AS top, o.id AS bottom, l.id AS left_, r.id AS right_ FROM h t JOIN v l ON l.page = t.page AND l.x = t.x0 AND l.y0 = t.y JOIN v r ON r.page = t.page AND r.x = t.x1 AND r.y0 = t.y JOIN h o ON o.page = t.page AND o.x0 = l.x AND o.x1 = r.x AND o.y = l.y1 AND o.y = r.y1""")
+def rectangles(spark: SparkSession, d: str) -> DataFrame:
+    """Four segments that close, found again among the sides of boxes."""
+    b = boxes(spark, d).where("l_returnflag = 'R'")
+    across = b.selectExpr("id * 2 as id", "page", "x0", "x1", "y0 as y").union(b.selectExpr("id * 2 + 1", "page", "x0", "x1", "y1"))
+    upright = b.selectExpr("id * 2 as id", "page", "x0 as x", "y0", "y1").union(b.selectExpr("id * 2 + 1", "page", "x1", "y0", "y1"))
+    return geometry.rectangles(across, upright, 32.0).select("page", "top", "bottom", "left_", "right_")
+
+
 @query("scaled_boxes", f"SELECT id, round(least(900.0, greatest(0.0, x0 * 0.48)), 6) AS x0, round(least(800.0, greatest(0.0, y1 * 0.48)), 6) AS y1, floor(x0 / 3 + 0.5)::BIGINT::VARCHAR || ',' || floor(y0 / 3 + 0.5)::BIGINT::VARCHAR AS node FROM ({_BOXES})")
 def scaled_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes in another resolution, within a page, and the keys of the grid nodes that their corners round to."""

@@ -123,6 +123,13 @@ def test_crossings_equal_brute_force(spark):
     assert {tuple(x)[1:] for x in geometry.crossings(a, b, 8.0).collect()} == want
 
 
+def test_rectangles_within_tolerance(spark):
+    across = spark.createDataFrame([(1, 0, 0.0, 10.0, 0.0), (2, 0, 10.5, 0.0, 8.0), (3, 0, 0.0, 4.0, 8.0), (4, 1, 0.0, 10.0, 0.0), (5, 0, 3.0, 3.0, 0.0), (6, None, 0.0, 10.0, 8.0)], "id int, page int, x0 double, x1 double, y double")
+    upright = spark.createDataFrame([(1, 0, 0.0, 0.0, 8.0), (2, 0, 10.0, 8.5, 0.0), (3, 0, 5.0, 0.0, 8.0), (4, 1, 0.0, 0.0, 8.0)], "id int, page int, x double, y0 double, y1 double")
+    assert _rows(geometry.rectangles(across, upright, 4.0, 0.5)) == collections.Counter([(0, 1, 2, 1, 2, 0.0, 0.0, 10.0, 8.0)])
+    assert geometry.rectangles(across, upright, 4.0).count() == geometry.rectangles(across.limit(0), upright, 4.0).count() == 0
+
+
 def _iou(a, b):
     shared_ = max(0.0, min(a[4], b[4]) - max(a[2], b[2])) * max(0.0, min(a[5], b[5]) - max(a[3], b[3]))
     both = (a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - shared_
