@@ -14,6 +14,11 @@ from .relational import _BOXES, boxes
 _PAIR = f"WITH b AS ({_BOXES}), p AS (SELECT a.id AS a_id, c.id AS b_id, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, c.x0 AS bx0, c.y0 AS by0, c.x1 AS bx1, c.y1 AS by1 FROM b a JOIN b c ON a.page = c.page AND a.x0 <= c.x1 AND c.x0 <= a.x1 AND a.y0 <= c.y1 AND c.y0 <= a.y1 WHERE a.l_returnflag = 'R' AND c.l_returnflag = 'N'), s AS (SELECT *, greatest(0.0, least(ax1, bx1) - greatest(ax0, bx0)) * greatest(0.0, least(ay1, by1) - greatest(ay0, by0)) AS shared, (ax1 - ax0) * (ay1 - ay0) AS a, (bx1 - bx0) * (by1 - by0) AS b FROM p)"
 
 
+def own_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes with ids that tell them apart: some lines of the table share their number."""
+    return boxes(spark, d).withColumn("id", F.col("id") * 2000 + F.col("x0").cast("long")).distinct()
+
+
 @query("box_measures", f"""{_PAIR} SELECT a_id, b_id, round(shared / (a + b - shared), 9) AS iou, round(shared / a, 9) AS inside, round(shared / least(a, b), 9) AS of_smaller, round((greatest(ax1, bx1) - least(ax0, bx0)) * (greatest(ay1, by1) - least(ay0, by0)), 6) AS joined_area FROM s""")
 def box_measures(spark: SparkSession, d: str) -> DataFrame:
     """Of boxes that touch: intersection over union, the contained share, the share of the smaller, the area of the box that holds both."""
@@ -98,11 +103,11 @@ def line_bands(spark: SparkSession, d: str) -> DataFrame:
     return series.bands(boxes(spark, d), ["page"], "y0", 12.0).select("page", "id", "band")
 
 
-@query("rectangles", f"""WITH b AS (SELECT * FROM ({_BOXES}) WHERE l_returnflag = 'R'), h AS (SELECT id * 2 AS id, page, x0, x1, y0 AS y FROM b UNION ALL SELECT id * 2 + 1, page, x0, x1, y1 FROM b), v AS (SELECT id * 2 AS id, page, x0 AS x, y0, y1 FROM b UNION ALL SELECT id * 2 + 1, page, x1, y0, y1 FROM b)
+@query("rectangles", f"""WITH b AS (SELECT id * 2000 + x0::BIGINT AS id, page, x0, y0, x1, y1 FROM ({_BOXES}) WHERE l_returnflag = 'R'), h AS (SELECT id * 2 AS id, page, x0, x1, y0 AS y FROM b UNION ALL SELECT id * 2 + 1, page, x0, x1, y1 FROM b), v AS (SELECT id * 2 AS id, page, x0 AS x, y0, y1 FROM b UNION ALL SELECT id * 2 + 1, page, x1, y0, y1 FROM b)
 SELECT DISTINCT t.page, t.id AS top, o.id AS bottom, l.id AS left_, r.id AS right_ FROM h t JOIN v l ON l.page = t.page AND l.x = t.x0 AND l.y0 = t.y JOIN v r ON r.page = t.page AND r.x = t.x1 AND r.y0 = t.y JOIN h o ON o.page = t.page AND o.x0 = l.x AND o.x1 = r.x AND o.y = l.y1 AND o.y = r.y1""")
 def rectangles(spark: SparkSession, d: str) -> DataFrame:
     """Four segments that close, found again among the sides of boxes."""
-    b = boxes(spark, d).where("l_returnflag = 'R'")
+    b = own_boxes(spark, d).where("l_returnflag = 'R'")
     across = b.selectExpr("id * 2 as id", "page", "x0", "x1", "y0 as y").union(b.selectExpr("id * 2 + 1", "page", "x0", "x1", "y1"))
     upright = b.selectExpr("id * 2 as id", "page", "x0 as x", "y0", "y1").union(b.selectExpr("id * 2 + 1", "page", "x1", "y0", "y1"))
     return geometry.rectangles(across, upright, 32.0).select("page", "top", "bottom", "left_", "right_")
@@ -128,12 +133,12 @@ def page_bounds(spark: SparkSession, d: str) -> DataFrame:
 @query("box_suppression")
 def box_suppression(spark: SparkSession, d: str) -> DataFrame:
     """Greedy suppression; each decision depends on those before it, so the test compares it with the sequential loop."""
-    scored = boxes(spark, d).withColumn("score", F.pmod(F.xxhash64("id"), F.lit(1000)))
+    scored = own_boxes(spark, d).withColumn("score", F.pmod(F.xxhash64("id"), F.lit(1000)))
     return geometry.suppressed(scored, 0.45, 32.0)
 
 
 @query("greedy_assignment")
 def greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Each box to one other within reach, nearest first, each used once; compared with the sequential loop in the tests."""
-    b = boxes(spark, d)
+    b = own_boxes(spark, d)
     return joins.greedy_pairs(geometry.within(b.where("l_returnflag = 'R'"), b.where("l_returnflag = 'A'"), 10.0), "a_id", "b_id", "distance2")
