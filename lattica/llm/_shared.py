@@ -4,7 +4,16 @@ from pyspark.sql import DataFrame
 
 from lattica.sources.shared import cut, fits, look_up, save, save_bucketed, shared_folder, table
 
-__all__ = ["cut", "fits", "look_up", "save", "save_bucketed", "shared_folder", "table", "unclashed"]
+__all__ = ["cut", "fits", "look_up", "save", "save_bucketed", "shared_folder", "small_batches", "table", "unclashed"]
+
+#: What Spark hands a Python worker at once, one row at least.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, whose session from now on hands Python workers batches of BATCH_BYTES, which bounds what both sides hold of long texts."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return docs
 
 
 def unclashed(docs: DataFrame, keep: list[str], added: list[str]) -> tuple[DataFrame, list[str]]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words
-from ._shared import look_up, save, table
+from ._shared import look_up, save, small_batches, table
 
 # HTML's elements by their role.
 RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title"
@@ -207,7 +207,7 @@ def winning_paths(voted: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text. pages: page_id, url, html."""
-    source = pages.select(pages["page_id"], pages["url"], pages["html"], _host(pages["url"]).alias("host"))
+    source = small_batches(pages).select(pages["page_id"], pages["url"], pages["html"], _host(pages["url"]).alias("host"))
     paths = save(winning_paths(votes(source.select("host", "html"))), "paths")
     schema = T.StructType([source.schema["page_id"], source.schema["url"], T.StructField("text", T.StringType())])
 

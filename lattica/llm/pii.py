@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import _words
 from ._shared import fits as can_be_broadcast
-from ._shared import save, table, unclashed
+from ._shared import save, small_batches, table, unclashed
 
 KINDS = ["email", "ip", "card", "phone"]
 ROUNDS, MIN_SUPPORT, CONFIDENT = 3, 5, 0.8
@@ -197,7 +197,7 @@ _FOUND = "array<struct<k:int,s:int,e:int,value:string,before:string,around:strin
 
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns `keep`, base (spans) and seen (occurrences)."""
-    source = docs.select(*[docs[c] for c in keep], docs["text"].alias("__text"))
+    source = small_batches(docs).select(*[docs[c] for c in keep], docs["text"].alias("__text"))
     schema = T.StructType([*(source.schema[c] for c in keep), T.StructField("base", T._parse_datatype_string(_SPAN)), T.StructField("seen", T._parse_datatype_string(_FOUND))])
     span = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())]))
     seen_type = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("value", pa.string()), ("before", pa.string()), ("around", pa.string()), ("may", pa.int32())]))

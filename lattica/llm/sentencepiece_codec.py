@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words
-from ._shared import table, unclashed
+from ._shared import small_batches, table, unclashed
 
 MODEL = os.environ.get("LATTICA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -301,7 +301,7 @@ def encoded(docs: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
     spark = docs.sparkSession
     docs, keep = unclashed(docs, keep, ["ids", "n_bytes", "decoded"])
     shared = spark.sparkContext.broadcast(pickle.dumps(Codec.load(spark, model)))
-    source = docs.select(*[docs[c] for c in keep], docs["text"].alias("__text"))
+    source = small_batches(docs).select(*[docs[c] for c in keep], docs["text"].alias("__text"))
     schema = T.StructType([*(source.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_bytes", T.LongType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

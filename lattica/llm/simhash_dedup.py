@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from lattica.operators.graph import components
 
 from . import _words
-from ._shared import save, table
+from ._shared import save, small_batches, table
 
 SHINGLE, SEED, RADIUS, BLOCK, LOT = 4, 42, 4, 4096, 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -62,7 +62,7 @@ def _majority(h: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id and its fingerprint fp (long, the 64 bits as signed)."""
-    source = docs.select(docs["doc_id"], docs["text"].alias("__text"))
+    source = small_batches(docs).select(docs["doc_id"], docs["text"].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _words.slices(batches, "__text"):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import _words
+from ._shared import small_batches
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -64,7 +65,7 @@ def of_texts(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns `keep` of docs and COUNTS (long) of column text. A null text counts as empty. Other columns are not read."""
-    source = docs.select(*[docs[c] for c in dict.fromkeys(keep)], docs["text"].alias("__text"))
+    source = small_batches(docs).select(*[docs[c] for c in dict.fromkeys(keep)], docs["text"].alias("__text"))
     schema = T.StructType([source.schema[c] for c in dict.fromkeys(keep)] + [T.StructField(c, T.LongType()) for c in COUNTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

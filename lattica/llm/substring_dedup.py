@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words
-from ._shared import save, save_bucketed, table
+from ._shared import save, save_bucketed, small_batches, table
 
 WINDOW, PHRASE, SHARD_BYTES, SLICE_BYTES = 20, 6, 8 << 20, 2 << 20
 MOST_BUCKETS = 100_000  # Spark's own limit
@@ -70,7 +70,7 @@ def _order_key(doc_id):
 
 def dealt(docs: DataFrame, shard_bytes: int) -> DataFrame:
     """null_id, id, shard, row, h1, h2, n_words and text: the words joined by one space. A task's rows are cut to shards as they come."""
-    source = docs.select(docs["doc_id"].isNull().alias("null_id"), _order_key(docs["doc_id"]).alias("id"), docs["text"].cast("binary").alias("text"), F.spark_partition_id().alias("part"))
+    source = small_batches(docs).select(docs["doc_id"].isNull().alias("null_id"), _order_key(docs["doc_id"]).alias("id"), docs["text"].cast("binary").alias("text"), F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = row = 0
