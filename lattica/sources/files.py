@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.sources.shared import save
+from lattica.sources.shared import in_order
 
 
 def read_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
@@ -40,16 +40,10 @@ def write_json(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def as_dataset(df: DataFrame, name: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """A table as two: dataset, columns, rows (a row); and dataset, row, data (each row as JSON, nulls included, numbered from 0 by an order).
-    Numbers come from sorted ranges and their sizes, so no task sees all rows."""
+    """A table as two: dataset, columns, rows (a row); and dataset, row, data (each row as JSON, nulls included, numbered from 0 by an order)."""
     head = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("dataset"), F.array(*map(F.lit, df.columns)).cast("array<string>").alias("columns"), "rows")
     data = df.select(*[F.col(c) for c in order], F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("__data"))
-    ranged = data.orderBy(*order, "__data").withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftrightunsigned("__id", 33))
-    ranged = save(ranged.select("__part", (F.col("__id") - F.shiftleft("__part", 33)).alias("__at"), "__data"), "numbered")
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    # a row for each task
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.__part") < F.col("a.__part"), "left").groupBy("a.__part").agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
-    rows = ranged.join(F.broadcast(before), "__part").select(F.lit(name).alias("dataset"), (F.col("__before") + F.col("__at")).alias("row"), F.col("__data").alias("data"))
+    rows = in_order(data, [*order, "__data"], "row").select(F.lit(name).alias("dataset"), "row", F.col("__data").alias("data"))
     return head, rows
 
 

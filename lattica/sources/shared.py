@@ -6,13 +6,14 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A table is broadcast if its rows, written as JSON, take no more than that. JSON is longer than Spark's rows for all but short numbers.
 BROADCAST_BYTES = 32 << 20
 SALTS = 64
 _saved: list[str] = []
+_tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,14 +48,15 @@ def save_bucketed(df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
     spark = df.sparkSession
     path = _path(spark, name)
     own = f"lattica_{uuid.uuid4().hex}"
+    _tables.append(own)
     df.write.format("parquet").bucketBy(buckets, by).option("path", path).option("compression", "zstd").saveAsTable(own)
     return spark.table(own)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete what this process saved. Results that were not written or collected yet can't be read after that."""
-    for t in spark.catalog.listTables(pattern="lattica_*"):
-        spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _saved:
         path = jvm.org.apache.hadoop.fs.Path(_saved.pop())
@@ -89,5 +91,16 @@ def look_up(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner"
     return dealt.join(small, equal, how).drop("__salt", "__of_salt", *[f"__of_{c}" for c in on])
 
 
+def in_order(df: DataFrame, order: list[str | Column], name: str = "place") -> DataFrame:
+    """df and each row's place in an order, from 0. Rows are sorted by ranges and saved, and a range begins at the sum of the sizes of those before
+    it, so no task sees all rows. Rows that the order does not tell apart are numbered in any order."""
+    ordered = save(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()), "ordered").withColumn("__part", F.shiftrightunsigned("__id", 33))
+    sizes = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
+    # a row for each task that wrote
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    within = F.col("__id") - F.shiftleft("__part", 33)
+    return look_up(ordered, save(before, "before"), ["__part"]).select(*df.columns, (F.col("__before") + within).alias(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
