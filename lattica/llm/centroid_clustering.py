@@ -44,7 +44,7 @@ def first_centroids(rows: DataFrame, k: int = CENTROIDS, salt: str = "2") -> np.
     """The k vectors with the least hashes. Spark keeps k rows of a task."""
     key = F.sha2(F.concat(F.lit(f"{salt}:"), F.col("vec_id").cast("string")), 256)
     found = rows.orderBy(key.asc_nulls_last(), "v").limit(k).collect()  # k rows
-    return np.array([r.v for r in found], np.int64).reshape(len(found), -1)
+    return np.array([r.v for r in found], np.int64)
 
 
 def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:

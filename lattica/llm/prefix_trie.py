@@ -4,10 +4,10 @@ Turns are known by a 128-bit digest of role and text, so texts are read once and
 their own turns), and equal ones become one sequence with a weight; its ids are hashed in order, in pieces. The sequences of a first turn form a
 subtrie. A lot of small subtries is built at once inside applyInPandas: a dictionary leads from a node and a digest to a node, and since nodes are
 numbered after their parents, going through them backwards is a postorder without recursion. A subtrie of more rows than `most` is an inner
-node of Spark: its counts are aggregates, its rows are dealt anew by the digest of the next turn, again and again, and its totals are the
-sums of what its children come to, from the deepest round up. A subtrie of one sequence alone is a chain and is written row by row, however
-long it is. There are as many rounds as the turns that a large subtrie's sequences share from their first on, and one more for each further
-turn at which it is still too large.
+node of Spark: its counts are aggregates, its rows are dealt anew by the digest of the next turn at which its sequences part, again and again,
+and its totals are the sums of what its children come to, from the deepest round up. What a large subtrie's sequences share up to there, and a subtrie of one sequence
+alone, are chains, written row by row however long they are. So there are as many rounds as branches one after the other at which
+a subtrie is still too large.
 
 Positions come from sorted ranges, so no task sees all rows of a conversation with very many turns.
 
@@ -94,16 +94,16 @@ def sequences(rows: DataFrame) -> DataFrame:
     return save(in_turn.mapInArrow(_hashed, "rep long, weight long, last long, ends_sha256 string"), "sequences")
 
 
-def tries(pdf: pd.DataFrame, depth: int) -> pd.DataFrame:
-    """The nodes of a lot of subtries whose tops lie at a depth. Of a top, `up` names the node above."""
+def tries(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of a lot of subtries; `top` is the depth of their first nodes, `up` names the node above those."""
     order = np.lexsort((pdf["d"], pdf["rep"]))  # the least id comes first, so it makes the nodes that it is in
-    reps, weights, ds, sizes = (pdf[c].to_numpy()[order].tolist() for c in ("rep", "weight", "d", "n"))
+    reps, weights, ds, tops, sizes = (pdf[c].to_numpy()[order].tolist() for c in ("rep", "weight", "d", "top", "n"))
     turn, label, above = (pdf[c].to_numpy()[order] for c in ("digest", "label", "up"))
     child: dict[tuple[int, bytes], int] = {}
     conv, depths, parent, up, count, size, end = [], [], [], [], [], [], []
     at = -1
     for k, (rep, weight, d) in enumerate(zip(reps, weights, ds, strict=True)):
-        top = d == depth
+        top = d == tops[k]
         key = (-1, label[k]) if top else (at, turn[k])
         node = child.get(key)
         if node is None:
@@ -132,29 +132,45 @@ def tries(pdf: pd.DataFrame, depth: int) -> pd.DataFrame:
     return pd.DataFrame({"conv_id": conv, "depth": depths, "parent_conv_id": whole([None if p < 0 else conv[p] for p in parent]), "up": up, "n_convs": count, "n_children": kids, "n_leaves": leaves, "saved_tokens": saved, "end_rep": whole(end)})
 
 
-def _at(depth: int):
-    return lambda pdf: tries(pdf, depth)
+def _onward(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """rows and `onward`: the sum of a column from a row's d on. It is summed by pieces, so that a long chain is no single task's."""
+    rows = rows.withColumn("piece", F.shiftright("d", PIECE))
+    pieces = rows.groupBy(by, "piece").agg(F.sum(value).alias("whole"))
+    later = F.sum("whole").over(Window.partitionBy(by).orderBy(F.desc("piece"))) - F.col("whole")
+    within = F.sum(value).over(Window.partitionBy(by, "piece").orderBy(F.desc("d")))
+    return rows.withColumn("within", within).join(pieces.select(by, "piece", later.alias("later")), [by, "piece"]).withColumn("onward", F.col("within") + F.col("later")).drop("piece", "within", "later")
 
 
-def _chains(rows: DataFrame, depth: int) -> DataFrame:
-    """The nodes of sequences that share none with others. What a chain saves from a turn on is summed by pieces, so a long one is no single task's."""
-    rows = rows.withColumn("own", (F.col("weight") - 1) * F.col("n")).withColumn("piece", F.shiftright("d", PIECE))
-    pieces = rows.groupBy("rep", "piece").agg(F.sum("own").alias("whole"))
-    later = F.sum("whole").over(Window.partitionBy("rep").orderBy(F.desc("piece"))) - F.col("whole")
-    within = F.sum("own").over(Window.partitionBy("rep", "piece").orderBy(F.desc("d")))
-    rows = rows.withColumn("within", within).join(pieces.select("rep", "piece", later.alias("later")), ["rep", "piece"])
-    top, last = F.col("d") == depth, F.col("d") == F.col("last")
-    long = lambda n: F.lit(n).cast("long")
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
+def _chains(rows: DataFrame) -> DataFrame:
+    """The nodes of sequences that share none with others."""
+    rows = _onward(rows.withColumn("own", (F.col("weight") - 1) * F.col("n")), "rep", "own")
+    top, last = F.col("d") == F.col("top"), F.col("d") == F.col("last")
     return rows.select(
-        F.col("rep").alias("conv_id"), F.col("d").alias("depth"), F.when(~top, F.col("rep")).alias("parent_conv_id"), F.when(top, F.col("up")).alias("up"), F.col("weight").alias("n_convs"), F.when(last, long(0)).otherwise(long(1)).alias("n_children"), long(1).alias("n_leaves"),
-        (F.col("within") + F.col("later")).alias("saved_tokens"), F.when(last, F.col("rep")).alias("end_rep"),
+        F.col("rep").alias("conv_id"), F.col("d").alias("depth"), F.when(~top, F.col("rep")).alias("parent_conv_id"), F.when(top, F.col("up")).alias("up"), F.col("weight").alias("n_convs"),
+        F.when(last, _long(0)).otherwise(_long(1)).alias("n_children"), _long(1).alias("n_leaves"), F.col("onward").alias("saved_tokens"), F.when(last, F.col("rep")).alias("end_rep"),
     )
 
 
-def _inner(rows: DataFrame, depth: int, label: Column, up: Column) -> DataFrame:
-    """Nodes that Spark counts: label, depth, up, conv_id, n_convs, n, end_rep. rows: one of each sequence that goes through them."""
-    ends = F.min(F.when(F.col("last") == depth, F.col("rep")))
-    return save(rows.groupBy(label.alias("label"), up.alias("up")).agg(F.min("rep").alias("conv_id"), F.sum("weight").alias("n_convs"), F.max("n").alias("n"), ends.alias("end_rep")).withColumn("depth", F.lit(depth).cast("long")), "inner")
+def _counted(rows: DataFrame) -> DataFrame:
+    """label, d and what the node there has if all sequences of the subtrie go through one: up, top, conv_id, n_convs, n, end_rep; seqs, lo and hi tell whether they do."""
+    h = [F.xxhash64("digest"), F.xxhash64(F.lit(1), "digest")]
+    same = (F.min(h[0]) == F.max(h[0])) & (F.min(h[1]) == F.max(h[1]))
+    return rows.groupBy("label", "up", "top", "d").agg(F.min("rep").alias("conv_id"), F.sum("weight").alias("n_convs"), F.max("n").alias("n"), F.min(F.when(F.col("last") == F.col("d"), F.col("rep"))).alias("end_rep"), F.count("*").alias("seqs"), same.alias("same"))
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Where the sequences of each subtrie part (label, s: the first turn that not all have, or not the same), the last node that all go through, and
+    the nodes between the subtrie's top and that one."""
+    counted = save(_counted(rows), "counted")
+    all_of = counted.where(F.col("d") == F.col("top")).select(F.col("label").alias("__of"), F.col("seqs").alias("every"))
+    part = F.min(F.when((F.col("seqs") < F.col("every")) | ~F.col("same"), F.col("d"))).alias("s")
+    split = save(counted.join(all_of, F.col("label") == F.col("__of")).groupBy("label").agg(part), "split")
+    placed = save(counted.join(split, "label").where(F.col("d") < F.col("s")).select("label", "up", "top", "d", "s", "conv_id", "n_convs", "n", "end_rep"), "shared")
+    return split, placed.where(F.col("d") == F.col("s") - 1), placed.where(F.col("d") < F.col("s") - 1)
 
 
 def nodes(rows: DataFrame, most: int | None = None, lot: int = LOT) -> DataFrame:
@@ -162,51 +178,53 @@ def nodes(rows: DataFrame, most: int | None = None, lot: int = LOT) -> DataFrame
     trie of sequences: rep, weight, last, d, digest, n."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = most or max(LEAST, min(MOST, 2 * rows.count() // tasks))
-    inner, found, depth = [_inner(rows.where("d = 0"), 0, F.lit(b""), F.lit(None).cast("binary"))], [], 0
-    open_ = rows.where("d > 0").withColumn("up", F.lit(b""))
+    # the root is counted like any node that Spark counts
+    root = rows.where("d = 0").withColumns({"label": F.lit(b""), "up": F.lit(None).cast("binary"), "top": _long(0)})
+    inner = [(save(_counted(root), "root"), None)]
+    found, open_ = [], rows.where("d > 0").withColumns({"up": F.lit(b""), "top": _long(1)})
     while True:
-        depth += 1
         label = F.unhex(F.md5(F.concat("up", "digest"))).alias("label")
-        dealt = save(open_.join(open_.where(F.col("d") == depth).select("rep", label), "rep"), "dealt")
-        sizes = save(dealt.groupBy("label").agg(F.count("*").alias("size"), (F.count_if(F.col("d") == depth) == 1).alias("alone")), "sizes")
-        large = sizes.where(F.col("size") > most).select("label", "alone")
-        n = sizes.agg(F.coalesce(F.sum(F.when(F.col("size") <= most, F.col("size"))), F.lit(0)).alias("small"), F.count_if(F.col("size") > most).alias("large"), F.count_if((F.col("size") > most) & ~F.col("alone")).alias("inner")).first()
-        marked = look_up(dealt, large, ["label"], "left") if n.large else dealt.withColumn("alone", F.lit(None).cast("boolean"))
+        dealt = save(open_.join(open_.where("d = top").select("rep", label), "rep"), "dealt")
+        sizes = save(dealt.groupBy("label").agg(F.count("*").alias("size"), (F.count_if(F.col("d") == F.col("top")) == 1).alias("alone")), "sizes")
+        large = F.col("size") > most
+        n = sizes.agg(F.coalesce(F.sum(F.when(~large, F.col("size"))), F.lit(0)).alias("small"), F.count_if(large).alias("large"), F.count_if(large & ~F.col("alone")).alias("inner")).first()
+        marked = look_up(dealt, sizes.where(large).select("label", "alone"), ["label"], "left") if n.large else dealt.withColumn("alone", F.lit(None).cast("boolean"))
         parts = []
         if n.small:
             lots = max(2 * tasks, -(-n.small // lot))
-            lotted = marked.where("alone is null").withColumn("lot", F.pmod(F.xxhash64("label"), F.lit(lots))).select("lot", "label", "up", "rep", "weight", "d", "digest", "n")
+            lotted = marked.where("alone is null").withColumn("lot", F.pmod(F.xxhash64("label"), F.lit(lots))).select("lot", "label", "up", "top", "rep", "weight", "d", "digest", "n")
             # a number of partitions of our own: adaptive execution would see few bytes and merge the lots to one task
-            parts.append(save(lotted.repartition(min(lots, 20_000), "lot").groupBy("lot").applyInPandas(_at(depth), _NODES), "tries"))
+            parts.append(save(lotted.repartition(min(lots, 20_000), "lot").groupBy("lot").applyInPandas(tries, _NODES), "tries"))
         if n.large > n.inner:
-            parts.append(save(_chains(marked.where("alone"), depth), "chains"))
+            parts.append(save(_chains(marked.where("alone")), "chains"))
         found.append(parts)
         if not n.inner:
             break
-        open_ = save(marked.where("not alone").drop("alone", "up").withColumnRenamed("label", "up"), "open")
-        open_, through = open_.where(F.col("d") > depth), open_.where(F.col("d") == depth)
-        # the node above each is that of its rows, which the label holds with the digest
-        above = dealt.where(F.col("d") == depth).select(F.col("label").alias("__l"), F.col("up").alias("__u")).distinct()
-        inner.append(_inner(through.join(above, F.col("up") == F.col("__l")).drop("up"), depth, F.col("__l"), F.col("__u")))
-    out, below = [], None
-    for level, parts in zip(reversed(inner), reversed(found), strict=True):
-        parts = [*parts, *([below] if below is not None else [])]
-        tops = [p.where("up is not null") for p in parts]
+        rest = save(marked.where("not alone").drop("alone"), "open")
+        split, bottom, between = _split(rest)
+        inner.append((bottom, between))
+        open_ = look_up(rest.drop("up", "top"), split, ["label"]).where("d >= s").withColumnsRenamed({"label": "up", "s": "top"})
+    out, below = [], []
+    for (bottom, between), parts in zip(reversed(inner), reversed(found), strict=True):
+        parts = [*parts, *below]
         out += [p.where("up is null").drop("up") for p in parts]
-        names = level.select(F.col("label").alias("up"), F.col("conv_id").alias("__above"))
+        names = bottom.select(F.col("label").alias("up"), F.col("conv_id").alias("__above"))
+        tops = [p.where("up is not null") for p in parts]
         out += [look_up(t, names, ["up"]).withColumn("parent_conv_id", F.col("__above")).drop("up", "__above") for t in tops]
-        level = level.withColumnRenamed("label", "__label")
-        if tops:
-            every = tops[0]
-            for t in tops[1:]:
-                every = every.unionByName(t)
-            sums = every.groupBy(F.col("up").alias("__up")).agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
-            level = level.join(sums, F.col("__label") == F.col("__up"), "left")
-        else:
-            level = level.withColumns({c: F.lit(None).cast("long") for c in ("n_children", "n_leaves", "saved_tokens")})
-        total = F.coalesce("saved_tokens", F.lit(0)) + (F.col("n_convs") - 1) * F.col("n")
-        below = save(level.select("conv_id", "depth", F.lit(None).cast("long").alias("parent_conv_id"), "up", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"), total.alias("saved_tokens"), "end_rep"), "below")
-    every = below.drop("up")  # the root
+        children = tops[0] if tops else rows.sparkSession.createDataFrame([], _NODES)
+        for t in tops[1:]:
+            children = children.unionByName(t)
+        sums = children.groupBy(F.col("up").alias("__up")).agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved"))
+        total = F.coalesce("saved", F.lit(0)) + (F.col("n_convs") - 1) * F.col("n")
+        top = F.col("d") == F.col("top")
+        place = [F.col("d").alias("depth"), F.when(~top, F.col("conv_id")).alias("parent_conv_id"), F.when(top, F.col("up")).alias("up"), "n_convs"]
+        done = save(bottom.join(sums, F.col("label") == F.col("__up"), "left").select("label", "conv_id", *place, F.coalesce("n_children", F.lit(0)).alias("n_children"), F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"), total.alias("saved_tokens"), "end_rep"), "inner")
+        below = [done.drop("label")]
+        if between is not None:
+            end = done.select(F.col("label").alias("__end"), "n_leaves", "saved_tokens")
+            links = _onward(between.withColumn("own", (F.col("n_convs") - 1) * F.col("n")), "label", "own").join(end, F.col("label") == F.col("__end"))
+            below.append(save(links.select("conv_id", *place, _long(1).alias("n_children"), "n_leaves", (F.col("saved_tokens") + F.col("onward")).alias("saved_tokens"), "end_rep"), "links"))
+    every = below[0].drop("up")  # the root
     for p in out:
         every = every.unionByName(p)
     return every
