@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import normalised, trimmed, word_set
-from lattica.sources.shared import save
+from lattica.sources.shared import look_up, save
 
+#: Rows of a word in one task.
+SPLIT = 100_000
 KEYS = {"exact": trimmed, "normalised": normalised}
 
 
@@ -26,7 +28,12 @@ def token_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, l
     name = f"{right_id}_right" if right_id == left_id else right_id
     a = left.select(left_id, F.explode(word_set(F.col(left_on))).alias("__w"))
     b = right.select(F.col(right_id).alias(name), F.explode(word_set(F.col(right_on))).alias("__w"))
-    pairs = a.join(b, "__w").select(left_id, name).distinct()
+    # a word that very many rows of left have is dealt to several tasks, and right's rows of it to each of those
+    hot = save(a.groupBy("__w").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("__parts")).where("__parts > 1"), "hot-words")
+    parts = F.coalesce("__parts", F.lit(1))
+    a = look_up(a, hot, ["__w"], "left").withColumn("__part", F.pmod(F.xxhash64(left_id), parts).cast("int")).drop("__parts")
+    b = look_up(b, hot, ["__w"], "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    pairs = a.join(b, ["__w", "__part"]).select(left_id, name).distinct()
     if how == "inner":
         return pairs
     rest = left.select(F.col(left_id).alias("__id")).distinct().join(pairs.select(left_id), F.col("__id").eqNullSafe(F.col(left_id)), "left_anti")
@@ -59,14 +66,18 @@ def with_flag(left: DataFrame, right: DataFrame, on: list[str], name: str) -> Da
 
 
 def prefix_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str) -> DataFrame:
-    """Pairs of rows where one text, in lower case, begins with the other, or equals it. The sides meet on texts of the lengths that the
-    other side has, so by equality; blank texts match nothing."""
+    """Pairs of rows where one text, in lower case, begins with the other, or equals it; blank texts match nothing. A text is looked for by the
+    hash of its first 2**k characters, the most that it has; longer ones have a hash for each power of two, so a text has as many rows as its length has
+    digits in base two. What shares a hash is then compared whole."""
     a, b = left.withColumn("__a", F.lower(trimmed(F.col(left_on)))), right.withColumn("__b", F.lower(trimmed(F.col(right_on))))
-    lengths = lambda df, c: sorted(r[0] for r in df.select(F.length(c)).distinct().collect() if r[0])  # noqa: E731  a text's length is a small number
-    heads = lambda c, most: F.explode(F.transform(F.filter(F.array(*map(F.lit, most)).cast("array<int>"), lambda n: n <= F.length(c)), lambda n: F.substring(c, 1, n)))
-    one = a.withColumn("__h", heads(F.col("__a"), lengths(b, "__b"))).join(b, F.col("__h") == F.col("__b"))
-    two = b.withColumn("__h", heads(F.col("__b"), lengths(a, "__a"))).join(a, (F.col("__h") == F.col("__a")) & (F.col("__a") != F.col("__b")))
+    most = lambda c: F.floor(F.log2(F.length(c))).cast("int")
+    power = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    head = lambda c, k: F.struct(k.alias("k"), F.xxhash64(F.substring(F.col(c), F.lit(1), power(k))).alias("h"))
+    one_key = lambda df, c: df.where(F.length(c) > 0).withColumn("__h", head(c, most(c)))
+    all_keys = lambda df, c: df.where(F.length(c) > 0).withColumn("__h", F.explode(F.transform(F.sequence(F.lit(0), most(c)), lambda k: head(c, k))))
     columns = [*left.columns, *right.columns]
+    one = all_keys(a, "__a").withColumnRenamed("__h", "__g").join(one_key(b, "__b"), (F.col("__g") == F.col("__h")) & F.startswith("__a", "__b"))
+    two = all_keys(b, "__b").withColumnRenamed("__h", "__g").join(one_key(a, "__a"), (F.col("__g") == F.col("__h")) & F.startswith("__b", "__a") & (F.col("__a") != F.col("__b")))
     return one.select(*columns).unionByName(two.select(*columns))
 
 
@@ -118,6 +129,29 @@ def column_overlap(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFr
     return both.groupBy("column").agg(F.count("__a").alias("old"), F.count("__b").alias("new"), F.count(F.col("__a") + F.col("__b")).alias("both"))
 
 
+def mutual_pairs(pairs: DataFrame, left: str, right: str, rounds: int = 2) -> DataFrame:
+    """left, right, round: pairs of which each is the other's only candidate; those taken, the same again among what is left, and so on. Pairs with a null
+    are left out, repeated ones count once. Candidates are counted before they meet, so an id with very many is a row."""
+    open_ = save(pairs.select(left, right).dropna().distinct(), "open")
+    taken = []
+    for k in range(1, rounds + 1):
+        alone = lambda own, other: open_.groupBy(own).agg(F.count("*").alias("__n"), F.min(other).alias(other)).where("__n = 1").select(left, right)  # noqa: B023, E731
+        taken.append(save(alone(left, right).join(alone(right, left), [left, right]).withColumn("round", F.lit(k)), "taken"))
+        if k < rounds:
+            open_ = save(open_.join(taken[-1].select(left), left, "left_anti").join(taken[-1].select(right), right, "left_anti").select(left, right), "open")
+    out = taken[0]
+    for t in taken[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def token_rows(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_on: str, right_on: str) -> DataFrame:
+    """All rows of left with the rows of right that share a word with theirs, nulls where there are none; ids tell a side's rows apart, and the sides'
+    columns that share a name are both returned. Whole rows meet after ids have, so words never carry them."""
+    pairs = token_join(left.select(F.col(left_id).alias("__l"), F.col(left_on).alias("__lt")), right.select(F.col(right_id).alias("__r"), F.col(right_on).alias("__rt")), "__l", "__r", "__lt", "__rt")
+    return left.join(pairs, left[left_id] == pairs["__l"], "left").join(right, pairs["__r"] == right[right_id], "left").drop("__l", "__r")
+
+
 def greedy_pairs(pairs: DataFrame, left: str, right: str, distance: str) -> DataFrame:
     """The pairs that a greedy assignment takes, nearest first, each left and each right once, ties to the smaller left, then right. A pair that
     is the first of both its ends is taken in any case, so each round takes all of those at once, until none is left."""

@@ -5,6 +5,8 @@ gives an empty result."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,46 @@ def covered(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     return df.withColumn("__new", new).groupBy(*by).agg(F.sum("__new").alias("covered"), (F.max(end) - F.min(start)).alias("span"))
 
 
+def remaining(df: DataFrame, other: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """by, start, end: what of df's intervals is left without those of `other`, as the fewest intervals, by a sweep over the points where any begins or ends.
+    Points are counted before they are sorted, so intervals that repeat meet as one row. Intervals with a null end, of no length or inverted are left out."""
+
+    def points(rows: DataFrame, ours: int) -> DataFrame:
+        ends = F.explode(F.array(F.struct(F.col(start).alias("__at"), F.lit(1).alias("__d")), F.struct(F.col(end).alias("__at"), F.lit(-1).alias("__d")))).alias("p")
+        return rows.where(F.col(start) < F.col(end)).select(*by, ends).select(*by, "p.__at", (F.col("p.__d") * ours).alias("__a"), (F.col("p.__d") * (1 - ours)).alias("__b"))
+
+    marks = points(df, 1).unionByName(points(other, 0)).groupBy(*by, "__at").agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
+    order = Window.partitionBy(*by).orderBy("__at")
+    left = (F.sum("__a").over(_upto(by, ["__at"])) > 0) & (F.sum("__b").over(_upto(by, ["__at"])) == 0)
+    swept = marks.select(*by, "__at", left.alias("__left"), F.lead("__at").over(order).alias("__to"))
+    begins = F.when(F.col("__left") & ~F.coalesce(F.lag("__left").over(order), F.lit(False)), 1).otherwise(0)
+    runs = swept.withColumn("__begins", begins).withColumn("__run", F.sum("__begins").over(_upto(by, ["__at"]))).where("__left")
+    return runs.groupBy(*by, "__run").agg(F.min("__at").alias(start), F.max("__to").alias(end)).drop("__run")
+
+
+def chained(df: DataFrame, by: list[str], across: str, tolerance: float, start: str, end: str, gap: float = 0.0, anchored: bool = False) -> DataFrame:
+    """by, line, lo, hi, start, end, n of the islands that pieces along lines form, on two levels. Pieces are of one line if their values of `across`, sorted, follow
+    each other by `tolerance` at most (anchored: if they are up to that far behind the line's first value, and the next value begins another);
+    along a line they are islands, as of islands(), with gaps up to `gap`. line: its least value; lo, hi: an island's own. The distinct values of `across` are sorted,
+    not the rows. Pieces with a null in across or an end, or inverted, are left out; pieces of no length are dots."""
+    df = df.where(F.col(across).isNotNull() & (F.col(start) <= F.col(end)))
+    values = df.select(*by, F.col(across).alias("__v")).distinct()
+    if anchored:
+        # a band ends before its width; the value at exactly `tolerance` is within it
+        lined = bands(values, by, "__v", math.nextafter(float(tolerance), math.inf), "line")
+    else:
+        new = F.when(F.col("__v") - F.lag("__v").over(Window.partitionBy(*by).orderBy("__v")) <= tolerance, 0).otherwise(1)
+        lined = values.withColumn("__new", new).withColumn("line", F.last(F.when(F.col("__new") == 1, F.col("__v")), ignorenulls=True).over(_upto(by, ["__v"]))).drop("__new")
+    equal = F.col(across) == F.col("__v")
+    for c in by:
+        equal &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    df = df.select(*by, across, start, end).join(lined.withColumnsRenamed({c: f"__{c}" for c in by}), equal).select(*by, "line", across, start, end)
+    inner = [*by, "line"]
+    reach = F.max(end).over(_upto(inner, [start, end], -1))
+    marked = df.withColumn("__new", F.when(reach.isNull() | (F.col(start) > reach + F.lit(gap)), 1).otherwise(0)).withColumn("__island", F.sum("__new").over(_upto(inner, [start, end])))
+    return marked.groupBy(*inner, "__island").agg(F.min(across).alias("lo"), F.max(across).alias("hi"), F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__island")
+
+
 def sliding(df: DataFrame, by: list[str], order: list[str | Column], column: str, n: int, name: str) -> DataFrame:
     """df's rows that n - 1 rows of their group follow, and the values of those n rows as an array (nulls are left out, as arrays are collected)."""
     ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(0, n - 1)
