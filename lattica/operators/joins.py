@@ -5,6 +5,8 @@ two sides that share a name are both returned, as Spark's join does. Names that
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from lattica.sources.shared import look_up, save
 
 #: Rows of a word in one task.
 SPLIT = 100_000
+#: Pairs that a task takes in order.
+ONE_TASK = 100_000
 KEYS = {"exact": trimmed, "normalised": normalised}
 
 
@@ -152,18 +156,46 @@ def token_rows(left: DataFrame, right: DataFrame, left_id: str, right_id: str, l
     return left.join(pairs, left[left_id] == pairs["__l"], "left").join(right, pairs["__r"] == right[right_id], "left").drop("__l", "__r")
 
 
-def greedy_pairs(pairs: DataFrame, left: str, right: str, distance: str) -> DataFrame:
+def greedy_pairs(pairs: DataFrame, left: str, right: str, distance: str, one_task: int = ONE_TASK) -> DataFrame:
     """The pairs that a greedy assignment takes, nearest first, each left and each right once, ties to the smaller left, then right. A pair that
-    is the first of both its ends is taken in any case, so each round takes all of those at once, until none is left."""
+    is the first of both its ends is taken in any case, so each round takes all of those at once; once no more than `one_task` pairs are left, one task
+    takes them in order, so chains of pairs don't make rounds."""
     order = F.struct(distance, left, right)
     open_, taken = save(pairs.select(left, right, distance).dropna(), "open"), []
-    while open_.limit(1).count():
+    while open_.limit(one_task + 1).count() > one_task:
         of_left = open_.groupBy(left).agg(F.min(order).alias("__l"))
         of_right = open_.groupBy(right).agg(F.min(order).alias("__r"))
         now = save(of_left.select(F.col(f"__l.{left}").alias(left), F.col(f"__l.{right}").alias(right), "__l").join(of_right, right).where(F.col("__l") == F.col("__r")).select(left, right, F.col(f"__l.{distance}").alias(distance)), "taken")
         taken.append(now)
         open_ = save(open_.join(now.select(left), left, "left_anti").join(now.select(right), right, "left_anti").select(left, right, distance), "open")
-    out = pairs.select(left, right, distance).limit(0)
+
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, keep = (set(), set()), []
+        pdf = pdf.sort_values([distance, left, right], kind="stable")
+        for a, b in zip(pdf[left], pdf[right], strict=True):
+            keep.append(a not in used[0] and b not in used[1])
+            if keep[-1]:
+                used[0].add(a)
+                used[1].add(b)
+        return pdf[np.array(keep, bool)]
+
+    out = save(open_.groupBy().applyInPandas(in_order, open_.schema), "taken")
     for t in taken:
         out = out.unionByName(t)
     return out
+
+
+def overlap_samples(old: DataFrame, new: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """column, only_old, only_new: the n least distinct non-blank values of each column that the other table's has not. Spark keeps n of a column in
+    each task before the shuffle."""
+    cells = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), trimmed(F.col(c)).alias("value")) for c in columns])).alias("c")).select("c.*").where("value != ''").distinct()
+    a, b = save(cells(old), "cells"), save(cells(new), "cells")
+
+    def least(df: DataFrame, name: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+        return df.withColumn("__n", rank).where(F.col("__n") <= n).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias(name))
+
+    every = old.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    empty = F.array().cast("array<string>")
+    out = every.join(least(a.join(b, ["column", "value"], "left_anti"), "only_old"), "column", "left").join(least(b.join(a, ["column", "value"], "left_anti"), "only_new"), "column", "left")
+    return out.select("column", F.coalesce("only_old", empty).alias("only_old"), F.coalesce("only_new", empty).alias("only_new"))

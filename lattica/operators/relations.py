@@ -4,9 +4,16 @@ Defined cases, unless stated: a null equals a null; an empty table is a table li
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import threading
+import uuid
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's functions that call into the JVM or tell of files and the machine.
+REACHING = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "session_user", "current_user", "user", "version", "raise_error"}
+TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"}
+
 
 def combined(a: DataFrame, b: DataFrame, kind: str, every: bool = False) -> DataFrame:
     """Union, intersection or difference (kind: union, intersect, except) by column names; every: rows count as often as they occur."""
@@ -90,15 +97,64 @@ def positional(df: DataFrame, picks: list[str | None]) -> DataFrame:
     return df.select(*[(F.lit(None) if c is None else F.col(c)).cast("string").alias(f"c{k}") for k, c in enumerate(picks)])
 
 
-def read_only(spark: SparkSession, statement: str, most: int) -> DataFrame:
-    """At most `most` rows of one SELECT or WITH statement. Spark's own parser tells what it is; anything that would change or show state
-    (commands, DDL, DML) is refused."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    kinds = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{x}") for x in ("Command", "ParsedStatement")]
-    todo = [plan]
+def _refused(spark: SparkSession, plan) -> str | None:
+    """What in a parsed statement could do more than read known tables: commands, functions that are not Spark's own or reach into the machine, and relations that the
+    catalogue has not, such as paths. Plans, expressions, subqueries and WITH parts are all walked."""
+    jvm = spark._jvm
+    kind = lambda name: jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.{name}")
+    writes = [kind(f"plans.logical.{x}") for x in ("Command", "ParsedStatement")]
+    function, table_function, relation, subquery, logical, with_ = (kind(x) for x in ("analysis.UnresolvedFunction", "analysis.UnresolvedTableValuedFunction", "analysis.UnresolvedRelation", "expressions.SubqueryExpression", "plans.logical.LogicalPlan", "plans.logical.UnresolvedWith"))
+    own = {r.function for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()} - REACHING  # a few hundred
+    parts = lambda names: [names.apply(k) for k in range(names.size())]
+    todo, asked, defined = [plan], [], set()
     while todo:
         node = todo.pop()
-        if any(k.isInstance(node) for k in kinds):
-            raise ValueError(f"not a query: {node.nodeName()}")
-        todo += [node.children().apply(k) for k in range(node.children().size())]
+        if any(k.isInstance(node) for k in writes):
+            return node.nodeName()
+        if function.isInstance(node) and parts(node.nameParts())[-1].lower() not in own:
+            return ".".join(parts(node.nameParts()))
+        if table_function.isInstance(node) and (name := parts(node.name())[-1].lower()) not in TABLE_FUNCTIONS:
+            return name
+        if relation.isInstance(node):
+            asked.append(parts(node.multipartIdentifier()))
+        if subquery.isInstance(node):
+            todo.append(node.plan())
+        if with_.isInstance(node):
+            for part in parts(node.cteRelations()):
+                defined.add(part._1().lower())
+                todo.append(part._2())
+        if logical.isInstance(node):
+            todo += parts(node.expressions())
+        todo += parts(node.children())
+    for name in asked:
+        if not (len(name) == 1 and name[0].lower() in defined) and not spark.catalog.tableExists(".".join(f"`{x}`" for x in name)):
+            return ".".join(name)
+    return None
+
+
+def read_only(spark: SparkSession, statement: str, most: int) -> DataFrame:
+    """At most `most` rows of one SELECT or WITH statement over tables and views of the catalogue. Spark's own parser tells what it is; anything that would change or
+    show state (commands, DDL, DML), call what is not Spark's own function or reaches into the machine, or read a path is refused."""
+    refused = _refused(spark, spark._jsparkSession.sessionState().sqlParser().parsePlan(statement))
+    if refused:
+        raise ValueError(f"not a query of known tables: {refused}")
     return spark.sql(statement).limit(most)
+
+
+def read_only_rows(spark: SparkSession, statement: str, most: int, seconds: float) -> list[Row]:
+    """The rows of read_only(), whose jobs are cancelled after that many seconds."""
+    group = f"read-only-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    context.setJobGroup(group, "read only", interruptOnCancel=True)
+    timer = threading.Timer(seconds, context.cancelJobGroup, [group])
+    timer.start()
+    try:
+        return read_only(spark, statement, most).collect()  # `most` rows
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def page_with_total(df: DataFrame, order: list[str | Column], offset: int, limit: int, total: str = "total") -> DataFrame:
+    """As page(), with the number of all rows; no row where the page is empty."""
+    return page(df, order, offset, limit).crossJoin(df.agg(F.count("*").alias(total)))  # one row

@@ -5,8 +5,6 @@ gives an empty result."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,8 +72,7 @@ def chained(df: DataFrame, by: list[str], across: str, tolerance: float, start:
     df = df.where(F.col(across).isNotNull() & (F.col(start) <= F.col(end)))
     values = df.select(*by, F.col(across).alias("__v")).distinct()
     if anchored:
-        # a band ends before its width; the value at exactly `tolerance` is within it
-        lined = bands(values, by, "__v", math.nextafter(float(tolerance), math.inf), "line")
+        lined = bands(values, by, "__v", tolerance, "line", inclusive=True)
     else:
         new = F.when(F.col("__v") - F.lag("__v").over(Window.partitionBy(*by).orderBy("__v")) <= tolerance, 0).otherwise(1)
         lined = values.withColumn("__new", new).withColumn("line", F.last(F.when(F.col("__new") == 1, F.col("__v")), ignorenulls=True).over(_upto(by, ["__v"]))).drop("__new")
@@ -95,13 +92,17 @@ def sliding(df: DataFrame, by: list[str], order: list[str | Column], column: str
     return df.withColumn("__n", F.count(F.lit(1)).over(ahead)).withColumn(name, F.collect_list(column).over(ahead)).where(F.col("__n") == n).drop("__n")
 
 
-def bands(df: DataFrame, by: list[str], value: str, width: float, name: str = "band") -> DataFrame:
-    """df and the first value of each row's band: in the order of their values, rows belong to a band up to less than `width` behind its first one,
-    and the next row begins another. A band's begin depends on the one before; the chain of begins is found by pointers that double their
+def bands(df: DataFrame, by: list[str], value: str, width: float, name: str = "band", inclusive: bool = False) -> DataFrame:
+    """df and the first value of each row's band: in the order of their values, rows belong to a band up to less than `width` behind its first one
+    (inclusive: up to `width`), and the next row begins another. A band's begin depends on the one before; the chain of begins is found by pointers that double their
     reach in each round, so a group is no single task's work. A null value is in no band. Column names that begin with two underscores are taken."""
     keyed = df.withColumn("__g", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")).withColumn("__v", F.col(value).cast("double"))
-    onward = f"min(__v) over (partition by __g order by __v range between cast({float(width)!r} as double) following and unbounded following)"
-    points = save(keyed.select("__g", "__v").where("__v is not null").distinct().select("__g", "__v", F.expr(onward).alias("__to")), "points")
+    behind = f"over (partition by __g order by __v range between cast({float(width)!r} as double) following and unbounded following)"
+    onward = F.expr(f"min(__v) {behind}")
+    if inclusive:  # the value at exactly `width` is still within, the one after it is not
+        onward = F.when(onward > F.col("__v") + float(width), onward).otherwise(F.expr(f"min(__after) {behind}"))
+    points = keyed.select("__g", "__v").where("__v is not null").distinct().withColumn("__after", F.lead("__v").over(Window.partitionBy("__g").orderBy("__v")))
+    points = save(points.select("__g", "__v", onward.alias("__to")), "points")
     begins, jump = save(points.groupBy("__g").agg(F.min("__v").alias("__v")), "begins"), points
     known, found = 0, begins.count()
     while found > known:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.operators import geometry, joins, planar, raster, series
+from lattica.operators import geometry, joins, planar, raster, relations, series
 from lattica.sources.shared import in_order, save
 
 from .registry import query, table
@@ -119,3 +119,22 @@ def enclosed_regions(spark: SparkSession, d: str) -> DataFrame:
     cells = rows.selectExpr("*", "explode(sequence(x0, x1)) as x").selectExpr("*", "explode(sequence(y0, y1)) as y").where("x in (x0, x1) or y in (y0, y1)")
     frames = rows.selectExpr("page", "60 as width", "40 as height").distinct()
     return raster.regions(cells, frames, tile=16)
+
+
+@query("overlap_samples", "WITH o AS (SELECT DISTINCT trim(c_mktsegment) AS v FROM customer), n AS (SELECT DISTINCT trim(o_orderpriority) AS v FROM orders) SELECT 'value' AS column, (SELECT array_to_string(list(v ORDER BY v)[:3], '|') FROM (SELECT v FROM o EXCEPT SELECT v FROM n)) AS only_old, (SELECT array_to_string(list(v ORDER BY v)[:3], '|') FROM (SELECT v FROM n EXCEPT SELECT v FROM o)) AS only_new")
+def overlap_samples(spark: SparkSession, d: str) -> DataFrame:
+    found = joins.overlap_samples(table(spark, d, "customer").withColumnRenamed("c_mktsegment", "value"), table(spark, d, "orders").withColumnRenamed("o_orderpriority", "value"), ["value"], 3)
+    return found.select("column", *[F.array_join(c, "|").alias(c) for c in ("only_old", "only_new")])
+
+
+@query("page_with_total", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
+def page_with_total(spark: SparkSession, d: str) -> DataFrame:
+    return relations.page_with_total(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 50, 25)
+
+
+@query("token_rows", "SELECT s_suppkey, s_name, n_nationkey, n_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey <> 1")
+def token_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All suppliers with the nation whose word is among theirs; nations of one region have none."""
+    left = table(spark, d, "supplier").select("s_suppkey", "s_name", F.concat(F.lit("N"), "s_nationkey", F.lit(" S"), F.col("s_suppkey") % 7).alias("words"))
+    right = table(spark, d, "nation").select("n_nationkey", "n_name", F.when(F.col("n_regionkey") != 1, F.concat(F.lit("n"), "n_nationkey")).alias("word"))
+    return joins.token_rows(left, right, "s_suppkey", "n_nationkey", "words", "word").select("s_suppkey", "s_name", "n_nationkey", "n_name")
