@@ -1,11 +1,13 @@
 """HTML extraction by consensus host paths.
 
 Each page's containers get a score from the running text in them (a paragraph counts for its container, half for the one above); the
-best one votes with its generalised path of tags and classes (digits dropped). Spark counts votes per host, pre-aggregated before the shuffle;
+best one votes with its generalised path of tags and classes (digits dropped); a path is a number that leads to the path above it and its own
+part, so deep pages take no more than long ones. Spark counts votes per host, pre-aggregated before the shuffle;
 pages are then extracted again from what matches their host's winning path, from their own best container where nothing does.
-Menus, headers outside article elements, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag,
+Menus, headers outside article and main elements, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag,
 role or name: a class or id each of whose words says what is left out or where it stands, as in site-nav, ad-1 or comments-list, not in
-social-history. An element is never left out for its name that holds the page's main, all its articles or, without either, most of its text.
+social-history; or one that says who wrote and what, as in reader-opinions. An element is never left out for its name that holds the page's main, all its articles or, without
+either, most of its text, nor for a name such as social or related where it holds running text rather than links.
 Winning paths are looked up by broadcast while their measured size allows, else by host and salt, so that a hot host's pages are dealt out.
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +41,12 @@ DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr masthead menu modal nav navbar navigation "
     "newsletter notice notices notification overlay pagination popup promo promoted related recommended replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Of DROPPED_WORDS those that an article's own part may be named by, too: such a part stays if it holds PROSE characters outside links, and fewer in them.
+WEAK_WORDS = frozenset("promoted recommended related share sharing social widget widgets".split())
+PROSE = 200
+#: A name with a word of each is one of readers' comments.
+READERS = frozenset("reader readers user users visitor visitors".split())
+SAYINGS = frozenset("comments feedback letters opinions replies responses reviews thoughts".split())
 CLOSES = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 
 _TOKEN = re.compile(
@@ -50,26 +59,36 @@ _PARTS = re.compile(r"[^A-Za-z]+")
 PLACES = frozenset(
     "aside bar bars block blocks body bottom box boxes btn button buttons center col column columns container content element feed first footer form frame global group header heading icon icons inline inner item "
     "items js last layer left link links list lists lower main message messages mobile module outer page panel post posts primary region right row section secondary site slot small sticky stories strip thread title "
-    "top unit upper wrap wrapper zone articles".split()
+    "top unit upper wrap wrapper zone articles this now us".split()
 )
 _NUMBER = re.compile(r"[0-9]+")
 
 
-def _named(name: str) -> bool:
-    """Whether a class or id tells of what is left out: its words are DROPPED_WORDS, one at least, and PLACES."""
-    parts = [x for x in _PARTS.split(name.lower()) if x]
-    return any(x in DROPPED_WORDS for x in parts) and all(x in DROPPED_WORDS or x in PLACES for x in parts)
+def _named(name: str) -> int:
+    """Whether a class or id tells of what is left out: 2 if its words are DROPPED_WORDS, one at least, and PLACES, or say that readers wrote it; 1 if
+    all of the former are WEAK_WORDS; else 0."""
+    parts = {x for x in _PARTS.split(name.lower()) if x}
+    if parts & READERS and parts & SAYINGS:
+        return 2
+    told = parts & DROPPED_WORDS
+    if not told or parts - DROPPED_WORDS - PLACES:
+        return 0
+    return 1 if told <= WEAK_WORDS else 2
 
 
 class Page:
     """Elements that are not inline, in page order, and the pieces of text with the element that holds each."""
 
     def __init__(self, source: str):
-        self.tags, self.above, self.paths, self.dropped = ["#page"], [-1], [""], [False]
-        self.named = [False]  # to be dropped for its class or id
+        self.tags, self.above, self.dropped = ["#page"], [-1], [False]
+        self.path = [0]  # of each element the number of its path
+        self.parts: list[tuple[int, str]] = [(-1, "")]  # of each path the one above it and its own part
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.held = [0]  # the container that is or holds an element
+        self.named = [0]  # to be dropped for its class or id
         self.in_article = [False]
         self.pieces: list[tuple[int, str, bool]] = []  # element, text, in a link
-        stack, link, at = [0], 0, 0
+        stack, link, at, open_ = [0], 0, 0, Counter()
         for m in _TOKEN.finditer(source):
             if m.start() > at:
                 self._text(stack[-1], source[at : m.start()], link > 0)
@@ -84,17 +103,21 @@ class Page:
             self.pieces.append((stack[-1], " ", False))
             if tag in VOID:
                 continue
-            if m[2]:
+            if m[2] and not open_[tag]:
+                pass
+            elif m[2]:
                 for k in range(len(stack) - 1, 0, -1):
                     if self.tags[stack[k]] == tag:
+                        open_.subtract(self.tags[x] for x in stack[k:])
                         del stack[k:]
                         break
             else:
                 if self.tags[stack[-1]] == "p":
-                    stack.pop()
+                    open_[self.tags[stack.pop()]] -= 1
                 if self.tags[stack[-1]] in CLOSES.get(tag, ()):
-                    stack.pop()
+                    open_[self.tags[stack.pop()]] -= 1
                 stack.append(self._element(tag, m[4], stack[-1]))
+                open_[tag] += 1
                 link = 0
             self.pieces.append((stack[-1], " ", False))
         if at < len(source):
@@ -102,23 +125,25 @@ class Page:
         self._drop_named()
 
     def _drop_named(self) -> None:
-        """Drop named elements with all in them, but for those that hold the page's main, all its articles or, without either, most of its text."""
+        """Drop named elements with all in them, but for those that hold the page's main, all its articles or, without either, most of its text, and for
+        those with a weak name that hold running text."""
         if not any(self.named):
             return
         n = len(self.tags)
-        mains, articles, size = [0] * n, [0] * n, [0] * n
+        mains, articles, size, linked = [0] * n, [0] * n, [0] * n, [0] * n
         for element, text, link in self.pieces:
-            size[element] += 0 if link else len(text.strip())
+            (linked if link else size)[element] += len(text.strip())
         for k in range(n - 1, -1, -1):
             if not self.dropped[k]:
                 mains[k] += self.tags[k] == "main"
                 articles[k] += self.tags[k] == "article"
                 if k:
-                    for held in (mains, articles, size):
+                    for held in (mains, articles, size, linked):
                         held[self.above[k]] += held[k]
         for k in range(1, n):
             if self.named[k]:
                 holds = mains[k] or (articles[0] and articles[k] == articles[0]) or (not mains[0] and not articles[0] and 2 * size[k] > size[0])
+                holds = holds or (self.named[k] == 1 and size[k] >= PROSE and size[k] > linked[k])
                 self.dropped[k] = self.dropped[k] or not holds
             self.dropped[k] = self.dropped[k] or self.dropped[self.above[k]]
 
@@ -133,18 +158,35 @@ class Page:
         names = found.get("class", "").split()
         drop = self.dropped[above] or tag in DROPPED or found.get("role", "").lower() in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true"
         drop = drop or (tag == "header" and not self.in_article[above])
-        self.in_article.append(tag == "article" or self.in_article[above])
-        self.named.append(tag not in ("html", "body", "article", "main") and any(map(_named, (*names, found.get("id", "")))))
+        self.in_article.append(tag in ("article", "main") or self.in_article[above])
+        self.named.append(0 if tag in ("html", "body", "article", "main") else max(map(_named, (*names, found.get("id", "")))))
         self.tags.append(tag)
         self.above.append(above)
         self.dropped.append(drop)
-        self.paths.append(">".join(filter(None, [self.paths[above], ".".join([tag, *sorted({_NUMBER.sub("", x).lower() for x in names})])])))
+        part = (self.path[above], ".".join([tag, *sorted({_NUMBER.sub("", x).lower().replace(">", "") for x in names})]))
+        if part not in self.numbers:
+            self.numbers[part] = len(self.parts)
+            self.parts.append(part)
+        self.path.append(self.numbers[part])
+        self.held.append(len(self.tags) - 1 if tag in CONTAINERS else self.held[above])
         return len(self.tags) - 1
 
-    def container(self, element: int) -> int:
-        while element > 0 and self.tags[element] not in CONTAINERS:
-            element = self.above[element]
-        return element
+    def path_text(self, element: int) -> str:
+        """An element's path from the page down."""
+        k, out = self.path[element], []
+        while k > 0:
+            k, part = self.parts[k]
+            out.append(part)
+        return ">".join(reversed(out))
+
+    def path_number(self, text: str) -> int | None:
+        """The number of a path, or None if the page has no such element."""
+        k: int | None = 0
+        for part in text.split(">"):
+            k = self.numbers.get((k, part))
+            if k is None:
+                return None
+        return k
 
     def best(self) -> tuple[str, float]:
         """The path of the best container, raised to the article or main that holds it, and its score; '' and 0 without text."""
@@ -158,10 +200,10 @@ class Page:
         scores: dict[int, float] = {}
         for element, (size, linked, commas) in blocks.items():
             worth = (1 + commas + min(size / 100, 10)) * (1 - linked / size) if size >= 25 else 0.1 * (1 - linked / size)
-            own = self.container(element)
+            own = self.held[element]
             scores[own] = scores.get(own, 0) + worth
             if own > 0:
-                over = self.container(self.above[own])
+                over = self.held[self.above[own]]
                 scores[over] = scores.get(over, 0) + worth / 2
         if not scores:
             return "", 0.0
@@ -169,17 +211,18 @@ class Page:
         k = top
         while k > 0:
             if self.tags[k] in ("article", "main"):
-                return self.paths[k], scores[top]
+                return self.path_text(k), scores[top]
             k = self.above[k]
-        return self.paths[top], scores[top]
+        return self.path_text(top), scores[top]
 
     def text(self, path: str) -> str | None:
         """All text under elements of the path, without what is dropped; None if there is no such element."""
-        inside = [False] * len(self.tags)
-        for k, own in enumerate(self.paths):
-            inside[k] = own == path or (k > 0 and inside[self.above[k]])
-        if not any(inside):
+        number = self.path_number(path) if path else 0
+        if number is None:
             return None
+        inside = [False] * len(self.tags)
+        for k, own in enumerate(self.path):
+            inside[k] = own == number or (k > 0 and inside[self.above[k]])
         return " ".join("".join(text for element, text, _ in self.pieces if inside[element] and not self.dropped[element]).split())
 
 

@@ -74,7 +74,9 @@ def grouped(stats: DataFrame, min_rows: int) -> DataFrame:
     small = F.when(F.col("n") < min_rows, F.col("n")).otherwise(0)
     n = n.withColumn("of_lang", F.sum(small).over(Window.partitionBy("lang")))
     pooled = (F.col("n") < min_rows) & (F.col("of_lang") < min_rows)
-    n = n.withColumn("of_all", F.sum("n").over(Window.partitionBy(pooled)))
+    n = n.withColumn("__pooled", pooled)
+    # one row: what tasks have counted meets, not the groups
+    n = n.crossJoin(n.agg(F.sum(F.when(F.col("__pooled"), F.col("n"))).alias("of_pooled"))).withColumn("of_all", F.when(F.col("__pooled"), F.col("of_pooled")))
     key = lambda *parts: F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
     return n.select(
         "lang", "source",

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from lattica.operators.graph import components
 
 from . import _words
-from ._shared import save, small_batches, table
+from ._shared import fits, save, small_batches, table
 
 SHINGLE, SEED, RADIUS, BLOCK, LOT = 4, 42, 4, 4096, 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -60,16 +60,16 @@ def _majority(h: np.ndarray) -> int:
     return int(sum(1 << k for k in range(64) if 2 * total[k] > n))
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and its fingerprint fp (long, the 64 bits as signed)."""
-    source = small_batches(docs).select(docs["doc_id"], docs["text"].alias("__text"))
+def fingerprints(docs: DataFrame, width: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep and the fingerprint fp (long, the 64 bits as signed) of each text."""
+    source = small_batches(docs).select(*[docs[c] for c in keep], docs["text"].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _words.slices(batches, "__text"):
             fp = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(part.column, keep), pa.array(fp)], names=[*keep, "fp"])
 
-    return source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in keep], T.StructField("fp", T.LongType())]))
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -143,13 +143,40 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, lot: in
     return out.distinct()
 
 
+def _rooted(distinct: DataFrame, radius: int, block: int) -> DataFrame:
+    """distinct (fp, each once, and least) with root, the same for all fingerprints that links connect."""
+    root = components(links(distinct.select("fp"), radius, block))
+    # what no link touches is its own component
+    return save(distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+
+
+def one_of_each(docs: DataFrame, columns: list[str], radius: int = RADIUS, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """One row of each component of fingerprints, whatever its doc_id: the one with the smallest id (null last), then the smallest hash of the columns; of
+    rows that are equal in all of them, one. Rows are decided on by id and hash, and texts stay where they are while the rows that go are few by measure."""
+    docs = docs.select(*columns).withColumn("__content", F.xxhash64(*columns))
+    key = ["doc_id", "__content"]
+    prints = save(fingerprints(docs, width, (*key,)).groupBy(*key, "fp").agg(F.count("*").alias("n")), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__content")
+    rooted = _rooted(save(prints.groupBy("fp").agg(F.min(place).alias("least")), "distinct"), radius, block)
+    first = save(rooted.groupBy("root").agg(F.min("least").alias("first")), "first")
+    of_print = save(rooted.join(first, "root").select("fp", "first"), "classes")
+    decided = save(prints.join(of_print, "fp").select(*key, "n", (place == F.col("first")).alias("stays")), "decided")
+    named = lambda rows: rows.select(F.col("doc_id").alias("__id"), F.col("__content").alias("__hash"))
+    small = lambda rows: F.broadcast(rows) if fits(rows) else rows
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (docs["__content"] == F.col("__hash"))
+    gone, again = named(decided.where("not stays")), named(decided.where("stays and n > 1"))
+    left = docs.join(small(gone), same, "left_anti")
+    if again.limit(1).count():
+        again = small(again)
+        left = left.join(again, same, "left_anti").unionByName(docs.join(again, same, "left_semi").dropDuplicates(key))
+    return left.select(*columns)
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id that links reach."""
     prints = save(fingerprints(docs, width), "fingerprints")
     distinct = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = components(links(distinct.select("fp"), radius, block))
-    # what no link touches is its own component
-    with_root = save(distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    with_root = _rooted(distinct, radius, block)
     # a table of its own, so that a hot component's rows can be split in the join
     least = save(with_root.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     classes = save(with_root.join(least, "root").select("fp", "component_id"), "classes")
