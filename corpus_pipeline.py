@@ -6,15 +6,15 @@ Defined cases are those of the operators; a document is a row, so rows that repe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm._shared import fits, save
+from lattica.llm._shared import save
 from lattica.llm.mixing import mixed
 from lattica.llm.pii import redacted
 from lattica.llm.quality_rules import quality_rules
 from lattica.llm.sentencepiece_codec import digest, encoded
-from lattica.llm.simhash_dedup import near_duplicates
+from lattica.llm.simhash_dedup import one_of_each
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,22 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one whose id names the group; of rows that share that id, the first by content."""
-    stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = save(near_duplicates(docs).groupBy("doc_id").agg(stays.alias("stays")).where("not stays").select(F.col("doc_id").alias("__id")), "gone")
-    # a row for each id that goes: texts stay where they are while these are small by measure
-    small = lambda ids: F.broadcast(ids) if fits(ids) else ids
-    left = docs.join(small(gone), docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
-    again = save(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "repeated")
-    if not again.limit(1).count():
-        return left.select(*DOCUMENTS)
-    # only ids that repeat need a choice among their rows: the least content hash, chosen before any text moves
-    content = F.xxhash64(*[F.col(c) for c in DOCUMENTS])
-    repeated = docs.join(small(again), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    one = repeated.groupBy("doc_id").agg(F.min(content).alias("__content"))
-    chosen = repeated.withColumn("__own", content).join(one.withColumnRenamed("doc_id", "__one"), F.col("doc_id").eqNullSafe(F.col("__one")) & (F.col("__own") == F.col("__content"))).dropDuplicates(["doc_id"])
-    chosen = chosen.join(small(gone.withColumnRenamed("__id", "__gone")), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    return left.join(small(again), left["doc_id"].eqNullSafe(F.col("__id")), "left_anti").select(*DOCUMENTS).unionByName(chosen.select(*DOCUMENTS))
+    """One document of each group of near-duplicates: the one with the smallest id, then the smallest content hash."""
+    return one_of_each(docs, DOCUMENTS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
