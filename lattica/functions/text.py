@@ -119,7 +119,7 @@ def first_rule(c: Column, rules: list[tuple[str, str]]) -> Column:
 
 def lettered_number(c: Column) -> Column:
     """A struct of the letters in front (letters), the number behind them (number) and its width in digits (width) of a text like AB012; null
-    for any other text."""
+    for any other text, and for numbers of more than 18 digits, which a long can't hold."""
     parts = lambda n: F.regexp_extract(c, r"^([A-Za-z]+)([0-9]{1,18})$", n)
     return F.when(c.rlike(r"^[A-Za-z]+[0-9]{1,18}$"), F.struct(parts(1).alias("letters"), parts(2).try_cast("long").alias("number"), F.length(parts(2)).alias("width")))
 

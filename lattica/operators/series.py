@@ -5,6 +5,7 @@ gives an empty result."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +117,58 @@ def bands(df: DataFrame, by: list[str], value: str, width: float, name: str = "b
     return keyed.join(marked, ["__g", "__v"], "left").select(*df.columns, name)
 
 
+def template_scores(df: DataFrame, by: list[str], order: list[str | Column], value: str, templates: dict[str, list[float]], keep: list[str]) -> DataFrame:
+    """by, keep, template, score: the normalised correlation of each template with the values of the rows that begin at a row, as many as it is long. Rows
+    that too few follow, windows with a null, and windows or templates without any spread have none. One window function serves all templates."""
+    most = max(map(len, templates.values()))
+    ahead = Window.partitionBy(*by).orderBy(*order)
+    rows = df.select(*by, *[c for c in keep if c not in by], *[F.lead(F.col(value).cast("double"), k).over(ahead).alias(f"__{k}") for k in range(most)])
+
+    def score(t: list[float]) -> Column:
+        n, total, square, dot = len(t), F.lit(0.0), F.lit(0.0), F.lit(0.0)
+        for k, w in enumerate(t):
+            x = F.col(f"__{k}")
+            total, square, dot = total + x, square + x * x, dot + x * F.lit(float(w))
+        own = n * sum(w * w for w in t) - sum(t) ** 2
+        return F.try_divide(n * dot - total * F.lit(float(sum(t))), F.sqrt(F.greatest(F.lit(0.0), n * square - total * total) * F.lit(float(own))))
+
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("template"), score(t).alias("score")) for name, t in templates.items()])).alias("s")
+    return rows.select(*by, *[c for c in keep if c not in by], each).select(*by, *[c for c in keep if c not in by], "s.*").where("score is not null and not isnan(score)")
+
+
+def running_means(df: DataFrame, by: list[str], value: str, tolerance: float) -> DataFrame:
+    """by, centre, n, lo, hi: clusters made in one pass over a group's sorted values: a value joins the last cluster if it is `tolerance` at most above that one's mean so far, and
+    moves the mean; else it begins another. Values further apart than that never meet, so each stretch between such gaps is made by itself, and one
+    no wider than the tolerance is a cluster as it is; only wider ones need the pass, in a task for each. Equal values are counted before. Nulls and NaN are left out."""
+    own = F.col(value).cast("double")
+    counted = df.where(own.isNotNull() & ~F.isnan(own)).groupBy(*by, own.alias("__v")).agg(F.count("*").alias("__n"))
+    begins = F.coalesce((F.col("__v") - F.lag("__v").over(Window.partitionBy(*by).orderBy("__v")) > tolerance).cast("int"), F.lit(1))
+    marked = counted.withColumn("__new", begins).withColumn("__stretch", F.sum("__new").over(_upto(by, ["__v"]))).drop("__new")
+    marked = save(marked, "stretches")
+    sizes = marked.groupBy(*by, "__stretch").agg((F.sum(F.col("__v") * F.col("__n")) / F.sum("__n")).alias("centre"), F.sum("__n").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    narrow = F.col("hi") - F.col("lo") <= tolerance
+    names = {c: f"__by_{c}" for c in by}
+    wide = save(sizes.where(~narrow).select(*[F.col(c).alias(names[c]) for c in by], F.col("__stretch").alias("__wide")), "wide")
+    equal = F.col("__stretch") == F.col("__wide")
+    for c in by:
+        equal &= F.col(c).eqNullSafe(F.col(names[c]))
+    rest = marked.join(wide, equal, "left_semi")
+
+    def passed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, out = pdf.sort_values("__v"), []
+        for v, n in zip(pdf["__v"].tolist(), pdf["__n"].tolist(), strict=True):
+            if out and v - out[-1][0] / out[-1][1] <= tolerance:
+                last = out[-1]
+                out[-1] = (last[0] + v * n, last[1] + n, last[2], v)
+            else:
+                out.append((v * n, n, v, v))
+        one = pdf[by].iloc[[0] * len(out)].reset_index(drop=True)
+        return one.assign(centre=[s / n for s, n, _, _ in out], n=[n for _, n, _, _ in out], lo=[lo for _, _, lo, _ in out], hi=[hi for _, _, _, hi in out])
+
+    kind = sizes.drop("__stretch").schema
+    return sizes.where(narrow).drop("__stretch").unionByName(rest.groupBy(*by, "__stretch").applyInPandas(passed, kind))
+
+
 def tail_split(df: DataFrame, by: list[str], order: list[str | Column], share: float, least: int = 1) -> DataFrame:
     """df and `held`: whether a row is among the last ceil(share * n), and `least` at least, of its group's n rows."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -36,9 +36,14 @@ def runs(df: DataFrame, partition: list[str], order: list[str], value: str) -> D
     return df.withColumn("__run", changed).withColumn("__run", F.sum("__run").over(w)).groupBy(*partition, "__run", value).agg(F.count("*").alias("length"), F.min(at).alias("first"), F.max(at).alias("last")).drop("__run")
 
 
+def ranked(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """All rows with their place in their group, from 1."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The k first rows of each group; Spark keeps k per task before the shuffle."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
+    return ranked(df, group, order).where(F.col("rank") <= k)
 
 
 def pivot_counts(df: DataFrame, group: list[str], by: str, values: list[str], total: str | None = None) -> DataFrame:

@@ -114,10 +114,10 @@ def text_predicates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").agg(*[F.count_if(t).alias(name) for name, t in tests.items()])
 
 
-@query("text_keys", r"SELECT doc_id, regexp_replace(regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, sha256('{~c0~:~' || doc_id::VARCHAR || '~,~c1~:~' || lang || '~}') AS id FROM documents".replace("~", '"'))
+@query("text_keys", r"SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, sha256('{~c0~:~' || doc_id::VARCHAR || '~,~c1~:~' || lang || '~}') AS id FROM documents".replace("~", '"'))
 def text_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Slugs of the first characters (titles are no column of the table) and row ids."""
-    return table(spark, d, "documents").select("doc_id", text.slug(F.substring("text", 1, 40)).alias("slug"), text.row_id(F.col("doc_id"), F.col("lang")).alias("id"))
+    """Slugs of texts (titles are no column of the table) and row ids."""
+    return table(spark, d, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"), text.row_id(F.col("doc_id"), F.col("lang")).alias("id"))
 
 
 _CLEAN = f"regexp_replace(trim(text, '{text.SPACES}'), '[{text.SPACES}]+', ' ', 'g')"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.operators import geometry, joins, planar, raster, relations, series
+from lattica.operators import geometry, graph, joins, planar, raster, relations, series, signatures
 from lattica.sources.shared import in_order, save
 
 from .registry import query, table
@@ -138,3 +138,71 @@ def token_rows(spark: SparkSession, d: str) -> DataFrame:
     left = table(spark, d, "supplier").select("s_suppkey", "s_name", F.concat(F.lit("N"), "s_nationkey", F.lit(" S"), F.col("s_suppkey") % 7).alias("words"))
     right = table(spark, d, "nation").select("n_nationkey", "n_name", F.when(F.col("n_regionkey") != 1, F.concat(F.lit("n"), "n_nationkey")).alias("word"))
     return joins.token_rows(left, right, "s_suppkey", "n_nationkey", "words", "word").select("s_suppkey", "s_name", "n_nationkey", "n_name")
+
+
+_TEMPLATES = {"rise": [1.0, 2.0, 3.0, 4.0], "peak": [0.0, 3.0, 0.0], "dip": [2.0, 0.0, 0.0, 2.0]}
+
+
+def _score_sql(t: list[float]) -> str:
+    x = [f"lead(o_totalprice, {k}) OVER w" for k in range(len(t))]
+    total, square, dot = "0.0 + " + " + ".join(x), "0.0 + " + " + ".join(f"{c} * ({c})" for c in x), "0.0 + " + " + ".join(f"{c} * {w}" for c, w in zip(x, t, strict=True))
+    n, own = len(t), len(t) * sum(w * w for w in t) - sum(t) ** 2
+    return f"({n} * ({dot}) - ({total}) * {sum(t)}) / nullif(sqrt(greatest(0.0, {n} * ({square}) - ({total}) * ({total})) * {own}), 0)"
+
+
+@query("template_scores", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT o_custkey, o_orderkey, '{name}' AS template, round({_score_sql(t)}, 6) AS score FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)" for name, t in _TEMPLATES.items()) + ") WHERE score IS NOT NULL")
+def template_scores(spark: SparkSession, d: str) -> DataFrame:
+    """How a customer's orders from each one on look like a rise, a peak or a dip in price."""
+    return series.template_scores(table(spark, d, "orders"), ["o_custkey"], ["o_orderkey"], "o_totalprice", _TEMPLATES, ["o_orderkey"]).withColumn("score", F.round("score", 6))
+
+
+@query("running_means", """WITH RECURSIVE v AS (SELECT l_partkey, l_orderkey * 53 % 4000 AS v, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 53 % 4000) AS k FROM lineitem), r AS (
+  SELECT l_partkey, k, v::DOUBLE AS s, 1 AS n, v AS lo, v AS hi, 1 AS cluster FROM v WHERE k = 1 UNION ALL
+  SELECT r.l_partkey, v.k, CASE WHEN v.v - r.s / r.n <= 60 THEN r.s + v.v ELSE v.v END, CASE WHEN v.v - r.s / r.n <= 60 THEN r.n + 1 ELSE 1 END, CASE WHEN v.v - r.s / r.n <= 60 THEN r.lo ELSE v.v END, v.v, CASE WHEN v.v - r.s / r.n <= 60 THEN r.cluster ELSE r.cluster + 1 END
+  FROM r JOIN v ON v.l_partkey = r.l_partkey AND v.k = r.k + 1)
+SELECT l_partkey, round(arg_max(s / n, k), 6) AS centre, max(n)::BIGINT AS n, min(lo)::DOUBLE AS lo, max(hi)::DOUBLE AS hi FROM r GROUP BY l_partkey, cluster""")
+def running_means(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").selectExpr("l_partkey", "l_orderkey * 53 % 4000 as v")
+    return series.running_means(rows, ["l_partkey"], "v", 60.0).withColumn("centre", F.round("centre", 6))
+
+
+_WAYS = "SELECT DISTINCT l_partkey * 2 AS u, l_suppkey * 2 + 1 AS v, l_returnflag AS kind FROM lineitem"
+
+
+@query("traced_paths", f"""WITH e AS ({_WAYS}), g AS MATERIALIZED (SELECT u AS a, v AS b, kind FROM e UNION SELECT v, u, kind FROM e), s AS MATERIALIZED (SELECT p_partkey * 2 AS node FROM part WHERE p_size > 12),
+r0 AS (SELECT s_suppkey * 2 + 1 AS start, s_suppkey * 2 + 1 AS node FROM supplier WHERE s_suppkey % 10 = 0),
+r1 AS MATERIALIZED (SELECT start, b AS node, min((a, kind)) AS best FROM r0 JOIN g ON a = node WHERE b <> start GROUP BY start, b),
+r2 AS MATERIALIZED (SELECT start, b AS node, min((a, kind)) AS best FROM r1 JOIN g ON a = node WHERE node NOT IN (SELECT node FROM s) AND (start, b) NOT IN (SELECT start, node FROM r0 UNION ALL SELECT start, node FROM r1) GROUP BY start, b)
+SELECT start, node, 0 AS hops, NULL AS parent, NULL AS kind, node IN (SELECT node FROM s) AS stops FROM r0 UNION ALL SELECT start, node, 1, struct_extract(best, 1), struct_extract(best, 2), node IN (SELECT node FROM s) FROM r1 UNION ALL SELECT start, node, 2, struct_extract(best, 1), struct_extract(best, 2), node IN (SELECT node FROM s) FROM r2""")
+def traced_paths(spark: SparkSession, d: str) -> DataFrame:
+    """From suppliers along lines to parts and on to suppliers, but not past large parts."""
+    edges = table(spark, d, "lineitem").selectExpr("l_partkey * 2 as u", "l_suppkey * 2 + 1 as v", "l_returnflag as kind")
+    start = table(spark, d, "supplier").where("s_suppkey % 10 = 0").selectExpr("s_suppkey * 2 + 1 as start")
+    return graph.traced(edges, start, table(spark, d, "part").where("p_size > 12").selectExpr("p_partkey * 2 as node"), 2)
+
+
+_SETS = "SELECT l_orderkey AS id, (l_partkey * 37 % 200)::DOUBLE AS x, (l_suppkey * 53 % 100)::DOUBLE AS y FROM lineitem"
+_HU = f"""m AS (SELECT id, count(*) AS n, avg(x) AS a, avg(y) AS b FROM ({_SETS}) GROUP BY id), d AS (SELECT id, x - a AS x, y - b AS y, n FROM ({_SETS}) JOIN m USING (id)),
+q AS (SELECT id, any_value(n) AS n, avg(x * x) AS c20, avg(y * y) AS c02, avg(x * y) AS c11, avg(x * x * x) AS c30, avg(y * y * y) AS c03, avg(x * x * y) AS c21, avg(x * y * y) AS c12, avg(x * x + y * y) AS s FROM d GROUP BY id),
+c AS (SELECT id, n, c20 / s AS c20, c02 / s AS c02, c11 / s AS c11, c30 / s ** 1.5 AS c30, c03 / s ** 1.5 AS c03, c21 / s ** 1.5 AS c21, c12 / s ** 1.5 AS c12 FROM q WHERE s > 0),
+h AS (SELECT id, n, (c20 - c02) ** 2 + 4 * c11 ** 2 AS h2, (c30 - 3 * c12) ** 2 + (3 * c21 - c03) ** 2 AS h3, (c30 + c12) ** 2 + (c21 + c03) ** 2 AS h4 FROM c)"""
+
+
+def _sets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").selectExpr("l_orderkey as id", "cast(l_partkey * 37 % 200 as double) as x", "cast(l_suppkey * 53 % 100 as double) as y")
+
+
+@query("moment_invariants", f"WITH {_HU} SELECT id, n, round(h2, 5) AS h2, round(h3, 5) AS h3, round(h4, 5) AS h4 FROM h")
+def moment_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Of the places of an order's lines."""
+    found = signatures.moment_invariants(_sets(spark, d), "id")
+    return found.select("id", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in ("h2", "h3", "h4")])
+
+
+# a thousandth and a half keeps rounded values off the limit
+@query("near_signatures", f"WITH {_HU}, g AS (SELECT id, round(h2, 3) AS h2, round(h3, 3) AS h3, round(h4, 3) AS h4 FROM h WHERE n >= 4) SELECT a.id AS a, b.id AS b, round(greatest(abs(a.h2 - b.h2), abs(a.h3 - b.h3), abs(a.h4 - b.h4)), 6) AS gap FROM g a JOIN g b ON a.id < b.id AND abs(a.h2 - b.h2) <= 0.0035 AND abs(a.h3 - b.h3) <= 0.0035 AND abs(a.h4 - b.h4) <= 0.0035")
+def near_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of four lines and more whose places look alike."""
+    found = signatures.moment_invariants(_sets(spark, d), "id").where("n >= 4").select("id", *[F.round(c, 3).alias(c) for c in ("h2", "h3", "h4")])
+    found = save(found, "signatures")
+    return signatures.near_vectors(found, found, "id", ["h2", "h3", "h4"], 0.0035).where("a < b").withColumn("gap", F.round("gap", 6))

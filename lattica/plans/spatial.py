@@ -88,12 +88,12 @@ def region_lookup(spark: SparkSession, d: str) -> DataFrame:
     region = tuple(F.lit(v) for v in (500.0, 600.0, 700.0, 900.0))
     score = F.col("id") * 7919 % 1000
     found = boxes(spark, d).where(bx.touches(bx.box(), region)).withColumn("score", score)
-    return summaries.top_per_group(found, ["page"], [F.desc("score"), F.col("id")], 1 << 30).select("page", "id", "rank")
+    return summaries.ranked(found, ["page"], [F.desc("score"), F.col("id")]).select("page", "id", "rank")
 
 
 @query("reading_order", f"SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY y0, x0, id)::INTEGER AS rank FROM ({_BOXES})")
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
-    return summaries.top_per_group(boxes(spark, d), ["page"], [F.col("y0"), F.col("x0"), F.col("id")], 1 << 30).select("page", "id", "rank")
+    return summaries.ranked(boxes(spark, d), ["page"], [F.col("y0"), F.col("x0"), F.col("id")]).select("page", "id", "rank")
 
 
 @query("line_bands", f"""WITH RECURSIVE b AS (SELECT DISTINCT page, y0 FROM ({_BOXES})), a AS (SELECT page, min(y0) AS y FROM b GROUP BY page UNION SELECT a.page, (SELECT min(y0) FROM b WHERE b.page = a.page AND b.y0 >= a.y + 12) FROM a WHERE a.y IS NOT NULL)

@@ -7,7 +7,7 @@ import time
 import numpy as np
 import pytest
 
-from lattica.operators import geometry, joins, planar, raster, relations, series
+from lattica.operators import geometry, graph, joins, planar, raster, relations, series, signatures
 from lattica.sources import catalog, shared
 
 
@@ -242,3 +242,98 @@ def test_row_estimates_come_from_the_catalogue(spark, tmp_path):
         assert spark.table("lattica_estimated").count() == 7
     finally:
         spark.sql("DROP TABLE lattica_estimated")
+
+
+def test_template_scores(spark):
+    r = np.random.default_rng(3)
+    rows = [(k % 3 or None, k, float(v)) for k, v in enumerate(r.integers(0, 9, 60))] + [(1, 900, None), (1, 901, 2.0), (2, 902, 5.0), (2, 903, 5.0), (2, 904, 5.0), (2, 905, 5.0)]
+    templates = {"up": [1.0, 2.0, 4.0], "flat": [2.0, 2.0], "long": [0.0, 1.0, 0.0, 1.0]}
+    want = {}
+    for g in (None, 1, 2):
+        own = sorted((k, v) for q, k, v in rows if q == g)
+        for i in range(len(own)):
+            for name, t in templates.items():
+                w = [v for _, v in own[i : i + len(t)]]
+                if len(w) == len(t) and None not in w and np.std(w) > 0 and np.std(t) > 0:
+                    want[(g, own[i][0], name)] = np.corrcoef(w, t)[0, 1]
+    got = {(x.g, x.k, x.template): x.score for x in series.template_scores(spark.createDataFrame(rows, "g int, k int, v double"), ["g"], ["k"], "v", templates, ["k"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_running_means(spark):
+    r = random.Random(12)
+    rows = [(r.choice([1, None]), float(r.randrange(300))) for _ in range(200)] + [(2, float(k)) for k in range(60)] + [(2, 7.0)] * 5 + [(1, None), (1, float("nan"))]
+    want = collections.Counter()
+    for g in (1, 2, None):
+        out = []
+        for v in sorted(v for q, v in rows if q == g and v is not None and v == v):
+            if out and v - sum(out[-1]) / len(out[-1]) <= 4:
+                out[-1].append(v)
+            else:
+                out.append([v])
+        want.update((g, round(sum(c) / len(c), 6), len(c), c[0], c[-1]) for c in out)
+    df = spark.createDataFrame(rows, "g int, v double")
+    assert collections.Counter((x.g, round(x.centre, 6), x.n, x.lo, x.hi) for x in series.running_means(df, ["g"], "v", 4.0).collect()) == want
+    assert series.running_means(df.limit(0), ["g"], "v", 4.0).count() == 0
+
+
+def test_traces_stop_at_boundaries(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(40), r.randrange(40), r.choice("ab")) for _ in range(50)] + [(None, 1, "a"), (3, 3, "a"), (70, 71, None)]
+    start, stops = [0, 1, 2, 70, 99, None], [4, 5, 6, 7, 1, None]
+    df = spark.createDataFrame(edges, "u int, v int, kind string")
+    got = graph.traced(df, spark.createDataFrame([(x,) for x in [*start, 0]], "start int"), spark.createDataFrame([(x,) for x in stops], "node int"), 9)
+    ways = collections.defaultdict(set)
+    for u, v, k in edges:
+        if u is not None and u != v:
+            ways[u].add((v, k))
+            ways[v].add((u, k))
+    want, told = collections.Counter(), {}
+    for s in start[:-1]:
+        seen, last = {s: (0, None, None)}, [s]
+        for hop in range(1, 10):
+            found = {}
+            for a in last:
+                for b, k in ways[a] if a not in stops or hop == 1 else ():
+                    if b not in seen and (b not in found or (a, k or "") < (found[b][0], found[b][1] or "")):
+                        found[b] = (a, k)
+            seen |= {b: (hop, *x) for b, x in found.items()}
+            last = list(found)
+        want.update((s, n, *x, n in stops) for n, x in seen.items())
+        told[s] = "stopped" if any(n in stops and n != s for n in seen) else "alone" if len(seen) == 1 else "closed"
+    assert _rows(got) == want
+    assert {x.start: x.outcome for x in graph.outcomes(got).collect()} == told
+
+
+@pytest.mark.parametrize("one_task", [0, 10_000])
+def test_components_in_rounds_or_in_one_task(spark, one_task):
+    r = random.Random(6)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 420)] + [(None, 1), (7, 7)]
+    got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "u int, v int"), one_task).collect()}
+    parent = {}
+
+    def root(k):
+        while parent.setdefault(k, k) != k:
+            k = parent[k]
+        return k
+
+    for u, v in edges:
+        if u is not None and u != v:
+            parent[root(u)] = root(v)
+    assert got.keys() == parent.keys()
+    assert len({(root(k), got[k]) for k in got}) == len({root(k) for k in got}) == len(set(got.values()))
+
+
+def test_signatures_of_point_sets(spark):
+    r = np.random.default_rng(8)
+    sets = {k: r.normal(size=(r.integers(3, 30), 2)) * [3, 1] for k in range(20)}
+    for k in range(20):  # turned, scaled and moved
+        a = r.uniform(0, 6)
+        sets[100 + k] = sets[k] @ np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]]) * r.uniform(0.5, 9) + r.normal(size=2) * 50
+    rows = [(k, float(x), float(y)) for k, pts in sets.items() for x, y in pts] + [(500, 1.0, 1.0), (500, 1.0, 1.0), (None, 1.0, 2.0), (0, None, 1.0), (0, float("nan"), 1.0)]
+    found = shared.save(signatures.moment_invariants(spark.createDataFrame(rows, "k int, x double, y double"), "k"), "found")
+    got = {x.k: np.array([x[c] for c in signatures.NAMES]) for x in found.collect()}
+    assert set(got) == set(sets) and all(np.allclose(got[k], got[100 + k], atol=1e-6) for k in range(20))
+    near = signatures.near_vectors(found, found, "k", signatures.NAMES, 0.05).collect()
+    want = {(a, b) for a in got for b in got if np.abs(got[a] - got[b]).max() <= 0.05}
+    assert {(x.a, x.b) for x in near} == want and len(near) == len(want) and {(k, 100 + k) for k in range(20)} <= want
