@@ -2,12 +2,15 @@
 
 Each line shows a speaker marker (a fixed word and a colon in front of it, or the role that came with the row on the row's first line) and
 features: whether a row begins, a question, a command-like head (its first word is one of a list of imperatives), length. States are system,
-user and assistant; Viterbi finds the most likely roles, with scores in whole millionths of a unit, so that sums are exact in any order. A
+user and assistant. How conversations begin, how roles follow each other from row to row, and what each role's lines look like is counted in Spark over
+the rows that keep their role, with the tables below as if they had been seen PRIOR times; so a table without roles is parsed by those alone. Viterbi finds the most likely roles, with scores in whole millionths of a unit, so that sums are exact in any order. A
 marker is taken off a line only if the line's decoded role is the one that it names. A conversation may be of any length: rows are ranged by
 conversation and turn into parts; where a conversation reaches over parts, each part's lines become one max-plus matrix (what the best path
 from any state to any other scores), the few matrices of a conversation give the states at the parts' borders, and each part is then decoded
 by itself, all its conversations at once. No task holds more than a part.
 
+Counts are made part by part, so a step from one part to the next is not among them.
+
 Defined cases: a null text has no lines and keeps one empty turn with the role that the model gives it; null or unknown roles are no marker; null
 conversations are one conversation; null turns come first; rows with the same turn go by role, then text; repeated rows are turns each;
 of equally likely paths one is taken; an empty table gives an empty result; other columns are not read.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,10 +42,15 @@ def _LOG(p: np.ndarray) -> np.ndarray:
     return np.round(np.log(p) * 1e6)
 
 
-START = _LOG(np.array([0.2, 0.7, 0.1]))
-#: From a line to the next of the same row, and to the first line of the next row.
-WITHIN = _LOG(np.array([[0.96, 0.02, 0.02], [0.01, 0.96, 0.03], [0.01, 0.03, 0.96]]))
-BETWEEN = _LOG(np.array([[0.1, 0.8, 0.1], [0.02, 0.13, 0.85], [0.02, 0.85, 0.13]]))
+# By hand: from a line to the next of the same row, and to the first line of the next row.
+BEGIN = np.array([0.2, 0.7, 0.1])
+INSIDE = np.array([[0.96, 0.02, 0.02], [0.01, 0.96, 0.03], [0.01, 0.03, 0.96]])
+ROWS = np.array([[0.1, 0.8, 0.1], [0.02, 0.13, 0.85], [0.02, 0.85, 0.13]])
+ASKS, HEADS = np.array([0.05, 0.3, 0.1]), np.array([0.15, 0.2, 0.05])
+SIZE, SPREAD = np.array([4.5, 4.2, 5.0]), 1.8
+#: How many times a row of those tables counts beside what is seen.
+PRIOR = 20.0
+START, WITHIN, BETWEEN = _LOG(BEGIN), _LOG(INSIDE), _LOG(ROWS)
 MARKED, GIVEN = 0.97, 0.95  # how often a marker, and a given role, are right
 
 
@@ -58,47 +67,108 @@ def _told(right: float) -> np.ndarray:
 
 
 MARK, GIVE = _told(MARKED), _told(GIVEN)
-QUESTION, COMMAND = (np.stack([_LOG(1 - p), _LOG(p)]) for p in (np.array([0.05, 0.3, 0.1]), np.array([0.15, 0.2, 0.05])))
 STEP = np.stack([WITHIN, BETWEEN])
 
 
-def emissions(named: list[int], given: list[int], asks: list[bool], heads: list[bool], sizes: list[int]) -> np.ndarray:
+class Params(NamedTuple):
+    """Log probabilities in millionths; size and spread are of the logarithm of a line's length."""
+
+    start: np.ndarray
+    step: np.ndarray
+    question: np.ndarray
+    command: np.ndarray
+    size: np.ndarray
+    spread: np.ndarray
+
+
+def _of_rates(start: np.ndarray, between: np.ndarray, asks: np.ndarray, heads: np.ndarray, size: np.ndarray, spread: np.ndarray) -> Params:
+    question, command = (np.stack([_LOG(1 - p), _LOG(p)]) for p in (asks, heads))
+    return Params(_LOG(start), np.stack([WITHIN, _LOG(between)]), question, command, size, spread)
+
+
+HAND = _of_rates(BEGIN, ROWS, ASKS, HEADS, SIZE, np.full(3, SPREAD))
+#: What is counted: first roles, steps from role to role, and of each role's rows the number, and the shares of questions and command-like heads, sizes and their squares in their lines.
+N_COUNTS = 3 + 9 + 5 * 3
+
+
+def learnt(counts: np.ndarray) -> Params:
+    """The parameters from counts and the tables by hand."""
+    begin, steps, (n, asks, heads, total, square) = counts[:3], counts[3:12].reshape(3, 3), counts[12:].reshape(5, 3)
+    start = (begin + PRIOR * BEGIN) / (begin.sum() + PRIOR)
+    between = (steps + PRIOR * ROWS) / (steps.sum(1)[:, None] + PRIOR)
+    mean = (total + PRIOR * SIZE) / (n + PRIOR)
+    # about the mean, of what was seen and of the prior's own spread and mean
+    spread = np.sqrt(np.maximum(0, square - 2 * mean * total + n * mean**2 + PRIOR * (SPREAD**2 + (SIZE - mean) ** 2)) / (n + PRIOR))
+    return _of_rates(start, between, (asks + PRIOR * ASKS) / (n + PRIOR), (heads + PRIOR * HEADS) / (n + PRIOR), mean, spread)
+
+
+def emissions(named: list[int], given: list[int], asks: list[bool], heads: list[bool], sizes: list[int], params: Params = HAND) -> np.ndarray:
     """Log probability of the lines' features, a row for each line and a column for each state."""
     size = np.log1p(np.array(sizes, float))[:, None]
-    length = np.round(-1e5 * ((size - np.array([4.5, 4.2, 5.0])) / 1.8) ** 2)
-    return MARK[np.array(named, int) + 1] + GIVE[np.array(given, int) + 1] + QUESTION[np.array(asks, int)] + COMMAND[np.array(heads, int)] + length
+    length = np.round(-5e5 * ((size - params.size) / params.spread) ** 2 - 1e6 * np.log(params.spread))
+    return MARK[np.array(named, int) + 1] + GIVE[np.array(given, int) + 1] + params.question[np.array(asks, int)] + params.command[np.array(heads, int)] + length
+
+
+def _features(text: str | None) -> list[tuple[int, str, str, bool, bool]]:
+    """Of each line the role that a marker names, the line with and without it, whether it asks and whether it begins like a command."""
+    out = []
+    for line in (text or "").split("\n"):
+        who, rest = marker(line) if ":" in line else (-1, line)
+        out.append((who, line, rest, rest.rstrip().endswith("?"), rest.lstrip().split(" ", 1)[0].rstrip(",").lower() in COMMANDS))
+    return out
 
 
-def _lines(roles: list, texts: list) -> tuple[np.ndarray, np.ndarray, list[int], list[tuple[int, str, str]]]:
+def _lines(roles: list, texts: list, params: Params = HAND) -> tuple[np.ndarray, np.ndarray, list[int], list[tuple[int, str, str]]]:
     """Emissions, whether a line begins a row, the row of each line, and the lines: the role that a marker names, with and without it."""
     named, given, asks, heads, sizes, first, rows, lines = [], [], [], [], [], [], [], []
     for k, (role, text) in enumerate(zip(roles, texts, strict=True)):
         own = ROLES.index(role) if role in ROLES else -1
-        for n, line in enumerate((text or "").split("\n")):
-            who, rest = marker(line) if ":" in line else (-1, line)
+        for n, (who, line, rest, ask, head) in enumerate(_features(text)):
             named.append(who)
             given.append(own if n == 0 else -1)
-            asks.append(rest.rstrip().endswith("?"))
-            heads.append(rest.lstrip().split(" ", 1)[0].rstrip(",").lower() in COMMANDS)
+            asks.append(ask)
+            heads.append(head)
             sizes.append(len(rest))
             first.append(n == 0)
             rows.append(k)
             lines.append((who, line, rest))
-    return emissions(named, given, asks, heads, sizes), np.array(first, bool), rows, lines
+    return emissions(named, given, asks, heads, sizes, params), np.array(first, bool), rows, lines
 
 
-def matrix(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What a part's rows with a role say, as one row of counts."""
+    pdf = _ordered(pdf)
+    out, before = np.zeros(N_COUNTS), None
+    lines = out[12:].reshape(5, 3)
+    for none, conv, turn, role, text in zip(pdf["no_conv"], pdf["conv_id"], pdf["turn"], pdf["role"], pdf["text"], strict=True):
+        own = ROLES.index(role) if role in ROLES else -1
+        if before == (none, conv, own, turn, text):
+            continue  # a row that repeats says nothing new
+        if own >= 0:
+            if before is None or before[:2] != (none, conv):
+                out[own] += 1
+            elif before[2] >= 0:
+                out[3 + 3 * before[2] + own] += 1
+            # a line that another speaks is not the row's; a row counts once, however many lines it has
+            said = [(1, ask, head, x := math.log1p(len(rest)), x * x) for who, _, rest, ask, head in _features(text) if who in (-1, own)]
+            if said:
+                lines[:, own] += np.mean(said, axis=0)
+        before = (none, conv, own, turn, text)
+    return pd.DataFrame({"counts": [out.tolist()]})
+
+
+def matrix(scores: np.ndarray, first: np.ndarray, params: Params = HAND) -> np.ndarray:
     """Best score from each state before the lines to each state at the last one: a max-plus product, of neighbours by pairs."""
     if not len(scores):
         return np.where(np.eye(3, dtype=bool), 0.0, -np.inf)
-    out = STEP[first.astype(int)] + scores[:, None, :]
+    out = params.step[first.astype(int)] + scores[:, None, :]
     while len(out) > 1:
         odd = out[len(out) - len(out) % 2 :]
         out = np.concatenate([(out[0 : len(out) - 1 : 2, :, :, None] + out[1::2, None, :, :]).max(2), odd])
     return out[0]
 
 
-def decoded(scores: np.ndarray, first: np.ndarray, begins: np.ndarray, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+def decoded(scores: np.ndarray, first: np.ndarray, begins: np.ndarray, before: np.ndarray, last: np.ndarray, params: Params = HAND) -> np.ndarray:
     """The best states of the lines of several sequences, all at once. begins: where each begins, and the end of the last; before: the state
     before it (-1: none); last: its last state (-1: any)."""
     order = np.argsort(-np.diff(begins), kind="stable")  # the longest first, so that those that go on are always in front
@@ -108,13 +178,13 @@ def decoded(scores: np.ndarray, first: np.ndarray, begins: np.ndarray, before: n
     best = np.zeros((len(size), 3))
     for t, n in enumerate(ahead.tolist()):
         at = begin[:n] + t
-        step = STEP[first[at].astype(int)]
+        step = params.step[first[at].astype(int)]
         if t:
             reach = best[:n, :, None] + step
             back[at] = reach.argmax(1)
             best[:n] = reach.max(1) + scores[at]
         else:
-            best = np.where((before < 0)[:, None], START, step[np.arange(n), before]) + scores[at]
+            best = np.where((before < 0)[:, None], params.start, step[np.arange(n), before]) + scores[at]
     state = np.where(last < 0, best.argmax(1), last) if len(size) else last
     for t in range(len(ahead) - 1, -1, -1):
         n = ahead[t]
@@ -133,11 +203,11 @@ def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.iloc[[k[-1] for k in sorted(keys)]]
 
 
-def _forward(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _forward(key: tuple, pdf: pd.DataFrame, params: Params) -> pd.DataFrame:
     """A part of a conversation as matrices."""
     pdf = _ordered(pdf)
-    scores, first, _, _ = _lines(pdf["role"].tolist(), pdf["text"].tolist())
-    return pd.DataFrame([[*key, (START + scores[0]).tolist(), matrix(scores, first).ravel().tolist(), matrix(scores[1:], first[1:]).ravel().tolist()]], columns=[*_CONV, "part", "entry", "all", "rest"])
+    scores, first, _, _ = _lines(pdf["role"].tolist(), pdf["text"].tolist(), params)
+    return pd.DataFrame([[*key, (params.start + scores[0]).tolist(), matrix(scores, first, params).ravel().tolist(), matrix(scores[1:], first[1:], params).ravel().tolist()]], columns=[*_CONV, "part", "entry", "all", "rest"])
 
 
 def _borders(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -155,17 +225,17 @@ def _borders(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"no_conv": key[0], "conv_id": key[1], "part": pdf["part"].to_numpy(), "before": [-1, *last[:-1]], "last": last})
 
 
-def _rendered(pdf: pd.DataFrame, border: pd.DataFrame) -> pd.DataFrame:
+def _rendered(pdf: pd.DataFrame, border: pd.DataFrame, params: Params) -> pd.DataFrame:
     """The turns of a part's conversations. border: the states at the ends of those that reach over it."""
     pdf = _ordered(pdf)
-    scores, first, owner, lines = _lines(pdf["role"].tolist(), pdf["text"].tolist())
+    scores, first, owner, lines = _lines(pdf["role"].tolist(), pdf["text"].tolist(), params)
     no_conv, conv, no_turn, turn = (pdf[c].to_numpy() for c in ("no_conv", "conv_id", "no_turn", "turn"))
     own = np.array(owner, int)
     changes = np.flatnonzero(np.diff(no_conv[own]) | (np.diff(conv[own]) != 0)) + 1
     begins = np.concatenate([[0], changes, [len(own)]])
     known = {(a, b): (x, y) for a, b, x, y in zip(border["no_conv"], border["conv_id"], border["before"], border["last"], strict=True)}
     ends = np.array([known.get((no_conv[own[k]], conv[own[k]]), (-1, -1)) for k in begins[:-1]], int)
-    path = decoded(scores, first, begins, ends[:, 0], ends[:, 1])
+    path = decoded(scores, first, begins, ends[:, 0], ends[:, 1], params)
     # a piece begins with a row or where the role changes
     cuts = np.flatnonzero(np.concatenate([[True], first[1:] | (path[1:] != path[:-1])]))
     piece = np.arange(len(cuts)) - np.maximum.accumulate(np.where(first[cuts], np.arange(len(cuts)), 0))
@@ -176,8 +246,8 @@ def _rendered(pdf: pd.DataFrame, border: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"no_conv": no_conv[at], "conv_id": conv[at], "no_turn": no_turn[at], "turn": turn[at], "piece": piece, "role": [ROLES[states[k]] for k in cuts], "text": text})
 
 
-def parsed(rows: DataFrame, part_rows: int = PART_ROWS, part_bytes: int = PART_BYTES) -> DataFrame:
-    """conv_id, turn, piece, role, text, rendered: each row's lines cut where the role changes. rows: conv_id, turn, role, text."""
+def parsed(rows: DataFrame, part_rows: int = PART_ROWS, part_bytes: int = PART_BYTES, learn: bool = True) -> DataFrame:
+    """conv_id, turn, piece, role, text, rendered: each row's lines cut where the role changes. rows: conv_id, turn, role, text. learn: whether rows with a role are counted."""
     source = rows.select(rows["conv_id"].cast("long").alias("conv_id"), rows["turn"].cast("long").alias("turn"), rows["role"].cast("string").alias("role"), rows["text"].cast("string").alias("text"))
     count, size = source.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     parts = max(1, math.ceil(count / part_rows), math.ceil((size or 0) / part_bytes))
@@ -186,15 +256,27 @@ def parsed(rows: DataFrame, part_rows: int = PART_ROWS, part_bytes: int = PART_B
     flat = source.withColumn("same", F.monotonically_increasing_id()).repartitionByRange(parts, *order)
     flat = flat.select(F.col("conv_id").isNull().alias("no_conv"), F.coalesce("conv_id", F.lit(0)).alias("conv_id"), F.col("turn").isNull().alias("no_turn"), F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", "text", F.spark_partition_id().alias("part"))
     flat = save(flat, "parts")
+    params = HAND
+    if learn:
+        sums = flat.groupBy("part").applyInPandas(_counted, "counts array<double>").agg(*[F.sum(F.col("counts")[k]) for k in range(N_COUNTS)]).first()  # one row
+        params = learnt(np.array([x or 0.0 for x in sums]))
     # no more conversations reach over parts than there are parts
     over = save(flat.groupBy(*_CONV).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select(*_CONV), "over")
-    pieces = look_up(flat, over, _CONV).groupBy(*_CONV, "part").applyInPandas(_forward, "no_conv boolean, conv_id long, part int, entry array<double>, all array<double>, rest array<double>")
+    pieces = look_up(flat, over, _CONV).groupBy(*_CONV, "part").applyInPandas(lambda key, pdf: _forward(key, pdf, params), "no_conv boolean, conv_id long, part int, entry array<double>, all array<double>, rest array<double>")
     border = pieces.groupBy(*_CONV).applyInPandas(_borders, "no_conv boolean, conv_id long, part int, before int, last int")
-    done = flat.groupBy("part").cogroup(border.groupBy("part")).applyInPandas(_rendered, "no_conv boolean, conv_id long, no_turn boolean, turn long, piece int, role string, text string")
+    done = flat.groupBy("part").cogroup(border.groupBy("part")).applyInPandas(lambda pdf, border: _rendered(pdf, border, params), "no_conv boolean, conv_id long, no_turn boolean, turn long, piece int, role string, text string")
     rendered = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n"))
     return done.select(F.when(~F.col("no_conv"), F.col("conv_id")).alias("conv_id"), F.when(~F.col("no_turn"), F.col("turn")).alias("turn"), "piece", "role", "text", rendered.alias("rendered"))
 
 
+def recovered(rows: DataFrame, share: float = 0.3, learn: bool = True) -> tuple[int, int]:
+    """Of the roles of a share of rows, hidden by a hash of id and turn, how many come back, and how many were hidden. Turns of a conversation must differ."""
+    known = rows.where(F.col("role").isin(ROLES)).select("conv_id", "turn", "role", "text", (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(1000)) < 1000 * share).alias("hidden"))
+    got = parsed(known.select("conv_id", "turn", F.when(~F.col("hidden"), F.col("role")).alias("role"), "text"), learn=learn).where("piece = 0")
+    both = known.where("hidden").select("conv_id", "turn", F.col("role").alias("true_role")).join(got, ["conv_id", "turn"])
+    return tuple(both.agg(F.count_if(F.col("role") == F.col("true_role")), F.count("*")).first())
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(table(spark, sf_dir, "conversations"))
 

@@ -534,6 +534,20 @@ def test_chat(spark):
         assert whole[x, y] == max(score((*p, y)) for p in np.ndindex(*[3] * 6))
 
 
+def test_chat_recovers_hidden_roles(spark):
+    """Roles of three rows in ten are hidden from the parser and come back; what it counts is what a loop counts."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    good, n = chat_format.recovered(rows)
+    by_hand, _ = chat_format.recovered(rows, learn=False)
+    assert n > 100 and good / n > 0.95 and good >= by_hand
+    pdf = rows.limit(200).toPandas().sort_values(["conv_id", "turn"])
+    counts = np.array(chat_format._counted(pdf.assign(no_conv=False, no_turn=False))["counts"][0])
+    first = collections.Counter(g.role.iloc[0] for _, g in pdf.groupby("conv_id"))
+    steps = collections.Counter(x for _, g in pdf.groupby("conv_id") for x in zip(g.role, g.role[1:]))
+    assert counts[:3].tolist() == [first[r] for r in chat_format.ROLES] and counts[3:12].tolist() == [steps[a, b] for a in chat_format.ROLES for b in chat_format.ROLES]
+    assert counts[12:15].sum() == len(pdf)
+
+
 def test_chat_keeps_what_is_no_marker_and_parts_equal_rows(spark):
     rows = [(1, 0, "user", "My robots are\nModel: T-800\nand more, which I describe at some length here?"), (1, 1, "assistant", "Fine.")]
     rows += [(2, 0, "user", "same words")] * 100 + [(2, None, None, "Summarize this text"), (3, 0, "user", "line\n" * 3000)]
