@@ -16,6 +16,8 @@ from lattica.llm.quality_rules import quality_rules
 from lattica.llm.sentencepiece_codec import digest, encoded
 from lattica.llm.simhash_dedup import one_of_each
 
+#: What the operators set of the session.
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -50,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, which are saved like the others', so that the caller's session is as it was when they are read."""
+    before = spark.conf.get(BATCHES, None)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*DOCUMENTS)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = save(docs, f"stage-{k}")
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            docs = save(stage(spark, docs, sf_dir), f"stage-{k}")
+    finally:
+        spark.conf.unset(BATCHES) if before is None else spark.conf.set(BATCHES, before)
     return docs
