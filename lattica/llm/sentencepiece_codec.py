@@ -34,7 +34,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNKNOWN_PENALTY = 10.0
 #: Words whose segmentation a Python worker remembers; others are segmented again in each slice.
-KNOWN_WORDS = 100_000
+KNOWN_WORDS = 40_000
+#: Text that is segmented at once.
+SLICE_BYTES = 256 << 10
 _OPEN = -1e30
 _LITERAL = ""  # stands among words for a mark of the text's own
 #: A run of marks stays with the word that follows it.
@@ -306,7 +308,7 @@ def encoded(docs: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _unpacked(shared.value)
-        for part, raw in _words.slices(batches, "__text"):
+        for part, raw in _words.slices(batches, "__text", SLICE_BYTES):
             null = part.column("__text").is_null().to_pylist()
             ids, at = codec.encode([t.decode("utf-8", "replace") for t in raw])
             decoded = [None if skip else t for t, skip in zip(codec.decode(ids, at), null, strict=True)]
