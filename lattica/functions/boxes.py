@@ -65,6 +65,15 @@ def iou(a: Box, b: Box) -> Column:
     return F.when(both > 0, shared / both).when(both <= 0, 0.0)
 
 
+def pixel_iou(a: Box, b: Box) -> Column:
+    """Of boxes in whole pixels: coordinates are cut to whole numbers and the area of both together counts as 1 at least, so boxes without area
+    share nothing instead of dividing by 0."""
+    whole = lambda box: tuple(c.try_cast("long") for c in box)
+    a, b = whole(a), whole(b)
+    shared = shared_area(a, b)
+    return shared / _null_if((*a, *b), F.greatest(area(a) + area(b) - shared, F.lit(1)))
+
+
 def contained_share(inner: Box, outer: Box) -> Column:
     """The share of the inner box's area that lies in the outer; null if it has no area."""
     return F.try_divide(shared_area(inner, outer), area(inner))
@@ -109,6 +118,14 @@ def segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, b
     return point_distance(x, y, ax + along * dx, ay + along * dy)
 
 
+def pixel_segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """From a point to the pixel that the nearest point of a segment rounds to, halves up."""
+    dx, dy = bx - ax, by - ay
+    size = dx * dx + dy * dy
+    along = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * dx + (y - ay) * dy) / size))).otherwise(0.0)
+    return point_distance(x, y, F.floor(ax + along * dx + 0.5), F.floor(ay + along * dy + 0.5))
+
+
 def segment_length(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return point_distance(ax, ay, bx, by)
 

@@ -93,6 +93,31 @@ def map_checksum(values: Column) -> Column:
     return F.sha2(F.to_json(F.array_sort(F.map_entries(values)), {"ignoreNullFields": "false"}), 256)
 
 
+def _canonical(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        fields = [_canonical(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(c.isNotNull(), F.struct(*fields)) if fields else c
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _canonical(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(e["key"].alias("key"), _canonical(e["value"], kind.valueType).alias("value"))
+        # keys are unique, so the order of entries is that of their keys, and values, which may not be comparable, are not looked at
+        sort = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+        return F.map_from_entries(F.array_sort(F.transform(F.map_entries(c), entry), sort))
+    return c
+
+
+def canonical_json(c: Column, kind: T.DataType) -> Column:
+    """A struct, array or map as JSON that does not depend on the order of fields and keys: those are sorted at each level, nulls are written and there
+    are no spaces. Elements of arrays keep their order. Null for a null."""
+    return F.to_json(_canonical(c, kind), {"ignoreNullFields": "false"})
+
+
+def json_checksum(c: Column, kind: T.DataType) -> Column:
+    """SHA-256 of canonical_json()."""
+    return F.sha2(canonical_json(c, kind), 256)
+
+
 def gram_coverage(part: Column, whole: Column, n: int) -> Column:
     """The share of the distinct runs of n words of one array that the other has as well; null if it has none."""
 

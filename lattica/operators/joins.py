@@ -52,6 +52,17 @@ def match_survey(left: DataFrame, right: DataFrame, left_on: Column, right_on: C
     return a.join(b, "k", "left").agg(F.count("found").alias("num"), F.count("*").alias("den"))
 
 
+def survey(left: DataFrame, right: DataFrame, left_on: str, right_on: str, kind: str = "exact") -> DataFrame:
+    """One row: surveyed, unbacked, num, den. As match_survey() where both tables have their column; else surveyed is false, unbacked tells which side has
+    not (left, right or both) and the numbers are null, since nothing was counted. Words are compared by kind `words`."""
+    lacks = [side for side, df, c in (("left", left, left_on), ("right", right, right_on)) if c not in df.columns]
+    if lacks:
+        row = "false as surveyed", f"'{'both' if len(lacks) == 2 else lacks[0]}' as unbacked", "cast(null as bigint) as num", "cast(null as bigint) as den"
+        return left.sparkSession.range(1).selectExpr(*row)
+    counted = token_survey(left, right, F.col(left_on), F.col(right_on)) if kind == "words" else match_survey(left, right, F.col(left_on), F.col(right_on), kind)
+    return counted.select(F.lit(True).alias("surveyed"), F.lit(None).cast("string").alias("unbacked"), "num", "den")
+
+
 def token_survey(left: DataFrame, right: DataFrame, left_on: Column, right_on: Column) -> DataFrame:
     """As match_survey(), where a value matches if right has one of its words."""
     values = left.select(trimmed(left_on).alias("v")).where("v != ''").distinct()
@@ -95,10 +106,11 @@ def first_match(left: DataFrame, right: DataFrame, left_id: str, keys: Column, r
     return left.select(left_id).distinct().join(found, F.col(left_id).eqNullSafe(F.col("__id")), "left").drop("__id")
 
 
-def reciprocal(rows: DataFrame, origin: str, target: str) -> DataFrame:
-    """Pairs lo < hi of which each refers to the other."""
-    pairs = rows.select(F.least(origin, target).alias("lo"), F.greatest(origin, target).alias("hi"), (F.col(origin) < F.col(target)).alias("up")).where(f"{origin} != {target}")
-    return pairs.groupBy("lo", "hi").agg(F.bool_or("up").alias("up"), F.bool_or(~F.col("up")).alias("down")).where("up and down").select("lo", "hi")
+def reciprocal(rows: DataFrame, origin: str, target: str, by: list[str] | None = None) -> DataFrame:
+    """by and pairs lo < hi of which each refers to the other, within equal values of `by`."""
+    by = by or []
+    pairs = rows.select(*by, F.least(origin, target).alias("lo"), F.greatest(origin, target).alias("hi"), (F.col(origin) < F.col(target)).alias("up")).where(f"{origin} != {target}")
+    return pairs.groupBy(*by, "lo", "hi").agg(F.bool_or("up").alias("up"), F.bool_or(~F.col("up")).alias("down")).where("up and down").select(*by, "lo", "hi")
 
 
 def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

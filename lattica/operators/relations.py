@@ -7,8 +7,12 @@ from __future__ import annotations
 import threading
 import uuid
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lattica.functions.text import resolve
+from lattica.sources.shared import save
 
 #: Spark's functions that call into the JVM or tell of files and the machine.
 REACHING = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "session_user", "current_user", "user", "version", "raise_error"}
@@ -72,6 +76,64 @@ def replaced(df: DataFrame, new: DataFrame, where: Column) -> DataFrame:
     return df.where(~F.coalesce(where, F.lit(False))).unionByName(new.select(*df.columns))
 
 
+def replaced_in_region(df: DataFrame, new: DataFrame, page: object, region: tuple[float, float, float, float]) -> DataFrame:
+    """df without the boxes of a page whose centre lies in a region, borders included, and new. Boxes with a null coordinate stay."""
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    return replaced(df, new, (F.col("page") == F.lit(page)) & x.between(region[0], region[2]) & y.between(region[1], region[3]))
+
+
+def appended(log: DataFrame, new: DataFrame, order: list[str | Column], cap: int) -> DataFrame:
+    """The `cap` newest rows of a log and what is added to it, by an order from the newest, which must tell all rows apart. Each task keeps `cap` rows."""
+    return log.unionByName(new.select(*log.columns)).orderBy(*order).limit(cap)
+
+
+def replayed(log: DataFrame, order: list[str | Column], where: Column, scan: int, limit: int) -> DataFrame:
+    """The first `limit` rows for which a condition holds among the `scan` newest rows of a log, by an order from the newest, and truncated: whether there
+    is more, be it rows behind the scan or matches behind the limit. No row where nothing matches."""
+    newest = log.orderBy(*order).limit(scan + 1).withColumn("__n", F.row_number().over(Window.orderBy(*order)))  # scan + 1 rows
+    newest = newest.withColumn("__rows", F.count("*").over(Window.partitionBy())).where((F.col("__n") <= scan) & where)
+    found = newest.withColumn("__n", F.row_number().over(Window.orderBy("__n"))).withColumn("__found", F.count("*").over(Window.partitionBy()))
+    return found.withColumn("truncated", (F.col("__rows") > scan) | (F.col("__found") > limit)).where(F.col("__n") <= limit).drop("__n", "__rows", "__found")
+
+
+def without_columns(df: DataFrame, system: list[str]) -> DataFrame:
+    """df without the columns that are for the system only, by their names in any case; those that it has not are passed over."""
+    hidden = {c.lower() for c in system}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in hidden])
+
+
+def aligned(df: DataFrame, schema: str, renamed: dict[str, str] | None = None) -> DataFrame:
+    """df in another schema (DDL), after columns were renamed (old: new): columns that it has not are null, values that the new type can't hold become
+    null, columns that the schema has not are left out. A name that would clash after renaming is an error."""
+    names = [(renamed or {}).get(c, c) for c in df.columns]
+    if len({n.lower() for n in names}) < len(names):
+        raise ValueError("two columns would have one name")
+    df = df.toDF(*names)
+    have = {c.lower(): c for c in names}
+    kinds = T.StructType.fromDDL(schema).fields
+    return df.select(*[(F.col(f"`{have[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in kinds])
+
+
+def hinted(df: DataFrame, hints: dict[str, tuple[list[str], str]]) -> DataFrame:
+    """df and typed columns (name: aliases and type): the first value, by the order of the aliases, that a column named like one of them holds and the type
+    can; null where there is none. Names are compared without case, spaces, hyphens and underscores."""
+    added = {}
+    for name, (aliases, kind) in hints.items():
+        held = [c for c in dict.fromkeys(resolve(df.columns, a) for a in aliases) if c]
+        added[name] = F.coalesce(*[F.col(f"`{c}`").try_cast(kind) for c in held]) if held else F.lit(None).cast(kind)
+    return df.withColumns(added)
+
+
+def joined_within(pages: DataFrame, page: str, nodes: str, parts: str, id_: str, parent: str) -> DataFrame:
+    """page, node, part (structs): the elements of two arrays of a row that belong together by the node's id and the part's parent; nodes without parts have a
+    null one. Nothing of one page meets another; repeated pages are pages each. Null ids match nothing."""
+    rows = pages.select(page, F.monotonically_increasing_id().alias("__row"), nodes, parts)
+    rows = save(rows, "pages")
+    node = rows.select(page, "__row", F.explode(nodes).alias("node")).withColumn("__k", F.col(f"node.{id_}"))
+    part = rows.select("__row", F.explode(parts).alias("part")).withColumn("__k", F.col(f"part.{parent}"))
+    return node.join(part, ["__row", "__k"], "left").select(page, "node", "part")
+
+
 def write_partitions(df: DataFrame, path: str, by: list[str], mode: str = "replace") -> None:
     """Write Parquet in folders by columns. mode: append; replace, which rewrites the folders that df has rows for; overwrite, which drops all others."""
     if mode == "replace":

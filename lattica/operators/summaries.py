@@ -51,6 +51,21 @@ def pivot_counts(df: DataFrame, group: list[str], by: str, values: list[str], to
     return df.groupBy(*group).agg(*[F.count_if(F.col(by) == v).alias(v) for v in values], *([F.count("*").alias(total)] if total else []))
 
 
+def clean_counts(df: DataFrame, group: list[str], by: str, values: list[str], bad: list[str]) -> DataFrame:
+    """As pivot_counts(), with clean: whether a group has none of the bad values."""
+    return df.groupBy(*group).agg(*[F.count_if(F.col(by) == v).alias(v) for v in values], (F.count_if(F.col(by).isin(bad)) == 0).alias("clean"))
+
+
+def child_counts(parents: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """key and how many rows of each child table (name: table and its column) refer to a parent, 0 where none do: what a deletion would take with it. A
+    child's rows are counted in each task before they meet. Parents count once; null keys have no children."""
+    out = parents.select(key).distinct()
+    for name, (df, column) in children.items():
+        counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(f"__{key}")).agg(F.count("*").alias(name))
+        out = out.join(counts, F.col(key) == F.col(f"__{key}"), "left").drop(f"__{key}").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
 def distinct_list(df: DataFrame, group: list[str], column: str, separator: str = ", ") -> DataFrame:
     """group and the distinct non-null values in their order, joined; empty where there are none. The distinct values of a group must fit in a row."""
     return df.groupBy(*group).agg(F.array_join(F.array_sort(F.collect_set(F.col(column).cast("string"))), separator).alias(column))

@@ -29,6 +29,15 @@ def profile(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     return size.crossJoin(lines).crossJoin(rows)  # one row each
 
 
+def ends(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """part (head, tail), line (from 1), text: the n first and the n last lines of one file, each line once. Lines are numbered by sorted ranges, so no task
+    reads all of them; a short file has no tail beside its head."""
+    lines = in_order(spark.read.text(path).withColumn("__at", F.monotonically_increasing_id()), ["__at"], "__n").select((F.col("__n") + 1).alias("line"), F.col("value").alias("text"))
+    total = lines.agg(F.count("*").alias("__all"))  # one row
+    part = F.when(F.col("line") <= n, "head").when(F.col("line") > F.col("__all") - n, "tail")
+    return lines.crossJoin(total).select(part.alias("part"), "line", "text").where("part is not null")
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """Files with a header, columns in the given order."""
     df.select(*columns).write.mode("overwrite").csv(path, header=True, escape='"')
