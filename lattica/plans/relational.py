@@ -144,7 +144,7 @@ FROM b a JOIN b c ON a.page = c.page AND c.x0 <= a.x1 + 20 AND c.x1 >= a.x0 - 20
 SELECT page, a_id, b_id, distance2, rank FROM (SELECT *, dx * dx + dy * dy AS distance2, row_number() OVER (PARTITION BY page, a_id ORDER BY dx * dx + dy * dy, b_id)::INTEGER AS rank FROM g WHERE dx * dx + dy * dy <= 400) WHERE rank <= 2""")
 def nearest_boxes(spark: SparkSession, d: str) -> DataFrame:
     b = boxes(spark, d)
-    return geometry.nearest(b.where("l_returnflag = 'R'"), b.where("l_returnflag = 'A'"), 20.0, 2)
+    return geometry.nearest(b.where("l_returnflag = 'R'"), b.where("l_returnflag = 'A'"), 20.0, 2, ring=1.0)
 
 
 @query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
