@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
@@ -38,7 +38,8 @@ from ._shared import save, save_bucketed, small_batches, table
 WINDOW, PHRASE, SHARD_BYTES, SLICE_BYTES = 20, 6, 8 << 20, 2 << 20
 MOST_BUCKETS = 100_000  # Spark's own limit
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-_START_BITS = 28
+#: A value of Spark's holds less than 2**31 bytes, and a word and a space take two, so no start needs more bits.
+_START_BITS = 30
 
 
 class _Runs:
@@ -112,8 +113,10 @@ def confirmed_phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)[takes]), pa.array(shard[takes]), pa.array(h1[takes])], names=["phrase", "shard", "h1"])
 
     found = docs.mapInArrow(run, "phrase long, shard long, h1 long")
-    every = Window.partitionBy("phrase")
-    return found.withColumn("lo", F.min("h1").over(every)).withColumn("hi", F.max("h1").over(every)).where("lo != hi").select("shard", "phrase")
+    # a phrase that very many shards hold is one row of each task, then one in all; the shards that hold it are found by a join, which can be split
+    found = save(found, "phrases")
+    twice = save(found.groupBy("phrase").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("phrase"), "confirmed")
+    return found.select("shard", "phrase").join(twice, "phrase", "left_semi")
 
 
 class Phrases:
