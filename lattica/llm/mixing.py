@@ -10,8 +10,8 @@ that. `reached` lists targets and the shares that the sample is expected to have
 by the same steps as Spark jobs.
 Targets are shares of tokens; where none are given, a marginal is tempered: shares to the power `temper`, made to add up to 1.
 
-The topic is a column expression of the caller's (`topic_of`). The one that comes with the module is the text's form, by plain rules:
-tabular, legal, contact, long, medium or short.
+The topic is learnt from the words of all documents (`topics`), or a column expression of the caller's (`topic_of`). One such comes with the
+module, `topic`: the text's form by plain rules, tabular, legal, contact, long, medium or short.
 
 Defined cases: a null text is empty and has no tokens, so weight 0 of its own, and the probability of its cell; null sources and languages are
 values of their own; a cell without tokens keeps factor 1 and has probability `share`; cells of target 0 have probability 0, and where
@@ -30,7 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, look_up, save, table, unclashed
+from . import topics
+from ._shared import cut, look_up, save, small_batches, table, unclashed
 
 ROUNDS, TOLERANCE, TEMPER, SHARE = 120, 1e-6, 0.7, 0.5
 MARGINALS = ["source", "lang", "topic"]
@@ -218,12 +219,15 @@ def reached(cells: DataFrame) -> DataFrame:
     return sums[0].unionByName(sums[1]).unionByName(sums[2]).crossJoin(F.broadcast(total)).select("marginal", "value", "target", F.try_divide("part", "whole").alias("share"))
 
 
-def mixed(docs: DataFrame, keep: list[str] | None = None, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, share: float = SHARE, seed: int = 0, topic_of: Callable[[Column], Column] = topic) -> DataFrame:
-    """Columns `keep` (doc_id if not given) and topic, tokens, weight, probability, sampled. docs: doc_id, text, source, lang and `keep`."""
-    docs, keep = unclashed(docs, keep or ["doc_id"], ["topic", "tokens", "weight", "probability", "sampled", "factor"])
+def mixed(docs: DataFrame, keep: list[str] | None = None, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, share: float = SHARE, seed: int = 0, topic_of: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Columns `keep` (doc_id if not given) and topic, tokens, weight, probability, sampled. docs: doc_id, text, source, lang and `keep`.
+    topic_of: a topic from the text; where none is given, topics are learnt."""
+    docs, keep = unclashed(small_batches(docs), keep or ["doc_id"], ["topic", "tokens", "weight", "probability", "sampled", "factor"])
     draw = F.pmod(F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]), F.lit(1 << 53)) / float(1 << 53)
-    rows = docs.select(*[docs[c] for c in keep], docs["source"].alias("__source"), docs["lang"].alias("__lang"), topic_of(docs["text"]).alias("topic"), tokens(docs["text"]).alias("tokens"), draw.alias("__draw"))
+    rows = docs.select(*[docs[c] for c in keep], docs["source"].alias("__source"), docs["lang"].alias("__lang"), (topic_of or topics.sketch)(docs["text"]).alias("topic"), tokens(docs["text"]).alias("tokens"), draw.alias("__draw"))
     rows = save(rows, "counted")
+    if topic_of is None:
+        rows = rows.withColumn("topic", topics.fitted(rows.select(F.col("topic").alias("sketch"))).of(F.col("topic")))
     cells = save(rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), "topic").agg(F.sum("tokens").alias("n")), "cells")
     factors = planned(cells, given, temper, share)
     factors = save(factors.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), "topic", "factor", "probability"), "factors")
