@@ -21,6 +21,23 @@ def forward_fill(df: DataFrame, by: list[str], order: list[str | Column], column
     return df.withColumns({c: F.last(c, ignorenulls=True).over(_upto(by, order)) for c in columns})
 
 
+def agreed_fill(df: DataFrame, by: list[str], order: list[str | Column], columns: list[str]) -> DataFrame:
+    """Nulls take the value that their group has last before and first after them, if the two are equal; other nulls stay."""
+    after = Window.partitionBy(*by).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    before = {c: F.last(c, ignorenulls=True).over(_upto(by, order)) for c in columns}
+    return df.withColumns({c: F.coalesce(c, F.when(before[c] == F.first(c, ignorenulls=True).over(after), before[c])) for c in columns})
+
+
+def numbered_on(df: DataFrame, by: list[str], order: list[str | Column], column: str, name: str) -> DataFrame:
+    """df and `name`: the whole number of `column`, or where it is null, one more than the greatest that the group has before, filled ones included; null before
+    the first number. Each filled number depends on those before it; since a null adds one to whatever is greatest, the greatest number less the
+    nulls up to it, plus the nulls up to here, is the same in one pass. `order` must tell a group's rows apart."""
+    upto, n = _upto(by, order), F.col(column).cast("long")
+    counted = df.withColumn("__nulls", F.count_if(n.isNull()).over(upto))
+    greatest = F.max(n - F.col("__nulls")).over(upto) + F.col("__nulls")
+    return counted.withColumn(name, F.coalesce(n, greatest)).drop("__nulls")
+
+
 def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in an order. Spark keeps one row of a group in each task before the shuffle."""
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__rank = 1").drop("__rank")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import boxes as bx
 from lattica.functions import text
-from lattica.operators import geometry, joins, relations, summaries
+from lattica.operators import geometry, joins, relations, series, summaries
 
 from .registry import query, table
 from .relational import _BOXES, boxes
@@ -141,3 +141,26 @@ def pixel_distances(spark: SparkSession, d: str) -> DataFrame:
     """From a point to the pixels that are nearest to it on segments."""
     ends = F.col("x"), F.col("y"), F.col("x") + F.col("id") % 7 * 90 - 270, F.col("y") + F.col("id") % 5 * 120 - 240
     return _points(spark, d).select("id", F.round(bx.pixel_segment_distance(F.lit(1000.0), F.lit(900.0), *ends), 6).alias("distance"))
+
+
+_NEIGHBOURS = "PARTITION BY user_id ORDER BY ts, event_id"
+
+
+@query("agreed_types", f"""WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 > 0 THEN event_type END AS kind FROM events),
+n AS (SELECT event_id, kind, last_value(kind IGNORE NULLS) OVER ({_NEIGHBOURS} ROWS UNBOUNDED PRECEDING) AS before, first_value(kind IGNORE NULLS) OVER ({_NEIGHBOURS} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM e)
+SELECT event_id, coalesce(kind, CASE WHEN before = after THEN before END) AS kind FROM n""")
+def agreed_types(spark: SparkSession, d: str) -> DataFrame:
+    """Events with a third of their types hidden, and given back where a user's types around them agree."""
+    events = table(spark, d, "events").select("event_id", "user_id", "ts", F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("kind"))
+    return series.agreed_fill(events, ["user_id"], ["ts", "event_id"], ["kind"]).select("event_id", "kind")
+
+
+@query("numbered_orders", """WITH RECURSIVE l AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, CASE WHEN o_orderkey % 3 = 0 THEN floor(o_totalprice / 20000)::BIGINT END AS known FROM orders),
+s AS (SELECT o_custkey, o_orderkey, k, known AS number, known AS most FROM l WHERE k = 1
+UNION ALL SELECT l.o_custkey, l.o_orderkey, l.k, coalesce(known, most + 1), CASE WHEN known IS NULL THEN most + 1 WHEN most IS NULL OR known > most THEN known ELSE most END FROM s JOIN l ON l.o_custkey = s.o_custkey AND l.k = s.k + 1)
+SELECT o_orderkey, number FROM s""")
+def numbered_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' orders with a third of their numbers known, and numbered on from the greatest before."""
+    known = F.when(F.col("o_orderkey") % 3 == 0, F.floor(F.col("o_totalprice") / 20000))
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", known.alias("known"))
+    return series.numbered_on(orders, ["o_custkey"], ["o_orderkey"], "known", "number").select("o_orderkey", "number")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import boxes as bx
 from lattica.functions import text
-from lattica.operators import geometry, joins, relations, summaries
+from lattica.operators import geometry, joins, relations, series, summaries
 from lattica.sources import files
 
 
@@ -154,3 +154,21 @@ def test_first_and_last_lines(spark, tmp_path):
     assert sorted(map(tuple, files.ends(spark, str(path), 5).collect())) == [("head", 1, "a"), ("head", 2, "b")]
     path.write_text("")
     assert files.ends(spark, str(path), 5).count() == 0
+
+
+def test_numbers_and_values_from_neighbours(spark):
+    r = random.Random(5)
+    rows = [(g, k, r.choice([None, None, 1, 2, 5, 9, -3]), r.choice([None, None, "a", "b"])) for g in (1, 2, None) for k in range(40)] + [(3, 0, None, None), (4, 0, 7, "z")]
+    df = spark.createDataFrame(rows, "g int, k int, n int, t string").repartition(3)
+    number, text = {}, {}
+    for g in (1, 2, None, 3, 4):
+        own, most = [x for x in rows if x[0] == g], None
+        for at, (_, k, n, t) in enumerate(own):
+            number[g, k] = n if n is not None else None if most is None else most + 1
+            most = number[g, k] if most is None or (number[g, k] is not None and number[g, k] > most) else most
+            before = next((x[3] for x in reversed(own[:at]) if x[3]), None)
+            after = next((x[3] for x in own[at + 1 :] if x[3]), None)
+            text[g, k] = t or (before if before == after else None)
+    assert {(x.g, x.k): x.number for x in series.numbered_on(df, ["g"], ["k"], "n", "number").collect()} == number
+    assert {(x.g, x.k): x.t for x in series.agreed_fill(df, ["g"], ["k"], ["t"]).collect()} == text
+    assert series.numbered_on(df.limit(0), ["g"], ["k"], "n", "number").count() == series.agreed_fill(df.limit(0), ["g"], ["k"], ["t"]).count() == 0
