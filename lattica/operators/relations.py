@@ -194,13 +194,36 @@ def _refused(spark: SparkSession, plan) -> str | None:
     return None
 
 
+def _reaching(spark: SparkSession, plan) -> str | None:
+    """The function of REACHING that an analysed plan calls, within the views that it reads, however deep, too."""
+    kind = lambda name: spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.{name}")
+    expression, subquery, logical = (kind(x) for x in ("expressions.Expression", "expressions.SubqueryExpression", "plans.logical.LogicalPlan"))
+    parts = lambda names: [names.apply(k) for k in range(names.size())]
+    todo, names = [plan], REACHING - {"raise_error"}  # Spark's own checks raise errors
+    while todo:
+        node = todo.pop()
+        if expression.isInstance(node) and node.prettyName() in names:
+            return node.prettyName()
+        if subquery.isInstance(node):
+            todo.append(node.plan())
+        if logical.isInstance(node):
+            todo += parts(node.expressions())
+        todo += parts(node.children())
+    return None
+
+
 def read_only(spark: SparkSession, statement: str, most: int) -> DataFrame:
     """At most `most` rows of one SELECT or WITH statement over tables and views of the catalogue. Spark's own parser tells what it is; anything that would change or
-    show state (commands, DDL, DML), call what is not Spark's own function or reaches into the machine, or read a path is refused."""
+    show state (commands, DDL, DML), call what is not Spark's own function or reaches into the machine, or read a path is refused. So are views, of views too, that call what reaches into
+    the machine; functions of users in them are not, as whoever made the view could call them."""
     refused = _refused(spark, spark._jsparkSession.sessionState().sqlParser().parsePlan(statement))
     if refused:
         raise ValueError(f"not a query of known tables: {refused}")
-    return spark.sql(statement).limit(most)
+    rows = spark.sql(statement)  # analysed, not run
+    refused = _reaching(spark, rows._jdf.queryExecution().analyzed())
+    if refused:
+        raise ValueError(f"a view calls {refused}")
+    return rows.limit(most)
 
 
 def read_only_rows(spark: SparkSession, statement: str, most: int, seconds: float) -> list[Row]:

@@ -231,6 +231,26 @@ def test_statements_that_reach_further_are_refused(spark):
     assert time.time() - began < 60 and spark.range(3).count() == 3
 
 
+def test_views_that_reach_further_are_refused(spark):
+    spark.range(5).createOrReplaceTempView("five")
+    reach = "reflect('java.lang.System', 'setProperty', 'lattica.view', 'x')"
+    views = {
+        "sly": f"SELECT {reach} AS v, id FROM five",
+        "slier": "SELECT id FROM (SELECT * FROM sly WHERE id > 1) WHERE v IS NULL",
+        "slyest": f"WITH x AS (SELECT id FROM five WHERE id IN (SELECT length({reach}) FROM five)) SELECT * FROM x",
+        "named": "SELECT current_user() AS who",
+    }
+    for name, body in views.items():
+        spark.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS {body}")
+    for name in views:
+        for statement in (f"SELECT * FROM {name}", f"SELECT id FROM five WHERE EXISTS (SELECT 1 FROM {name})", f"WITH x AS (SELECT * FROM {name}) SELECT count(*) FROM x"):
+            with pytest.raises(ValueError, match="a view calls"):
+                relations.read_only(spark, statement, 1)
+    assert spark._jvm.java.lang.System.getProperty("lattica.view") is None
+    spark.sql("CREATE OR REPLACE TEMP VIEW plain AS SELECT upper(cast(id AS string)) AS u, assert_true(id < 9) AS a FROM five")
+    assert relations.read_only(spark, "SELECT u FROM plain p JOIN five ON p.u = five.id", 9).count() == 5
+
+
 def test_row_estimates_come_from_the_catalogue(spark, tmp_path):
     spark.range(7).write.option("path", str(tmp_path / "t")).saveAsTable("lattica_estimated")
     try:
