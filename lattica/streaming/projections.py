@@ -51,16 +51,16 @@ class _Fold:
 
 
 def _known(events: DataFrame, key: str, at: str, event_id: str, name: str) -> DataFrame:
-    return events.where(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(name).isNotNull()).select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(event_id).alias("id"), F.col(name).alias("name"), F.unix_millis(F.col(at)).alias("millis"))
+    return events.where(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(name).isNotNull()).select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(event_id).alias("id"), F.col(name).alias("name"))
 
 
-def _kind(events: DataFrame, key: str) -> str:
-    return f"key {events.schema[key].dataType.simpleString()}, at timestamp, phase string"
+def _kind(events: DataFrame, key: str, at: str) -> str:
+    return f"key {events.schema[key].dataType.simpleString()}, at {events.schema[at].dataType.simpleString()}, phase string"
 
 
 def phases(events: DataFrame, key: str, at: str, event_id: str, name: str, steps: dict[tuple[str, str], str], silence: datetime.timedelta) -> DataFrame:
     """key, at, phase: every change of a key's phase; one to IDLE where nothing happened for longer than `silence` and something did after that. Rows are folded as they come
-    from sorted partitions, so of a key with very many events no more is held than of any other."""
+    from sorted partitions, so of a key with very many events no more is held than of any other. Times, with a zone or without, stay what they are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, fold = None, None
@@ -72,12 +72,14 @@ def phases(events: DataFrame, key: str, at: str, event_id: str, name: str, steps
                 out += [(k, *x) for x in fold.event(when, what)]
             yield pd.DataFrame(out, columns=["key", "at", "phase"])
 
-    return _known(events, key, at, event_id, name).repartition("key").sortWithinPartitions("key", "at", "id").mapInPandas(run, _kind(events, key))
+    return _known(events, key, at, event_id, name).repartition("key").sortWithinPartitions("key", "at", "id").mapInPandas(run, _kind(events, key, at))
 
 
 def streamed_phases(events: DataFrame, key: str, at: str, event_id: str, name: str, steps: dict[tuple[str, str], str], silence: datetime.timedelta, late: str) -> DataFrame:
     """As phases(), of a stream, in append mode. A key's state is its phase and last event; once the watermark, which lies `late` behind, has passed the silence after it, the
-    change to IDLE is told and the state goes. Events of a batch are folded in their order, those of later batches after them."""
+    change to IDLE is told and the state goes. Events of a batch are folded in their order, those of later batches after them. Times
+    without a zone are the session's: a watermark needs one."""
+    events = events.withColumn(at, F.col(at).cast("timestamp"))
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -97,5 +99,5 @@ def streamed_phases(events: DataFrame, key: str, at: str, event_id: str, name: s
             state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(group[0], *x) for x in told], columns=["key", "at", "phase"])
 
-    known = _known(events.withWatermark(at, late), key, at, event_id, name)
-    return known.groupBy("key").applyInPandasWithState(run, _kind(events, key), _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    known = _known(events.withWatermark(at, late), key, at, event_id, name).withColumn("millis", F.unix_millis("at"))
+    return known.groupBy("key").applyInPandasWithState(run, _kind(events, key, at), _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -75,3 +75,10 @@ def test_transcript(spark, tmp_path):
     stream = projections.transcript(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), *args)
     stream.writeStream.outputMode("complete").format("memory").queryName("transcript_seen").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert collections.Counter(map(tuple, spark.table("transcript_seen").collect())) == want
+
+
+def test_phases_of_times_without_a_zone(spark):
+    rows = _events()
+    df = spark.createDataFrame(rows, KIND).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = projections.phases(df, "user_id", "ts", "event_id", "event_type", STEPS, SILENCE)
+    assert got.schema["at"].dataType.simpleString() == "timestamp_ntz" and collections.Counter(map(tuple, got.collect())) == _phases(rows)
