@@ -5,7 +5,9 @@ gives an empty result."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,35 +157,44 @@ def template_scores(df: DataFrame, by: list[str], order: list[str | Column], val
 
 def running_means(df: DataFrame, by: list[str], value: str, tolerance: float) -> DataFrame:
     """by, centre, n, lo, hi: clusters made in one pass over a group's sorted values: a value joins the last cluster if it is `tolerance` at most above that one's mean so far, and
-    moves the mean; else it begins another. Values further apart than that never meet, so each stretch between such gaps is made by itself, and one
-    no wider than the tolerance is a cluster as it is; only wider ones need the pass, in a task for each. Equal values are counted before. Nulls and NaN are left out."""
+    moves the mean; else it begins another. Equal values are counted before. The pass goes over sorted partitions as they come, so neither many small groups nor a
+    large one are held. Nulls and NaN are left out."""
     own = F.col(value).cast("double")
     counted = df.where(own.isNotNull() & ~F.isnan(own)).groupBy(*by, own.alias("__v")).agg(F.count("*").alias("__n"))
-    begins = F.coalesce((F.col("__v") - F.lag("__v").over(Window.partitionBy(*by).orderBy("__v")) > tolerance).cast("int"), F.lit(1))
-    marked = counted.withColumn("__new", begins).withColumn("__stretch", F.sum("__new").over(_upto(by, ["__v"]))).drop("__new")
-    marked = save(marked, "stretches")
-    sizes = marked.groupBy(*by, "__stretch").agg((F.sum(F.col("__v") * F.col("__n")) / F.sum("__n")).alias("centre"), F.sum("__n").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-    narrow = F.col("hi") - F.col("lo") <= tolerance
-    names = {c: f"__by_{c}" for c in by}
-    wide = save(sizes.where(~narrow).select(*[F.col(c).alias(names[c]) for c in by], F.col("__stretch").alias("__wide")), "wide")
-    equal = F.col("__stretch") == F.col("__wide")
-    for c in by:
-        equal &= F.col(c).eqNullSafe(F.col(names[c]))
-    rest = marked.join(wide, equal, "left_semi")
-
-    def passed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out = pdf.sort_values("__v"), []
-        for v, n in zip(pdf["__v"].tolist(), pdf["__n"].tolist(), strict=True):
-            if out and v - out[-1][0] / out[-1][1] <= tolerance:
-                last = out[-1]
-                out[-1] = (last[0] + v * n, last[1] + n, last[2], v)
-            else:
-                out.append((v * n, n, v, v))
-        one = pdf[by].iloc[[0] * len(out)].reset_index(drop=True)
-        return one.assign(centre=[s / n for s, n, _, _ in out], n=[n for _, n, _, _ in out], lo=[lo for _, _, lo, _ in out], hi=[hi for _, _, _, hi in out])
-
-    kind = sizes.drop("__stretch").schema
-    return sizes.where(narrow).drop("__stretch").unionByName(rest.groupBy(*by, "__stretch").applyInPandas(passed, kind))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("__v")) == 1
+    kind = counted.select(*by, F.col("__v").alias("centre"), F.col("__n").alias("n"), F.col("__v").alias("lo"), F.col("__v").alias("hi")).schema
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the open cluster, and the row of `by` where it began: row 0 if that was in a batch before
+        last, own_row = None, None
+
+        def told(rows: pa.RecordBatch | None, at: list[int], done: list[tuple]) -> pa.RecordBatch:
+            keys = [] if rows is None else [rows.column(c).take(pa.array(at, pa.int64())) for c in by]
+            sums = [s / n for s, n, _, _ in done], *[[d[k] for d in done] for k in (1, 2, 3)]
+            types = pa.float64(), pa.int64(), pa.float64(), pa.float64()
+            return pa.RecordBatch.from_arrays([*keys, *map(pa.array, sums, types)], names=[*by, "centre", "n", "lo", "hi"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, at, done, here = batch.select([*by, "__v"]), [], [], 0
+            if own_row is not None:
+                rows = pa.Table.from_batches([own_row, rows]).combine_chunks().to_batches()[0]
+            shift = rows.num_rows - batch.num_rows
+            for k, (v, n, new) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("__v", "__n", "__first")], strict=True)):
+                if last is None or new or v - last[0] / last[1] > tolerance:
+                    if last is not None:
+                        at.append(here)
+                        done.append(last)
+                    last, here = (v * n, n, v, v), k + shift
+                else:
+                    last = (last[0] + v * n, last[1] + n, last[2], v)
+            own_row = rows.slice(here, 1)
+            yield told(rows, at, done)
+        if last is not None:
+            yield told(own_row, [0], [last])
+
+    return counted.withColumn("__first", first).mapInArrow(passed, kind)
 
 
 def tail_split(df: DataFrame, by: list[str], order: list[str | Column], share: float, least: int = 1) -> DataFrame:

@@ -297,6 +297,28 @@ def test_running_means(spark):
     assert series.running_means(df.limit(0), ["g"], "v", 4.0).count() == 0
 
 
+def test_running_means_of_many_small_groups_and_across_batches(spark):
+    # thousands of wide stretches: a pandas group for each took far longer than the pass
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(3000).selectExpr("if(id % 300 = 7, null, id div 10 + 9007199254740993) as g", "cast(id % 10 * 3 as double) as v")
+        rows = sorted(((x.g is None, x.g or 0, x.v) for x in df.collect()))
+        want, own, out = collections.Counter(), None, []
+        for none, g, v in [*rows, (None, None, None)]:
+            if own != (none, g):
+                want.update((None if own[0] else own[1], round(sum(c) / len(c), 6), len(c), c[0], c[-1]) for c in out)
+                own, out = (none, g), []
+            if out and v - sum(out[-1]) / len(out[-1]) <= 4:
+                out[-1].append(v)
+            elif v is not None:
+                out.append([v])
+        got = series.running_means(df, ["g"], "v", 4.0)
+        assert collections.Counter((x.g, round(x.centre, 6), x.n, x.lo, x.hi) for x in got.collect()) == want
+        assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_traces_stop_at_boundaries(spark):
     r = random.Random(5)
     edges = [(r.randrange(40), r.randrange(40), r.choice("ab")) for _ in range(50)] + [(None, 1, "a"), (3, 3, "a"), (70, 71, None)]
