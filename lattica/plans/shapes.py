@@ -65,7 +65,7 @@ SELECT a_id, b_id, 1 AS round FROM one UNION ALL SELECT a_id, b_id, 2 FROM two""
 def mutual_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Returned and accepted lines' boxes that have no other one near."""
     b = boxes(spark, d)
-    return joins.mutual_pairs(geometry.within(b.where("l_returnflag = 'R'"), b.where("l_returnflag = 'A'"), 10.0), "a_id", "b_id")
+    return geometry.mutual_within(b.where("l_returnflag = 'R'"), b.where("l_returnflag = 'A'"), 10.0).withColumn("round", F.lit(1))
 
 
 # segments on a grid of tens: across for even lines, upright for odd ones

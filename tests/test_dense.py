@@ -37,4 +37,14 @@ def test_nearest_in_dense_pages(spark, ring):
 
 
 @pytest.mark.parametrize("n", [40, 900])
+def test_mutual_pairs_in_dense_pages(spark, n):
+    lone = [(40000 + k, 1, 60.0 + 40 * k, 0.0, 61.0 + 40 * k, 1.0) for k in range(5)]
+    left, right = [*_boxes(n, 5), *lone, lone[0]], [*_boxes(n, 6), *[(50000 + x[0], *x[1:]) for x in lone[:4]], (60000, 1, 181.0, 2.0, 182.0, 3.0)]
+    pairs = {(p[0], q[0]) for p in _fine(left) for q in _fine(right) if p[1] == q[1] and _gap2(p, q) <= 16}
+    of_a, of_b = collections.Counter(a for a, _ in pairs), collections.Counter(b for _, b in pairs)
+    got = geometry.mutual_within(spark.createDataFrame(left, BOXES), spark.createDataFrame(right, BOXES), 4.0)
+    want = {(a, b) for a, b in pairs if of_a[a] == 1 == of_b[b]}
+    assert len(want) >= 3 and collections.Counter(map(tuple, got.collect())) == collections.Counter(want)
+
+
 @pytest.mark.parametrize("scores", [1000, 3, 1])
