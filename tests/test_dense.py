@@ -36,6 +36,17 @@ def test_nearest_in_dense_pages(spark, ring):
     assert {tuple(x) for x in geometry.nearest(a, b, 20.0, 2, ring).collect()} == want
 
 
+def test_nearest_by_class_in_dense_pages(spark):
+    left, right, reaches = [*_boxes(150, 3), (30000, 0, 36.0, 5.0, 37.0, 6.0)], _boxes(900, 4), {"0": 2.0, "1": 20.0}
+    a, b = spark.createDataFrame([(*p, p[0] % 3) for p in left], BOXES + ", class int"), spark.createDataFrame(right, BOXES)
+    want = set()
+    for p in _fine(left):
+        reach = reaches.get(str(p[0] % 3))
+        near = sorted((_gap2(p, q), -max(q[4] - q[2], q[5] - q[3]), q[0]) for q in _fine(right) if reach and q[1] == p[1] and _gap2(p, q) <= reach * reach)
+        want |= {(p[1], p[0], i, d, n + 1) for n, (d, _, i) in enumerate(near[:3])}
+    assert {tuple(x) for x in geometry.nearest_by_class(a, b, "class", reaches, 3).collect()} == want
+
+
 @pytest.mark.parametrize("n", [40, 900])
 def test_mutual_pairs_in_dense_pages(spark, n):
     lone = [(40000 + k, 1, 60.0 + 40 * k, 0.0, 61.0 + 40 * k, 1.0) for k in range(5)]
