@@ -59,3 +59,16 @@ def test_mutual_pairs_in_dense_pages(spark, n):
 
 
 @pytest.mark.parametrize("scores", [1000, 3, 1])
+def test_only_segments_that_repeat_an_id_are_told_apart(spark):
+    r = random.Random(9)
+    across = [(k % 40, 0, float(x := r.randrange(30)), float(x + r.randrange(9)), float(k % 40 % 13)) for k in range(120)]
+    upright = [(k % 40, 0, float(k % 40 % 11 * 3), float(y := r.randrange(13)), float(y + r.randrange(9))) for k in range(120)]
+    want = set()
+    for i, _, x0, x1, y in across:
+        for j, _, x, y0, y1 in upright:
+            if x0 - 1 <= x <= x1 + 1 and y0 - 1 <= y <= y1 + 1:
+                own, other = min(abs(x - x0), abs(x - x1)) <= 1, min(abs(y - y0), abs(y - y1)) <= 1
+                want.add((0, i, j, x, y, "corner" if own and other else "end" if own or other else "cross"))
+    a, b = spark.createDataFrame(across, "id int, page int, x0 double, x1 double, y double"), spark.createDataFrame(upright, "id int, page int, x double, y0 double, y1 double")
+    got = geometry.meetings(a, b, 4.0, 1.0)
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want)
