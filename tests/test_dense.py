@@ -58,7 +58,6 @@ def test_mutual_pairs_in_dense_pages(spark, n):
     assert len(want) >= 3 and collections.Counter(map(tuple, got.collect())) == collections.Counter(want)
 
 
-@pytest.mark.parametrize("scores", [1000, 3, 1])
 def test_only_segments_that_repeat_an_id_are_told_apart(spark):
     r = random.Random(9)
     across = [(k % 40, 0, float(x := r.randrange(30)), float(x + r.randrange(9)), float(k % 40 % 13)) for k in range(120)]
