@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from lattica.operators import geometry
+from lattica.operators import geometry, joins
 
 BOXES = "id long, page int, x0 double, y0 double, x1 double, y1 double"
 
@@ -71,3 +71,25 @@ def test_only_segments_that_repeat_an_id_are_told_apart(spark):
     a, b = spark.createDataFrame(across, "id int, page int, x0 double, x1 double, y double"), spark.createDataFrame(upright, "id int, page int, x double, y0 double, y1 double")
     got = geometry.meetings(a, b, 4.0, 1.0)
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want)
+
+
+@pytest.mark.parametrize("per_tile", [40, 300])
+def test_assignment_by_tiles_equals_the_loop(spark, monkeypatch, per_tile):
+    r = random.Random(11)
+
+    def boxes(n, first):
+        rows = [(first + k * 7919 % 10007, k % 2, float(x := r.randrange(120)), float(y := r.randrange(120)), float(x + r.randrange(4)), float(y + r.randrange(4))) for k in range(n)]
+        # ids in several places, and on the other page
+        return [*rows, *[(*rows[k][:2], 60.0 + k, 60.0, 61.0 + k, 62.0) for k in range(5)], (rows[7][0], 1 - rows[7][1], 50.0, 50.0, 51.0, 51.0), rows[9], (None, 0, 5.0, 5.0, 6.0, 6.0), (20000, None, 0.0, 0.0, 1.0, 1.0), (20001, 0, None, 0.0, 1.0, 1.0)]
+
+    left, right, used, want = boxes(1500, 0), boxes(1400, 30000), (set(), set()), collections.Counter()
+    for d, a, b in sorted((_gap2(p, q), p[0], q[0]) for p in _fine(left) for q in _fine(right) if p[1] == q[1] and None not in (p[0], q[0]) and _gap2(p, q) <= 9):
+        if a not in used[0] and b not in used[1]:
+            used[0].add(a), used[1].add(b)
+            want[a, b, d] += 1
+    met = []
+    monkeypatch.setattr(geometry, "greedy_pairs", lambda pairs, *rest: met.append(pairs.count()) or joins.greedy_pairs(pairs, *rest))
+    got = geometry.assigned(spark.createDataFrame(left, BOXES), spark.createDataFrame(right, BOXES), 3.0, 50, per_tile)
+    assert collections.Counter(map(tuple, got.collect())) == want
+    # most are settled without being paired
+    assert met[0] < 500
