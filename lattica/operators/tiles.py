@@ -126,3 +126,31 @@ def assigned(pdf: pd.DataFrame, reach: float) -> pd.DataFrame:
     taken = [(of_a[i], of_b[j], d) for i, j, d in out if own[i]]
     alone = [(i, None, None) for i in of_a[own & ~gone[0] & ~doubt[0]]]
     return pd.DataFrame({"a_id": [t[0] for t in taken + alone], "b_id": pd.array([t[1] for t in taken + alone], dtype="object"), "distance2": pd.array([t[2] for t in taken + alone], dtype="Float64")})
+
+
+def suppressed(pdf: pd.DataFrame, threshold: float, inside: float | None) -> pd.DataFrame:
+    """The tile's own boxes and `kept`: whether a box stays, whatever lies outside; null where that is in doubt. Boxes come by rank_kind, rank_score and id; one that collides
+    with a better one that stays is lost, else one that collides with a better one in doubt is in doubt itself, as is one whose surroundings are not all seen."""
+    pdf = pdf.sort_values(["rank_kind", "rank_score", "id"], kind="stable")
+    boxes = list(zip(*[pdf[c].tolist() for c in ("x0", "y0", "x1", "y1")], strict=True))
+    step = max((max(x1 - x0, y1 - y0) for x0, y0, x1, y1 in boxes), default=0.0) or 1.0
+    stay: dict[tuple[float, float], list] = {}
+    kept: list[bool | None] = []
+    for (x0, y0, x1, y1), whole in zip(boxes, pdf["whole"].tolist(), strict=True):
+        area, doubt, lost, cx, cy = (x1 - x0) * (y1 - y0), not whole, False, x0 // step, y0 // step
+        for at in [(cx + k, cy + j) for k in (0.0, -1.0, 1.0) for j in (0.0, -1.0, 1.0)]:
+            for p0, q0, p1, q1, other, unsure in stay.get(at, ()):
+                if p0 > x1 or p1 < x0 or q0 > y1 or q1 < y0:
+                    continue
+                shared = (min(x1, p1) - max(x0, p0)) * (min(y1, q1) - max(y0, q0))
+                both = area + other - shared
+                if (shared / both if both > 0 else 0.0) >= threshold or (inside is not None and min(area, other) > 0 and shared / min(area, other) >= inside):
+                    lost, doubt = lost or not unsure, doubt or unsure
+                    if lost:
+                        break
+            if lost:
+                break
+        if not lost:
+            stay.setdefault((cx, cy), []).append((x0, y0, x1, y1, area, doubt))
+        kept.append(False if lost else None if doubt else True)
+    return pdf.assign(kept=pd.array(kept, dtype="boolean"))[pdf["own"].to_numpy(bool)]

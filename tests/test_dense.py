@@ -93,3 +93,28 @@ def test_assignment_by_tiles_equals_the_loop(spark, monkeypatch, per_tile):
     assert collections.Counter(map(tuple, got.collect())) == want
     # most are settled without being paired
     assert met[0] < 500
+
+
+@pytest.mark.parametrize("inside", [None, 0.8])
+def test_suppression_by_tiles_equals_the_loop(spark, monkeypatch, inside):
+    r = random.Random(12)
+    score = lambda: r.choice([None, float("nan"), -1.0, 0.0, 1.0, 2.0, 3.0])
+    rows = [(k * 7919 % 10007, k % 2, float(x := r.randrange(150)), float(y := r.randrange(150)), float(x + r.randrange(3, 7)), float(y + r.randrange(7)), score()) for k in range(2500)]
+    rows += [(20000 + k, *x[1:6], score()) for k, x in enumerate(rows[:200])]  # copies in the same places
+    kept = collections.defaultdict(list)
+    for b in sorted(rows, key=lambda b: (b[6] is None, b[6] == b[6], -(b[6] if b[6] and b[6] == b[6] else 0), b[0])):
+        for k in kept[b[1]]:
+            w, h = min(k[4], b[4]) - max(k[2], b[2]), min(k[5], b[5]) - max(k[3], b[3])
+            if w > 0 and h > 0:
+                one, two = ((x[4] - x[2]) * (x[5] - x[3]) for x in (k, b))
+                if w * h / (one + two - w * h) >= 0.45 or (inside and w * h / min(one, two) >= inside):
+                    break
+        else:
+            kept[b[1]].append(b)
+    want = [(b[1], b[0]) for bs in kept.values() for b in bs] + [(None, 30000), (0, 30001), (0, None)]
+    rows += [(30000, None, 0.0, 0.0, 4.0, 4.0, 9.0), (30001, 0, None, 0.0, 4.0, 4.0, 9.0), (None, 0, 0.0, 0.0, 4.0, 4.0, 9.0)]
+    met, rounds = [], geometry._suppressed_in_rounds
+    monkeypatch.setattr(geometry, "_suppressed_in_rounds", lambda boxes, *rest: met.append(boxes.count()) or rounds(boxes, *rest))
+    got = geometry.suppressed(spark.createDataFrame(rows, BOXES + ", score double"), 0.45, 8.0, inside, 100, 200)
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want)
+    assert met[0] < 500
