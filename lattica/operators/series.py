@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.sources.shared import save
-
 
 def _upto(by: list[str], order: list[str | Column], last: int = 0):
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
@@ -92,7 +90,7 @@ def chained(df: DataFrame, by: list[str], across: str, tolerance: float, start:
     df = df.where(F.col(across).isNotNull() & (F.col(start) <= F.col(end)))
     values = df.select(*by, F.col(across).alias("__v")).distinct()
     if anchored:
-        lined = bands(values, by, "__v", tolerance, "line", inclusive=True)
+        lined = begun(values, by, "__v", tolerance, "line", inclusive=True)
     else:
         new = F.when(F.col("__v") - F.lag("__v").over(Window.partitionBy(*by).orderBy("__v")) <= tolerance, 0).otherwise(1)
         lined = values.withColumn("__new", new).withColumn("line", F.last(F.when(F.col("__new") == 1, F.col("__v")), ignorenulls=True).over(_upto(by, ["__v"]))).drop("__new")
@@ -114,26 +112,36 @@ def sliding(df: DataFrame, by: list[str], order: list[str | Column], column: str
 
 def bands(df: DataFrame, by: list[str], value: str, width: float, name: str = "band", inclusive: bool = False) -> DataFrame:
     """df and the first value of each row's band: in the order of their values, rows belong to a band up to less than `width` behind its first one
-    (inclusive: up to `width`), and the next row begins another. A band's begin depends on the one before; the chain of begins is found by pointers that double their
-    reach in each round, so a group is no single task's work. A null value is in no band. Column names that begin with two underscores are taken."""
-    keyed = df.withColumn("__g", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")).withColumn("__v", F.col(value).cast("double"))
-    behind = f"over (partition by __g order by __v range between cast({float(width)!r} as double) following and unbounded following)"
-    onward = F.expr(f"min(__v) {behind}")
-    if inclusive:  # the value at exactly `width` is still within, the one after it is not
-        onward = F.when(onward > F.col("__v") + float(width), onward).otherwise(F.expr(f"min(__after) {behind}"))
-    points = keyed.select("__g", "__v").where("__v is not null").distinct().withColumn("__after", F.lead("__v").over(Window.partitionBy("__g").orderBy("__v")))
-    points = save(points.select("__g", "__v", onward.alias("__to")), "points")
-    begins, jump = save(points.groupBy("__g").agg(F.min("__v").alias("__v")), "begins"), points
-    known, found = 0, begins.count()
-    while found > known:
-        reached = begins.join(jump.where("__to is not null"), ["__g", "__v"]).select("__g", F.col("__to").alias("__v"))
-        begins = save(begins.unionByName(reached).distinct(), "begins")
-        known, found = found, begins.count()
-        further = jump.select("__g", F.col("__v").alias("__to"), F.col("__to").alias("__next"))
-        jump = save(jump.join(further, ["__g", "__to"]).select("__g", "__v", F.col("__next").alias("__to")), "jumps")
-    marked = points.join(begins.withColumn("__begin", F.col("__v")), ["__g", "__v"], "left")
-    marked = marked.select("__g", "__v", F.last("__begin", ignorenulls=True).over(_upto(["__g"], ["__v"])).alias(name))
-    return keyed.join(marked, ["__g", "__v"], "left").select(*df.columns, name)
+    (inclusive: up to `width`), and the next row begins another. Each begin depends on the one before, so one pass goes over the distinct values as they come in sorted partitions; no
+    group is held. A null value is in no band. Column names that begin with two underscores are taken."""
+    keyed = df.withColumn("__v", F.col(value).cast("double"))
+    points = keyed.select(*by, "__v").where("__v is not null").distinct()
+    equal = F.col("__v") == F.col("__value")
+    for c in by:
+        equal &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    marked = begun(points, by, "__v", width, name, inclusive).withColumnsRenamed({"__v": "__value"} | {c: f"__{c}" for c in by})
+    return keyed.join(marked, equal, "left").select(*df.columns, name)
+
+
+def begun(points: DataFrame, by: list[str], value: str, width: float, name: str, inclusive: bool = False) -> DataFrame:
+    """by, value and name, the first value of the band, as of bands(), of values that are not null and differ within a group."""
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(value)) == 1 if by else F.row_number().over(Window.orderBy(value)) == 1
+    sorted_ = points.select(*by, value, F.col(value).cast("double").alias("__at")).withColumn("__first", first)
+    width = float(width)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, end = 0.0, 0.0
+        for batch in batches:
+            begins = []
+            for at, new in zip(batch.column("__at").to_pylist(), batch.column("__first").to_pylist(), strict=True):
+                # NaN comes last and begins a band
+                if new or not (at <= end if inclusive else at < end):
+                    begin, end = at, at + width
+                begins.append(begin)
+            own = batch.select([*by, value])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(begins, pa.float64())], names=[*own.schema.names, name])
+
+    return sorted_.mapInArrow(passed, points.select(*by, value, F.lit(0.0).alias(name)).schema)
 
 
 def template_scores(df: DataFrame, by: list[str], order: list[str | Column], value: str, templates: dict[str, list[float]], keep: list[str]) -> DataFrame:

@@ -222,6 +222,18 @@ def test_series_with_nulls_ties_and_odd_intervals(spark):
         assert f(df.limit(0)).count() == 0
 
 
+def test_long_chains_of_bands_take_few_jobs(spark):
+    n, nan = 5000, float("nan")
+    rows = spark.range(n).selectExpr("if(id % 2 = 0, null, 1) as g", "cast(id div 2 as double) as v").union(spark.createDataFrame([(1, nan), (1, None)], "g int, v double"))
+    spark.sparkContext.setJobGroup("bands", "bands")
+    got = {(x.g, x.v): x.band for x in series.bands(rows, ["g"], "v", 2.0, inclusive=True).where("v is not null and not isnan(v)").collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bands")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(g, float(v)): v - v % 3.0 for g in (None, 1) for v in range(n // 2)}
+    assert len(jobs) <= 8
+    assert [str(x.band) for x in series.bands(rows, ["g"], "v", 2.0).where("v is null or isnan(v)").orderBy("v").collect()] == ["None", "nan"]
+
+
 def test_bands_equal_the_loop(spark):
     r = random.Random(12)
     rows = [(["a", "b", None][k % 3], r.choice([None, *[x / 2 for x in range(300)]])) for k in range(400)] + [("c", 5.0), ("d", None)]
