@@ -137,3 +137,24 @@ def test_rounding_by_doubles_equals_the_database(spark):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         # decimals took most of the time of each pair
         assert "round(" not in plan
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 1.0])
+def test_rectangles_where_segments_cross_densely(spark, monkeypatch, tolerance):
+    r = random.Random(7)
+    across = [(k, k % 2, float(x := r.randrange(6)), float(x + r.randrange(0, 4)), float(r.randrange(6))) for k in range(120)]
+    upright = [(k, k % 2, float(r.randrange(6)), float(y := r.randrange(6)), float(y + r.randrange(0, 4))) for k in range(120)]
+    near = lambda p, q: abs(p - q) <= tolerance
+    corner = lambda h, v, x, y: h[1] == v[1] and near(v[2], h[x]) and near(h[4], v[y])
+    hs, vs, want = [h for h in across if h[2] < h[3]], [v for v in upright if v[3] < v[4]], set()
+    for top in hs:
+        lefts, rights = [v for v in vs if corner(top, v, 2, 3)], [v for v in vs if corner(top, v, 3, 3)]
+        for left in lefts:
+            for low in (h for h in hs if corner(h, left, 2, 4)):
+                want |= {(top[1], top[0], low[0], left[0], v[0], left[2], top[4], v[2], low[4]) for v in rights if corner(low, v, 3, 4) and left[2] < v[2] and top[4] < low[4]}
+    a = spark.createDataFrame([*across, across[0]], "id long, page int, x0 double, x1 double, y double")
+    b = spark.createDataFrame([*upright, upright[0]], "id long, page int, x double, y0 double, y1 double")
+    if not tolerance:
+        # crossings that are no corner were all made before
+        monkeypatch.setattr(geometry, "_pairs", None)
+    assert len(want) >= 3 and collections.Counter(map(tuple, geometry.rectangles(a, b, 4.0, tolerance).collect())) == collections.Counter(want)
