@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import boxes as bx
-from lattica.operators.geometry import BOX, holding
+from lattica.operators.geometry import BOX, _pairs
 from lattica.operators.graph import components
 from lattica.sources.shared import in_order, save
 
@@ -23,14 +23,13 @@ def pieces(segments: DataFrame, cell: float, size: float) -> DataFrame:
     flat = save(flat.select("page", "id", *[F.col(c).cast("double").alias(c) for c in BOX]), "segments")
     both = F.explode(F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (0, 1)])).alias("p")
     # ends in the same place cut alike, so a place is one point, however many ends it has
-    places = flat.select("page", both).select("page", "p.x", "p.y").distinct()
-    places = save(in_order(places, ["page", "x", "y"], "id"), "places")
-    hits = holding(places, flat, cell, size / 2).select("page", F.col("a_id").alias("point"), F.col("b_id").alias("id"))
-    cuts = hits.join(places.withColumnRenamed("id", "point"), ["page", "point"]).join(flat, ["page", "id"])
-    on = lambda c: F.least(F.greatest(F.col(c), F.col(f"{c}0")), F.col(f"{c}1"))
-    cuts = cuts.select("page", "id", bx.grid_key(F.col("x"), F.col("y"), size).alias("u"), (on("x") - F.col("x0") + on("y") - F.col("y0")).alias("at"))
-    # of the cuts that are one node the first counts
-    cuts = cuts.groupBy("page", "id", "u").agg(F.min("at").alias("at"))
+    places = flat.select("page", both).select(F.lit(0).alias("id"), "page", F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), F.col("p.x").alias("x1"), F.col("p.y").alias("y1")).distinct()
+    places = save(places, "places")
+    # pairs come with the coordinates of both, so neither places nor segments are looked up again
+    on = lambda c: F.least(F.greatest(F.col(f"a_{c}0"), F.col(f"b_{c}0")), F.col(f"b_{c}1"))
+    cuts = _pairs(places, flat, cell, size / 2).select("page", F.col("b_id").alias("id"), bx.grid_key(F.col("a_x0"), F.col("a_y0"), size).alias("u"), (on("x") - F.col("b_x0") + on("y") - F.col("b_y0")).alias("at"))
+    # of the cuts that are one node the first counts; dealt by segment once, for this and for their order
+    cuts = cuts.repartition("page", "id").groupBy("page", "id", "u").agg(F.min("at").alias("at"))
     order = Window.partitionBy("page", "id").orderBy("at", "u")
     return cuts.select("page", "id", F.row_number().over(order).alias("piece"), "u", F.lead("u").over(order).alias("v")).where("v is not null")
 

@@ -77,7 +77,8 @@ p AS (SELECT * FROM (SELECT page, id, row_number() OVER w AS piece, u, lead(u) O
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     """Lines that repeat get an id each."""
-    rows = in_order(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "place")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    rows = in_order(table(spark, d, "lineitem").select(order), order, "place")
     at = rows.selectExpr("place + 1 as id", "l_suppkey % 25 * 1000 + l_orderkey % 40 as page", "l_partkey * 37 % 100 * 10 as x0", "l_orderkey * 53 % 100 * 10 as y0", "l_linenumber % 2 as up", "(1 + l_partkey % 4) * 10 as size")
     return at.selectExpr("id", "page", "x0", "y0", "x0 + if(up = 0, size, 0) as x1", "y0 + if(up = 1, size, 0) as y1")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
 from lattica.functions import boxes as bx
-from lattica.operators import geometry, joins
+from lattica.operators import geometry, joins, planar
 from lattica.plans import registry
 
 BOXES = "id long, page int, x0 double, y0 double, x1 double, y1 double"
@@ -158,3 +158,11 @@ def test_rectangles_where_segments_cross_densely(spark, monkeypatch, tolerance):
         # crossings that are no corner were all made before
         monkeypatch.setattr(geometry, "_pairs", None)
     assert len(want) >= 3 and collections.Counter(map(tuple, geometry.rectangles(a, b, 4.0, tolerance).collect())) == collections.Counter(want)
+
+
+def test_pieces_look_nothing_up_again(spark):
+    segments = spark.createDataFrame([(1, 0, 0.0, 0.0, 9.0, 0.0), (2, 0, 4.0, 0.0, 4.0, 5.0), (3, 1, 0.0, 0.0, 9.0, 0.0), (4, 0, 2.0, -0.4, 2.0, -3.0)], BOXES)
+    cut = planar.pieces(segments, 4.0, 1.0)
+    assert sorted(map(tuple, cut.select("id", "piece", "u", "v").collect())) == [(1, 1, "0,0", "2,0"), (1, 2, "2,0", "4,0"), (1, 3, "4,0", "9,0"), (2, 1, "4,0", "4,5"), (3, 1, "0,0", "9,0"), (4, 1, "2,-3", "2,0")]
+    # places meet segments once; what was found was joined with both again before
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
