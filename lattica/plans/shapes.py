@@ -99,10 +99,9 @@ least AS (SELECT page, node, min(id) AS net FROM reach JOIN n USING (page) WHERE
 SELECT p.page, p.id, p.piece::INTEGER AS piece, net FROM p JOIN n USING (page, id, piece) JOIN least l ON l.page = n.page AND l.node = n.a""")
 def segment_nets(spark: SparkSession, d: str) -> DataFrame:
     """Pieces that are connected without passing a barrier."""
-    cut = save(planar.pieces(_segments(spark, d), 32.0, 1.0), "pieces")
-    ends = cut.select("page", F.split("u", ",").alias("n")).union(cut.select("page", F.split("v", ",").alias("n"))).distinct()
-    stops = ends.select("page", F.col("n")[0].cast("long").alias("x"), F.col("n")[1].cast("long").alias("y")).where("(x + y) % 170 = 0")
-    return planar.nets(cut, stops, 1.0).select("page", "id", "piece", "net")
+    segments = _segments(spark, d)
+    ends = segments.select("page", F.col("x0").alias("x"), F.col("y0").alias("y")).union(segments.select("page", "x1", "y1"))
+    return planar.netted(segments, ends.where("(x + y) % 170 = 0"), 32.0, 1.0).select("page", "id", "piece", "net")
 
 
 # outlines of boxes in frames of 60 x 40

@@ -98,6 +98,30 @@ def test_pieces_and_nets(spark):
     assert planar.nets(planar.pieces(df.limit(0), 4.0, 1.0), spark.createDataFrame([], "page int, x double, y double"), 1.0).count() == 0
 
 
+def test_segments_in_one_place_are_cut_once(spark, monkeypatch):
+    r = random.Random(5)
+    places = [(k % 2, x := float(r.randrange(9)), y := float(r.randrange(9)), x + (k % 3 > 0) * (n := float(r.randrange(5))), y + (k % 3 == 0) * n) for k in range(50)]
+    segments = [(r.random(), *p) for p in places for _ in range(6)]
+    segments = [(k, *p) for k, (_, *p) in enumerate(sorted(segments))] + [(900, 0, 0.0, 0.0, 4.0, 0.0), (901, 0, float("nan"), 20.0, 2.0, 20.0), (902, 0, 0.0, 20.0, 4.0, 20.0)]
+    df = spark.createDataFrame(segments, "id int, page int, x0 double, y0 double, x1 double, y1 double")
+    stops = spark.createDataFrame([(0, 0.0, 20.0), (0, 4.0, 20.0), (0, 0.0, 0.0), (1, 3.0, 3.0), (1, 3.0, 4.0), (1, 6.0, 2.0)], "page int, x double, y double")
+    saved = {}
+
+    def save(df, name):
+        saved[name] = shared.save(df, name)
+        return saved[name]
+
+    monkeypatch.setattr(planar, "save", save)
+    got = planar.netted(df, stops, 4.0, 1.0)
+    assert saved["cut"].count() <= len(set(places)) * 5 and saved["edges"].count() <= saved["cut"].count()
+    cut = shared.save(planar.pieces(df, 4.0, 1.0), "cut")
+    assert _rows(cut.where("id = 902").select("piece", "u", "v")) == {(1, "0,20", "4,20"): 1}
+    assert _rows(got.drop("net")) == _rows(cut) and _rows(got) == _rows(planar.nets(cut, stops, 1.0))
+    barred = {(s.page, f"{int(s.x)},{int(s.y)}") for s in stops.collect()}
+    alone = [p for p in got.collect() if (p.page, p.u) in barred and (p.page, p.v) in barred]
+    assert alone and all(p.net == p.id for p in alone)
+
+
 def test_what_is_left_of_intervals(spark):
     r = random.Random(8)
     rows = [(r.choice([1, 2, None]), a := r.randrange(60), a + r.randrange(-1, 9)) for _ in range(60)] + [(1, None, 4), (1, 4, None), (3, 5, 5), (4, 0, 9)]
