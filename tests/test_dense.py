@@ -166,3 +166,14 @@ def test_pieces_look_nothing_up_again(spark):
     assert sorted(map(tuple, cut.select("id", "piece", "u", "v").collect())) == [(1, 1, "0,0", "2,0"), (1, 2, "2,0", "4,0"), (1, 3, "4,0", "9,0"), (2, 1, "4,0", "4,5"), (3, 1, "0,0", "9,0"), (4, 1, "2,-3", "2,0")]
     # places meet segments once; what was found was joined with both again before
     assert cut._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+@pytest.mark.parametrize(("cell", "pad", "want"), [(32.0, 0.0, 8.0), (32.0, 2.0, 12.0), (100.0, 0.0, 25.0), (4.0, 0.0, 4.0)])
+def test_cells_are_no_wider_than_boxes_need(spark, monkeypatch, cell, pad, want):
+    used, dealt = [], geometry._dealt
+    monkeypatch.setattr(geometry, "_dealt", lambda df, others, cell, pad: used.append(cell) or dealt(df, others, cell, pad))
+    a, b = [*_boxes(60, 6), (1, 0, 0.0, 0.0, 8.0, 1.0)], _boxes(60, 7)
+    got = collections.Counter(tuple(x) for x in geometry._pairs(spark.createDataFrame(a, BOXES), spark.createDataFrame(b, BOXES), cell, pad).select("page", "a_id", "b_id").collect())
+    touch = lambda p, q: p[2] - pad <= q[4] and q[2] <= p[4] + pad and p[3] - pad <= q[5] and q[3] <= p[5] + pad
+    assert used == [want, want]
+    assert got == collections.Counter((p[1], p[0], q[0]) for p in _fine(a) for q in _fine(b) if p[1] is not None and p[1] == q[1] and touch(p, q))
