@@ -177,3 +177,22 @@ def test_cells_are_no_wider_than_boxes_need(spark, monkeypatch, cell, pad, want)
     touch = lambda p, q: p[2] - pad <= q[4] and q[2] <= p[4] + pad and p[3] - pad <= q[5] and q[3] <= p[5] + pad
     assert used == [want, want]
     assert got == collections.Counter((p[1], p[0], q[0]) for p in _fine(a) for q in _fine(b) if p[1] is not None and p[1] == q[1] and touch(p, q))
+
+
+def test_assignment_where_many_touch(spark, monkeypatch):
+    r = random.Random(13)
+    boxes = lambda first: [(first + k * 7919 % 10007, 0, float(x := r.randrange(60)), float(y := r.randrange(60)), x + 3.0, y + 3.0) for k in range(4000)]
+    left, right, used, want, at = boxes(0), boxes(30000), (set(), set()), collections.Counter(), collections.defaultdict(list)
+    for q in right:
+        at[q[2] // 5, q[3] // 5].append(q)
+    near = lambda p: [q for i in (-1, 0, 1) for j in (-1, 0, 1) for q in at[p[2] // 5 + i, p[3] // 5 + j]]
+    for d, a, b in sorted((d, p[0], q[0]) for p in left for q in near(p) if (d := _gap2(p, q)) <= 1):
+        if a not in used[0] and b not in used[1]:
+            used[0].add(a), used[1].add(b)
+            want[a, b, d] += 1
+    met = []
+    monkeypatch.setattr(geometry, "greedy_pairs", lambda pairs, *rest: met.append(pairs.count()) or joins.greedy_pairs(pairs, *rest))
+    got = geometry.assigned(spark.createDataFrame(left, BOXES), spark.createDataFrame(right, BOXES), 1.0, 50, 400)
+    assert collections.Counter(map(tuple, got.collect())) == want
+    # tiles as wide for few settled little, so most met as pairs
+    assert met[0] < 1000
