@@ -162,27 +162,39 @@ def assigned(pdf: pd.DataFrame, reach: float) -> pd.DataFrame:
 
 def suppressed(pdf: pd.DataFrame, threshold: float, inside: float | None) -> pd.DataFrame:
     """The tile's own boxes and `kept`: whether a box stays, whatever lies outside; null where that is in doubt. Boxes come by rank_kind, rank_score and id; one that collides
-    with a better one that stays is lost, else one that collides with a better one in doubt is in doubt itself, as is one whose surroundings are not all seen."""
+    with a better one that stays is lost, else one that collides with a better one in doubt is in doubt itself, as is one whose surroundings are not all seen. Along the tile's rim very many are
+    in doubt, so what is in doubt in any case does not look at them, and others look until they find one."""
     pdf = pdf.sort_values(["rank_kind", "rank_score", "id"], kind="stable")
     boxes = list(zip(*[pdf[c].tolist() for c in ("x0", "y0", "x1", "y1")], strict=True))
     step = max((max(x1 - x0, y1 - y0) for x0, y0, x1, y1 in boxes), default=0.0) or 1.0
-    stay: dict[tuple[float, float], list] = {}
-    kept: list[bool | None] = []
-    for (x0, y0, x1, y1), whole in zip(boxes, pdf["whole"].tolist(), strict=True):
-        area, doubt, lost, cx, cy = (x1 - x0) * (y1 - y0), not whole, False, x0 // step, y0 // step
-        for at in [(cx + k, cy + j) for k in (0.0, -1.0, 1.0) for j in (0.0, -1.0, 1.0)]:
-            for p0, q0, p1, q1, other, unsure in stay.get(at, ()):
+    if inside is None and 0 < threshold < 1:
+        # boxes share no more along an axis than the shorter side there, so those that share that much of both begin nearer to each other
+        step *= 1 - threshold
+    # some more, for what rounding does to differences
+    step *= 1 + 1e-9
+    cells = [(k, j) for k in (0.0, -1.0, 1.0) for j in (0.0, -1.0, 1.0)]
+
+    def collides(near: list[list], x0: float, y0: float, x1: float, y1: float, area: float) -> bool:
+        for cell in near:
+            for p0, q0, p1, q1, other in cell:
                 if p0 > x1 or p1 < x0 or q0 > y1 or q1 < y0:
                     continue
-                shared = (min(x1, p1) - max(x0, p0)) * (min(y1, q1) - max(y0, q0))
+                shared = ((x1 if x1 < p1 else p1) - (x0 if x0 > p0 else p0)) * ((y1 if y1 < q1 else q1) - (y0 if y0 > q0 else q0))
                 both = area + other - shared
                 if (shared / both if both > 0 else 0.0) >= threshold or (inside is not None and min(area, other) > 0 and shared / min(area, other) >= inside):
-                    lost, doubt = lost or not unsure, doubt or unsure
-                    if lost:
-                        break
-            if lost:
-                break
+                    return True
+        return False
+
+    stay: dict[tuple[float, float], list] = {}
+    unsure: dict[tuple[float, float], list] = {}
+    kept: list[bool | None] = []
+    for box, whole in zip(boxes, pdf["whole"].tolist(), strict=True):
+        x0, y0, x1, y1 = box
+        area, cx, cy = (x1 - x0) * (y1 - y0), x0 // step, y0 // step
+        at = [(cx + k, cy + j) for k, j in cells]
+        lost = collides([stay[c] for c in at if c in stay], *box, area)
+        doubt = not lost and (not whole or collides([unsure[c] for c in at if c in unsure], *box, area))
         if not lost:
-            stay.setdefault((cx, cy), []).append((x0, y0, x1, y1, area, doubt))
+            (unsure if doubt else stay).setdefault((cx, cy), []).append((*box, area))
         kept.append(False if lost else None if doubt else True)
     return pdf.assign(kept=pd.array(kept, dtype="boolean"))[pdf["own"].to_numpy(bool)]

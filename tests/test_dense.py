@@ -196,3 +196,31 @@ def test_assignment_where_many_touch(spark, monkeypatch):
     assert collections.Counter(map(tuple, got.collect())) == want
     # tiles as wide for few settled little, so most met as pairs
     assert met[0] < 1000
+
+
+@pytest.mark.parametrize(("threshold", "inside"), [(0.0, None), (0.2, None), (0.9, None), (2.0, 0.5)])
+def test_suppression_reads_boxes_once(spark, threshold, inside):
+    r = random.Random(14)
+    rows = [(k * 7919 % 10007, k % 2, float(x := r.randrange(90)), float(y := r.randrange(90)), float(x + r.randrange(3, 7)), float(y + r.randrange(7)), float(r.randrange(5))) for k in range(1200)]
+    kept = collections.defaultdict(list)
+    for b in sorted(rows, key=lambda b: (-b[6], b[0])):
+        for k in kept[b[1]]:
+            w, h = min(k[4], b[4]) - max(k[2], b[2]), min(k[5], b[5]) - max(k[3], b[3])
+            if w >= 0 and h >= 0:
+                one, two = ((x[4] - x[2]) * (x[5] - x[3]) for x in (k, b))
+                if (w * h / (one + two - w * h) if one + two > w * h else 0.0) >= threshold or (inside and min(one, two) > 0 and w * h / min(one, two) >= inside):
+                    break
+        else:
+            kept[b[1]].append(b)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    boxes = spark.createDataFrame(rows, BOXES + ", score double")
+    got = geometry.suppressed(boxes.mapInArrow(counted, boxes.schema), threshold, 8.0, inside, 100, 200)
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter((b[1], b[0]) for bs in kept.values() for b in bs)
+    # to count, to settle and to return them
+    assert read.value == len(rows)
