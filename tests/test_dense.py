@@ -224,3 +224,13 @@ def test_suppression_reads_boxes_once(spark, threshold, inside):
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter((b[1], b[0]) for bs in kept.values() for b in bs)
     # to count, to settle and to return them
     assert read.value == len(rows)
+
+
+def test_rectangles_need_two_corners(spark):
+    found = registry.QUERIES["rectangles"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # four corners, two pairs of them and both pairs were joined before, and each read the table twice
+    assert plan.count("Join Inner") == 3 and "l_orderkey" not in plan
+    con = duckdb.connect()
+    con.execute("create view lineitem as select * from '/root/testdata/sf0.001/lineitem.parquet'")
+    assert collections.Counter(map(tuple, found.collect())) == collections.Counter(con.execute(registry.ORACLE_SQL["rectangles"]).fetchall())
