@@ -234,3 +234,17 @@ def test_rectangles_need_two_corners(spark):
     con = duckdb.connect()
     con.execute("create view lineitem as select * from '/root/testdata/sf0.001/lineitem.parquet'")
     assert collections.Counter(map(tuple, found.collect())) == collections.Counter(con.execute(registry.ORACLE_SQL["rectangles"]).fetchall())
+
+
+def test_few_segments_that_repeat_an_id_shuffle_no_others(spark, monkeypatch):
+    across = spark.createDataFrame([(k // 2, 0, float(k), float(k + 3), float(k % 5)) for k in range(40)], "id int, page int, x0 double, x1 double, y double")
+    upright = spark.createDataFrame([(k // 2, 0, float(k), 0.0, float(k % 7)) for k in range(40)], "id int, page int, x double, y0 double, y1 double")
+    saved = {}
+    monkeypatch.setattr(geometry, "save", lambda df, name: saved.setdefault(name, df))
+    plan = geometry.meetings(across, upright, 4.0, 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    # both sides were shuffled again for them, and twice each to find them
+    assert (plan.count("strategy=merge"), plan.count("strategy=broadcast")) == (1, 2)
+    for df in saved.values():
+        df.collect()
+        assert df._jdf.queryExecution().sparkPlan().toString().count("REPARTITION_BY_COL") == 1
+        assert df._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS") == 0
