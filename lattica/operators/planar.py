@@ -39,7 +39,9 @@ def pieces(segments: DataFrame, cell: float, size: float) -> DataFrame:
     """page, id, piece (from 1), u, v: what segments (id, page, x0, y0, x1, y1) are cut into where ends lie on them or miss by `size` / 2 at most. u and v are keys of
     nodes: places that round to the same multiples of `size`. cell: about the length of a usual segment."""
     flat, cut = _cut(segments, cell, size)
-    return flat.join(cut.drop("id"), ["page", *BOX]).select("page", "id", "piece", "u", "v")
+    # sorted once, whatever the join does with it
+    cut = save(cut.drop("id"), "cut")
+    return flat.join(cut, ["page", *BOX]).select("page", "id", "piece", "u", "v")
 
 
 def _edge_nets(cut: DataFrame, barriers: DataFrame, size: float) -> DataFrame:
